@@ -7,7 +7,10 @@ import importlib
 _WHERE = {
     "op2_token_files": "token_files",
     "op4_deficit_packing": "packing",
+    "op5_line_crf": "quality_crf",
+    "op6_merge_dropout": "pieces",
     "op7_llr_rules": "quality_rules",
+    "op9_flac": "flac",
     "op10_sampled_splitters": "sharding",
 }
 QUERIES = {name: getattr(importlib.import_module(f"heapscope.llm.{module}"), name) for name, module in _WHERE.items()}
