@@ -3,55 +3,89 @@
 from __future__ import annotations
 
 import os
+from operator import itemgetter
 
 import numpy as np
 import regex
 
 #: The word pattern of byte-level BPE tokenizers (a fixed value): merges never cross its matches.
-WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 #: Texts of these characters are cut alike by the regex library and by tokenizers, whatever their Unicode versions.
-PLAIN = r"[\x00-\x7e\xa0-˿Α-ΡΣ-ώА-я‐-‧‰-⁞ぁ-ゖァ-ヺ一-龥가-힣]*"
+PLAIN = regex.compile(r"[\x01-\x7e\xa0-˿Α-ΡΣ-ώА-я‐-‧‰-⁞ぁ-ゖァ-ヺ一-龥가-힣]*").fullmatch
+#: Of these, texts whose only signs and white space are those of ASCII.
+LETTERS = regex.compile(r"[\x01-\x7eÀ-ÖØ-öø-ɏΑ-ΡΣ-ώА-яぁ-ゖァ-ヺ一-龥가-힣]*").fullmatch
+#: Bytes as kinds: letters and digits, white space, signs.
+_KINDS = bytes(32 if chr(b).isspace() and b < 128 else 97 if b >= 128 or chr(b).isalnum() else 46 for b in range(256))
+
+
+class _Forms(dict):
+    """Ids of forms; a form that is missing is noted and stands for itself."""
+
+    def __init__(self):
+        self.new: list[str] = []
+
+    def __missing__(self, form: str) -> str:
+        self.new.append(form)
+        return form
 
 
 class Encoder:
-    """Ids of a text as little-endian 32-bit words.
+    """Ids of texts as little-endian 32-bit words.
 
-    A word form's ids are kept and used again; the store is emptied when it holds max_forms. Texts with
-    characters outside PLAIN, and single words of over max_word characters, go to the library whole.
+    A text is cut where WORDS would cut it: if it has no run of white space or signs and no space before a sign,
+    that is before each space, line end, full stop and comma; else by WORDS itself. The ids of a form are kept and
+    used again; the store is emptied when it holds over max_forms. Texts with characters outside PLAIN go to the library
+    whole; forms of over max_form characters aren't kept.
     """
 
-    def __init__(self, path: str, max_forms: int = 300_000, max_word: int = 64):
+    def __init__(self, path: str, max_forms: int = 1_200_000, max_form: int = 64):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.find, self.plain = regex.compile(WORDS).findall, regex.compile(PLAIN).fullmatch
-        self.forms: dict[str, bytes] = {}
-        self.max_forms, self.max_word = max_forms, max_word
+        self.forms = _Forms()
+        self.max_forms, self.max_form = max_forms, max_form
 
-    def whole(self, text: str) -> bytes:
-        return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+    def cut(self, text: str) -> list[str]:
+        if LETTERS(text):
+            kinds = text.encode().translate(_KINDS)
+            if b"  " not in kinds and b".." not in kinds and b" ." not in kinds:
+                return text.replace(" ", "\0 ").replace("\n", "\0\n").replace(".", "\0.").replace(",", "\0,").split("\0")
+        return WORDS.findall(text) if PLAIN(text) else [text]
 
-    def __call__(self, text: str) -> bytes:
-        if not self.plain(text):
-            return self.whole(text)
-        words, forms = self.find(text), self.forms
-        try:
-            return b"".join([forms[w] for w in words])
-        except KeyError:
-            pass
-        new = [w for w in set(words) if w not in forms]
-        if len(forms) + len(new) > self.max_forms:
+    def many(self, texts: list[str]) -> list[bytes]:
+        forms = self.forms
+        if len(forms) > self.max_forms:
             forms.clear()
-            new = list(set(words))
-        own = {}
-        for w, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            own[w] = np.asarray(e.ids, "<u4").tobytes()
-        kept = {w: v for w, v in own.items() if len(w) <= self.max_word}
-        if len(forms) + len(kept) <= self.max_forms:
-            forms.update(kept)
-        return b"".join([forms[w] if w in forms else own[w] for w in words])
+        found = []
+        for text in texts:
+            words, before = self.cut(text), len(forms.new)
+            ids = itemgetter(*words)(forms) if len(words) > 1 else (forms[words[0]],) if words else ()
+            found.append((ids, len(forms.new) > before))
+        fresh = list(set(forms.new))
+        forms.new.clear()
+        for w, e in zip(fresh, self.tokenizer.encode_batch_fast(fresh, add_special_tokens=False), strict=True):
+            forms[w] = np.asarray(e.ids, "<u4").tobytes()
+        out = [b"".join([x if x.__class__ is bytes else forms[x] for x in ids] if some_new else ids) for ids, some_new in found]
+        for w in fresh:
+            if len(w) > self.max_form:
+                del forms[w]
+        return out
+
+    def __call__(self, text: str) -> bytes:
+        return self.many([text])[0]
+
+
+def batches_of(sizes: list[int], most: int = 1 << 20) -> list[tuple[int, int]]:
+    """Slices of about `most` in size."""
+    out, a, total = [], 0, 0
+    for i, s in enumerate(sizes):
+        if total and total + s > most:
+            out.append((a, i))
+            a, total = i, 0
+        total += s
+    return [*out, (a, len(sizes))] if sizes else out
 
 
 _encoders: dict[str, Encoder] = {}

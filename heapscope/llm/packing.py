@@ -23,8 +23,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from heapscope.llm.bpe import encoder
-from heapscope.llm.common import out_batch, rows, spread, staged, text_only
+from heapscope.llm.bpe import batches_of, encoder
+from heapscope.llm.common import out_batch, spread, staged, text_only
 
 
 def tokenized(docs: DataFrame, tokenizer_path: str, end_id: int) -> DataFrame:
@@ -34,9 +34,10 @@ def tokenized(docs: DataFrame, tokenizer_path: str, end_id: int) -> DataFrame:
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, end = encoder(tokenizer_path), struct.pack("<I", end_id)
         for batch in batches:
-            for a in range(0, batch.num_rows, 500):
-                part = batch.slice(a, 500)
-                ids = [enc(t) + end for (t,) in rows(part, "text")]
+            texts = batch.column("text").to_pylist()
+            for a, b in batches_of([len(t) for t in texts]):
+                part = batch.slice(a, b - a)
+                ids = [x + end for x in enc.many(texts[a:b])]
                 yield out_batch(schema, [part.column("doc_id"), part.column("source"), [len(x) // 4 for x in ids], ids])
 
     source = (F.col("source").cast("string") if "source" in docs.columns else F.lit(None).cast("string")).alias("source")

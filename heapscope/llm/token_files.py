@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from heapscope.llm.bpe import encoder
+from heapscope.llm.bpe import batches_of, encoder
 from heapscope.llm.common import fresh_dir, out_batch, rows, spread, text_only
 
 #: Fixed values of the seekable format.
@@ -133,15 +133,17 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, end_id: int, out: st
     schema = pa.schema([("part", pa.int32()), ("path", pa.string()), ("n_docs", pa.int64()), ("n_tokens", pa.int64())])
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, encode, end = TaskContext.get().partitionId(), encoder(tokenizer_path), struct.pack("<I", end_id)
+        part, enc, end = TaskContext.get().partitionId(), encoder(tokenizer_path), struct.pack("<I", end_id)
         fs, base = pafs.FileSystem.from_uri(out)
         fs.create_dir(base, recursive=True)
         name = f"part-{part:05d}-{uuid.uuid4().hex[:8]}.ids.zst"
         with fs.open_output_stream(f"{base}/{name}", compression=None) as sink:
             writer = TokenFileWriter(sink, frame_bytes)
             for batch in batches:
-                for doc_id, text in rows(batch, "doc_id", "text"):
-                    writer.add(doc_id, encode(text) + end)
+                doc_ids, texts = batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()
+                for a, b in batches_of([len(t) for t in texts]):
+                    for doc_id, ids in zip(doc_ids[a:b], enc.many(texts[a:b]), strict=True):
+                        writer.add(doc_id, ids + end)
             writer.close()
         yield out_batch(schema, [[part], [f"{out}/{name}"], [len(writer.index)], [writer.n_tokens]])
 
