@@ -63,8 +63,16 @@ def spread(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+def small_batches(spark: SparkSession, most: int = 1000) -> None:
+    """Arrow batches of at most `most` rows from now on: a batch of whole texts is held several times over."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= most:
+        spark.conf.set(name, str(most))
+
+
 def text_only(docs: DataFrame, *more: str) -> DataFrame:
     """doc_id and text (null: empty), and what else is asked for; other columns go."""
+    small_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), *more)
 
 

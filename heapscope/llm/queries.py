@@ -5,6 +5,7 @@ from __future__ import annotations
 import importlib
 
 _WHERE = {
+    "op1_suffix_dedup": "substring_bytes",
     "op2_token_files": "token_files",
     "op4_deficit_packing": "packing",
     "op5_line_crf": "quality_crf",
