@@ -11,6 +11,7 @@ _WHERE = {
     "op5_line_crf": "quality_crf",
     "op6_merge_dropout": "pieces",
     "op7_llr_rules": "quality_rules",
+    "op8_relative_lz": "lempel_ziv",
     "op9_flac": "flac",
     "op10_sampled_splitters": "sharding",
 }

@@ -22,7 +22,6 @@ table gives an empty result. Extra columns are ignored. Very long texts are cut
 
 from __future__ import annotations
 
-import hashlib
 import os
 import tempfile
 from collections.abc import Iterator
