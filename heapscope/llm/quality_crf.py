@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from heapscope.llm.common import out_batch, rows, text_only
+from heapscope.llm.common import out_batch, rows, small_batches, text_only
 
 #: Features of a line by itself; with those of both neighbours, three times as many.
 OWN = 16
@@ -204,6 +204,7 @@ def op5_line_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
 def kept_documents(spark: SparkSession, docs: DataFrame, sf_dir: str, least: float = 0.3) -> DataFrame:
     """Pipeline stage: documents of quality `least` or more, with their columns. Trained on what it is given."""
     field = fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    small_batches(spark)
     names = docs.columns
     plain = docs.toDF(*["text" if n == "text" else f"c{i}" for i, n in enumerate(names)])
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in plain.schema), "_score double"])

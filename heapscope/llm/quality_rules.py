@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from heapscope.llm.common import SPACES, out_batch, rows
+from heapscope.llm.common import SPACES, out_batch, rows, small_batches
 
 #: Mean log-likelihood ratio of a word or pair, in nats. Running prose is near 0 or above; see the README for how it was set.
 THRESHOLD = -0.2
@@ -96,6 +96,7 @@ def bin_counts(docs: DataFrame) -> np.ndarray:
                 total += np.frombuffer(c, np.int64).reshape(2, BINS)
         yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["counts"])
 
+    small_batches(docs.sparkSession)
     part = docs.select(F.col("text").cast("string").alias("text"), "trusted").mapInArrow(count, "counts binary")
     # A row of 1 MB from each task; they are added in 8 tasks, so the driver gets 8 rows.
     out = np.zeros((2, BINS), np.int64)

@@ -7,6 +7,7 @@ import importlib
 _WHERE = {
     "op1_suffix_dedup": "substring_bytes",
     "op2_token_files": "token_files",
+    "op3_ngram_jaccard": "ngram_join",
     "op4_deficit_packing": "packing",
     "op5_line_crf": "quality_crf",
     "op6_merge_dropout": "pieces",
