@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from heapscope.llm import packing, quality_rules
+from heapscope.llm import ngram_join, packing, quality_crf, quality_rules, substring_bytes
 from heapscope.llm.common import documents, staged
 
 
@@ -13,6 +13,21 @@ def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality_rules.kept_documents(spark, docs, sf_dir)
 
 
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents to whose lines the random field gives a quality of 0.3 or more."""
+    return quality_crf.kept_documents(spark, docs, sf_dir)
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group that five-word shingles link at a similarity of 0.8 or more."""
+    return ngram_join.one_of_each(docs)
+
+
+def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents less the strings of 200 bytes that also stand elsewhere."""
+    return substring_bytes.cleaned_documents(docs)
+
+
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sequences of 1024 tokens in the corpus mixture; one row for each piece."""
     import public_tokenizers
@@ -20,7 +35,13 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.digest(packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), end_id=0))
 
 
-STAGES = [("quality rules", rules), ("packing", packed)]
+STAGES = [
+    ("quality rules", rules),
+    ("quality classifier", quality),
+    ("n-gram Jaccard join", near_copies),
+    ("suffix-array dedup", repeats),
+    ("packing", packed),
+]
 #: Hashed ratios and tokenizers aren't SQL.
 ORACLE_SQL = None
 

@@ -202,8 +202,9 @@ def op5_line_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def kept_documents(spark: SparkSession, docs: DataFrame, sf_dir: str, least: float = 0.3) -> DataFrame:
-    """Pipeline stage: documents of quality `least` or more, with their columns. Trained on what it is given."""
-    field = fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    """Pipeline stage: documents of quality `least` or more, with their columns. The field is trained on the whole table of documents, as
+    the stage before may have left one kind of label only."""
+    field = fit(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
     small_batches(spark)
     names = docs.columns
     plain = docs.toDF(*["text" if n == "text" else f"c{i}" for i, n in enumerate(names)])
