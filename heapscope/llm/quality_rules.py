@@ -1,7 +1,7 @@
 """Quality rules: countable base rules, then a log-likelihood ratio of hashed n-grams between two multinomials.
 
 One multinomial is of the trusted target (documents marked good), one of the whole raw corpus, both over hashed word
-unigrams and bigrams in a fixed number of bins with add-half smoothing. A document's score is the mean over its n-grams of
+unigrams and bigrams in a fixed number of bins, smoothed towards each other. A document's score is the mean over its n-grams of
 log p_target - log p_raw. It is kept if it passes the base rules and its score is at least `threshold`; the same
 document over the same corpus always gets the same answer. Counts are over all documents: each task adds its own
 into one row of bins, and rows are added up pairwise; their size doesn't follow the input.
@@ -22,9 +22,13 @@ from pyspark.sql import functions as F
 
 from heapscope.llm.common import SPACES, out_batch, rows, small_batches
 
-#: Mean log-likelihood ratio of a word or pair, in nats. Running prose is near 0 or above; see the README for how it was set.
+#: Mean log-likelihood ratio of a word or pair, in nats. Running prose is near 0; on small corpora it goes
+#: down to -0.17 where its words are rare. See the README for how it was set.
 THRESHOLD = -0.2
 BINS = 1 << 16
+#: Counts that the target has in each bin beforehand; the raw corpus has as many in proportion, so a bin that was seen a
+#: few times only says little for or against.
+PRIOR = 4.0
 SYMBOLS = "#*$%&|<>"
 STATS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean"
 
@@ -108,7 +112,9 @@ def bin_counts(docs: DataFrame) -> np.ndarray:
 def log_ratio(counts: np.ndarray) -> np.ndarray:
     if not counts[0].sum():
         return np.zeros(BINS)
-    p = (counts + 0.5) / (counts.sum(axis=1, keepdims=True) + 0.5 * BINS)
+    total = counts.sum(axis=1).astype(float)
+    prior = np.array([PRIOR, PRIOR * total[1] / total[0]])
+    p = (counts + prior[:, None]) / (total + prior * BINS)[:, None]
     return np.log(p[0]) - np.log(p[1])
 
 
