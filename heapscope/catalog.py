@@ -1,6 +1,6 @@
 """Registered queries and their SQL."""
 
-from heapscope.plans import q_listing  # noqa: F401
+from heapscope.plans import q_access, q_listing  # noqa: F401
 from heapscope.plans.registry import ORACLE, QUERIES
 
 __all__ = ["ORACLE", "QUERIES"]
