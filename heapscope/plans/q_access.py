@@ -82,9 +82,9 @@ def a11(spark, sf):
     return A.attributed(r, _tasks(spark, sf)).select("task", F.round("n_ops", 4).alias("n_ops"), F.round("bytes_out", 2).alias("bytes_out"))
 
 
-@query("t06_stalled", with_(LISTING, REQUESTS, then="SELECT bucket, max(ts_s) AS last_ts FROM requests GROUP BY bucket HAVING 1706659200 - max(ts_s) > 3600"))
+@query("t06_stalled", with_(LISTING, REQUESTS, then="SELECT bucket, max(ts_s) AS last_ts FROM requests GROUP BY bucket HAVING 1706659200 - max(ts_s) > 30"))
 def t06(spark, sf):
-    return A.stalled(X.requests(spark, sf), 1706659200, 3600)
+    return A.stalled(X.requests(spark, sf), 1706659200, 30)
 
 
 @query("a13_age_strata", with_(LISTING, LABELS, LAB, OWNED, then="SELECT CAST(mtime - mtime % 86400 AS BIGINT) AS day, split_part(path, '/', 1) AS seg, usr, CAST(sum(size) AS BIGINT) AS b, count(*) AS o FROM owned GROUP BY ALL"))
