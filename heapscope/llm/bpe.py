@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 import os
+from array import array
 from operator import itemgetter
 
-import numpy as np
 import regex
 
 #: The word pattern of byte-level BPE tokenizers (a fixed value): merges never cross its matches.
@@ -30,7 +30,7 @@ class _Forms(dict):
 
 
 class Encoder:
-    """Ids of texts as little-endian 32-bit words.
+    """Ids of texts as little-endian words of 32 bits, or of 16.
 
     A text is cut where WORDS would cut it: if it has no run of white space or signs and no space before a sign,
     that is before each space, line end, full stop and comma; else by WORDS itself. The ids of a form are kept and
@@ -38,7 +38,7 @@ class Encoder:
     whole; forms of over max_form characters aren't kept.
     """
 
-    def __init__(self, path: str, max_forms: int = 1_200_000, max_form: int = 64):
+    def __init__(self, path: str, max_forms: int = 1_200_000, max_form: int = 64, short: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -46,9 +46,10 @@ class Encoder:
         self.tokenizer.encode_special_tokens = True
         self.forms = _Forms()
         self.max_forms, self.max_form = max_forms, max_form
+        self.code = "H" if short else "I"
 
     def cut(self, text: str) -> list[str]:
-        if LETTERS(text):
+        if (text.isascii() and "\0" not in text and "\x7f" not in text) or LETTERS(text):
             kinds = text.encode().translate(_KINDS)
             if b"  " not in kinds and b".." not in kinds and b" ." not in kinds:
                 return text.replace(" ", "\0 ").replace("\n", "\0\n").replace(".", "\0.").replace(",", "\0,").split("\0")
@@ -63,10 +64,10 @@ class Encoder:
             words, before = self.cut(text), len(forms.new)
             ids = itemgetter(*words)(forms) if len(words) > 1 else (forms[words[0]],) if words else ()
             found.append((ids, len(forms.new) > before))
-        fresh = list(set(forms.new))
+        fresh, code = list(set(forms.new)), self.code
         forms.new.clear()
         for w, e in zip(fresh, self.tokenizer.encode_batch_fast(fresh, add_special_tokens=False), strict=True):
-            forms[w] = np.asarray(e.ids, "<u4").tobytes()
+            forms[w] = array(code, e.ids).tobytes()
         out = [b"".join([x if x.__class__ is bytes else forms[x] for x in ids] if some_new else ids) for ids, some_new in found]
         for w in fresh:
             if len(w) > self.max_form:
@@ -77,22 +78,11 @@ class Encoder:
         return self.many([text])[0]
 
 
-def batches_of(sizes: list[int], most: int = 1 << 20) -> list[tuple[int, int]]:
-    """Slices of about `most` in size."""
-    out, a, total = [], 0, 0
-    for i, s in enumerate(sizes):
-        if total and total + s > most:
-            out.append((a, i))
-            a, total = i, 0
-        total += s
-    return [*out, (a, len(sizes))] if sizes else out
+_encoders: dict[tuple[str, bool], Encoder] = {}
 
 
-_encoders: dict[str, Encoder] = {}
-
-
-def encoder(path: str) -> Encoder:
-    """One encoder for each Python worker and file; workers serve many tasks."""
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+def encoder(path: str, short: bool = False) -> Encoder:
+    """One encoder for each Python worker, file and width; workers serve many tasks."""
+    if (path, short) not in _encoders:
+        _encoders[path, short] = Encoder(path, short=short)
+    return _encoders[path, short]

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -80,5 +82,28 @@ def rows(batch: pa.RecordBatch, *names: str) -> Iterator[tuple]:
     return zip(*(batch.column(n).to_pylist() for n in names), strict=True)
 
 
+def batches_of(sizes: list[int], most: int = 1 << 20) -> list[tuple[int, int]]:
+    """Slices of about `most` in size."""
+    out, a, total = [], 0, 0
+    for i, s in enumerate(sizes):
+        if total and total + s > most:
+            out.append((a, i))
+            a, total = i, 0
+        total += s
+    return [*out, (a, len(sizes))] if sizes else out
+
+
+def tidied(run):
+    """run over Arrow batches; when its task ends, memory that the worker holds on to goes back to the system."""
+
+    def inner(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):  # only glibc has it
+            ctypes.CDLL(None).malloc_trim(0)
+
+    return inner
+
+
 def out_batch(schema: pa.Schema, columns: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, t.type) for c, t in zip(columns, schema, strict=True)], schema=schema)

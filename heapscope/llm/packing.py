@@ -17,28 +17,33 @@ each row is packed. An empty table gives an empty result. Extra columns are igno
 from __future__ import annotations
 
 import struct
+import zlib
 from collections.abc import Iterator, Mapping
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from heapscope.llm.bpe import batches_of, encoder
-from heapscope.llm.common import out_batch, spread, staged, text_only
+from heapscope.llm.bpe import encoder
+from heapscope.llm.common import batches_of, out_batch, rows, spread, staged, text_only
 
 
 def tokenized(docs: DataFrame, tokenizer_path: str, end_id: int) -> DataFrame:
-    """row (unique), doc_id, source, n, ids (little-endian 32-bit words with end_id), staged: each text is encoded once."""
+    """row (unique), doc_id, source, n, ids (little-endian 16-bit words with end_id), staged: each text is encoded once.
+
+    The vocabulary must be of 65,536 ids at most.
+    """
     schema = pa.schema([("doc_id", pa.int64()), ("source", pa.string()), ("n", pa.int64()), ("ids", pa.binary())])
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, end = encoder(tokenizer_path), struct.pack("<I", end_id)
+        enc, end = encoder(tokenizer_path, short=True), struct.pack("<H", end_id)
         for batch in batches:
             texts = batch.column("text").to_pylist()
             for a, b in batches_of([len(t) for t in texts]):
                 part = batch.slice(a, b - a)
                 ids = [x + end for x in enc.many(texts[a:b])]
-                yield out_batch(schema, [part.column("doc_id"), part.column("source"), [len(x) // 4 for x in ids], ids])
+                yield out_batch(schema, [part.column("doc_id"), part.column("source"), [len(x) // 2 for x in ids], ids])
 
     source = (F.col("source").cast("string") if "source" in docs.columns else F.lit(None).cast("string")).alias("source")
     out = text_only(docs, source).mapInArrow(encode, "doc_id long, source string, n long, ids binary")
@@ -89,15 +94,23 @@ def schedule(lengths: DataFrame, window: int = 1024, packet_tokens: int = 1024,
 
 
 def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 0, window: int = 1024, targets: Mapping[str, float] | None = None) -> DataFrame:
-    """doc_id, start, length, doc_tokens, sequence_id, offset and ids (little-endian 32-bit words) of every piece."""
+    """doc_id, start, length, doc_tokens, sequence_id, offset and ids (little-endian 16-bit words) of every piece."""
     ids = tokenized(docs, tokenizer_path, end_id)
     pieces = schedule(ids.select("row", "source", "n"), window, window, targets, slices=max(64, 2 * spread(docs.sparkSession)))
-    piece = F.expr("substring(ids, int(start) * 4 + 1, int(length) * 4)")
+    piece = F.expr("substring(ids, int(start) * 2 + 1, int(length) * 2)")
     return pieces.join(ids.select("row", "doc_id", "n", "ids"), "row").select("doc_id", "start", "length", F.col("n").alias("doc_tokens"), "sequence_id", "offset", piece.alias("ids"))
 
 
 def digest(packed: DataFrame) -> DataFrame:
-    return packed.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+    """The pieces with the checksum of their ids as 32-bit words instead of the ids."""
+    names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            crc = [zlib.crc32(np.frombuffer(x, "<u2").astype("<u4")) for (x,) in rows(batch, "ids")]
+            yield pa.RecordBatch.from_arrays([pa.array(crc, pa.int64()) if n == "ids_crc32" else batch.column(n) for n in names], names=names)
+
+    return packed.select("doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset").mapInArrow(run, ", ".join(f"{n} long" for n in names))
 
 
 def op4_deficit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -26,8 +26,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from heapscope.llm.bpe import batches_of, encoder
-from heapscope.llm.common import fresh_dir, out_batch, rows, spread, text_only
+from heapscope.llm.bpe import encoder
+from heapscope.llm.common import batches_of, fresh_dir, out_batch, rows, spread, text_only
 
 #: Fixed values of the seekable format.
 SKIPPABLE_MAGIC, FOOTER_MAGIC, CHECKSUM_FLAG = 0x184D2A5E, 0x8F92EAB1, 0x80
