@@ -46,6 +46,6 @@ def hours(texts: DataFrame) -> DataFrame:
     odd = f.groupBy("bucket", "hour").agg(F.count_distinct("v").alias("n"), F.min(F.col("v").isin(*VERSIONS)).alias("known"), F.bool_or(F.col("v").isNull()).alias("none")).filter("n > 1 or not known or none").limit(1).collect()
     if odd:
         raise BadHours(f"{odd[0]['bucket']} {odd[0]['hour']}")
-    r = f.select("v", "bucket", "hour", "capture", F.explode("rows").alias("x"))
-    get = lambda name, i: F.when(F.col("v") == 1, F.get_json_object("x", f"$.{name}")).otherwise(F.get_json_object("x", f"$[{i}]"))
-    return r.select("bucket", "hour", F.coalesce(get("key", 0), F.lit("")).alias("path"), op_class(get("action", 1)).alias("op"), get("n", 2).cast("long").alias("n"), F.when(F.col("v") > 1, F.get_json_object("x", "$[3]")).cast("long").alias("first_ts"), get("last_ts", 4).cast("long").alias("last_ts"), (F.coalesce("capture", F.lit("")) == "sampled").alias("sampled"))
+    r = f.select("v", "bucket", "hour", "capture", F.explode("rows").alias("x")).withColumn("l", F.when(F.col("v") > 1, F.from_json("x", "array<string>")))
+    get = lambda name, i: F.when(F.col("v") == 1, F.get_json_object("x", f"$.{name}")).otherwise(F.get(F.col("l"), F.lit(i)))
+    return r.select("bucket", "hour", F.coalesce(get("key", 0), F.lit("")).alias("path"), op_class(get("action", 1)).alias("op"), get("n", 2).cast("long").alias("n"), F.when(F.col("v") > 1, F.get(F.col("l"), F.lit(3))).cast("long").alias("first_ts"), get("last_ts", 4).cast("long").alias("last_ts"), (F.coalesce("capture", F.lit("")) == "sampled").alias("sampled"))
