@@ -8,6 +8,8 @@ from operator import itemgetter
 
 import regex
 
+from heapscope.llm.common import STORES
+
 #: The word pattern of byte-level BPE tokenizers (a fixed value): merges never cross its matches.
 WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 #: Texts of these characters are cut alike by the regex library and by tokenizers, whatever their Unicode versions.
@@ -85,4 +87,10 @@ def encoder(path: str, short: bool = False) -> Encoder:
     """One encoder for each Python worker, file and width; workers serve many tasks."""
     if (path, short) not in _encoders:
         _encoders[path, short] = Encoder(path, short=short)
+    STORES["bpe"] = _clear
     return _encoders[path, short]
+
+
+def _clear() -> None:
+    for e in _encoders.values():
+        e.forms.clear()

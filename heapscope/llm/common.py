@@ -7,7 +7,7 @@ import contextlib
 import ctypes
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -93,10 +93,20 @@ def batches_of(sizes: list[int], most: int = 1 << 20) -> list[tuple[int, int]]:
     return [*out, (a, len(sizes))] if sizes else out
 
 
-def tidied(run):
-    """run over Arrow batches; when its task ends, memory that the worker holds on to goes back to the system."""
+#: What workers keep between tasks, by operator, and how it is let go.
+STORES: dict[str, Callable[[], None]] = {}
+
+
+def tidied(run, keep: str = ""):
+    """run over Arrow batches. Before it, a worker lets go what other operators' tasks have left in it (all stores but `keep`);
+    after it, memory that is free goes back to the system."""
 
     def inner(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from heapscope.llm import common  # the worker's own module, not what was sent with this function
+
+        for name, clear in common.STORES.items():
+            if name != keep:
+                clear()
         yield from run(batches)
         pa.default_memory_pool().release_unused()
         with contextlib.suppress(OSError, AttributeError):  # only glibc has it

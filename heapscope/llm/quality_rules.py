@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from heapscope.llm.common import SPACES, out_batch, rows, small_batches
+from heapscope.llm.common import SPACES, STORES, out_batch, rows, small_batches, tidied
 
 #: Mean log-likelihood ratio of a word or pair, in nats. Running prose is near 0; on small corpora it goes
 #: down to -0.17 where its words are rare. See the README for how it was set.
@@ -61,6 +61,7 @@ def repeated_words(words: list[bytes]) -> int:
 
 
 _hashes: dict[bytes, int] = {}
+STORES["bins"] = _hashes.clear
 
 
 def bins_of(text: str) -> np.ndarray:
@@ -101,7 +102,7 @@ def bin_counts(docs: DataFrame) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["counts"])
 
     small_batches(docs.sparkSession)
-    part = docs.select(F.col("text").cast("string").alias("text"), "trusted").mapInArrow(count, "counts binary")
+    part = docs.select(F.col("text").cast("string").alias("text"), "trusted").mapInArrow(tidied(count, "bins"), "counts binary")
     # A row of 1 MB from each task; they are added in 8 tasks, so the driver gets 8 rows.
     out = np.zeros((2, BINS), np.int64)
     for r in part.repartition(8).mapInArrow(add, "counts binary").toLocalIterator():
@@ -120,7 +121,7 @@ def log_ratio(counts: np.ndarray) -> np.ndarray:
 
 def judge(docs: DataFrame, trusted_ids: DataFrame, threshold: float = THRESHOLD, keep_columns: bool = False) -> DataFrame:
     """doc_id (or all columns), the base counts, base_failed, llr and kept. trusted_ids: the doc_ids of the target."""
-    trusted = trusted_ids.select(F.col("doc_id").cast("long").alias("doc_id")).distinct().withColumn("trusted", F.lit(True))
+    trusted = trusted_ids.select(F.col("doc_id").cast("long").alias("doc_id")).distinct().withColumn("trusted", F.lit(True)).hint("merge")  # alike at every size: the ids are never sent around
     marked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(trusted, "doc_id", "left").select("text", F.coalesce("trusted", F.lit(False)).alias("trusted"))
     weights = log_ratio(bin_counts(marked)).astype(np.float32).tobytes()
     first = docs.schema if keep_columns else docs.select(F.col("doc_id").cast("long").alias("doc_id")).schema
@@ -145,7 +146,7 @@ def judge(docs: DataFrame, trusted_ids: DataFrame, threshold: float = THRESHOLD,
             yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in own), *new.columns], names=[*own, *arrow.names])
 
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in first), fields])
-    return given.mapInArrow(score, schema)
+    return given.mapInArrow(tidied(score, "bins"), schema)
 
 
 def trusted_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
