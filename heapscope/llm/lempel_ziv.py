@@ -27,39 +27,21 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from heapscope.llm.common import out_batch, rows, small_batches, spread, staged
+from heapscope.llm.common import batches_of, out_batch, rows, small_batches, spread, staged, tidied
+from heapscope.llm.word_hash import hashed_words, mixed, prefix_sums, string_hash
 
-LENGTH, KMER = 13, 3
+LENGTH, KMER = 13, 4
 #: The most windows in a slice.
 MOST = 64
 _C = np.array([pow(0x9E3779B97F4A7C15, k, 1 << 64) for k in range(64)], np.uint64)
 
 
-def _mixed(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
-class _Hashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        h = self[word] = xxhash.xxh64_intdigest(word)
-        return h
-
-
-_hashes = _Hashes()
-
-
 def word_hashes(text: bytes) -> np.ndarray:
-    if len(_hashes) > 400_000:
-        _hashes.clear()
-    words = text.split()
-    return np.fromiter(map(_hashes.__getitem__, words), np.uint64, len(words))
+    return hashed_words([text])[0]
 
 
 def ngrams(w: np.ndarray, k: int) -> np.ndarray:
@@ -70,7 +52,7 @@ def ngrams(w: np.ndarray, k: int) -> np.ndarray:
     out = w[:n].copy()
     for i in range(1, k):
         out += w[i : n + i] * _C[i]
-    return _mixed(out)
+    return mixed(out)
 
 
 def _least(h: np.ndarray, w: int) -> np.ndarray:
@@ -82,21 +64,28 @@ def _least(h: np.ndarray, w: int) -> np.ndarray:
     return h if size == w else np.minimum(h[: len(h) - (w - size)], h[w - size :])
 
 
-def slices(w: np.ndarray, length: int, kmer: int) -> tuple[np.ndarray, ...]:
-    """Anchor's hash, slice's hash, first window, number of windows of every run of windows with one anchor."""
-    if len(w) < length:
-        return (np.zeros(0, np.uint64),) * 2 + (np.zeros(0, np.int64),) * 2
-    least = _least(ngrams(w, kmer), length - kmer + 1)
-    first = np.concatenate([[0], np.flatnonzero(least[1:] != least[:-1]) + 1])
-    count = np.diff(np.concatenate([first, [len(least)]]))
+def slices(texts: list[bytes], length: int, kmer: int) -> tuple[np.ndarray, ...]:
+    """Text's number, anchor's hash, slice's hash, first window, number of windows of every run of windows with one anchor.
+
+    All texts are worked on as one array of words; windows that cross from one to the next are left out.
+    """
+    w, n = hashed_words(texts)
+    if len(w) < length or n.max() < length:
+        return (np.zeros(0, np.int64),) + (np.zeros(0, np.uint64),) * 2 + (np.zeros(0, np.int64),) * 2
+    end = np.cumsum(n)
+    last = np.repeat(end, n)[: len(w) - length + 1]
+    valid = np.flatnonzero(np.arange(length, len(w) + 1) <= last)
+    least = _least(ngrams(w, kmer), length - kmer + 1)[valid]
+    edge = np.flatnonzero((least[1:] != least[:-1]) | (np.diff(valid) != 1)) + 1
+    run = np.concatenate([[0], edge])
+    count = np.diff(np.concatenate([run, [len(valid)]]))
     if count.max() > MOST:
-        first = np.concatenate([np.arange(a, a + c, MOST) for a, c in zip(first.tolist(), count.tolist(), strict=True)])
-        count = np.diff(np.concatenate([first, [len(least)]]))
-    # A slice is its windows; their hashes, each turned by its place, tell slices apart.
-    windows = ngrams(w, length)
-    place = np.arange(len(windows)) - np.repeat(first, count)
-    whole = np.add.reduceat(_mixed(windows + (place.astype(np.uint64) + np.uint64(1)) * _C[2]), first) + count.astype(np.uint64)
-    return least[first], _mixed(whole), first, count
+        run = np.concatenate([np.arange(a, a + c, MOST) for a, c in zip(run.tolist(), count.tolist(), strict=True)])
+        count = np.diff(np.concatenate([run, [len(valid)]]))
+    first = valid[run]
+    whole = string_hash(prefix_sums(w), first, first + count + length - 1)
+    doc = np.searchsorted(end, first, "right")
+    return doc, least[run], whole, first - (end - n)[doc], count
 
 
 class Reference:
@@ -180,24 +169,13 @@ def _places(keyed: DataFrame, length: int, kmer: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            held: list[tuple] = []
-            size = 0
-
-            def flush() -> pa.RecordBatch:
-                keys = [np.repeat(np.array([x[i] for x in held], np.int64), [len(x[2]) for x in held]) for i in (0, 1)]
-                h, s, first, n = (np.concatenate([x[i] for x in held]) for i in range(2, 6))
-                return out_batch(schema, [h.view(np.int64), s.view(np.int64), *keys, first * 128 + n])
-
-            for k1, k2, text in rows(batch, "k1", "k2", "text"):
-                held.append((k1, k2, *slices(word_hashes(text.encode("utf-8", "replace")), length, kmer)))
-                size += len(held[-1][2])
-                if size > 50_000:
-                    yield flush()
-                    held, size = [], 0
-            if size:
-                yield flush()
+            k1, k2 = (np.array(batch.column(c).to_pylist(), np.int64) for c in ("k1", "k2"))
+            texts = batch.column("text").to_pylist()
+            for a, b in batches_of([len(t) for t in texts], 1 << 19):
+                doc, h, s, first, n = slices([t.encode("utf-8", "replace") for t in texts[a:b]], length, kmer)
+                yield out_batch(schema, [h.view(np.int64), s.view(np.int64), k1[a:b][doc], k2[a:b][doc], first * 128 + n])
 
-    return keyed.select("k1", "k2", "text").mapInArrow(run, "h long, s long, k1 long, k2 long, pos long")
+    return keyed.select("k1", "k2", "text").mapInArrow(tidied(run), "h long, s long, k1 long, k2 long, pos long")
 
 
 def _packed(keyed: DataFrame) -> DataFrame:
@@ -209,7 +187,7 @@ def _packed(keyed: DataFrame) -> DataFrame:
             z = [zstd.compress(t.encode("utf-8", "replace")) for t in batch.column("text").to_pylist()]
             yield out_batch(schema, [*(batch.column(c) for c in ("k1", "k2", "doc_id")), z])
 
-    return keyed.mapInArrow(run, "k1 long, k2 long, doc_id long, z binary")
+    return keyed.mapInArrow(tidied(run), "k1 long, k2 long, doc_id long, z binary")
 
 
 def earlier_windows(keyed: DataFrame, length: int = LENGTH, kmer: int = KMER) -> DataFrame:
@@ -244,9 +222,9 @@ def earlier_windows(keyed: DataFrame, length: int = LENGTH, kmer: int = KMER) ->
         yield out_batch(marks_schema, out)
 
     texts = _packed(keyed).select("k1", "k2", "z")
-    pieces = texts.join(wanted, ["k1", "k2"]).select("k1", "z", "wanted").mapInArrow(cut, "h long, s long, m long, words binary")
+    pieces = texts.join(wanted, ["k1", "k2"]).select("k1", "z", "wanted").mapInArrow(tidied(cut), "h long, s long, m long, words binary")
     ordered = pieces.dropDuplicates(["h", "s"]).repartition(spread(spark), "h").sortWithinPartitions("m", "h", "s")
-    marks = staged(ordered.mapInArrow(parse, "h long, s long, marks binary"), "word-marks")
+    marks = staged(ordered.mapInArrow(tidied(parse), "h long, s long, marks binary"), "word-marks")
     # Slices that say something: marked ones, and those that a later document has too.
     told = one.select("h", "s", F.col("k1").alias("m"), "last").join(marks, ["h", "s"], "left").filter("marks is not null or m < last")
     back = places.join(told.select("h", "s", "m", "marks"), ["h", "s"]).filter("k1 > m or marks is not null")
@@ -285,7 +263,7 @@ def remove_earlier(docs: DataFrame, length: int = LENGTH, kmer: int = KMER) -> D
             yield out_batch(schema, out)
 
     both = _packed(keyed).join(earlier_windows(keyed, length, kmer), ["k1", "k2"], "left").select("doc_id", "z", "runs")
-    return both.mapInArrow(run, "doc_id long, n_words long, n_removed long, kept binary")
+    return both.mapInArrow(tidied(run), "doc_id long, n_words long, n_removed long, kept binary")
 
 
 def op8_relative_lz(spark: SparkSession, sf_dir: str) -> DataFrame:
