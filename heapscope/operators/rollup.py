@@ -67,13 +67,14 @@ def mean_mtime(file_rows: DataFrame) -> DataFrame:
 
 def size_histogram(file_rows: DataFrame, bins: int = BINS) -> DataFrame:
     """size_hist_n and size_hist_bytes: files and bytes by number of binary digits of the size, the last bin open."""
-    b = F.least(log2_bin(F.col("size")), F.lit(bins - 1))
-    m = {}
-    for k in range(bins):
-        m[f"n{k}"] = (F.when(b == k, 1).otherwise(0).cast("long"), "sum")
-        m[f"b{k}"] = (F.when(b == k, F.col("size")).otherwise(0).cast("long"), "sum")
-    d = directories(file_rows, m)
-    return d.select("path", F.array(*[F.col(f"n{k}") for k in range(bins)]).alias("size_hist_n"), F.array(*[F.col(f"b{k}") for k in range(bins)]).alias("size_hist_bytes"))
+    b = F.least(log2_bin(F.col("size")), F.lit(bins - 1)).alias("bin")
+    first = file_rows.groupBy(parent(F.col("path")).alias("dir"), b).agg(F.count("*").alias("n"), F.sum("size").alias("b"))
+    up = first.select(F.explode(ancestors(F.col("dir"))).alias("path"), "bin", "n", "b").groupBy("path", "bin").agg(F.sum("n").alias("n"), F.sum("b").alias("b"))
+    # At most `bins` entries a path.
+    m = up.groupBy("path").agg(F.map_from_entries(F.collect_list(F.struct("bin", F.struct("n", "b")))).alias("m"))
+    every = F.sequence(F.lit(0), F.lit(bins - 1))
+    of = lambda field: F.transform(every, lambda k: F.coalesce(F.try_element_at(F.col("m"), k)[field], F.lit(0).cast("long")))
+    return m.select("path", of("n").alias("size_hist_n"), of("b").alias("size_hist_bytes"))
 
 
 def labelled(paths: DataFrame, labels: DataFrame, label: str = "usr") -> DataFrame:
