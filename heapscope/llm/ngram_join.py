@@ -1,19 +1,20 @@
 """Similarity join of documents by n-gram Jaccard, as a blocked sparse matrix product.
 
-The matrix has a row for each distinct set of n-grams and a column for each n-gram. Pairs that reach the similarity
-share an n-gram among the first of each set (a share of 1 - similarity of it) in any common order of n-grams, so only
-those entries take part. The order puts n-grams first that a count sketch of fixed size, added up over all documents,
-shows to be rare.
-
-1. Each document gives its set's hash and size; equal sets become one row.
-2. Entries go to blocks of columns. A block multiplies: it counts, for pairs of rows, the columns they share, and
-   drops pairs that sizes and places show to be too far apart. Columns with more than `dense` rows aren't multiplied
-   out: their rows are paired with the column's smallest row only, and put by.
-3. Pairs whose summed counts reach the bound that their sizes give are verified on the whole sets; links make
-   components.
-4. The columns put by are multiplied out between rows of different components only. Together with the block counts
-   this gives each such pair's whole count; those that reach the bound are verified too. So no link between two
-   components is missed, and a group of thousands of near copies costs its size, not the square.
+The matrix has a row for each distinct set of n-grams and a column for each n-gram. Two sets of sizes x and y that reach
+the similarity overlap in at least z n-grams, z given by x and y; so in any common order of n-grams they share one
+that is among the first x - z + 1 of one and the first y - z + 1 of the other. Only such entries take part. The order
+puts n-grams first that a count sketch of fixed size, added up over all documents, shows to be rare.
+
+1. Each document gives its set's hash, size and parity signature; equal sets become one row.
+2. Entries go to blocks of columns. A block multiplies: it accumulates, for pairs of rows, the columns they share at
+   places that their sizes allow. Columns with more than `dense` rows aren't multiplied out: their rows are paired
+   with the column's smallest row only, and put by.
+3. Pairs whose signatures differ in more bits than their sizes allow their sets to differ in are dropped. Of the
+   others, a few first pairs of each row (neighbours by size in some column, or with the smallest row of a column put
+   by) are verified on the whole sets; their links make components.
+4. The other pairs are verified where they lie between components, and the columns put by are multiplied out between
+   rows of different components, with the same bounds. So no link between two components is missed, and a group of
+   thousands of near copies costs its size, not the square.
 
 Every decision is on whole texts and exact sets of 64-bit n-gram hashes. Fewer than n words: the whole sequence is the
 one n-gram. No words or null text: an empty set, linked with nothing. Repeated rows: one set. Null doc_id: takes part
@@ -27,53 +28,46 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from heapscope.llm.common import out_batch, rows, small_batches, spread, staged
+from heapscope.llm.common import batches_of, out_batch, rows, small_batches, spread, staged, tidied
 from heapscope.llm.graph import components
+from heapscope.llm.word_hash import hashed_words, mixed
 
 WORDS, PERCENT = 5, 80
 #: Counters of the sketch; columns of more rows than DENSE are put by.
-SKETCH, DENSE = 1 << 22, 32
+SKETCH, DENSE = 1 << 22, 16
+#: Words of 64 bits in a signature: a bit is the parity of how many n-grams fall to it, so two sets differ in at least as
+#: many n-grams as their signatures in bits.
+SIGNATURE = 16
 _C = [pow(0x9E3779B97F4A7C15, k, 1 << 64) for k in range(1, 65)]
 
 
-class _Hashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        h = self[word] = xxhash.xxh64_intdigest(word)
-        return h
-
-
-_hashes = _Hashes()
-
-
-def _mixed(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
+def shingle_sets(texts: list[bytes], k: int = WORDS) -> list[np.ndarray]:
+    """For each text the distinct n-grams of its words as sorted hashes; A-Z count as a-z."""
+    w, n = hashed_words(texts, fold=True)
+    grams = lambda x, size: mixed(sum((x[i : len(x) - size + 1 + i] * np.uint64(_C[i]) for i in range(size)), np.full(len(x) - size + 1, np.uint64(size))))
+    whole = grams(w, k) if len(w) >= k else np.zeros(0, np.uint64)
+    out, a = [], 0
+    for m in n.tolist():
+        out.append(np.unique(whole[a : a + m - k + 1]) if m >= k else grams(w[a : a + m], m) if m else np.zeros(0, np.uint64))
+        a += m
+    return out
 
 
 def shingles(text: bytes, k: int = WORDS) -> np.ndarray:
-    """The distinct n-grams of the words as sorted hashes; A-Z count as a-z."""
-    if len(_hashes) > 400_000:
-        _hashes.clear()
-    words = text.lower().split()
-    if not words:
-        return np.zeros(0, np.uint64)
-    w = np.fromiter(map(_hashes.__getitem__, words), np.uint64, len(words))
-    size = min(k, len(w))
-    n = len(w) - size + 1
-    out = np.full(n, np.uint64(size))
-    for i in range(size):
-        out += w[i : n + i] * np.uint64(_C[i])
-    return np.unique(_mixed(out))
+    return shingle_sets([text], k)[0]
 
 
 def set_hash(s: np.ndarray) -> int:
-    return int(_mixed(np.array([_mixed(s).sum() + np.uint64(len(s))], np.uint64)).view(np.int64)[0])
+    return int(mixed(np.array([mixed(s).sum() + np.uint64(len(s))], np.uint64)).view(np.int64)[0])
+
+
+def signature(s: np.ndarray) -> list[int]:
+    bits = np.bincount((s & np.uint64(64 * SIGNATURE - 1)).astype(np.intp), minlength=64 * SIGNATURE) & 1
+    return np.packbits(bits.astype(np.uint8)).view(np.int64).tolist()
 
 
 def needed(na: np.ndarray, nb: np.ndarray, percent: int = PERCENT) -> np.ndarray:
@@ -92,31 +86,36 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.select(doc_id.alias("doc_id"), text.alias("text"))
 
 
-_SETS = pa.schema([("doc_id", pa.int64()), ("g", pa.int64()), ("n", pa.int64()), ("sketch", pa.binary())])
+def _batch_sets(batch: pa.RecordBatch, k: int) -> Iterator[np.ndarray]:
+    texts = batch.column("text").to_pylist()
+    for a, b in batches_of([len(t) for t in texts]):
+        yield from shingle_sets([t.encode("utf-8", "replace") for t in texts[a:b]], k)
+
+
+_SETS = pa.schema([("doc_id", pa.int64()), ("g", pa.int64()), ("n", pa.int64()), ("sig", pa.list_(pa.int64())), ("sketch", pa.binary())])
 
 
 def _sets(keyed: DataFrame, k: int) -> DataFrame:
-    """doc_id, g (the set's hash) and n of each row; and from each task a row with its sketch of n-gram counts."""
+    """doc_id, g (the set's hash), n and sig of each row; and from each task a row with its sketch of n-gram counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketch = np.zeros(SKETCH, np.int32)
         for batch in batches:
-            out: list[list] = [[], [], [], []]
+            out: list[list] = [[], [], [], [], []]
             held = []
-            for doc_id, text in rows(batch, "doc_id", "text"):
-                s = shingles(text.encode("utf-8", "replace"), k)
+            for doc_id, s in zip(batch.column("doc_id").to_pylist(), _batch_sets(batch, k), strict=True):
                 held.append((s >> np.uint64(42)).astype(np.int32))
-                for c, v in zip(out, (doc_id, set_hash(s), len(s), None), strict=True):
+                for c, v in zip(out, (doc_id, set_hash(s), len(s), signature(s), None), strict=True):
                     c.append(v)
             sketch += np.bincount(np.concatenate(held), minlength=SKETCH).astype(np.int32) if held else 0
             yield out_batch(_SETS, out)
-        yield out_batch(_SETS, [[None], [0], [-1], [zstandard.ZstdCompressor(level=1).compress(sketch.tobytes())]])
+        yield out_batch(_SETS, [[None], [0], [-1], [None], [zstandard.ZstdCompressor(level=1).compress(sketch.tobytes())]])
 
-    return keyed.mapInArrow(run, "doc_id long, g long, n long, sketch binary")
+    return keyed.mapInArrow(tidied(run), "doc_id long, g long, n long, sig array<long>, sketch binary")
 
 
 def _levels(sets: DataFrame) -> np.ndarray:
-    """A level for each counter of the summed sketch: 0 up to 4 times the mean, then one more for each doubling. Its size is fixed."""
+    """A level for each counter of the summed sketch: 0 up to what chance explains, then two more for each doubling. Its size is fixed."""
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(SKETCH, np.int64)
@@ -125,12 +124,14 @@ def _levels(sets: DataFrame) -> np.ndarray:
                 total += np.frombuffer(zstandard.ZstdDecompressor().decompress(x), np.int32)
         yield pa.RecordBatch.from_arrays([pa.array([zstandard.ZstdCompressor(level=1).compress(total.tobytes())], pa.binary())], ["sketch"])
 
-    parts = sets.filter("n = -1").select("sketch").repartition(4).mapInArrow(add, "sketch binary")
+    parts = sets.filter("n = -1").select("sketch").repartition(4).mapInArrow(tidied(add), "sketch binary")
     total = np.zeros(SKETCH, np.int64)
     for r in parts.toLocalIterator():
         total += np.frombuffer(zstandard.ZstdDecompressor().decompress(bytes(r.sketch)), np.int64)
-    floor = 4 * max(1.0, total.mean())
-    return np.where(total <= floor, 0, np.ceil(np.log2(np.maximum(total, 1) / floor))).astype(np.uint8)
+    # Counters hold some mean of n-grams that share them, with a spread of its root; what stands out by four times that is common.
+    spread_ = 4 * np.sqrt(total.mean()) + 4
+    over = (total - total.mean()) / spread_
+    return np.where(over <= 1, 0, np.ceil(2 * np.log2(np.maximum(over, 1)))).clip(0, 63).astype(np.uint8)
 
 
 #: Entries of a document batch for one block: documents (g, n), and of each entry column, document and place.
@@ -151,7 +152,7 @@ def _entries(keyed: DataFrame, levels, k: int, percent: int, blocks: int) -> Dat
             lengths = [len(c) for *_, c in held]
             which = np.repeat(np.arange(len(held), dtype=np.int32), lengths)
             place = np.concatenate([np.arange(x, dtype=np.int32) for x in lengths])
-            block = (_mixed(columns) % np.uint64(blocks)).astype(np.int32)
+            block = (mixed(columns) % np.uint64(blocks)).astype(np.int32)
             order = np.argsort(block, kind="stable")
             edges = np.searchsorted(block[order], np.arange(blocks + 1))
             out: list[list] = [[], [], [], [], []]
@@ -164,8 +165,7 @@ def _entries(keyed: DataFrame, levels, k: int, percent: int, blocks: int) -> Dat
             return out_batch(schema, out)
 
         for batch in batches:
-            for (text,) in rows(batch, "text"):
-                s = shingles(text.encode("utf-8", "replace"), k)
+            for s in _batch_sets(batch, k):
                 if not len(s):
                     continue
                 g = set_hash(s)
@@ -184,47 +184,53 @@ def _entries(keyed: DataFrame, levels, k: int, percent: int, blocks: int) -> Dat
         if held:
             yield flush()
 
-    return keyed.select("text").mapInArrow(run, "block int, docs binary, columns binary, which binary, place binary")
+    return keyed.select("text").mapInArrow(tidied(run), "block int, docs binary, columns binary, which binary, place binary")
 
 
-def multiply(columns: np.ndarray, row: np.ndarray, place: np.ndarray, n: np.ndarray, dense: int, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Pairs of rows, how many columns they share, and which entries are of dense columns (those are paired with one row only).
+def multiply(columns: np.ndarray, row: np.ndarray, place: np.ndarray, n: np.ndarray, dense: int, percent: int) -> tuple[np.ndarray, ...]:
+    """Pairs of rows, how many columns they share where it counts, whether they are neighbours in some column, and which
+    entries are of dense columns (those are paired with one row only).
 
     Entries are sorted by column; rows are numbered, n is their size.
     """
     edge = np.flatnonzero(np.concatenate([[True], columns[1:] != columns[:-1], [True]]))
     count = np.diff(edge)
     pairs: list[np.ndarray] = []
+    firsts: list[np.ndarray] = []
     weight = np.int64(len(n))
 
-    def keep(a: np.ndarray, b: np.ndarray) -> None:
+    def keep(a: np.ndarray, b: np.ndarray, first: bool) -> None:
         na, nb, pa_, pb = n[row[a]], n[row[b]], place[a], place[b]
         need = needed(na, nb, percent)
-        rest = np.minimum(na - pa_, nb - pb) + np.minimum(pa_, pb)
-        ok = (row[a] != row[b]) & (np.minimum(na, nb) >= need) & (rest >= need)
+        ok = (row[a] != row[b]) & (pa_ <= na - need) & (pb <= nb - need)
         x, y = row[a[ok]], row[b[ok]]
         pairs.append(np.minimum(x, y) * weight + np.maximum(x, y))
+        if first:
+            firsts.append(pairs[-1])
 
     for m in range(2, dense + 1):
         starts = edge[:-1][count == m]
         for i in range(m) if len(starts) else ():
             for j in range(i + 1, m):
-                keep(starts + i, starts + j)
+                keep(starts + i, starts + j, j == i + 1)
     put_by = np.repeat(count > dense, count)
     if put_by.any():
         at = np.flatnonzero(put_by)
         # The smallest row of the column: entries of a column are sorted by size.
-        keep(np.repeat(edge[:-1], count)[at], at)
+        keep(np.repeat(edge[:-1], count)[at], at, True)
     found = np.concatenate(pairs) if pairs else np.zeros(0, np.int64)
     found, shared = np.unique(found, return_counts=True)
-    return found // weight, found % weight, shared, put_by
+    first = np.isin(found, np.concatenate(firsts)) if firsts else np.zeros(len(found), bool)
+    return found // weight, found % weight, shared, first, put_by
 
 
-_PRODUCT = pa.schema([("kind", pa.int32()), ("a", pa.int64()), ("b", pa.int64()), ("na", pa.int64()), ("nb", pa.int64()), ("shared", pa.int64())])
+_PRODUCT = pa.schema([("kind", pa.int32()), ("a", pa.int64()), ("b", pa.int64()), ("na", pa.int64()), ("nb", pa.int64()), ("shared", pa.int64()), ("first", pa.bool_()), ("sets", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int64())), ("places", pa.list_(pa.int64()))])
+#: The most entries of a column that is put by in one row.
+PACK = 256
 
 
 def _product(entries: DataFrame, blocks: int, dense: int, percent: int) -> DataFrame:
-    """kind 0: a pair of sets with their sizes and shared columns; kind 1: the entry of set b, of size nb, in a column a that is put by."""
+    """kind 0: a pair of sets with their sizes and shared columns; kind 1: some entries of a column (a) that is put by."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         by_block: dict[int, list] = {}
@@ -248,43 +254,66 @@ def _product(entries: DataFrame, blocks: int, dense: int, percent: int) -> DataF
             columns, row, place = columns[order], row[order], place[order]
             new = np.concatenate([[True], (columns[1:] != columns[:-1]) | (row[1:] != row[:-1])])
             columns, row, place = columns[new], row[new], place[new]
-            a, b, shared, put_by = multiply(columns, row, place, n, dense, percent)
+            a, b, shared, first_pair, put_by = multiply(columns, row, place, n, dense, percent)
             for i in range(0, len(a), 100_000):
                 x, y = a[i : i + 100_000], b[i : i + 100_000]
-                yield out_batch(_PRODUCT, [np.zeros(len(x), np.int32), g[x], g[y], n[x], n[y], shared[i : i + 100_000].astype(np.int64)])
+                none = pa.nulls(len(x), pa.list_(pa.int64()))
+                yield out_batch(_PRODUCT, [np.zeros(len(x), np.int32), g[x], g[y], n[x], n[y], shared[i : i + 100_000].astype(np.int64), first_pair[i : i + 100_000], none, none, none])
             at = np.flatnonzero(put_by)
-            for i in range(0, len(at), 100_000):
-                x = at[i : i + 100_000]
-                yield out_batch(_PRODUCT, [np.ones(len(x), np.int32), columns[x].view(np.int64), g[row[x]], place[x], n[row[x]], np.zeros(len(x), np.int64)])
+            if len(at):
+                cut = np.concatenate([[0], np.flatnonzero(columns[at][1:] != columns[at][:-1]) + 1, [len(at)]])
+                cut = [c for lo, hi in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True) for c in range(lo, hi, PACK)] + [len(at)]
+                for i in range(0, len(cut) - 1, 400):
+                    edges = cut[i : i + 401]
+                    own = at[edges[0] : edges[-1]]
+                    offsets = pa.array([e - edges[0] for e in edges], pa.int32())
+                    lists = [pa.ListArray.from_arrays(offsets, pa.array(v, pa.int64())) for v in (g[row[own]], n[row[own]], place[own])]
+                    zero = np.zeros(len(edges) - 1, np.int64)
+                    yield out_batch(_PRODUCT, [zero.astype(np.int32) + 1, columns[at[edges[:-1]]].view(np.int64), zero, zero, zero, zero, zero.astype(bool), *lists])
 
-    return entries.repartition(blocks, "block").mapInArrow(run, "kind int, a long, b long, na long, nb long, shared long")
+    return entries.repartition(blocks, "block").mapInArrow(tidied(run), "kind int, a long, b long, na long, nb long, shared long, first boolean, sets array<long>, sizes array<long>, places array<long>")
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
-    """The pairs (a, b) of sets that link, by their whole texts. texts: g and z, a row for each set."""
+    """Pairs (a, b) of sets that link, by their whole texts; pairs that a task already has in one component are left out.
+
+    texts: g and z, a row for each set.
+    """
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         zstd = zstandard.ZstdDecompressor()
-        last, of_last = None, None
+        last, of_last, up = None, None, {}
+
+        def top(x: int) -> int:
+            while (y := up.setdefault(x, x)) != x:
+                up[x] = up[y]
+                x = up[x]
+            return x
+
         for batch in batches:
             out: list[list] = [[], []]
             for a, b, za, zb in rows(batch, "a", "b", "za", "zb"):
+                if top(a) == top(b):
+                    continue
                 if b != last:
                     last, of_last = b, shingles(zstd.decompress(zb), k)
                 x = shingles(zstd.decompress(za), k)
                 same = len(np.intersect1d(x, of_last, assume_unique=True))
                 if 100 * same >= percent * (len(x) + len(of_last) - same):
+                    up[top(a)] = top(b)
                     out[0].append(a)
                     out[1].append(b)
             yield out_batch(schema, out)
+            if len(up) > 1_000_000:
+                up.clear()
 
     with_a = pairs.join(texts.select(F.col("g").alias("a"), F.col("z").alias("za")), "a")
     both = with_a.join(texts.select(F.col("g").alias("b"), F.col("z").alias("zb")), "b")
-    return both.select("a", "b", "za", "zb").mapInArrow(run, "a long, b long")
+    return both.select("a", "b", "za", "zb").mapInArrow(tidied(run), "a long, b long")
 
 
-def _texts_of(keyed: DataFrame, sets: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
+def _texts_of(keyed: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
     """g and z, the compressed text of one document, for the sets in wanted (g)."""
     schema = pa.schema([("g", pa.int64()), ("z", pa.binary())])
 
@@ -293,18 +322,17 @@ def _texts_of(keyed: DataFrame, sets: DataFrame, wanted: DataFrame, k: int) -> D
         seen: set[int] = set()
         for batch in batches:
             out: list[list] = [[], []]
-            for (text,) in rows(batch, "text"):
-                raw = text.encode("utf-8", "replace")
-                g = set_hash(shingles(raw, k))
+            for (text,), s in zip(rows(batch, "text"), _batch_sets(batch, k), strict=True):
+                g = set_hash(s)
                 if g not in seen:
                     seen.add(g)
                     out[0].append(g)
-                    out[1].append(zstd.compress(raw))
+                    out[1].append(zstd.compress(text.encode("utf-8", "replace")))
             if len(seen) > 200_000:
                 seen.clear()
             yield out_batch(schema, out)
 
-    packed = keyed.select("text").mapInArrow(run, "g long, z binary")
+    packed = keyed.select("text").mapInArrow(tidied(run), "g long, z binary")
     return staged(packed.join(wanted, "g", "left_semi").dropDuplicates(["g"]), "pair-texts")
 
 
@@ -317,37 +345,55 @@ def linked_sets(docs: DataFrame, k: int = WORDS, percent: int = PERCENT, dense:
     blocks = spread(spark)
     levels = spark.sparkContext.broadcast(_levels(first))
     product = staged(_product(_entries(keyed, levels, k, percent, blocks), blocks, dense, percent), "products")
-    counted = product.filter("kind = 0").groupBy("a", "b", "na", "nb").agg(F.sum("shared").alias("shared"))
-    # Overlap outside both prefixes is at most the larger rest; what a pair needs beyond that, the prefixes must share.
-    rest = lambda n: F.expr(f"-((-{percent} * {n}) div 100) - 1 + int(({percent} * {n}) % 100 != 0)")  # noqa: E731  n - prefix(n)
+    signatures = first.filter("n > 0").select("g", "sig").dropDuplicates(["g"])
+    # Sizes x and y that link overlap in `need`; they differ in at most x + y - 2 * need.
     need = F.expr(f"({percent} * (na + nb) + {100 + percent - 1}) div {100 + percent}")
-    enough = F.col("shared") >= F.greatest(F.lit(1), need - F.greatest(rest("na"), rest("nb")))
-    candidates = staged(counted.filter(enough).select("a", "b"), "pairs")
-    put_by = product.filter("kind = 1").select(F.col("a").alias("x"), F.col("b").alias("g"), F.col("nb").alias("n"), F.col("na").alias("place"))
-    ids = lambda df: df.select(F.explode(F.array("a", "b")).alias("g"))
-    texts = _texts_of(keyed, sets, ids(candidates).unionByName(put_by.select("g")).distinct(), k)
-    links = staged(_verified(candidates, texts, k, percent), "links")
-    comps = components(links)
+
+    def differing(x: Column, y: Column) -> Column:
+        return sum((F.bit_count(x[i].bitwiseXOR(y[i])) for i in range(SIGNATURE)), F.lit(0))
+
+    def near(pairs: DataFrame) -> DataFrame:
+        """The pairs (a, b, na, nb) whose signatures allow a link."""
+        signed = pairs.join(signatures.select(F.col("g").alias("a"), F.col("sig").alias("sa")), "a").join(signatures.select(F.col("g").alias("b"), F.col("sig").alias("sb")), "b")
+        bits = differing(F.col("sa"), F.col("sb"))
+        return signed.filter(bits <= F.col("na") + F.col("nb") - 2 * need).select(*pairs.columns)
+
+    counted = product.filter("kind = 0").groupBy("a", "b", "na", "nb").agg(F.sum("shared").alias("shared"), F.bool_or("first").alias("first"))
+    candidates = staged(near(counted), "pairs")
+    entry = F.explode(F.arrays_zip("sets", "sizes", "places")).alias("e")
+    put_by = product.filter("kind = 1").select(F.col("a").alias("x"), entry).select("x", F.col("e.sets").alias("g"), F.col("e.sizes").alias("n"), F.col("e.places").alias("place"))
+    ids = candidates.select(F.explode(F.array("a", "b")).alias("g")).unionByName(put_by.select("g")).distinct()
+    texts = _texts_of(keyed, ids, k)
+    # Of a set's first pairs, those with the smallest partner and with the one it shares most with, on either side.
+    most = lambda end, other: candidates.filter("first").groupBy(end).agg(F.array(F.min(other), F.max_by(other, F.struct("shared", -F.col(other)))).alias("o")).select(end, F.explode("o").alias(other)).select("a", "b")
+    chosen = staged(most("a", "b").unionByName(most("b", "a")).distinct(), "first-pairs")
+    links = staged(_verified(chosen, texts, k, percent), "links")
+    label = staged(components(links), "labels").select(F.col("v").alias("g"), "c")
+    # The other pairs, between components.
+    ends = candidates.select("a", "b").join(chosen, ["a", "b"], "left_anti")
+    for end in "ab":
+        ends = ends.join(label.withColumnsRenamed({"g": end, "c": f"c{end}"}), end, "left")
+    open_pairs = ends.filter("coalesce(ca, a) != coalesce(cb, b)").select("a", "b")
     # Columns put by, between components.
-    if put_by.isEmpty():
-        return sets, links, comps
-    label = comps.select(F.col("v").alias("g"), "c")
     of = staged(put_by.join(label, "g", "left").withColumn("c", F.coalesce("c", "g")), "put-by")
     open_columns = of.groupBy("x").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo < hi").select("x")
-    of = of.join(open_columns, "x")
-    left = of.select("x", *(F.col(c).alias(f"{c}a") for c in ("g", "n", "c", "place")))
-    right = of.select("x", *(F.col(c).alias(f"{c}b") for c in ("g", "n", "c", "place")))
-    near = F.expr(f"ga < gb and ca != cb and least(na, nb) * 100 >= greatest(na, nb) * {percent}")
-    crossed = left.join(right, "x").filter(near)
-    crossed = crossed.select(F.col("ga").alias("a"), F.col("gb").alias("b"), "na", "nb", F.lit(1).cast("long").alias("shared"))
-    plain = product.filter("kind = 0").join(label.withColumnsRenamed({"g": "a", "c": "ca"}), "a", "left").join(label.withColumnsRenamed({"g": "b", "c": "cb"}), "b", "left")
-    plain = plain.filter("coalesce(ca, a) != coalesce(cb, b)").select("a", "b", "na", "nb", "shared")
-    again = crossed.unionByName(plain).groupBy("a", "b", "na", "nb").agg(F.sum("shared").alias("shared")).filter(enough).select("a", "b")
-    more = staged(_verified(again.join(candidates, ["a", "b"], "left_anti"), texts, k, percent), "links")
+    of = of.join(open_columns, "x").join(signatures, "g")
+    fields = ("g", "n", "c", "place", "sig")
+    left, right = (of.select("x", *(F.col(c).alias(f"{c}{side}") for c in fields)) for side in "ab")
+    fits = F.expr("ga < gb and ca != cb") & (F.col("placea") <= F.col("na") - need) & (F.col("placeb") <= F.col("nb") - need)
+    fits &= differing(F.col("siga"), F.col("sigb")) <= F.col("na") + F.col("nb") - 2 * need
+    crossed = left.join(right, "x").filter(fits).select(F.col("ga").alias("a"), F.col("gb").alias("b")).distinct()
+    again = crossed.join(candidates.select("a", "b"), ["a", "b"], "left_anti")
+    more = staged(_verified(open_pairs.unionByName(again), texts, k, percent), "links")
     if more.isEmpty():
-        return sets, links, comps
-    links = links.unionByName(more)
-    return sets, links, components(links)
+        return sets, links, label.withColumnRenamed("g", "v")
+    # Links between components join components; only these are gone through again.
+    ends = more.select(F.explode(F.array("a", "b")).alias("g")).distinct().join(label, "g", "left").withColumn("c", F.coalesce("c", "g"))
+    ends = staged(ends, "ends")
+    lifted = more.join(ends.withColumnsRenamed({"g": "a", "c": "ca"}), "a").join(ends.withColumnsRenamed({"g": "b", "c": "cb"}), "b")
+    joined = components(lifted.select(F.col("ca").alias("a"), F.col("cb").alias("b"))).select(F.col("v").alias("c"), F.col("c").alias("top"))
+    whole = label.unionByName(ends).distinct().join(joined, "c", "left").select(F.col("g").alias("v"), F.coalesce("top", "c").alias("c"))
+    return sets, links.unionByName(more), whole
 
 
 def near_duplicates(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -368,6 +414,11 @@ def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def one_of_each(docs: DataFrame) -> DataFrame:
     """Pipeline stage: of each component the document with the smallest doc_id, with its columns; of rows with that doc_id, one."""
-    found = near_duplicates(docs).filter("doc_id = component_id or component_id is null").select("doc_id").distinct()
-    kept = docs.join(found, docs["doc_id"].eqNullSafe(found["doc_id"]), "left_semi")
-    return kept.dropDuplicates(["doc_id"])
+    key = lambda d: [F.coalesce(d["doc_id"].cast("long"), F.lit(0)).alias("_k1"), d["doc_id"].isNull().alias("_k2")]
+    near = near_duplicates(docs)
+    found = near.filter("doc_id = component_id or component_id is null").select(*key(near)).distinct()
+    # Both the join and the choice of one row deal rows out by the same key.
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    plain = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(docs.columns, names, strict=True)], *key(docs))
+    kept = plain.join(found, ["_k1", "_k2"], "left_semi").dropDuplicates(["_k1", "_k2"])
+    return kept.select(*[F.col(n).alias(c) for c, n in zip(docs.columns, names, strict=True)])
