@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from heapscope.llm.bpe import encoder
-from heapscope.llm.common import batches_of, out_batch, rows, spread, staged, text_only
+from heapscope.llm.common import batches_of, out_batch, rows, spread, staged, text_only, tidied
 
 
 def tokenized(docs: DataFrame, tokenizer_path: str, end_id: int) -> DataFrame:
@@ -46,7 +46,7 @@ def tokenized(docs: DataFrame, tokenizer_path: str, end_id: int) -> DataFrame:
                 yield out_batch(schema, [part.column("doc_id"), part.column("source"), [len(x) // 2 for x in ids], ids])
 
     source = (F.col("source").cast("string") if "source" in docs.columns else F.lit(None).cast("string")).alias("source")
-    out = text_only(docs, source).mapInArrow(encode, "doc_id long, source string, n long, ids binary")
+    out = text_only(docs, source).mapInArrow(tidied(encode, "bpe"), "doc_id long, source string, n long, ids binary")
     return staged(out.withColumn("row", F.monotonically_increasing_id()), "packed-ids")
 
 
@@ -110,7 +110,7 @@ def digest(packed: DataFrame) -> DataFrame:
             crc = [zlib.crc32(np.frombuffer(x, "<u2").astype("<u4")) for (x,) in rows(batch, "ids")]
             yield pa.RecordBatch.from_arrays([pa.array(crc, pa.int64()) if n == "ids_crc32" else batch.column(n) for n in names], names=names)
 
-    return packed.select("doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset").mapInArrow(run, ", ".join(f"{n} long" for n in names))
+    return packed.select("doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset").mapInArrow(tidied(run), ", ".join(f"{n} long" for n in names))
 
 
 def op4_deficit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from heapscope.llm.common import out_batch, rows, small_batches, text_only
+from heapscope.llm.common import out_batch, rows, small_batches, text_only, tidied
 
 #: Features of a line by itself; with those of both neighbours, three times as many.
 OWN = 16
@@ -170,7 +170,7 @@ def fit(docs: DataFrame, labels: DataFrame, most_docs: int = 3000, most_lines: i
 
     # The sample has at most most_docs rows of two numbers.
     chosen = text_only(docs).join(F.broadcast(sample), "doc_id").select("doc_id", "quality", "text")
-    got = sorted((bytes(r.lines), r.quality) for r in chosen.mapInArrow(extract, "quality int, lines binary").toLocalIterator())
+    got = sorted((bytes(r.lines), r.quality) for r in chosen.mapInArrow(tidied(extract), "quality int, lines binary").toLocalIterator())
     return train([np.frombuffer(x, np.float32).reshape(-1, OWN) for x, _ in got], np.array([q for _, q in got]))
 
 
@@ -191,7 +191,7 @@ def _score_with(field: Field, text: str = "text"):
 
 def score(docs: DataFrame, field: Field) -> DataFrame:
     """doc_id and score."""
-    scored = text_only(docs).mapInArrow(_score_with(field), "doc_id long, text string, _score double")
+    scored = text_only(docs).mapInArrow(tidied(_score_with(field)), "doc_id long, text string, _score double")
     return scored.select("doc_id", F.col("_score").alias("score"))
 
 
@@ -209,5 +209,5 @@ def kept_documents(spark: SparkSession, docs: DataFrame, sf_dir: str, least: flo
     names = docs.columns
     plain = docs.toDF(*["text" if n == "text" else f"c{i}" for i, n in enumerate(names)])
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in plain.schema), "_score double"])
-    kept = plain.mapInArrow(_score_with(field), schema).filter(F.col("_score") >= least).drop("_score")
+    kept = plain.mapInArrow(tidied(_score_with(field)), schema).filter(F.col("_score") >= least).drop("_score")
     return kept.toDF(*names)

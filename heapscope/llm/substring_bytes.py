@@ -32,7 +32,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from heapscope.llm.common import out_batch, rows, small_batches, spread, staged
+from heapscope.llm.common import out_batch, rows, small_batches, spread, staged, tidied
 from heapscope.llm.suffix_sort import sort_suffixes
 
 LENGTH, KMER = 200, 64
@@ -131,7 +131,7 @@ def _places(keyed: DataFrame, length: int, kmer: int) -> DataFrame:
             if size:
                 yield flush()
 
-    return keyed.select("k1", "k2", "text").mapInArrow(run, "k1 long, k2 long, h long, s long, first long, n int, again boolean")
+    return keyed.select("k1", "k2", "text").mapInArrow(tidied(run), "k1 long, k2 long, h long, s long, first long, n int, again boolean")
 
 
 def _packed(keyed: DataFrame) -> DataFrame:
@@ -144,7 +144,7 @@ def _packed(keyed: DataFrame) -> DataFrame:
             z = [zstd.compress(t.encode("utf-8", "replace")) for t in batch.column("text").to_pylist()]
             yield out_batch(schema, [*(batch.column(c) for c in ("k1", "k2", "doc_id")), z])
 
-    return keyed.mapInArrow(run, "k1 long, k2 long, doc_id long, z binary")
+    return keyed.mapInArrow(tidied(run), "k1 long, k2 long, doc_id long, z binary")
 
 
 def marked_windows(found: list[tuple[int, bytes]], length: int, memory: int = 64 << 20) -> list[bytes]:
@@ -217,8 +217,8 @@ def repeated_windows(keyed: DataFrame, length: int = LENGTH, kmer: int = KMER, m
             yield out_batch(marks_schema, [[x[0] for x in own], [x[1] for x in own], [None if x[2] else m for x, m in zip(own, marks[a : a + 10_000], strict=True)]])
 
     texts = _packed(keyed).select("k1", "k2", "z")
-    pieces = texts.join(wanted, ["k1", "k2"]).select("z", "wanted").mapInArrow(cut, "h long, s long, all boolean, n int, text binary")
-    marks = staged(pieces.repartition(spread(spark), "h").mapInArrow(sort, "h long, s long, marks binary"), "window-marks").dropDuplicates(["h", "s"])
+    pieces = texts.join(wanted, ["k1", "k2"]).select("z", "wanted").mapInArrow(tidied(cut), "h long, s long, all boolean, n int, text binary")
+    marks = staged(pieces.repartition(spread(spark), "h").mapInArrow(tidied(sort), "h long, s long, marks binary"), "window-marks").dropDuplicates(["h", "s"])
     run = F.struct("first", "n", "marks")
     mixed = places.filter("mixed").join(marks, ["h", "s"]).filter("marks is null or octet_length(marks) > 0").select("k1", "k2", run.alias("run"))
     pure = places.filter("not mixed").select("k1", "k2", F.struct("first", "n", F.lit(None).cast("binary").alias("marks")).alias("run"))
@@ -264,7 +264,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, kmer: int = KMER) -> D
             yield out_batch(schema, out)
 
     both = _packed(keyed).join(repeated_windows(keyed, length, kmer), ["k1", "k2"], "left").select("doc_id", "z", "runs")
-    return both.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
+    return both.mapInArrow(tidied(run), "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
 
 
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -288,7 +288,7 @@ def cleaned_documents(docs: DataFrame, length: int = LENGTH, kmer: int = KMER) -
             yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array(texts, pa.string())], names=[*names, "text"])
 
     both = plain.join(repeated_windows(keyed, length, kmer), ["k1", "k2"], "left").drop("k1", "k2")
-    out = both.mapInArrow(run, schema).filter(F.length("text") > 0)
+    out = both.mapInArrow(tidied(run), schema).filter(F.length("text") > 0)
     return out.select(*[F.col("text") if c == "text" else F.length("text").cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(n).alias(c) for c, n in zip(docs.columns, names, strict=True)])
 
 

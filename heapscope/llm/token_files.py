@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from heapscope.llm.bpe import encoder
-from heapscope.llm.common import batches_of, fresh_dir, out_batch, rows, spread, text_only
+from heapscope.llm.common import batches_of, fresh_dir, out_batch, rows, spread, text_only, tidied
 
 #: Fixed values of the seekable format.
 SKIPPABLE_MAGIC, FOOTER_MAGIC, CHECKSUM_FLAG = 0x184D2A5E, 0x8F92EAB1, 0x80
@@ -148,7 +148,7 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, end_id: int, out: st
         yield out_batch(schema, [[part], [f"{out}/{name}"], [len(writer.index)], [writer.n_tokens]])
 
     ordered = text_only(docs).repartitionByRange(spread(spark), "doc_id").sortWithinPartitions("doc_id", "text")
-    ordered.mapInArrow(write, "part int, path string, n_docs long, n_tokens long").write.parquet(f"{out}/manifest")
+    ordered.mapInArrow(tidied(write, "bpe"), "part int, path string, n_docs long, n_tokens long").write.parquet(f"{out}/manifest")
     return spark.read.parquet(f"{out}/manifest")
 
 
