@@ -31,9 +31,13 @@ def _range_of(key: Column, splitters: list, at: int = 0) -> Column:
     return F.when(below, _range_of(key, splitters[:mid], at)).otherwise(_range_of(key, splitters[mid + 1 :], at + mid + 1))
 
 
-def assign_shards(docs: DataFrame, shards: int = 8, sample_rows: int = 4096, ranges_per_shard: int = 16, keep_share: float = 0.01) -> DataFrame:
-    """doc_id, size, text_crc32, shard, slot. The sample is at most about sample_rows keys, drawn by hash, so it is the same each time."""
+def assign_shards(docs: DataFrame, shards: int = 8, sample_rows: int = 4096, ranges_per_shard: int | None = None, keep_share: float = 0.01) -> DataFrame:
+    """doc_id, size, text_crc32, shard, slot. The sample is at most about sample_rows keys, drawn by hash, so it is the same each time.
+
+    ranges_per_shard: 16 or more, so that there are two ranges for each partition of the session, up to 1,024 in all.
+    """
     spark = docs.sparkSession
+    ranges_per_shard = ranges_per_shard or max(16, min(1024, 2 * spread(spark)) // shards)
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     keyed = staged(
         docs.select(
