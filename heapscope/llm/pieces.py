@@ -17,6 +17,7 @@ import hashlib
 import heapq
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,22 +25,23 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 
-from heapscope.llm.common import out_batch, rows, text_only
+from heapscope.llm.common import STORES, out_batch, rows, text_only, tidied
 
 SPACE = "▁"
 _WORD = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
-_MIX = 0x9E3779B97F4A7C15
+_MIX, _ALL = 0x9E3779B97F4A7C15, (1 << 64) - 1
 
 
 class DropoutEncoder:
-    def __init__(self, model_path: str, dropout: float = 0.1, seed: int = 1, variants: int = 4, max_forms: int = 100_000):
+    def __init__(self, model_path: str, dropout: float = 0.1, seed: int = 1, variants: int = 4, max_forms: int = 350_000):
         import sentencepiece
 
         self.model = sentencepiece.SentencePieceProcessor(model_file=model_path)
         n = self.model.get_piece_size()
         plain = [i for i in range(n) if not (self.model.is_unknown(i) or self.model.is_control(i) or self.model.is_byte(i))]
         self.ids = {self.model.id_to_piece(i): i for i in plain}
-        self.score = {self.model.id_to_piece(i): self.model.get_score(i) for i in plain}
+        self.cost = {self.model.id_to_piece(i): -self.model.get_score(i) for i in plain}
+        self.keys: dict[str, int] = {}
         self.byte = {int(self.model.id_to_piece(i)[1:-1], 16): i for i in range(n) if self.model.is_byte(i)}
         self.bytes_of = [self.model.id_to_piece(i).replace(SPACE, " ").encode() for i in range(n)]
         for b, i in self.byte.items():
@@ -51,45 +53,55 @@ class DropoutEncoder:
         self.under = int(dropout * 2**64)
         self.forms: list[dict[str, bytes]] = [{} for _ in range(variants)]
 
-    def _skipped(self, variant: int, left: str, right: str, at: int) -> bool:
-        return bool(self.under) and xxhash.xxh64_intdigest(f"{variant}\0{left}\0{right}\0{at}", self.seed) < self.under
+    def _key(self, piece: str) -> int:
+        key = self.keys.get(piece)
+        if key is None:
+            key = self.keys[piece] = xxhash.xxh64_intdigest(piece, self.seed)
+        return key
+
+    def _skipped(self, variant: int, left: int, both: str, at: int) -> bool:
+        """By a hash keyed by the seed, of the merged piece, the length of its left part, its place and the variant."""
+        x = (self._key(both) ^ (variant << 48 | left << 32 | at)) * _MIX & _ALL
+        return ((x ^ x >> 31) * _MIX & _ALL) < self.under
 
     def pieces(self, word: str, variant: int = 0) -> list[str]:
         """The agenda: candidates in a heap by score, then place; symbols linked to their neighbours."""
         symbols: list[str | None] = list(word)
-        n, score = len(symbols), self.score
+        n, score, under = len(symbols), self.cost, self.under
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        agenda: list[tuple[float, int, str]] = []
-
-        def propose(i: int) -> None:
-            j = after[i]
-            if i >= 0 and j < n:
-                both = symbols[i] + symbols[j]
-                if both in score:
-                    heapq.heappush(agenda, (-score[both], i, both))
-
-        for i in range(n - 1):
-            propose(i)
+        agenda = [(c, i, both) for i in range(n - 1) if (c := score.get(both := word[i : i + 2])) is not None]
+        heapq.heapify(agenda)
         while agenda:
             _, i, both = heapq.heappop(agenda)
-            if symbols[i] is None or (j := after[i]) >= n or symbols[i] + symbols[j] != both:
+            own = symbols[i]
+            if own is None or (j := after[i]) >= n or len(own) + len(symbols[j]) != len(both) or own + symbols[j] != both:
                 continue
-            if self._skipped(variant, symbols[i], symbols[j], i):
+            if under and self._skipped(variant, len(own), both, i):
                 continue
             symbols[i], symbols[j] = both, None
-            after[i] = after[j]
-            if after[i] < n:
-                before[after[i]] = i
-                propose(i)
-            if before[i] >= 0:
-                propose(before[i])
+            j = after[i] = after[j]
+            if j < n:
+                before[j] = i
+                c = score.get(new := both + symbols[j])
+                if c is not None:
+                    heapq.heappush(agenda, (c, i, new))
+            k = before[i]
+            if k >= 0:
+                c = score.get(new := symbols[k] + both)
+                if c is not None:
+                    heapq.heappush(agenda, (c, k, new))
         return [s for s in symbols if s is not None]
 
     def _ids(self, word: str, variant: int) -> bytes:
+        ids = self.ids
         out: list[int] = []
         for p in self.pieces(word, variant):
-            out += [self.ids[p]] if p in self.ids else [self.byte[b] for b in p.encode()]
-        return np.asarray(out, "<u4").tobytes()
+            i = ids.get(p)
+            if i is None:
+                out += [self.byte[b] for b in p.encode()]
+            else:
+                out.append(i)
+        return array("I", out).tobytes()
 
     def encode(self, text: str, doc_id: int | None = None) -> bytes:
         """Ids as little-endian 32-bit words."""
@@ -129,9 +141,16 @@ _encoders: dict[tuple, DropoutEncoder] = {}
 def _encoder(*key) -> DropoutEncoder:
     if key not in _encoders:
         _encoders[key] = DropoutEncoder(*key)
+    STORES["pieces"] = _clear
     return _encoders[key]
 
 
+def _clear() -> None:
+    for e in _encoders.values():
+        for forms in e.forms:
+            forms.clear()
+
+
 def encode(docs: DataFrame, model_path: str, dropout: float = 0.1, seed: int = 1, variants: int = 4) -> DataFrame:
     """doc_id and ids of every whole text."""
     schema = pa.schema([("doc_id", pa.int64()), ("ids", pa.binary())])
@@ -143,7 +162,7 @@ def encode(docs: DataFrame, model_path: str, dropout: float = 0.1, seed: int = 1
                 part = batch.slice(a, 500)
                 yield out_batch(schema, [part.column("doc_id"), [enc.encode(t, d) for d, t in rows(part, "doc_id", "text")]])
 
-    return text_only(docs).mapInArrow(run, "doc_id long, ids binary")
+    return text_only(docs).mapInArrow(tidied(run, "pieces"), "doc_id long, ids binary")
 
 
 def decode(encoded: DataFrame, model_path: str) -> DataFrame:
@@ -157,7 +176,7 @@ def decode(encoded: DataFrame, model_path: str) -> DataFrame:
                 part = batch.slice(a, 500)
                 yield out_batch(schema, [part.column("doc_id"), [enc.decode(x) for (x,) in rows(part, "ids")]])
 
-    return encoded.mapInArrow(run, "doc_id long, text string")
+    return encoded.mapInArrow(tidied(run, "pieces"), "doc_id long, text string")
 
 
 def digest(encoded: DataFrame, model_path: str) -> DataFrame:
@@ -174,7 +193,7 @@ def digest(encoded: DataFrame, model_path: str) -> DataFrame:
                     c.append(v)
             yield out_batch(schema, out)
 
-    return encoded.mapInArrow(run, "doc_id long, n_pieces long, ids_crc32 long, n_bytes long, text_sha256 string")
+    return encoded.mapInArrow(tidied(run, "pieces"), "doc_id long, n_pieces long, ids_crc32 long, n_bytes long, text_sha256 string")
 
 
 def op6_merge_dropout(spark: SparkSession, sf_dir: str) -> DataFrame:
