@@ -38,7 +38,7 @@ from heapscope.llm.word_hash import hashed_words, mixed
 
 WORDS, PERCENT = 5, 80
 #: Counters of the sketch; columns of more rows than DENSE are put by.
-SKETCH, DENSE = 1 << 22, 16
+SKETCH, DENSE = 1 << 22, 6
 #: Words of 64 bits in a signature: a bit is the parity of how many n-grams fall to it, so two sets differ in at least as
 #: many n-grams as their signatures in bits.
 SIGNATURE = 16
