@@ -1,14 +1,16 @@
 """Mixture-controlled packing: deficit round-robin over source queues fills windows of a fixed number of tokens.
 
-Each source has a queue of packets (documents, cut at packet_tokens) and a quantum, its target share of a round of
-round_tokens. In each round every source is visited in turn and sends packets as long as it has sent less than its
-quanta so far; what it sends beyond them is taken from later rounds, so the deficit is carried over windows and, as
-everything here is a function of running totals, over partitions. At every point a source is at most one packet
-from its target share. A source that runs dry leaves the later rounds to the others.
-
-The schedule has a closed form: the packet that starts after c tokens of its source leaves in round c / quantum. So
-packets are ordered by (round, source, c), and running sums over blocks, then within blocks, give each its place.
-No task holds a whole source: queues are cut into slices by a hash of the document, summed one by one.
+Each source has a queue of its documents' tokens and a quantum, its target share of a round; a round is of a window's
+tokens at most. In each round every source is visited in turn and sends a packet: the tokens that its quanta so far
+allow beyond what it has sent. Documents are cut wherever a packet ends. What is left of a quantum (less than a token) is
+carried over rounds, windows and, as everything here is a function of running totals, partitions. So at every round's
+end each source is less than a token from its target share, and a window, which is a round less and plus a token a source
+at its ends, holds the mixture too. A source that runs dry leaves the later rounds to the others.
+
+The schedule has a closed form: after r rounds a source has sent the first ceil(r * quantum) tokens of its queue. With
+up to FEW sources a packet's place is the sum of these over all sources. With more, packets are ordered by (round, source,
+place in the queue), and running sums over blocks, then within blocks, give each its place. No task holds a whole
+source: queues are cut into slices by a hash of the document, summed one by one.
 
 Null text: an empty document (its end id alone). Null source: a source of its own. Null and repeated doc_ids: kept,
 each row is packed. An empty table gives an empty result. Extra columns are ignored.
@@ -18,15 +20,17 @@ from __future__ import annotations
 
 import struct
 import zlib
-from collections.abc import Iterator, Mapping
+from collections.abc import Callable, Iterator, Mapping
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from heapscope.llm.bpe import encoder
-from heapscope.llm.common import batches_of, out_batch, rows, spread, staged, text_only, tidied
+from heapscope.llm.common import batches_of, out_batch, spread, staged, text_only, tidied
 
 
 def tokenized(docs: DataFrame, tokenizer_path: str, end_id: int) -> DataFrame:
@@ -55,50 +59,82 @@ def _before(value: str, *over: str, order: list) -> Column:
     return F.coalesce(F.sum(value).over(w), F.lit(0)).cast("long")
 
 
-def schedule(lengths: DataFrame, window: int = 1024, packet_tokens: int = 1024, targets: Mapping[str, float] | None = None, slices: int = 64, blocks: int = 4096) -> DataFrame:
-    """row, start, length, sequence_id, offset for every piece of the rows in lengths (row, source, n).
+#: Up to so many sources the place of a packet is a sum over them, written out in the plan.
+FEW = 64
 
-    targets gives the sources' weights (a source that is missing there has its own share of the tokens); by default all
-    have their own share, so every window of the whole output holds the corpus mixture.
-    """
+
+def _rounds(lengths: DataFrame, window: int, packet_tokens: int, targets: Mapping[str, float] | None, slices: int, blocks: int) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """row, source, c (tokens before it in its queue) and quantum of the rows in lengths; and what makes pieces of these with their n."""
     name = F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit(""))
-    packets = lengths.select("row", name.alias("source"), F.pmod(F.xxhash64("row"), F.lit(slices)).alias("slice"), F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.col("n") - 1, F.lit(0)), F.lit(packet_tokens).cast("long"))).alias("start"), "n")
-    packets = packets.select("row", "source", "slice", "start", F.least(F.lit(packet_tokens), F.col("n") - F.col("start")).alias("length"))
+    docs = lengths.select("row", name.alias("source"), F.pmod(F.xxhash64("row"), F.lit(slices)).alias("slice"), "n")
     # Running totals of each queue: over its slices, then within a slice.
-    per_slice = packets.groupBy("source", "slice").agg(F.sum("length").alias("t"))
+    per_slice = docs.groupBy("source", "slice").agg(F.sum("n").alias("t"))
     per_slice = per_slice.withColumn("slice_from", _before("t", "source", order=["slice"]))
     per_source = per_slice.groupBy("source").agg(F.sum("t").alias("source_tokens"))
+    weight = F.col("source_tokens").cast("double")
     if targets:
-        weight = F.create_map(*[F.lit(x) for k, v in targets.items() for x in ("s" + k, float(v))])[F.col("source")]
-        per_source = per_source.withColumn("weight", F.coalesce(weight, F.col("source_tokens").cast("double")))
-    else:
-        per_source = per_source.withColumn("weight", F.col("source_tokens").cast("double"))
-    total = per_source.agg(F.sum("weight").alias("w"), F.sum("source_tokens").alias("t")).first()
-    if not total["t"]:
-        return packets.select("row", "start", "length", F.lit(0).cast("long").alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
-    # A round is a window; small sources get a quantum of a token at least.
-    quantum = F.greatest(F.lit(1.0), F.col("weight") / F.lit(total["w"]) * F.lit(float(window)))
-    queues = per_slice.join(per_source.select("source", quantum.alias("quantum")), "source").select("source", "slice", "slice_from", "quantum")
-    queued = packets.join(queues, ["source", "slice"]).withColumn("c", F.col("slice_from") + _before("length", "source", "slice", order=["row", "start"]))
-    sent = queued.select("row", "source", "start", "length", "c", F.floor(F.col("c") / F.col("quantum")).cast("long").alias("round"))
-    # Places: over blocks of rounds (a bounded number of them), then within a block.
-    rounds_in_block = max(1, -(-int(total["t"]) // window // blocks))
-    sent = staged(sent.withColumn("block", F.expr(f"round div {rounds_in_block}")), "rounds")
-    block_from = sent.groupBy("block").agg(F.sum("length").alias("t")).select("block", _before("t", order=["block"]).alias("block_from"))
-    placed = sent.join(block_from, "block").withColumn("at", F.col("block_from") + _before("length", "block", order=["round", "source", "c"]))
-    # A packet over a window's edge is cut there.
-    first, last = F.expr(f"at div {window}"), F.expr(f"(at + length - 1) div {window}")
-    cut = placed.select("row", "start", "length", "at", F.explode(F.sequence(first, last)).alias("sequence_id"))
-    a, b = F.greatest("at", F.col("sequence_id") * window), F.least(F.col("at") + F.col("length"), (F.col("sequence_id") + 1) * window)
-    return cut.select("row", (F.col("start") + a - F.col("at")).alias("start"), (b - a).alias("length"), "sequence_id", (a - F.col("sequence_id") * window).alias("offset"))
+        given = F.create_map(*[F.lit(x) for k, v in targets.items() for x in ("s" + k, float(v))])[F.col("source")]
+        weight = F.coalesce(given, weight)
+    per_source = per_source.withColumn("weight", weight)
+    total = per_source.agg(F.sum("weight").alias("w"), F.sum("source_tokens").alias("t"), F.count("*").alias("sources")).first()
+    # A round is a window, or less so that no packet is longer than packet_tokens. A source of no weight gets a token a round.
+    round_tokens = min(window, packet_tokens)
+    quantum = F.when(F.col("weight") > 0, F.col("weight") / F.lit(total["w"] or 1.0) * F.lit(float(round_tokens))).otherwise(1.0)
+    sources = per_source.select("source", quantum.alias("quantum"), "source_tokens")
+    queues = per_slice.join(sources, "source").select("source", "slice", "slice_from", "quantum")
+    queued = docs.join(queues, ["source", "slice"]).select("row", "source", "quantum", (F.col("slice_from") + _before("n", "source", "slice", order=["row"])).alias("c"))
+
+    def sent(r: Column, quantum: Column) -> Column:
+        return F.ceil(r * quantum)
+
+    def pieces(of: DataFrame) -> DataFrame:
+        c, n, q, r = (F.col(x) for x in ("c", "n", "quantum", "round"))
+        # By rounds, one more at each end as the division may round; by tokens where a packet is of one token and most rounds of none.
+        span = F.when(q >= 1, F.sequence(F.greatest(F.lit(0), F.floor(c / q) - 1), F.floor((c + n) / q) + 1)).otherwise(F.sequence(c, c + n - 1))
+        k, near = F.col("k"), F.floor(F.col("k") / q)
+        of_token = near + F.when(sent(near, q) > k, -1).when(sent(near + 1, q) <= k, 1).otherwise(0)
+        packets = of.filter("n > 0").select("*", F.explode(span).alias("k")).withColumn("round", F.when(q >= 1, k).otherwise(of_token))
+        lo, hi = F.greatest(c, sent(r, q)), F.least(c + n, sent(r + 1, q))
+        packets = packets.withColumn("lo", lo).withColumn("hi", hi).filter("lo < hi")
+        if total["sources"] <= FEW:
+            # Sources before this one have sent their packets of the round, the others those of the rounds before.
+            before = F.lit(0).cast("long")
+            for s in sources.collect():
+                turn = r + F.when(F.lit(s["source"]) < F.col("source"), 1).otherwise(0)
+                before += F.least(F.lit(s["source_tokens"]), sent(turn, F.lit(s["quantum"])))
+            placed = packets.withColumn("at", before + F.col("lo") - sent(r, q))
+        else:
+            # Over blocks of rounds (a bounded number of them), then within a block.
+            rounds_in_block = max(1, -(-int(total["t"]) // round_tokens // blocks))
+            block = F.expr(f"round div {rounds_in_block}").alias("block")
+            within = packets.select("*", block, (F.col("hi") - F.col("lo")).alias("length"))
+            block_from = within.groupBy("block").agg(F.sum("length").alias("t")).select("block", _before("t", order=["block"]).alias("block_from"))
+            placed = within.join(block_from, "block").withColumn("at", F.col("block_from") + _before("length", "block", order=["round", "source", "lo"]))
+        # A packet over a window's edge is cut there.
+        cut = placed.select("*", F.explode(F.sequence(F.expr(f"at div {window}"), F.expr(f"(at + hi - lo - 1) div {window}"))).alias("sequence_id"))
+        a, b = F.greatest("at", F.col("sequence_id") * window), F.least(F.col("at") + F.col("hi") - F.col("lo"), (F.col("sequence_id") + 1) * window)
+        return cut.select(*of.columns, (F.col("lo") - F.col("c") + a - F.col("at")).alias("start"), (b - a).alias("length"), "sequence_id", (a - F.col("sequence_id") * window).alias("offset"))
+
+    return queued, pieces
+
+
+def schedule(lengths: DataFrame, window: int = 1024, packet_tokens: int = 1024, targets: Mapping[str, float] | None = None, slices: int = 64, blocks: int = 4096) -> DataFrame:
+    """row, start, length, sequence_id, offset for every piece of the rows in lengths (row, source, n).
+
+    targets gives the sources' weights (a source that is missing there has its own share of the tokens); by default all
+    have their own share, so every window of the whole output holds the corpus mixture.
+    """
+    queued, pieces = _rounds(lengths, window, packet_tokens, targets, slices, blocks)
+    return pieces(queued.join(lengths.select("row", "n"), "row")).select("row", "start", "length", "sequence_id", "offset")
 
 
 def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 0, window: int = 1024, targets: Mapping[str, float] | None = None) -> DataFrame:
     """doc_id, start, length, doc_tokens, sequence_id, offset and ids (little-endian 16-bit words) of every piece."""
     ids = tokenized(docs, tokenizer_path, end_id)
-    pieces = schedule(ids.select("row", "source", "n"), window, window, targets, slices=max(64, 2 * spread(docs.sparkSession)))
+    queued, pieces = _rounds(ids.select("row", "source", "n"), window, window, targets, max(64, 2 * spread(docs.sparkSession)), 4096)
     piece = F.expr("substring(ids, int(start) * 2 + 1, int(length) * 2)")
-    return pieces.join(ids.select("row", "doc_id", "n", "ids"), "row").select("doc_id", "start", "length", F.col("n").alias("doc_tokens"), "sequence_id", "offset", piece.alias("ids"))
+    placed = pieces(queued.join(ids.select("row", "doc_id", "n", "ids"), "row"))
+    return placed.select("doc_id", "start", "length", F.col("n").alias("doc_tokens"), "sequence_id", "offset", piece.alias("ids"))
 
 
 def digest(packed: DataFrame) -> DataFrame:
@@ -107,7 +143,10 @@ def digest(packed: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            crc = [zlib.crc32(np.frombuffer(x, "<u2").astype("<u4")) for (x,) in rows(batch, "ids")]
+            ids = batch.column("ids")
+            edges = np.cumsum([0, *pc.binary_length(ids).to_pylist()]) // 2
+            words = memoryview(np.frombuffer(b"".join(ids.to_pylist()), "<u2").astype("<u4"))
+            crc = [zlib.crc32(words[a:b]) for a, b in pairwise(edges.tolist())]
             yield pa.RecordBatch.from_arrays([pa.array(crc, pa.int64()) if n == "ids_crc32" else batch.column(n) for n in names], names=names)
 
     return packed.select("doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset").mapInArrow(tidied(run), ", ".join(f"{n} long" for n in names))

@@ -100,6 +100,29 @@ def test_every_window_has_the_target_mixture(spark):
             assert abs(done - share * 1024 * (k + 1)) <= 2 * 1024
 
 
+@pytest.mark.parametrize("few", [64, 0])
+def test_single_windows_hold_the_mixture(spark, few, monkeypatch):
+    monkeypatch.setattr(packing, "FEW", few)
+    rng = random.Random(4)
+    n = spark.createDataFrame([(i, None if i % 20 == 0 else f"s{i % 20}", rng.randrange(1, 900)) for i in range(1500)] + [(1500, "tiny", 7)], "row long, source string, n long").cache()
+    lengths = {r.row: r for r in n.collect()}
+    total, own = sum(r.n for r in lengths.values()), defaultdict(int)
+    for r in lengths.values():
+        own[r.source] += r.n
+    by, covered = defaultdict(lambda: defaultdict(int)), defaultdict(list)
+    seqs = defaultdict(list)
+    for r in packing.schedule(n).collect():
+        by[r.sequence_id][lengths[r.row].source] += r.length
+        covered[r.row].append((r.start, r.start + r.length))
+        seqs[r.sequence_id].append((r.offset, r.offset + r.length))
+    for spans, whole in [(covered[k], r.n) for k, r in lengths.items()] + [(v, 1024 if k < max(seqs) else total % 1024 or 1024) for k, v in seqs.items()]:
+        spans.sort()
+        assert spans[0][0] == 0 and spans[-1][1] == whole and all(x[1] == y[0] for x, y in zip(spans, spans[1:], strict=False))
+    for k in range(total // 1024):
+        assert all(abs(by[k][s] - 1024 * t / total) <= len(own) + 2 for s, t in own.items())
+        assert sum(abs(by[k][s] / 1024 - t / total) for s, t in own.items()) / 2 < 0.03
+
+
 def test_pieces_without_dropout_are_the_librarys():
     e = pieces.DropoutEncoder(PIECES, 0.0)
     for t in ("", "Hello  wörld\n\nx   ", "<s> </s>", "日本語 text ▁x", "a" * 80):
