@@ -1,11 +1,12 @@
 """SentencePiece BPE with seeded merge-dropout: varied segmentations that decode to the same text.
 
-Encoding works through an agenda of candidate merges, best score first. A candidate that comes up is skipped if a hash
-keyed by the seed, the variant, the pair and its place is under the dropout rate; it may come up again when a
-neighbour merges. Merges never cross a word's start, so a word form has one segmentation for each of `variants`
-variants; which of them an occurrence takes is a hash of the seed, doc_id and its place in the text. The same text with
-the same doc_id and seed always gives the same ids; decode() gives back the normalised text, byte for byte. Characters
-without a piece become their bytes' pieces. At dropout 0 the result is that of the sentencepiece library.
+Encoding works through an agenda of candidate merges, best score first. Each candidate that comes up is skipped with
+the dropout rate. The draws are keyed by the seed, doc_id and the word's place in the text, so every occurrence of a
+word has its own: a draw says how many candidates pass until one is skipped, the next one how many pass after that. If
+all of a word's candidates pass, it has its undropped segmentation, which is kept; segmentations with skips are kept by
+the numbers of the candidates skipped. What is kept changes no result. Merges never cross a word's start. The same text
+with the same doc_id and seed always gives the same ids; decode() gives back the normalised text, byte for byte.
+Characters without a piece become their bytes' pieces. At dropout 0 the result is that of the sentencepiece library.
 
 Null text: no pieces. Null doc_id: hashed as -1. Repeated rows: equal ids. An empty table gives an empty result. Extra
 columns are ignored.
@@ -15,6 +16,7 @@ from __future__ import annotations
 
 import hashlib
 import heapq
+import math
 import re
 import zlib
 from array import array
@@ -30,10 +32,13 @@ from heapscope.llm.common import STORES, out_batch, rows, text_only, tidied
 SPACE = "▁"
 _WORD = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 _MIX, _ALL = 0x9E3779B97F4A7C15, (1 << 64) - 1
+_MIX_1, _MIX_2, _STEP = 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD1342543DE82EF95
+#: No word has so many candidates.
+_NEVER = 1 << 40
 
 
 class DropoutEncoder:
-    def __init__(self, model_path: str, dropout: float = 0.1, seed: int = 1, variants: int = 4, max_forms: int = 350_000):
+    def __init__(self, model_path: str, dropout: float = 0.1, seed: int = 1, max_forms: int = 500_000):
         import sentencepiece
 
         self.model = sentencepiece.SentencePieceProcessor(model_file=model_path)
@@ -41,7 +46,6 @@ class DropoutEncoder:
         plain = [i for i in range(n) if not (self.model.is_unknown(i) or self.model.is_control(i) or self.model.is_byte(i))]
         self.ids = {self.model.id_to_piece(i): i for i in plain}
         self.cost = {self.model.id_to_piece(i): -self.model.get_score(i) for i in plain}
-        self.keys: dict[str, int] = {}
         self.byte = {int(self.model.id_to_piece(i)[1:-1], 16): i for i in range(n) if self.model.is_byte(i)}
         self.bytes_of = [self.model.id_to_piece(i).replace(SPACE, " ").encode() for i in range(n)]
         for b, i in self.byte.items():
@@ -49,25 +53,33 @@ class DropoutEncoder:
         if any(SPACE in p.lstrip(SPACE) for p in self.ids):
             raise ValueError("a piece crosses a word's start")
         self.prefix = self.model.normalize("a") == SPACE + "a"
-        self.dropout, self.seed, self.variants, self.max_forms = dropout, seed, variants, max_forms
-        self.under = int(dropout * 2**64)
-        self.forms: list[dict[str, bytes]] = [{} for _ in range(variants)]
-
-    def _key(self, piece: str) -> int:
-        key = self.keys.get(piece)
-        if key is None:
-            key = self.keys[piece] = xxhash.xxh64_intdigest(piece, self.seed)
-        return key
-
-    def _skipped(self, variant: int, left: int, both: str, at: int) -> bool:
-        """By a hash keyed by the seed, of the merged piece, the length of its left part, its place and the variant."""
-        x = (self._key(both) ^ (variant << 48 | left << 32 | at)) * _MIX & _ALL
-        return ((x ^ x >> 31) * _MIX & _ALL) < self.under
-
-    def pieces(self, word: str, variant: int = 0) -> list[str]:
-        """The agenda: candidates in a heap by score, then place; symbols linked to their neighbours."""
+        self.dropout, self.seed, self.max_forms = dropout, seed, max_forms
+        #: A draw's logarithm over this is how many candidates pass.
+        self.scale = math.log1p(-dropout) if dropout < 1 else -math.inf
+        #: ids and number of candidates of words, and of (word, *candidates skipped).
+        self.forms: dict[str, tuple[bytes, int]] = {}
+        self.skipping: dict[tuple, tuple[bytes, int]] = {}
+
+    def _passing(self, x: int, k: int) -> int:
+        """How many candidates pass before the k-th that is skipped, by a hash keyed by the occurrence x."""
+        x = (x + k * _STEP) & _ALL
+        x = (x ^ x >> 30) * _MIX_1 & _ALL
+        x = (x ^ x >> 27) * _MIX_2 & _ALL
+        return int(min(math.log1p(-((x ^ x >> 31) >> 11) * 2.0**-53) / self.scale, _NEVER))
+
+    def _first_passing(self, x: np.ndarray) -> list[int]:
+        """_passing(x, 0) of many."""
+        x = (x ^ x >> np.uint64(30)) * np.uint64(_MIX_1)
+        x = (x ^ x >> np.uint64(27)) * np.uint64(_MIX_2)
+        u = ((x ^ x >> np.uint64(31)) >> np.uint64(11)).astype(np.float64) * -(2.0**-53)
+        return np.minimum(np.log1p(u) / self.scale, _NEVER).astype(np.int64).tolist()
+
+    def pieces(self, word: str, first: int = _NEVER, x: int = 0) -> tuple[list[str], int, list[int]]:
+        """The agenda: candidates in a heap by score, then place; symbols linked to their neighbours. The candidate of number
+        `first` is the first to be skipped, the others follow from x. Also how many candidates came up and which were skipped."""
+        came, skipped, due = 0, [], first
         symbols: list[str | None] = list(word)
-        n, score, under = len(symbols), self.cost, self.under
+        n, score = len(symbols), self.cost
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
         agenda = [(c, i, both) for i in range(n - 1) if (c := score.get(both := word[i : i + 2])) is not None]
         heapq.heapify(agenda)
@@ -76,7 +88,10 @@ class DropoutEncoder:
             own = symbols[i]
             if own is None or (j := after[i]) >= n or len(own) + len(symbols[j]) != len(both) or own + symbols[j] != both:
                 continue
-            if under and self._skipped(variant, len(own), both, i):
+            came += 1
+            if came > due:
+                skipped.append(due)
+                due = came + self._passing(x, len(skipped))
                 continue
             symbols[i], symbols[j] = both, None
             j = after[i] = after[j]
@@ -90,12 +105,12 @@ class DropoutEncoder:
                 c = score.get(new := symbols[k] + both)
                 if c is not None:
                     heapq.heappush(agenda, (c, k, new))
-        return [s for s in symbols if s is not None]
+        return [s for s in symbols if s is not None], came, skipped
 
-    def _ids(self, word: str, variant: int) -> bytes:
+    def _ids(self, pieces: list[str]) -> bytes:
         ids = self.ids
         out: list[int] = []
-        for p in self.pieces(word, variant):
+        for p in pieces:
             i = ids.get(p)
             if i is None:
                 out += [self.byte[b] for b in p.encode()]
@@ -103,24 +118,43 @@ class DropoutEncoder:
                 out.append(i)
         return array("I", out).tobytes()
 
+    def _keep(self, kept: dict, key: str | tuple, word: str, found: tuple[bytes, int]) -> None:
+        if len(word) <= 64:
+            if len(kept) >= self.max_forms:
+                kept.clear()
+            kept[key] = found
+
+    def _undropped(self, word: str) -> tuple[bytes, int]:
+        pieces, came, _ = self.pieces(word)
+        found = self._ids(pieces), came
+        self._keep(self.forms, word, word, found)
+        return found
+
+    def _dropped(self, word: str, first: int, x: int) -> bytes:
+        key, last = (word, first), first
+        while (found := self.skipping.get(key)) is not None:
+            last += 1 + self._passing(x, len(key) - 1)
+            if last >= found[1]:
+                return found[0]
+            key = (*key, last)
+        pieces, came, skipped = self.pieces(word, first, x)
+        ids = self._ids(pieces)
+        self._keep(self.skipping, (word, *skipped), word, (ids, came))
+        return ids
+
     def encode(self, text: str, doc_id: int | None = None) -> bytes:
         """Ids as little-endian 32-bit words."""
         if not text:
             return b""
-        words = _WORD.findall(self.model.normalize(text))
+        words, get = _WORD.findall(self.model.normalize(text)), self.forms.get
+        if not self.dropout:
+            return b"".join([(get(w) or self._undropped(w))[0] for w in words])
         start = xxhash.xxh64_intdigest((-1 if doc_id is None else doc_id).to_bytes(8, "little", signed=True), self.seed)
-        which = ((np.uint64(start) + np.arange(len(words), dtype=np.uint64) * np.uint64(_MIX)) >> np.uint64(40)) % np.uint64(self.variants)
+        keys = np.uint64(start) + np.arange(len(words), dtype=np.uint64) * np.uint64(_MIX)
         out = []
-        for word, v in zip(words, which.tolist(), strict=True):
-            forms = self.forms[v]
-            ids = forms.get(word)
-            if ids is None:
-                ids = self._ids(word, v)
-                if len(word) <= 64:
-                    if len(forms) >= self.max_forms:
-                        forms.clear()
-                    forms[word] = ids
-            out.append(ids)
+        for at, (word, first) in enumerate(zip(words, self._first_passing(keys), strict=True)):
+            ids, came = get(word) or self._undropped(word)
+            out.append(ids if first >= came else self._dropped(word, first, (start + at * _MIX) & _ALL))
         return b"".join(out)
 
     def decode(self, ids: bytes) -> str:
@@ -147,16 +181,16 @@ def _encoder(*key) -> DropoutEncoder:
 
 def _clear() -> None:
     for e in _encoders.values():
-        for forms in e.forms:
-            forms.clear()
+        e.forms.clear()
+        e.skipping.clear()
 
 
-def encode(docs: DataFrame, model_path: str, dropout: float = 0.1, seed: int = 1, variants: int = 4) -> DataFrame:
+def encode(docs: DataFrame, model_path: str, dropout: float = 0.1, seed: int = 1) -> DataFrame:
     """doc_id and ids of every whole text."""
     schema = pa.schema([("doc_id", pa.int64()), ("ids", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = _encoder(model_path, dropout, seed, variants)
+        enc = _encoder(model_path, dropout, seed)
         for batch in batches:
             for a in range(0, batch.num_rows, 500):
                 part = batch.slice(a, 500)
@@ -170,7 +204,7 @@ def decode(encoded: DataFrame, model_path: str) -> DataFrame:
     schema = pa.schema([("doc_id", pa.int64()), ("text", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = _encoder(model_path, 0.0, 0, 1)
+        enc = _encoder(model_path, 0.0, 0)
         for batch in batches:
             for a in range(0, batch.num_rows, 500):
                 part = batch.slice(a, 500)
@@ -184,7 +218,7 @@ def digest(encoded: DataFrame, model_path: str) -> DataFrame:
     schema = pa.schema([("doc_id", pa.int64()), ("n_pieces", pa.int64()), ("ids_crc32", pa.int64()), ("n_bytes", pa.int64()), ("text_sha256", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = _encoder(model_path, 0.0, 0, 1)
+        enc = _encoder(model_path, 0.0, 0)
         for batch in batches:
             out: list[list] = [[] for _ in schema]
             for doc_id, ids in rows(batch, "doc_id", "ids"):

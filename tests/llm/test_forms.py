@@ -140,6 +140,28 @@ def test_dropout_varies_and_decodes(odd, empty):
     assert pieces.digest(pieces.encode(empty, PIECES), PIECES).count() == 0
 
 
+def test_dropout_is_drawn_for_each_occurrence():
+    e, word = pieces.DropoutEncoder(PIECES, 0.1, seed=3), "segmentation"
+    whole, came, _ = e.pieces("▁" + word)
+    # Each of the merges alone is skipped in some document; segmentations are as frequent as with a coin for each candidate.
+    want = {e._ids(whole)}
+    for k in range(came):
+        alone = pieces.DropoutEncoder(PIECES, 0.0)
+        alone._passing = lambda x, n: pieces._NEVER
+        want.add(e._ids(alone.pieces("▁" + word, k)[0]))
+    got = [e.encode(word, i) for i in range(8000)]
+    assert want <= set(got) and len(set(got)) > 4
+    rng, coins = random.Random(6), pieces.DropoutEncoder(PIECES, 0.0)
+    coins._passing = lambda x, n: next(i for i in range(1000) if rng.random() < 0.1)
+    thrown = [e._ids(coins.pieces("▁" + word, coins._passing(0, 0))[0]) for _ in range(8000)]
+    assert all(abs(got.count(x) - thrown.count(x)) < 240 for x in {*got, *thrown})
+    few = pieces.DropoutEncoder(PIECES, 0.1, seed=3, max_forms=1)
+    text = "the information about segmentation is in a text with " + "x" * 90
+    assert [few.encode(text, i) for i in range(300)] == [e.encode(text, i) for i in range(300)]
+    # Places in one text have draws of their own too.
+    assert len({e.encode(word + " " + " ".join([word] * k), 1)[-40:] for k in range(50)}) > 4
+
+
 def test_flac_round_trip(odd, empty):
     rng = np.random.default_rng(1)
     payloads = [flac.padded(r.text or "") for r in odd.collect()] + [bytes(192), bytes(range(192)), rng.integers(0, 256, 1920, dtype=np.uint8).tobytes(), b"\0\xff" * 96]
