@@ -14,7 +14,8 @@ puts n-grams first that a count sketch of fixed size, added up over all document
    by) are verified on the whole sets; their links make components.
 4. The other pairs are verified where they lie between components, and the columns put by are multiplied out between
    rows of different components, with the same bounds. So no link between two components is missed, and a group of
-   thousands of near copies costs its size, not the square.
+   thousands of near copies costs its size, not the square. link_counts() asks for every link: then all pairs and all
+   columns put by are verified, within components too.
 
 Every decision is on whole texts and exact sets of 64-bit n-gram hashes. Fewer than n words: the whole sequence is the
 one n-gram. No words or null text: an empty set, linked with nothing. Repeated rows: one set. Null doc_id: takes part
@@ -274,8 +275,8 @@ def _product(entries: DataFrame, blocks: int, dense: int, percent: int) -> DataF
     return entries.repartition(blocks, "block").mapInArrow(tidied(run), "kind int, a long, b long, na long, nb long, shared long, first boolean, sets array<long>, sizes array<long>, places array<long>")
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
-    """Pairs (a, b) of sets that link, by their whole texts; pairs that a task already has in one component are left out.
+def _verified(pairs: DataFrame, texts: DataFrame, k: int, percent: int, every: bool = False) -> DataFrame:
+    """Pairs (a, b) of sets that link, by their whole texts; unless every, pairs that a task already has in one component are left out.
 
     texts: g and z, a row for each set.
     """
@@ -294,14 +295,15 @@ def _verified(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataF
         for batch in batches:
             out: list[list] = [[], []]
             for a, b, za, zb in rows(batch, "a", "b", "za", "zb"):
-                if top(a) == top(b):
+                if not every and top(a) == top(b):
                     continue
                 if b != last:
                     last, of_last = b, shingles(zstd.decompress(zb), k)
                 x = shingles(zstd.decompress(za), k)
                 same = len(np.intersect1d(x, of_last, assume_unique=True))
                 if 100 * same >= percent * (len(x) + len(of_last) - same):
-                    up[top(a)] = top(b)
+                    if not every:
+                        up[top(a)] = top(b)
                     out[0].append(a)
                     out[1].append(b)
             yield out_batch(schema, out)
@@ -336,8 +338,11 @@ def _texts_of(keyed: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
     return staged(packed.join(wanted, "g", "left_semi").dropDuplicates(["g"]), "pair-texts")
 
 
-def linked_sets(docs: DataFrame, k: int = WORDS, percent: int = PERCENT, dense: int = DENSE) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """sets (doc_id, g, n), the verified links between sets (a, b), enough of them to join what belongs together, and components (v, c)."""
+def linked_sets(docs: DataFrame, k: int = WORDS, percent: int = PERCENT, dense: int = DENSE, every: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """sets (doc_id, g, n), the verified links between sets (a, b), and components (v, c).
+
+    The links are enough of them to join what belongs together; or every link, whose number grows with the square of a group.
+    """
     spark = docs.sparkSession
     keyed = _keyed(docs)
     first = staged(_sets(keyed, k), "sets")
@@ -364,6 +369,19 @@ def linked_sets(docs: DataFrame, k: int = WORDS, percent: int = PERCENT, dense:
     put_by = product.filter("kind = 1").select(F.col("a").alias("x"), entry).select("x", F.col("e.sets").alias("g"), F.col("e.sizes").alias("n"), F.col("e.places").alias("place"))
     ids = candidates.select(F.explode(F.array("a", "b")).alias("g")).unionByName(put_by.select("g")).distinct()
     texts = _texts_of(keyed, ids, k)
+
+    def crossed(of: DataFrame, apart: str) -> DataFrame:
+        """The pairs of rows of a column that meet the bounds and the condition."""
+        left, right = (of.select("x", *(F.col(c).alias(f"{c}{side}") for c in of.columns if c != "x")) for side in "ab")
+        fits = F.expr(apart) & (F.col("placea") <= F.col("na") - need) & (F.col("placeb") <= F.col("nb") - need)
+        fits &= differing(F.col("siga"), F.col("sigb")) <= F.col("na") + F.col("nb") - 2 * need
+        return left.join(right, "x").filter(fits).select(F.col("ga").alias("a"), F.col("gb").alias("b")).distinct()
+
+    if every:
+        pairs = candidates.select("a", "b").unionByName(crossed(put_by.join(signatures, "g"), "ga < gb"))
+        ordered = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        links = staged(_verified(ordered, texts, k, percent, every), "links")
+        return sets, links, staged(components(links), "labels")
     # Of a set's first pairs, those with the smallest partner and with the one it shares most with, on either side.
     most = lambda end, other: candidates.filter("first").groupBy(end).agg(F.array(F.min(other), F.max_by(other, F.struct("shared", -F.col(other)))).alias("o")).select(end, F.explode("o").alias(other)).select("a", "b")
     chosen = staged(most("a", "b").unionByName(most("b", "a")).distinct(), "first-pairs")
@@ -378,12 +396,7 @@ def linked_sets(docs: DataFrame, k: int = WORDS, percent: int = PERCENT, dense:
     of = staged(put_by.join(label, "g", "left").withColumn("c", F.coalesce("c", "g")), "put-by")
     open_columns = of.groupBy("x").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo < hi").select("x")
     of = of.join(open_columns, "x").join(signatures, "g")
-    fields = ("g", "n", "c", "place", "sig")
-    left, right = (of.select("x", *(F.col(c).alias(f"{c}{side}") for c in fields)) for side in "ab")
-    fits = F.expr("ga < gb and ca != cb") & (F.col("placea") <= F.col("na") - need) & (F.col("placeb") <= F.col("nb") - need)
-    fits &= differing(F.col("siga"), F.col("sigb")) <= F.col("na") + F.col("nb") - 2 * need
-    crossed = left.join(right, "x").filter(fits).select(F.col("ga").alias("a"), F.col("gb").alias("b")).distinct()
-    again = crossed.join(candidates.select("a", "b"), ["a", "b"], "left_anti")
+    again = crossed(of, "ga < gb and ca != cb").join(candidates.select("a", "b"), ["a", "b"], "left_anti")
     more = staged(_verified(open_pairs.unionByName(again), texts, k, percent), "links")
     if more.isEmpty():
         return sets, links, label.withColumnRenamed("g", "v")
@@ -397,15 +410,21 @@ def linked_sets(docs: DataFrame, k: int = WORDS, percent: int = PERCENT, dense:
 
 
 def near_duplicates(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n_shingles, component_id, g (the class of equal sets) and n_links (verified links of the class found on the way)."""
-    sets, links, comps = linked_sets(docs, k, percent)
+    """doc_id, n_shingles, component_id and g (the class of equal sets)."""
+    sets, _, comps = linked_sets(docs, k, percent)
     label = comps.select(F.col("v").alias("g"), "c")
-    degree = links.select(F.explode(F.array("a", "b")).alias("g")).groupBy("g").agg(F.count("*").alias("n_links"))
     smallest = sets.filter("n > 0").groupBy("g").agg(F.min("doc_id").alias("m")).join(label, "g", "left").withColumn("c", F.coalesce("c", "g"))
-    of_set = smallest.join(smallest.groupBy("c").agg(F.min("m").alias("component_id")), "c").join(degree, "g", "left")
-    known = sets.join(of_set.select("g", "component_id", "n_links"), "g", "left")
+    of_set = smallest.join(smallest.groupBy("c").agg(F.min("m").alias("component_id")), "c")
+    known = sets.join(of_set.select("g", "component_id"), "g", "left")
     alone = F.col("n") == 0
-    return known.select("doc_id", F.col("n").alias("n_shingles"), F.when(alone, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), "g", F.coalesce(F.when(~alone, F.col("n_links")), F.lit(0)).alias("n_links"))
+    return known.select("doc_id", F.col("n").alias("n_shingles"), F.when(alone, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), "g")
+
+
+def link_counts(docs: DataFrame, k: int = WORDS, percent: int = PERCENT, dense: int = DENSE) -> DataFrame:
+    """doc_id, g (the class of equal sets) and n_links, the number of other classes that the class links with, of each row."""
+    sets, links, _ = linked_sets(docs, k, percent, dense, every=True)
+    degree = links.select(F.explode(F.array("a", "b")).alias("g")).groupBy("g").agg(F.count("*").alias("n_links"))
+    return sets.join(degree, "g", "left").select("doc_id", "g", F.coalesce("n_links", F.lit(0)).alias("n_links"))
 
 
 def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

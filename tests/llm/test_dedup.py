@@ -124,6 +124,16 @@ def test_components(odd, dense, monkeypatch):
     assert got == brute_components(odd.collect())
 
 
+@pytest.mark.parametrize("dense", [16, 2])
+def test_every_link_is_counted(odd, dense):
+    rows = odd.collect()
+    sets = [frozenset(ngram_join.shingles((r.text or "").encode()).tolist()) for r in rows]
+    links = {s: sum(x != s and 100 * len(x & s) >= 80 * len(x | s) for x in set(sets)) if s else 0 for s in sets}
+    assert max(links.values()) > 2
+    got = sorted((str(r.doc_id), r.n_links) for r in ngram_join.link_counts(odd, dense=dense).collect())
+    assert got == sorted((str(r.doc_id), links[s]) for r, s in zip(rows, sets, strict=True))
+
+
 def test_one_of_each(odd, empty):
     out = ngram_join.one_of_each(odd)
     assert out.schema.names == odd.schema.names
