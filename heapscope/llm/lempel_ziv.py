@@ -6,24 +6,27 @@ document with a smaller doc_id. Windows are judged on the input.
 1. Every window has an anchor, the `kmer` words with the least hash in it; equal windows have equal anchors. Runs of
    windows with one anchor are emitted as hashes, and anchors that lie in one document only are done with.
 2. A run's slice of words is kept once, with the smallest doc_id that has it; the other places of an equal slice go
-   whole. If an anchor has several slices, they are sent to the shard of the anchor, in the order of that doc_id.
+   whole. Slices are equal if their anchors' and their windows' hashes are, 128 bits in all. If an anchor has several
+   slices, they are sent to the shard of the anchor, in the order of that doc_id.
 3. A shard parses each slice greedily into factors, each the longest match with any indexed block of the reference,
-   which is all slices of smaller doc_ids before it. A factor of `length` words or more is a duplicate span; windows
-   that cross a factor's end are looked up one by one, so a cut between factors hides none. A slice then joins the
-   reference. Blocks are of a fixed number of words.
+   which is all slices of smaller doc_ids with the same anchor: others have no window in common with it. Words are
+   compared, not hashes. A window is indexed where it first stands. A factor of `length` words or more is a duplicate
+   span; windows that cross a factor's end are looked up one by one, so a cut between factors hides none. A slice then
+   joins the reference. Blocks are of a fixed number of words; with the next anchor a new reference begins.
 4. Marks go back to all places of their slice and are merged into each document's spans.
 
 Equal slices are parsed once, and smallest ids are taken before the shuffle, so the number of copies of a passage
 enters no task but that of the join, which the skew handling splits.
 
 Null text: no words. Texts under `length` words: nothing removed. Null doc_id: such documents come after all others
-and after none of each other. Rows with one doc_id aren't earlier than each other. An empty table gives an empty
-result. Extra columns are ignored.
+and after none of each other. Rows with one doc_id aren't earlier than each other, also where they repeat. Very long texts are
+hashed in parts and read whole. An empty table gives an empty result. Extra columns are ignored.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -32,27 +35,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from heapscope.llm.common import batches_of, out_batch, rows, small_batches, spread, staged, tidied
-from heapscope.llm.word_hash import hashed_words, mixed, prefix_sums, string_hash
+from heapscope.llm.word_hash import hashed_words, ngrams, prefix_sums, string_hash
 
 LENGTH, KMER = 13, 4
 #: The most windows in a slice.
 MOST = 64
-_C = np.array([pow(0x9E3779B97F4A7C15, k, 1 << 64) for k in range(64)], np.uint64)
-
-
-def word_hashes(text: bytes) -> np.ndarray:
-    return hashed_words([text])[0]
-
-
-def ngrams(w: np.ndarray, k: int) -> np.ndarray:
-    """A hash of each k words in a row."""
-    n = len(w) - k + 1
-    if n <= 0:
-        return np.zeros(0, np.uint64)
-    out = w[:n].copy()
-    for i in range(1, k):
-        out += w[i : n + i] * _C[i]
-    return mixed(out)
 
 
 def _least(h: np.ndarray, w: int) -> np.ndarray:
@@ -83,24 +70,31 @@ def slices(texts: list[bytes], length: int, kmer: int) -> tuple[np.ndarray, ...]
         run = np.concatenate([np.arange(a, a + c, MOST) for a, c in zip(run.tolist(), count.tolist(), strict=True)])
         count = np.diff(np.concatenate([run, [len(valid)]]))
     first = valid[run]
-    whole = string_hash(prefix_sums(w), first, first + count + length - 1)
+    whole = string_hash(prefix_sums(ngrams(w, length)), first, first + count)
     doc = np.searchsorted(end, first, "right")
     return doc, least[run], whole, first - (end - n)[doc], count
 
 
+def windows_of(words: np.ndarray, length: int) -> list[bytes]:
+    """The windows themselves, as bytes of the words' numbers."""
+    raw, size = words.tobytes(), words.itemsize
+    return [raw[i * size : (i + length) * size] for i in range(len(words) - length + 1)]
+
+
 class Reference:
-    """Blocks of words with an index of the windows that start in them."""
+    """Blocks of words, as numbers, with an index of the windows that start in them."""
 
-    def __init__(self, length: int, block_words: int = 1 << 18):
+    def __init__(self, length: int, block_words: int = 1 << 16):
         self.length, self.block_words = length, block_words
-        self.blocks: list[tuple[np.ndarray, dict[int, int]]] = []
-        self.parts: list[np.ndarray] = []
+        self.blocks: list[tuple[np.ndarray, dict[bytes, int]]] = []
         self.size = 0
 
-    def add(self, words: np.ndarray, windows: list[int], new: np.ndarray) -> None:
+    def add(self, words: np.ndarray, windows: list[bytes], new: np.ndarray) -> None:
         """Indexes the windows marked new; a block that is full is followed by another."""
+        if not new.any():
+            return
         if not self.blocks or self.size + len(words) + 1 > self.block_words:
-            self.blocks.append((np.zeros(max(self.block_words, len(words) + 1), np.uint64), {}))
+            self.blocks.append((np.full(max(self.block_words, len(words) + 1), -1, np.int32), {}))
             self.size = 0
         block, index = self.blocks[-1]
         block[self.size : self.size + len(words)] = words
@@ -108,7 +102,7 @@ class Reference:
             index.setdefault(windows[i], self.size + i)
         self.size += len(words) + 1
 
-    def longest(self, words: np.ndarray, window: int, at: int) -> int:
+    def longest(self, words: np.ndarray, window: bytes, at: int) -> int:
         """Words from `at` on that stand in some block in a row; 0 if fewer than a window."""
         best = 0
         for block, index in self.blocks:
@@ -117,9 +111,9 @@ class Reference:
                 n = min(len(words) - at, len(block) - p)
                 differs = words[at : at + n] != block[p : p + n]
                 best = max(best, int(differs.argmax()) if differs.any() else n)
-        return best if best >= self.length else 0
+        return best
 
-    def parse(self, words: np.ndarray, windows: list[int]) -> np.ndarray:
+    def parse(self, words: np.ndarray, windows: list[bytes]) -> np.ndarray:
         """Greedy factors; which windows lie in the reference."""
         found, i, n = np.zeros(len(windows), bool), 0, len(windows)
         while i < n:
@@ -135,18 +129,20 @@ class Reference:
 
 
 def parsed(found: Iterator[tuple], length: int) -> Iterator[tuple[int, int, np.ndarray]]:
-    """h, s and the marked windows of each slice; found: (h, s, smallest doc_id, words) in the order of that doc_id."""
-    reference, waiting, now = Reference(length), [], None
-    for h, s, m, raw in found:
-        words = np.frombuffer(raw, np.uint64)
-        windows = ngrams(words, length).tolist()
-        if m != now:
-            for w in waiting:
-                reference.add(*w)
-            waiting, now = [], m
-        marks = reference.parse(words, windows)
-        waiting.append((words, windows, ~marks))
-        yield h, s, marks
+    """h, s and the marked windows of each slice; found: (h, s, smallest doc_id, text of the slice) in the order of h and that doc_id."""
+    for h, slices_ in groupby(found, key=lambda r: r[0]):
+        reference, waiting, now = Reference(length), [], None
+        numbers: dict[bytes, int] = {}
+        for _, s, m, text in slices_:
+            words = np.array([numbers.setdefault(w, len(numbers)) for w in text.split()], np.int32)
+            windows = windows_of(words, length)
+            if m != now:
+                for w in waiting:
+                    reference.add(*w)
+                waiting, now = [], m
+            marks = reference.parse(words, windows)
+            waiting.append((words, windows, ~marks))
+            yield h, s, marks
 
 
 def runs_of(marks: np.ndarray) -> bytes:
@@ -198,21 +194,21 @@ def earlier_windows(keyed: DataFrame, length: int = LENGTH, kmer: int = KMER) ->
     one = places.groupBy("h", "s").agg(F.min(F.struct("k1", "k2", "pos")).alias("at"), F.max("k1").alias("last"))
     one = staged(one.withColumn("kinds", F.count("*").over(Window.partitionBy("h"))).select("h", "s", "at.*", "last", "kinds"), "word-slices")
     wanted = one.filter("kinds > 1").groupBy("k1", "k2").agg(F.collect_list(F.struct("h", "s", "pos")).alias("wanted"))
-    cut_schema = pa.schema([("h", pa.int64()), ("s", pa.int64()), ("m", pa.int64()), ("words", pa.binary())])
+    cut_schema = pa.schema([("h", pa.int64()), ("s", pa.int64()), ("m", pa.int64()), ("slice", pa.binary())])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         zstd = zstandard.ZstdDecompressor()
         for batch in batches:
             for k1, z, own in rows(batch, "k1", "z", "wanted"):
-                w = word_hashes(zstd.decompress(z))
-                words = [w[(a := x["pos"] >> 7) : a + (x["pos"] & 127) + length - 1].tobytes() for x in own]
-                yield out_batch(cut_schema, [[x["h"] for x in own], [x["s"] for x in own], [k1] * len(own), words])
+                w = zstd.decompress(z).split()
+                parts = [b" ".join(w[(a := x["pos"] >> 7) : a + (x["pos"] & 127) + length - 1]) for x in own]
+                yield out_batch(cut_schema, [[x["h"] for x in own], [x["s"] for x in own], [k1] * len(own), parts])
 
     marks_schema = pa.schema([("h", pa.int64()), ("s", pa.int64()), ("marks", pa.binary())])
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[list] = [[], [], []]
-        for h, s, marks in parsed((r for b in batches for r in rows(b, "h", "s", "m", "words")), length):
+        for h, s, marks in parsed((r for b in batches for r in rows(b, "h", "s", "m", "slice")), length):
             if marks.any():
                 for c, v in zip(out, (h, s, runs_of(marks)), strict=True):
                     c.append(v)
@@ -222,8 +218,8 @@ def earlier_windows(keyed: DataFrame, length: int = LENGTH, kmer: int = KMER) ->
         yield out_batch(marks_schema, out)
 
     texts = _packed(keyed).select("k1", "k2", "z")
-    pieces = texts.join(wanted, ["k1", "k2"]).select("k1", "z", "wanted").mapInArrow(tidied(cut), "h long, s long, m long, words binary")
-    ordered = pieces.dropDuplicates(["h", "s"]).repartition(spread(spark), "h").sortWithinPartitions("m", "h", "s")
+    pieces = texts.join(wanted, ["k1", "k2"]).select("k1", "z", "wanted").mapInArrow(tidied(cut), "h long, s long, m long, slice binary")
+    ordered = pieces.dropDuplicates(["h", "s"]).repartition(spread(spark), "h").sortWithinPartitions("h", "m", "s")
     marks = staged(ordered.mapInArrow(tidied(parse), "h long, s long, marks binary"), "word-marks")
     # Slices that say something: marked ones, and those that a later document has too.
     told = one.select("h", "s", F.col("k1").alias("m"), "last").join(marks, ["h", "s"], "left").filter("marks is not null or m < last")

@@ -2,58 +2,61 @@
 
 The matrix has a row for each distinct set of n-grams and a column for each n-gram. Two sets of sizes x and y that reach
 the similarity overlap in at least z n-grams, z given by x and y; so in any common order of n-grams they share one
-that is among the first x - z + 1 of one and the first y - z + 1 of the other. Only such entries take part. The order
-puts n-grams first that a count sketch of fixed size, added up over all documents, shows to be rare.
-
-1. Each document gives its set's hash, size and parity signature; equal sets become one row.
-2. Entries go to blocks of columns. A block multiplies: it accumulates, for pairs of rows, the columns they share at
-   places that their sizes allow. Columns with more than `dense` rows aren't multiplied out: their rows are paired
-   with the column's smallest row only, and put by.
-3. Pairs whose signatures differ in more bits than their sizes allow their sets to differ in are dropped. Of the
-   others, a few first pairs of each row (neighbours by size in some column, or with the smallest row of a column put
-   by) are verified on the whole sets; their links make components.
-4. The other pairs are verified where they lie between components, and the columns put by are multiplied out between
-   rows of different components, with the same bounds. So no link between two components is missed, and a group of
-   thousands of near copies costs its size, not the square. link_counts() asks for every link: then all pairs and all
-   columns put by are verified, within components too.
-
-Every decision is on whole texts and exact sets of 64-bit n-gram hashes. Fewer than n words: the whole sequence is the
-one n-gram. No words or null text: an empty set, linked with nothing. Repeated rows: one set. Null doc_id: takes part
-in links but is no component's smallest id, unless all are null. An empty table gives an empty result. Extra columns are
-ignored.
+that is among the first x - z + 1 of one and the first y - z + 1 of the other. Only such entries choose what is
+multiplied. The order puts n-grams first that a count sketch of fixed size, added up over all documents, shows to be rare.
+
+1. Each document gives its set's hash and size; equal sets become one row.
+2. Entries go to blocks of columns. In each column, rows that have no partner at a place that their sizes allow are
+   dropped. The others join the group of the column's smallest row, its centre. Two rows that link share a column that
+   counts, so they share a group; a row is in few groups, as most of its columns have the same centre.
+3. Rows whose sizes and places allow a link with the centre are verified against it; these links make components.
+4. A group with rows of several components is a block of the product: rows by n-grams, multiplied with its own transpose.
+   Overlap counts are accumulated for all pairs of rows at once, in memory; pairs below the bound that their sizes give
+   are discarded there, and only links that join components leave the block. A large group is cut into tiles of rows, by
+   component, size and hash; pairs of tiles of one component, or of sizes that can't link, are left out.
+
+So no pair is made into a row but those of step 3 (rows of the matrix with their few centres) and links that join. A
+group of thousands of near copies costs its size in step 3, and is of one component in step 4. link_counts() asks for
+every link: then all groups are multiplied and all links returned, within components too.
+
+Candidates come by hashes of 64 bits. Every link is decided on the words themselves. Fewer than n words: the whole sequence
+is the one n-gram. No words or null text: an empty set, linked with nothing. Repeated rows: one set. Very long texts: whole,
+a set of any size; tiles hold fewer of them. Null doc_id: takes part in links but is no component's smallest id, unless all
+are null. Ties: a component's smallest doc_id may stand in several rows; all have it as their component. An empty table
+gives an empty result. Extra columns are ignored.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from heapscope.llm.common import batches_of, out_batch, rows, small_batches, spread, staged, tidied
 from heapscope.llm.graph import components
-from heapscope.llm.word_hash import hashed_words, mixed
+from heapscope.llm.word_hash import hashed_words, mixed, ngrams
 
 WORDS, PERCENT = 5, 80
-#: Counters of the sketch; columns of more rows than DENSE are put by.
-SKETCH, DENSE = 1 << 22, 16
-#: Words of 64 bits in a signature: a bit is the parity of how many n-grams fall to it, so two sets differ in at least as
-#: many n-grams as their signatures in bits.
-SIGNATURE = 16
-_C = [pow(0x9E3779B97F4A7C15, k, 1 << 64) for k in range(1, 65)]
+#: Counters of the sketch, and the slices in which they are added up.
+SKETCH, SLICES = 1 << 22, 64
+#: The most rows and n-grams in a tile; larger groups have several.
+TILE, TILE_GRAMS = 1024, 2_000_000
+#: Columns of at most so many rows are looked through pair by pair for rows without a partner.
+SHORT = 16
 
 
 def shingle_sets(texts: list[bytes], k: int = WORDS) -> list[np.ndarray]:
     """For each text the distinct n-grams of its words as sorted hashes; A-Z count as a-z."""
     w, n = hashed_words(texts, fold=True)
-    grams = lambda x, size: mixed(sum((x[i : len(x) - size + 1 + i] * np.uint64(_C[i]) for i in range(size)), np.full(len(x) - size + 1, np.uint64(size))))
-    whole = grams(w, k) if len(w) >= k else np.zeros(0, np.uint64)
+    whole = ngrams(w, k)
     out, a = [], 0
     for m in n.tolist():
-        out.append(np.unique(whole[a : a + m - k + 1]) if m >= k else grams(w[a : a + m], m) if m else np.zeros(0, np.uint64))
+        out.append(np.unique(whole[a : a + m - k + 1] if m >= k else ngrams(w[a : a + m], m) if m else w[:0]))
         a += m
     return out
 
@@ -66,11 +69,6 @@ def set_hash(s: np.ndarray) -> int:
     return int(mixed(np.array([mixed(s).sum() + np.uint64(len(s))], np.uint64)).view(np.int64)[0])
 
 
-def signature(s: np.ndarray) -> list[int]:
-    bits = np.bincount((s & np.uint64(64 * SIGNATURE - 1)).astype(np.intp), minlength=64 * SIGNATURE) & 1
-    return np.packbits(bits.astype(np.uint8)).view(np.int64).tolist()
-
-
 def needed(na: np.ndarray, nb: np.ndarray, percent: int = PERCENT) -> np.ndarray:
     """The least overlap with 100 * overlap >= percent * union."""
     return -((-percent * (na + nb)) // (100 + percent))
@@ -83,8 +81,8 @@ def prefix(n: np.ndarray, percent: int = PERCENT) -> np.ndarray:
 
 def _keyed(docs: DataFrame) -> DataFrame:
     small_batches(docs.sparkSession)
-    text, doc_id = F.coalesce(F.col("text").cast("string"), F.lit("")), F.col("doc_id").cast("long")
-    return docs.select(doc_id.alias("doc_id"), text.alias("text"))
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("t"))
 
 
 def _batch_sets(batch: pa.RecordBatch, k: int) -> Iterator[np.ndarray]:
@@ -93,42 +91,56 @@ def _batch_sets(batch: pa.RecordBatch, k: int) -> Iterator[np.ndarray]:
         yield from shingle_sets([t.encode("utf-8", "replace") for t in texts[a:b]], k)
 
 
-_SETS = pa.schema([("doc_id", pa.int64()), ("g", pa.int64()), ("n", pa.int64()), ("sig", pa.list_(pa.int64())), ("sketch", pa.binary())])
+_SETS = pa.schema([("doc_id", pa.int64()), ("t", pa.int64()), ("g", pa.int64()), ("n", pa.int64()), ("slice", pa.int32()), ("counts", pa.binary())])
 
 
 def _sets(keyed: DataFrame, k: int) -> DataFrame:
-    """doc_id, g (the set's hash), n and sig of each row; and from each task a row with its sketch of n-gram counts."""
+    """doc_id, t (the text's hash), g (the set's hash) and n of each row; and from each task its sketch of n-gram counts, in slices."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketch = np.zeros(SKETCH, np.int32)
         for batch in batches:
-            out: list[list] = [[], [], [], [], []]
-            held = []
-            for doc_id, s in zip(batch.column("doc_id").to_pylist(), _batch_sets(batch, k), strict=True):
+            g, n, held = [], [], []
+            for s in _batch_sets(batch, k):
                 held.append((s >> np.uint64(42)).astype(np.int32))
-                for c, v in zip(out, (doc_id, set_hash(s), len(s), signature(s), None), strict=True):
-                    c.append(v)
-            sketch += np.bincount(np.concatenate(held), minlength=SKETCH).astype(np.int32) if held else 0
-            yield out_batch(_SETS, out)
-        yield out_batch(_SETS, [[None], [0], [-1], [None], [zstandard.ZstdCompressor(level=1).compress(sketch.tobytes())]])
+                g.append(set_hash(s))
+                n.append(len(s))
+            if held:
+                np.add(sketch, np.bincount(np.concatenate(held), minlength=SKETCH), out=sketch, casting="unsafe")
+            yield out_batch(_SETS, [batch.column("doc_id"), batch.column("t"), g, n, pa.nulls(len(g), pa.int32()), pa.nulls(len(g), pa.binary())])
+        zstd = zstandard.ZstdCompressor(level=1)
+        parts = [zstd.compress(x.tobytes()) for x in sketch.astype(np.int64).reshape(SLICES, -1)] if sketch.any() else []
+        none = pa.nulls(len(parts), pa.int64())
+        yield out_batch(_SETS, [none, none, none, [-1] * len(parts), list(range(len(parts))), parts])
 
-    return keyed.mapInArrow(tidied(run), "doc_id long, g long, n long, sig array<long>, sketch binary")
+    return keyed.mapInArrow(tidied(run), "doc_id long, t long, g long, n long, slice int, counts binary")
 
 
 def _levels(sets: DataFrame) -> np.ndarray:
-    """A level for each counter of the summed sketch: 0 up to what chance explains, then two more for each doubling. Its size is fixed."""
+    """A level for each counter of the summed sketch: 0 up to what chance explains, then two more for each doubling.
+
+    Slices are added in two steps, so a task reads few tasks' slices at any number of tasks. The driver gets the sums of a
+    fixed number of counters.
+    """
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(SKETCH, np.int64)
+        totals: dict[int, np.ndarray] = {}
+        unzip, zstd = zstandard.ZstdDecompressor(), zstandard.ZstdCompressor(level=1)
         for batch in batches:
-            for (x,) in rows(batch, "sketch"):
-                total += np.frombuffer(zstandard.ZstdDecompressor().decompress(x), np.int32)
-        yield pa.RecordBatch.from_arrays([pa.array([zstandard.ZstdCompressor(level=1).compress(total.tobytes())], pa.binary())], ["sketch"])
-
-    parts = sets.filter("n = -1").select("sketch").repartition(4).mapInArrow(tidied(add), "sketch binary")
-    total = np.zeros(SKETCH, np.int64)
-    for r in parts.toLocalIterator():
-        total += np.frombuffer(zstandard.ZstdDecompressor().decompress(bytes(r.sketch)), np.int64)
+            for i, x in rows(batch, "slice", "counts"):
+                c = np.frombuffer(unzip.decompress(x), np.int64)
+                totals[i] = totals[i] + c if i in totals else c
+        for i, c in totals.items():
+            yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([zstd.compress(c.tobytes())], pa.binary())], ["slice", "counts"])
+
+    parts = sets.filter("n = -1").select("slice", "counts")
+    blocks = spread(sets.sparkSession)
+    some = parts.withColumn("some", F.spark_partition_id() % 16).repartition(blocks, "slice", "some").select("slice", "counts")
+    summed = some.mapInArrow(tidied(add), "slice int, counts binary").repartition(blocks, "slice").mapInArrow(tidied(add), "slice int, counts binary")
+    total = np.zeros((SLICES, SKETCH // SLICES), np.int64)
+    for r in summed.toLocalIterator():
+        total[r["slice"]] += np.frombuffer(zstandard.ZstdDecompressor().decompress(bytes(r["counts"])), np.int64)
+    total = total.ravel()
     # Counters hold some mean of n-grams that share them, with a spread of its root; what stands out by four times that is common.
     spread_ = 4 * np.sqrt(total.mean()) + 4
     over = (total - total.mean()) / spread_
@@ -188,50 +200,54 @@ def _entries(keyed: DataFrame, levels, k: int, percent: int, blocks: int) -> Dat
     return keyed.select("text").mapInArrow(tidied(run), "block int, docs binary, columns binary, which binary, place binary")
 
 
-def multiply(columns: np.ndarray, row: np.ndarray, place: np.ndarray, n: np.ndarray, dense: int, percent: int) -> tuple[np.ndarray, ...]:
-    """Pairs of rows, how many columns they share where it counts, whether they are neighbours in some column, and which
-    entries are of dense columns (those are paired with one row only).
+def grouped(columns: np.ndarray, row: np.ndarray, place: np.ndarray, n: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows, the centres of their groups, and whether a place they share allows a link with the centre.
 
-    Entries are sorted by column; rows are numbered, n is their size.
+    Entries are sorted by column, then size; rows are numbered, n is their size. A row is left out of a column where no other
+    row's size and place allow a link.
     """
     edge = np.flatnonzero(np.concatenate([[True], columns[1:] != columns[:-1], [True]]))
     count = np.diff(edge)
-    pairs: list[np.ndarray] = []
-    firsts: list[np.ndarray] = []
-    weight = np.int64(len(n))
-
-    def keep(a: np.ndarray, b: np.ndarray, first: bool) -> None:
-        na, nb, pa_, pb = n[row[a]], n[row[b]], place[a], place[b]
-        need = needed(na, nb, percent)
-        ok = (row[a] != row[b]) & (pa_ <= na - need) & (pb <= nb - need)
-        x, y = row[a[ok]], row[b[ok]]
-        pairs.append(np.minimum(x, y) * weight + np.maximum(x, y))
-        if first:
-            firsts.append(pairs[-1])
-
-    for m in range(2, dense + 1):
+    size = n[row]
+    alive = np.zeros(len(row), bool)
+
+    def fits(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        need = needed(size[a], size[b], percent)
+        return (place[a] <= size[a] - need) & (place[b] <= size[b] - need)
+
+    for m in range(2, SHORT + 1):
         starts = edge[:-1][count == m]
         for i in range(m) if len(starts) else ():
             for j in range(i + 1, m):
-                keep(starts + i, starts + j, j == i + 1)
-    put_by = np.repeat(count > dense, count)
-    if put_by.any():
-        at = np.flatnonzero(put_by)
-        # The smallest row of the column: entries of a column are sorted by size.
-        keep(np.repeat(edge[:-1], count)[at], at, True)
-    found = np.concatenate(pairs) if pairs else np.zeros(0, np.int64)
-    found, shared = np.unique(found, return_counts=True)
-    first = np.isin(found, np.concatenate(firsts)) if firsts else np.zeros(len(found), bool)
-    return found // weight, found % weight, shared, first, put_by
-
-
-_PRODUCT = pa.schema([("kind", pa.int32()), ("a", pa.int64()), ("b", pa.int64()), ("na", pa.int64()), ("nb", pa.int64()), ("shared", pa.int64()), ("first", pa.bool_()), ("sets", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int64())), ("places", pa.list_(pa.int64()))])
-#: The most entries of a column that is put by in one row.
-PACK = 256
-
-
-def _product(entries: DataFrame, blocks: int, dense: int, percent: int) -> DataFrame:
-    """kind 0: a pair of sets with their sizes and shared columns; kind 1: some entries of a column (a) that is put by."""
+                ok = fits(starts + i, starts + j)
+                alive[starts[ok] + i] = True
+                alive[starts[ok] + j] = True
+    # In longer columns: the smaller of two rows that link is at a place that a row of its own size could link at. So a row
+    # has a partner if it is at such a place and the next one is not too large, or if the last such one before is not too small.
+    column = np.repeat(np.arange(len(count)), count)
+    early = place <= size - needed(size, size, percent)
+    long = (count > SHORT)[column]
+    following = np.append((column[1:] == column[:-1]) & (percent * size[1:] <= 100 * size[:-1]), False) if len(row) else early
+    last = np.maximum.accumulate(np.where(early, np.arange(len(row)), -1))
+    before = np.concatenate([[-1], last[:-1]]) if len(row) else last
+    has = (before >= edge[:-1][column]) & (percent * size <= 100 * size[before])
+    alive |= long & ((early & following) | has)
+    at = np.flatnonzero(alive)
+    new = np.concatenate([[True], column[at][1:] != column[at][:-1]]) if len(at) else alive[:0]
+    centre = at[np.flatnonzero(new)][np.cumsum(new) - 1] if len(at) else at
+    code = row[centre] * np.int64(len(n)) + row[at]
+    pairs, which = np.unique(code, return_inverse=True)
+    ok = np.zeros(len(pairs), bool)
+    ok[which[fits(centre, at)]] = True
+    keep = pairs // len(n) != pairs % len(n) if len(pairs) else ok
+    return pairs[keep] % len(n), pairs[keep] // len(n), ok[keep]
+
+
+_GROUPS = pa.schema([("z", pa.int64()), ("g", pa.int64()), ("nz", pa.int64()), ("n", pa.int64()), ("fits", pa.bool_())])
+
+
+def _groups(entries: DataFrame, blocks: int, percent: int) -> DataFrame:
+    """z (a centre), g, their sizes, and whether a link is possible between them, for every row of a group but its centre."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         by_block: dict[int, list] = {}
@@ -254,29 +270,28 @@ def _product(entries: DataFrame, blocks: int, dense: int, percent: int) -> DataF
             order = np.lexsort((g[row], n[row], columns))
             columns, row, place = columns[order], row[order], place[order]
             new = np.concatenate([[True], (columns[1:] != columns[:-1]) | (row[1:] != row[:-1])])
-            columns, row, place = columns[new], row[new], place[new]
-            a, b, shared, first_pair, put_by = multiply(columns, row, place, n, dense, percent)
-            for i in range(0, len(a), 100_000):
-                x, y = a[i : i + 100_000], b[i : i + 100_000]
-                none = pa.nulls(len(x), pa.list_(pa.int64()))
-                yield out_batch(_PRODUCT, [np.zeros(len(x), np.int32), g[x], g[y], n[x], n[y], shared[i : i + 100_000].astype(np.int64), first_pair[i : i + 100_000], none, none, none])
-            at = np.flatnonzero(put_by)
-            if len(at):
-                cut = np.concatenate([[0], np.flatnonzero(columns[at][1:] != columns[at][:-1]) + 1, [len(at)]])
-                cut = [c for lo, hi in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True) for c in range(lo, hi, PACK)] + [len(at)]
-                for i in range(0, len(cut) - 1, 400):
-                    edges = cut[i : i + 401]
-                    own = at[edges[0] : edges[-1]]
-                    offsets = pa.array([e - edges[0] for e in edges], pa.int32())
-                    lists = [pa.ListArray.from_arrays(offsets, pa.array(v, pa.int64())) for v in (g[row[own]], n[row[own]], place[own])]
-                    zero = np.zeros(len(edges) - 1, np.int64)
-                    yield out_batch(_PRODUCT, [zero.astype(np.int32) + 1, columns[at[edges[:-1]]].view(np.int64), zero, zero, zero, zero, zero.astype(bool), *lists])
-
-    return entries.repartition(blocks, "block").mapInArrow(tidied(run), "kind int, a long, b long, na long, nb long, shared long, first boolean, sets array<long>, sizes array<long>, places array<long>")
-
-
-def _verified(pairs: DataFrame, texts: DataFrame, k: int, percent: int, every: bool = False) -> DataFrame:
-    """Pairs (a, b) of sets that link, by their whole texts; unless every, pairs that a task already has in one component are left out.
+            member, centre, ok = grouped(columns[new], row[new], place[new], n, percent)
+            for i in range(0, len(member), 100_000):
+                x, z = member[i : i + 100_000], centre[i : i + 100_000]
+                yield out_batch(_GROUPS, [g[z], g[x], n[z], n[x], ok[i : i + 100_000]])
+
+    found = entries.repartition(blocks, "block").mapInArrow(tidied(run), "z long, g long, nz long, n long, fits boolean")
+    return found.groupBy("z", "g", "nz", "n").agg(F.bool_or("fits").alias("fits"))
+
+
+def word_ngrams(text: bytes, k: int = WORDS) -> set[tuple[bytes, ...]]:
+    """The n-grams themselves; A-Z count as a-z."""
+    w = text.lower().split()
+    return set(zip(*(w[i:] for i in range(k)), strict=False)) if len(w) >= k else {tuple(w)} if w else set()
+
+
+def _alike(x: set, y: set, percent: int) -> bool:
+    same = len(x & y)
+    return 100 * same >= percent * (len(x) + len(y) - same)
+
+
+def _verified(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
+    """Of the pairs (a, b) of sets those that link, by their words; pairs that a task already has in one component are left out.
 
     texts: g and z, a row for each set.
     """
@@ -284,7 +299,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, k: int, percent: int, every: b
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         zstd = zstandard.ZstdDecompressor()
-        last, of_last, up = None, None, {}
+        last, of_last, up = None, set(), {}
 
         def top(x: int) -> int:
             while (y := up.setdefault(x, x)) != x:
@@ -295,15 +310,12 @@ def _verified(pairs: DataFrame, texts: DataFrame, k: int, percent: int, every: b
         for batch in batches:
             out: list[list] = [[], []]
             for a, b, za, zb in rows(batch, "a", "b", "za", "zb"):
-                if not every and top(a) == top(b):
+                if top(a) == top(b):
                     continue
                 if b != last:
-                    last, of_last = b, shingles(zstd.decompress(zb), k)
-                x = shingles(zstd.decompress(za), k)
-                same = len(np.intersect1d(x, of_last, assume_unique=True))
-                if 100 * same >= percent * (len(x) + len(of_last) - same):
-                    if not every:
-                        up[top(a)] = top(b)
+                    last, of_last = b, word_ngrams(zstd.decompress(zb), k)
+                if _alike(word_ngrams(zstd.decompress(za), k), of_last, percent):
+                    up[top(a)] = top(b)
                     out[0].append(a)
                     out[1].append(b)
             yield out_batch(schema, out)
@@ -315,6 +327,151 @@ def _verified(pairs: DataFrame, texts: DataFrame, k: int, percent: int, every: b
     return both.select("a", "b", "za", "zb").mapInArrow(tidied(run), "a long, b long")
 
 
+def overlaps(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
+    """The product of two blocks of rows: how many n-grams each set of a shares with each of b.
+
+    Columns with many entries are multiplied as matrices, a slice of columns at a time; the others pair by pair.
+    """
+    out = np.zeros(len(a) * len(b), np.int64)
+    columns = np.concatenate([*a, *b])
+    _, number = np.unique(columns, return_inverse=True)
+    size = sum(len(s) for s in a)
+    x, y = number[:size], number[size:]
+    kinds = int(number.max()) + 1 if len(number) else 0
+    in_a, in_b = np.bincount(x, minlength=kinds), np.bincount(y, minlength=kinds)
+    row_a, row_b = (np.repeat(np.arange(len(s)), [len(v) for v in s]) for s in (a, b))
+    pairs = in_a * in_b
+    dense = pairs * 32 > len(out)
+    if dense.any():
+        place = np.cumsum(dense) - 1
+        keep_a, keep_b = dense[x], dense[y]
+        xa, ra, yb, rb = place[x[keep_a]], row_a[keep_a], place[y[keep_b]], row_b[keep_b]
+        total = np.zeros((len(a), len(b)), np.float32)  # whole numbers below 2^24 are exact
+        for lo in range(0, int(dense.sum()), 2048):
+            left, right = np.zeros((len(a), 2048), np.float32), np.zeros((len(b), 2048), np.float32)
+            own = (xa >= lo) & (xa < lo + 2048)
+            left[ra[own], xa[own] - lo] = 1
+            own = (yb >= lo) & (yb < lo + 2048)
+            right[rb[own], yb[own] - lo] = 1
+            total += left @ right.T
+        out += total.ravel().astype(np.int64)
+    sparse = (pairs > 0) & ~dense
+    if sparse.any():
+        keep_a, keep_b = sparse[x], sparse[y]
+        order_a, order_b = np.argsort(x[keep_a], kind="stable"), np.argsort(y[keep_b], kind="stable")
+        xa, ra, rb = x[keep_a][order_a], row_a[keep_a][order_a], row_b[keep_b][order_b]
+        first_b = np.cumsum(np.where(sparse, in_b, 0)) - in_b
+        times = in_b[xa]
+        edges = np.cumsum(times)
+        lo = 0
+        while lo < len(xa):
+            hi = max(lo + 1, int(np.searchsorted(edges, (edges[lo - 1] if lo else 0) + 2_000_000, "right")))
+            t = times[lo:hi]
+            partner = np.arange(int(t.sum())) - np.repeat(np.cumsum(t) - t, t) + np.repeat(first_b[xa[lo:hi]], t)
+            out += np.bincount(np.repeat(ra[lo:hi], t) * len(b) + rb[partner], minlength=len(out))
+            lo = hi
+    return out.reshape(len(a), len(b))
+
+
+def linked_pairs(a: list[np.ndarray], b: list[np.ndarray], percent: int) -> np.ndarray:
+    """Which sets of a and b reach the similarity, by their hashes."""
+    same = overlaps(a, b)
+    na, nb = (np.array([len(s) for s in x], np.int64) for x in (a, b))
+    return 100 * same >= percent * (na[:, None] + nb[None, :] - same)
+
+
+_LINKS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+
+def _multiplied(blocks_: DataFrame, texts: DataFrame, k: int, percent: int, every: bool) -> DataFrame:
+    """Links (a, b) found by multiplying blocks: those that join components, or every link.
+
+    blocks_: of each row z, x, y (the group and the pair of tiles), side (0: first tile, 1: second, 2: both are this one), g and c.
+    """
+
+    def links(own: list[tuple]) -> Iterator[tuple[int, int]]:
+        zstd = zstandard.ZstdDecompressor()
+        sides = [[(g, c, zstd.decompress(z)) for side, g, c, z in own if side != skip] for skip in (1, 0)]
+        a, b = (sorted(x) for x in sides)
+        if not a or not b:
+            return
+        found = linked_pairs(*(shingle_sets([t for *_, t in x], k) for x in (a, b)), percent)
+        up = {c: c for x in (a, b) for _, c, _ in x}
+
+        def top(x: int) -> int:
+            while up[x] != x:
+                up[x] = up[up[x]]
+                x = up[x]
+            return x
+
+        kept: dict[bytes, set] = {}
+
+        def words(t: bytes) -> set:
+            if len(kept) > 64:
+                kept.clear()
+            if t not in kept:
+                kept[t] = word_ngrams(t, k)
+            return kept[t]
+
+        same_tile = own[0][0] == 2
+        of = np.array([c for _, c, _ in b], np.int64)
+        for i, (ga, ca, ta) in enumerate(a):
+            at = np.flatnonzero(found[i])
+            at = at[at > i] if same_tile else at
+            if not every:
+                at = at[of[at] != ca]
+            for j in at.tolist():
+                gb, cb, tb = b[j]
+                if ga != gb and (every or top(ca) != top(cb)) and _alike(words(ta), words(tb), percent):
+                    up[top(ca)] = top(cb)
+                    yield min(ga, gb), max(ga, gb)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        given = (r for batch in batches for r in rows(batch, "z", "x", "y", "side", "g", "c", "text"))
+        out: list[list] = [[], []]
+        for _, own in groupby(given, key=lambda r: r[:3]):
+            for x, y in links([r[3:] for r in own]):
+                out[0].append(x)
+                out[1].append(y)
+            if len(out[0]) > 10_000:
+                yield out_batch(_LINKS, out)
+                out = [[], []]
+        yield out_batch(_LINKS, out)
+
+    dealt = blocks_.join(texts.withColumnRenamed("z", "text"), "g").repartition(spread(texts.sparkSession), "z", "x", "y").sortWithinPartitions("z", "x", "y")
+    return dealt.select("z", "x", "y", "side", "g", "c", "text").mapInArrow(tidied(run), "a long, b long")
+
+
+def _tiles(members: DataFrame, tile: int, grams: int, every: bool) -> DataFrame:
+    """z, x, y, side, g, c: the rows of every pair of tiles (x and y of the group z) that is to be multiplied.
+
+    members: z, g, n, c, all rows of groups that have several components (or of all groups). Tiles of one component, and of
+    sizes that differ by more than the similarity allows, aren't paired.
+    """
+    sized = members.join(members.groupBy("z").agg(F.count("*").alias("m"), F.sum("n").alias("s")), "z")
+    fits = (F.col("m") <= tile) & (F.col("s") <= grams)
+    zero = F.lit(0).cast("long")
+    small = sized.filter(fits).select("z", zero.alias("x"), zero.alias("y"), F.lit(2).alias("side"), "g", "c")
+    large = sized.filter(~fits).select("z", "g", "n", "c")
+    # Components with rows enough for half a tile have their own; the others share tiles.
+    big = large.groupBy("z", "c").agg(F.count("*").alias("mc")).filter(F.col("mc") * 2 >= tile).select("z", "c", F.col("c").alias("own"))
+    own = F.lit(None).cast("long") if every else F.col("own")
+    # Sizes that link differ by a quarter at most, so they are of one band or of neighbouring ones.
+    band = F.floor(F.log("n") / F.log(F.lit(1.26)))
+    banded = large.join(big, ["z", "c"], "left").select("z", "g", "n", "c", own.alias("own"), band.alias("band"))
+    key = ["z", F.coalesce("own", F.lit(0)).alias("of"), F.col("own").isNull().alias("mixed"), "band"]
+    parts = F.ceil(F.greatest(F.count("*") / F.lit(float(tile)), F.sum("n") / F.lit(float(grams)), F.lit(1.0))).cast("long").alias("parts")
+    shape = banded.groupBy(*key).agg(parts)
+    number = F.xxhash64("of", "mixed", "band", "part").alias("t")
+    named = banded.select("g", "c", *key).join(shape, ["z", "of", "mixed", "band"]).withColumn("part", F.pmod(F.xxhash64("g"), "parts")).select("z", "g", "c", number)
+    tiles = shape.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).select("z", "of", "mixed", "band", number)
+    left, right = (tiles.select("z", *(F.col(c).alias(c + i) for c in ("of", "mixed", "band", "t"))) for i in "12")
+    pairs = left.join(right, "z").filter("t1 <= t2 and abs(band1 - band2) <= 1 and (mixed1 or mixed2 or of1 != of2)").select("z", F.col("t1").alias("x"), F.col("t2").alias("y"))
+    end = lambda side, t: F.struct(F.lit(side).alias("side"), F.col(t).alias("t"))
+    ends = pairs.select("z", "x", "y", F.explode(F.when(F.col("x") == F.col("y"), F.array(end(2, "x"))).otherwise(F.array(end(0, "x"), end(1, "y")))).alias("e"))
+    return small.unionByName(named.join(ends.select("z", "x", "y", "e.*"), ["z", "t"]).select("z", "x", "y", "side", "g", "c"))
+
+
 def _texts_of(keyed: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
     """g and z, the compressed text of one document, for the sets in wanted (g)."""
     schema = pa.schema([("g", pa.int64()), ("z", pa.binary())])
@@ -338,66 +495,31 @@ def _texts_of(keyed: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
     return staged(packed.join(wanted, "g", "left_semi").dropDuplicates(["g"]), "pair-texts")
 
 
-def linked_sets(docs: DataFrame, k: int = WORDS, percent: int = PERCENT, dense: int = DENSE, every: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """sets (doc_id, g, n), the verified links between sets (a, b), and components (v, c).
+def linked_sets(docs: DataFrame, k: int = WORDS, percent: int = PERCENT, tile: int = TILE, every: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """sets (doc_id, t, g, n), the verified links between sets (a, b), and components (v, c).
 
     The links are enough of them to join what belongs together; or every link, whose number grows with the square of a group.
     """
     spark = docs.sparkSession
     keyed = _keyed(docs)
     first = staged(_sets(keyed, k), "sets")
-    sets = first.filter("n >= 0").select("doc_id", "g", "n")
+    sets = first.filter("n >= 0").select("doc_id", "t", "g", "n")
     blocks = spread(spark)
     levels = spark.sparkContext.broadcast(_levels(first))
-    product = staged(_product(_entries(keyed, levels, k, percent, blocks), blocks, dense, percent), "products")
-    signatures = first.filter("n > 0").select("g", "sig").dropDuplicates(["g"])
-    # Sizes x and y that link overlap in `need`; they differ in at most x + y - 2 * need.
-    need = F.expr(f"({percent} * (na + nb) + {100 + percent - 1}) div {100 + percent}")
-
-    def differing(x: Column, y: Column) -> Column:
-        return sum((F.bit_count(x[i].bitwiseXOR(y[i])) for i in range(SIGNATURE)), F.lit(0))
-
-    def near(pairs: DataFrame) -> DataFrame:
-        """The pairs (a, b, na, nb) whose signatures allow a link."""
-        signed = pairs.join(signatures.select(F.col("g").alias("a"), F.col("sig").alias("sa")), "a").join(signatures.select(F.col("g").alias("b"), F.col("sig").alias("sb")), "b")
-        bits = differing(F.col("sa"), F.col("sb"))
-        return signed.filter(bits <= F.col("na") + F.col("nb") - 2 * need).select(*pairs.columns)
-
-    counted = product.filter("kind = 0").groupBy("a", "b", "na", "nb").agg(F.sum("shared").alias("shared"), F.bool_or("first").alias("first"))
-    candidates = staged(near(counted), "pairs")
-    entry = F.explode(F.arrays_zip("sets", "sizes", "places")).alias("e")
-    put_by = product.filter("kind = 1").select(F.col("a").alias("x"), entry).select("x", F.col("e.sets").alias("g"), F.col("e.sizes").alias("n"), F.col("e.places").alias("place"))
-    ids = candidates.select(F.explode(F.array("a", "b")).alias("g")).unionByName(put_by.select("g")).distinct()
-    texts = _texts_of(keyed, ids, k)
-
-    def crossed(of: DataFrame, apart: str) -> DataFrame:
-        """The pairs of rows of a column that meet the bounds and the condition."""
-        left, right = (of.select("x", *(F.col(c).alias(f"{c}{side}") for c in of.columns if c != "x")) for side in "ab")
-        fits = F.expr(apart) & (F.col("placea") <= F.col("na") - need) & (F.col("placeb") <= F.col("nb") - need)
-        fits &= differing(F.col("siga"), F.col("sigb")) <= F.col("na") + F.col("nb") - 2 * need
-        return left.join(right, "x").filter(fits).select(F.col("ga").alias("a"), F.col("gb").alias("b")).distinct()
-
+    groups = staged(_groups(_entries(keyed, levels, k, percent, blocks), blocks, percent), "groups")
+    centres = groups.select("z", F.col("z").alias("g"), F.col("nz").alias("n")).distinct()
+    members = groups.select("z", "g", "n").unionByName(centres)
+    texts = _texts_of(keyed, members.select("g").distinct(), k)
     if every:
-        pairs = candidates.select("a", "b").unionByName(crossed(put_by.join(signatures, "g"), "ga < gb"))
-        ordered = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        links = staged(_verified(ordered, texts, k, percent, every), "links")
+        links = staged(_multiplied(_tiles(members.withColumn("c", F.col("g")), tile, TILE_GRAMS, every), texts, k, percent, every).distinct(), "links")
         return sets, links, staged(components(links), "labels")
-    # Of a set's first pairs, those with the smallest partner and with the one it shares most with, on either side.
-    most = lambda end, other: candidates.filter("first").groupBy(end).agg(F.array(F.min(other), F.max_by(other, F.struct("shared", -F.col(other)))).alias("o")).select(end, F.explode("o").alias(other)).select("a", "b")
-    chosen = staged(most("a", "b").unionByName(most("b", "a")).distinct(), "first-pairs")
-    links = staged(_verified(chosen, texts, k, percent), "links")
+    links = staged(_verified(groups.filter("fits").select(F.col("g").alias("a"), F.col("z").alias("b")), texts, k, percent), "links")
     label = staged(components(links), "labels").select(F.col("v").alias("g"), "c")
-    # The other pairs, between components.
-    ends = candidates.select("a", "b").join(chosen, ["a", "b"], "left_anti")
-    for end in "ab":
-        ends = ends.join(label.withColumnsRenamed({"g": end, "c": f"c{end}"}), end, "left")
-    open_pairs = ends.filter("coalesce(ca, a) != coalesce(cb, b)").select("a", "b")
-    # Columns put by, between components.
-    of = staged(put_by.join(label, "g", "left").withColumn("c", F.coalesce("c", "g")), "put-by")
-    open_columns = of.groupBy("x").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo < hi").select("x")
-    of = of.join(open_columns, "x").join(signatures, "g")
-    again = crossed(of, "ga < gb and ca != cb").join(candidates.select("a", "b"), ["a", "b"], "left_anti")
-    more = staged(_verified(open_pairs.unionByName(again), texts, k, percent), "links")
+    # Groups with rows of several components; of two rows, the one pair has been looked at.
+    labelled = staged(members.join(label, "g", "left").select("z", "g", "n", F.coalesce("c", "g").alias("c")), "members")
+    several = labelled.groupBy("z").agg(F.count("*").alias("m"), F.min("c").alias("lo"), F.max("c").alias("hi")).filter("m > 2 and lo < hi").select("z")
+    still = staged(labelled.join(several, "z"), "open-members")
+    more = staged(_multiplied(_tiles(still, tile, TILE_GRAMS, every), texts, k, percent, every), "links")
     if more.isEmpty():
         return sets, links, label.withColumnRenamed("g", "v")
     # Links between components join components; only these are gone through again.
@@ -409,6 +531,12 @@ def linked_sets(docs: DataFrame, k: int = WORDS, percent: int = PERCENT, dense:
     return sets, links.unionByName(more), whole
 
 
+def _classed(docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """doc_id, t, g, n and c, the least set of the component."""
+    sets, _, comps = linked_sets(docs, k, percent)
+    return sets.join(comps.select(F.col("v").alias("g"), "c"), "g", "left").withColumn("c", F.coalesce("c", "g"))
+
+
 def near_duplicates(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id and g (the class of equal sets)."""
     sets, _, comps = linked_sets(docs, k, percent)
@@ -420,9 +548,9 @@ def near_duplicates(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) ->
     return known.select("doc_id", F.col("n").alias("n_shingles"), F.when(alone, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), "g")
 
 
-def link_counts(docs: DataFrame, k: int = WORDS, percent: int = PERCENT, dense: int = DENSE) -> DataFrame:
+def link_counts(docs: DataFrame, k: int = WORDS, percent: int = PERCENT, tile: int = TILE) -> DataFrame:
     """doc_id, g (the class of equal sets) and n_links, the number of other classes that the class links with, of each row."""
-    sets, links, _ = linked_sets(docs, k, percent, dense, every=True)
+    sets, links, _ = linked_sets(docs, k, percent, tile, every=True)
     degree = links.select(F.explode(F.array("a", "b")).alias("g")).groupBy("g").agg(F.count("*").alias("n_links"))
     return sets.join(degree, "g", "left").select("doc_id", "g", F.coalesce("n_links", F.lit(0)).alias("n_links"))
 
@@ -432,12 +560,18 @@ def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """Pipeline stage: of each component the document with the smallest doc_id, with its columns; of rows with that doc_id, one."""
-    key = lambda d: [F.coalesce(d["doc_id"].cast("long"), F.lit(0)).alias("_k1"), d["doc_id"].isNull().alias("_k2")]
-    near = near_duplicates(docs)
-    found = near.filter("doc_id = component_id or component_id is null").select(*key(near)).distinct()
-    # Both the join and the choice of one row deal rows out by the same key.
+    """Pipeline stage: one document of each component, with its columns; the smallest doc_id's, or among nulls and ties the least text hash's.
+
+    A document goes only if another of its own component stays, so rows that share a doc_id, or have none, but are of other
+    components all stay. Of rows with the same doc_id and text one stays. Documents without words stay.
+    """
+    found = _classed(docs, WORDS, PERCENT).filter("n > 0").groupBy("c").agg(F.min(F.struct(F.col("doc_id").isNull().alias("k2"), F.coalesce("doc_id", F.lit(0)).alias("k1"), "t")).alias("x"))
     names = [f"c{i}" for i in range(len(docs.columns))]
-    plain = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(docs.columns, names, strict=True)], *key(docs))
-    kept = plain.join(found, ["_k1", "_k2"], "left_semi").dropDuplicates(["_k1", "_k2"])
-    return kept.select(*[F.col(n).alias(c) for c, n in zip(docs.columns, names, strict=True)])
+    text, doc_id = F.coalesce(docs["text"].cast("string"), F.lit("")), docs["doc_id"].cast("long")
+    key = [F.coalesce(doc_id, F.lit(0)).alias("k1"), doc_id.isNull().alias("k2"), F.xxhash64(text).alias("t")]
+    plain = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(docs.columns, names, strict=True)], text.alias("text"), *key)
+    has_words = F.col("text").rlike(r"[^ \t\n\x0B\f\r]")
+    # Both the join and the choice of one row deal rows out by the same key.
+    kept = plain.filter(has_words).join(found.select("x.*"), ["k1", "k2", "t"], "left_semi").dropDuplicates(["k1", "k2", "t"])
+    both = kept.select(*names).unionByName(plain.filter(~has_words).select(*names))
+    return both.select(*[F.col(n).alias(c) for c, n in zip(docs.columns, names, strict=True)])

@@ -6,7 +6,7 @@ else, in the same document or another. Windows are judged on the input.
 1. Every window has an anchor: the substring of `kmer` bytes with the least hash in it. Equal windows have equal
    anchors, so a run of windows with one anchor can only repeat where that anchor occurs. Runs are emitted as hashes
    of the anchor and of the run's whole slice; anchors that occur once are done with.
-2. An anchor in several documents whose slices are all equal repeats in all its windows. For the others, each distinct slice is fetched
+2. An anchor in several documents whose slices are all equal (by 128 bits of hashes) repeats in all its windows. For the others, each distinct slice is fetched
    once and sent to the shard of its anchor.
 3. A shard writes its slices to a file, sorts all their suffixes by recursive induction with a disk-backed queue
    (suffix_sort), and marks windows whose common prefix with a neighbour is `length` or more.
@@ -34,6 +34,7 @@ from pyspark.sql import functions as F
 
 from heapscope.llm.common import out_batch, rows, small_batches, spread, staged, tidied
 from heapscope.llm.suffix_sort import sort_suffixes
+from heapscope.llm.word_hash import mixed, powers, prefix_sums, string_hash
 
 LENGTH, KMER = 200, 64
 _BASE = 0x9E3779B97F4A7C15
@@ -41,28 +42,17 @@ _BASE = 0x9E3779B97F4A7C15
 PART, MOST = 1 << 21, 512
 
 
-def _mixed(x: np.ndarray) -> np.ndarray:
-    x = x ^ (x >> np.uint64(30))
-    x = x * np.uint64(0xBF58476D1CE4E5B9)
-    x ^= x >> np.uint64(27)
-    x *= np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
+#: Bytes in a window that is hashed as one number.
+WIDTH = 8
 
 
-_BYTE = _mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(_BASE))
-_powers: list[np.ndarray] = []
-
-
-def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse, modulo 2^64."""
-    if not _powers or len(_powers[0]) < n:
-        size = max(n, 1 << 17)
-        _powers[:] = []
-        for b in (_BASE, pow(_BASE, -1, 1 << 64)):
-            p = np.full(size, np.uint64(b))
-            p[0] = 1
-            _powers.append(np.multiply.accumulate(p))
-    return _powers[0], _powers[1]
+def _eights(x: np.ndarray) -> np.ndarray:
+    """A hash of each WIDTH bytes in a row. Sums of these over overlapping windows, unlike sums over bytes, have no structure
+    by which strings of two letters collide."""
+    v = x.astype(np.uint64)
+    for k in (1, 2, 4):
+        v = v[:-k] | v[k:] << np.uint64(8 * k)
+    return mixed(v + np.uint64(_BASE))
 
 
 def slices(text: bytes, length: int, kmer: int) -> tuple[np.ndarray, ...]:
@@ -73,12 +63,13 @@ def slices(text: bytes, length: int, kmer: int) -> tuple[np.ndarray, ...]:
     if len(text) > PART + length:
         parts = [(a, slices(text[a : a + PART + length - 1], length, kmer)) for a in range(0, len(text) - length + 1, PART)]
         return tuple(np.concatenate([p[i] + a if i == 2 else p[i] for a, p in parts]) for i in range(5))
+    if kmer < WIDTH:
+        raise ValueError(f"kmer must be {WIDTH} or more")
     x = np.frombuffer(text, np.uint8)
-    n, w = len(x), length - kmer + 1
-    power, inverse = _power(n + 1)
-    total = np.zeros(n + 1, np.uint64)
-    np.cumsum(_BYTE[x] * power[:n], out=total[1:])
-    h = _mixed((total[kmer:] - total[:-kmer]) * inverse[: n - kmer + 1])
+    w, k = length - kmer + 1, kmer - WIDTH + 1
+    total = prefix_sums(_eights(x))
+    inverse = powers(len(total))[1]
+    h = mixed((total[k:] - total[:-k]) * inverse[: len(total) - k])
     # Least of each w hashes in a row: least from a block's start, and to its end.
     m = len(h)
     blocks = np.concatenate([h, np.full(-m % w, np.uint64(2**64 - 1))]).reshape(-1, w)
@@ -91,7 +82,7 @@ def slices(text: bytes, length: int, kmer: int) -> tuple[np.ndarray, ...]:
         cuts = [np.arange(a, a + c, MOST) for a, c in zip(first.tolist(), count.tolist(), strict=True)]
         first = np.concatenate(cuts)
         count = np.diff(np.concatenate([first, [len(least)]]))
-    whole = _mixed((total[first + count + length - 1] - total[first]) * inverse[first] + count.astype(np.uint64))
+    whole = string_hash(total, first, first + count + length - WIDTH)
     # Places of hashes that are some run's anchor, by a table of their last bits; then those that have two.
     table = np.zeros(1 << 16, bool)
     last = np.uint64(0xFFFF)

@@ -85,20 +85,25 @@ def test_earlier_words(odd, empty):
 
 def test_factors_are_checked_at_their_ends():
     ref = lempel_ziv.Reference(3)
-    g = lambda *w: np.array(w, np.uint64)
+    g = lambda *w: np.array(w, np.int32)
     for words in (g(1, 2, 3, 4), g(3, 4, 5, 6)):
-        windows = lempel_ziv.ngrams(words, 3).tolist()
+        windows = lempel_ziv.windows_of(words, 3)
         ref.add(words, windows, ~ref.parse(words, windows))
     words = g(1, 2, 3, 4, 5, 6, 7)
-    assert ref.parse(words, lempel_ziv.ngrams(words, 3).tolist()).tolist() == [True, True, True, True, False]
+    assert ref.parse(words, lempel_ziv.windows_of(words, 3)).tolist() == [True, True, True, True, False]
 
 
-def brute_components(rows):
+def shingled(rows):
     sets = []
     for r in rows:
         w = (r.text or "").encode().lower().split()
         sets.append({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set())
-    up = list(range(len(rows)))
+    return sets
+
+
+def tops(rows):
+    """A number for each row, the same in a component."""
+    sets, up = shingled(rows), list(range(len(rows)))
 
     def top(i):
         while up[i] != i:
@@ -109,37 +114,75 @@ def brute_components(rows):
         for j in range(i):
             if a and sets[j] and 100 * len(a & sets[j]) >= 80 * len(a | sets[j]):
                 up[top(i)] = top(j)
-    least = {}
-    for i, r in enumerate(rows):
+    return [top(i) for i in range(len(rows))]
+
+
+def brute_components(rows):
+    sets, of, least = shingled(rows), tops(rows), {}
+    for r, c in zip(rows, of, strict=True):
         if r.doc_id is not None:
-            least[top(i)] = min(least.get(top(i), r.doc_id), r.doc_id)
-    return sorted((str(r.doc_id), len(sets[i]), str(least.get(top(i)) if sets[i] else r.doc_id)) for i, r in enumerate(rows))
+            least[c] = min(least.get(c, r.doc_id), r.doc_id)
+    return sorted((str(r.doc_id), len(s), str(least.get(c) if s else r.doc_id)) for r, s, c in zip(rows, sets, of, strict=True))
 
 
-@pytest.mark.parametrize("dense", [16, 2])
-def test_components(odd, dense, monkeypatch):
+@pytest.mark.parametrize("tile", [1024, 2])
+def test_components(odd, tile, monkeypatch):
     real = ngram_join.linked_sets
-    monkeypatch.setattr(ngram_join, "linked_sets", lambda d, k, p: real(d, k, p, dense))
+    monkeypatch.setattr(ngram_join, "linked_sets", lambda d, k, p: real(d, k, p, tile))
     got = sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in ngram_join.near_duplicates(odd).collect())
     assert got == brute_components(odd.collect())
 
 
-@pytest.mark.parametrize("dense", [16, 2])
-def test_every_link_is_counted(odd, dense):
+@pytest.mark.parametrize("tile", [1024, 3])
+def test_every_link_is_counted(odd, tile):
     rows = odd.collect()
     sets = [frozenset(ngram_join.shingles((r.text or "").encode()).tolist()) for r in rows]
     links = {s: sum(x != s and 100 * len(x & s) >= 80 * len(x | s) for x in set(sets)) if s else 0 for s in sets}
     assert max(links.values()) > 2
-    got = sorted((str(r.doc_id), r.n_links) for r in ngram_join.link_counts(odd, dense=dense).collect())
+    got = sorted((str(r.doc_id), r.n_links) for r in ngram_join.link_counts(odd, tile=tile).collect())
     assert got == sorted((str(r.doc_id), links[s]) for r, s in zip(rows, sets, strict=True))
 
 
 def test_one_of_each(odd, empty):
     out = ngram_join.one_of_each(odd)
     assert out.schema.names == odd.schema.names
-    ids = [r.doc_id for r in out.collect()]
-    assert len(ids) == len(set(ids)) and 6 in ids and 7 not in ids
-    assert ngram_join.near_duplicates(empty).count() == 0
+    rows = odd.collect()
+    component = dict(zip([(r.doc_id, r.text) for r in rows], tops(rows), strict=True))
+    kept = out.collect()
+    with_words = [r for r in kept if (r.text or "").split()]
+    of = [component[r.doc_id, r.text] for r in with_words]
+    assert len(of) == len(set(of)) and set(of) == {component[r.doc_id, r.text] for r in rows if (r.text or "").split()}
+    assert len(kept) - len(with_words) == sum(not (r.text or "").split() for r in rows)
+    ids = [r.doc_id for r in kept]
+    assert 6 in ids and 7 not in ids and ids.count(3) == 2
+    assert ngram_join.near_duplicates(empty).count() == 0 and ngram_join.one_of_each(empty).count() == 0
+
+
+def thue_morse(n, a, b):
+    return "".join(a if i.bit_count() % 2 == 0 else b for i in range(n))
+
+
+@pytest.mark.parametrize("n", [512, 1024, 4096])
+@pytest.mark.parametrize(("a", "b"), [("a", "b"), ("L", "r")])
+def test_words_that_polynomial_hashes_confuse(spark, n, a, b):
+    x, y = thue_morse(n, a, b), thue_morse(n, b, a)
+    common = " ".join(f"c{i}" for i in range(12))
+    rows = [(1, f"{x} {common}"), (2, f"{y} {common}"), (3, " ".join([x] * 5)), (4, " ".join([y] * 5)), (5, x * 2), (6, y * 2)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in ngram_join.near_duplicates(docs).collect())
+    assert got == brute_components(docs.collect()) and [c for *_, c in got] == ["1", "1", "3", "4", "5", "6"]
+    assert {r.doc_id: r.n_removed for r in lempel_ziv.remove_earlier(docs).collect()} == dict.fromkeys(range(1, 7), 0)
+    cut = cut_bytes([t.encode() for _, t in rows], 200)
+    got = sorted((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in substring_bytes.remove_repeats(docs).collect())
+    assert got == [(i, *c) for i, c in enumerate(cut, 1)]
+
+
+def test_product_of_blocks():
+    rng = np.random.default_rng(1)
+    a, b = ([np.unique(rng.integers(0, k, rng.integers(0, 60))).astype(np.uint64) for k in (50, 5000) * 20] for _ in "ab")
+    want = [[len(np.intersect1d(x, y)) for y in b] for x in a]
+    assert ngram_join.overlaps(a, b).tolist() == want
+    assert ngram_join.overlaps(a[:1], b[:2]).tolist() == [want[0][:2]]
 
 
 def test_connected_components(spark):
