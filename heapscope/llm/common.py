@@ -9,7 +9,9 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -117,3 +119,35 @@ def tidied(run, keep: str = ""):
 
 def out_batch(schema: pa.Schema, columns: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, t.type) for c, t in zip(columns, schema, strict=True)], schema=schema)
+
+
+def counter_slices(counts: np.ndarray, slices: int) -> list[bytes]:
+    """A task's counters (64-bit) in compressed slices, for summed_counters; none if all are 0."""
+    zstd = zstandard.ZstdCompressor(level=1)
+    return [zstd.compress(x.tobytes()) for x in counts.reshape(slices, -1)] if counts.any() else []
+
+
+def summed_counters(parts: DataFrame, size: int, slices: int) -> np.ndarray:
+    """The sum of all tasks' counters; parts: slice and counts, a row for each slice of each task.
+
+    Slices are added in two steps, so a task reads few tasks' slices at any number of tasks. The driver gets the sums of a
+    fixed number of counters.
+    """
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        totals: dict[int, np.ndarray] = {}
+        unzip, zstd = zstandard.ZstdDecompressor(), zstandard.ZstdCompressor(level=1)
+        for batch in batches:
+            for i, x in rows(batch, "slice", "counts"):
+                c = np.frombuffer(unzip.decompress(x), np.int64)
+                totals[i] = totals[i] + c if i in totals else c
+        for i, c in totals.items():
+            yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([zstd.compress(c.tobytes())], pa.binary())], ["slice", "counts"])
+
+    blocks = spread(parts.sparkSession)
+    some = parts.select("slice", "counts", (F.spark_partition_id() % 16).alias("some")).repartition(blocks, "slice", "some").select("slice", "counts")
+    summed = some.mapInArrow(tidied(add), "slice int, counts binary").repartition(blocks, "slice").mapInArrow(tidied(add), "slice int, counts binary")
+    total, unzip = np.zeros((slices, size // slices), np.int64), zstandard.ZstdDecompressor()
+    for r in summed.toLocalIterator():
+        total[r["slice"]] += np.frombuffer(unzip.decompress(bytes(r["counts"])), np.int64)
+    return total.ravel()

@@ -37,7 +37,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from heapscope.llm.common import batches_of, out_batch, rows, small_batches, spread, staged, tidied
+from heapscope.llm.common import batches_of, counter_slices, out_batch, rows, small_batches, spread, staged, summed_counters, tidied
 from heapscope.llm.graph import components
 from heapscope.llm.word_hash import hashed_words, mixed, ngrams
 
@@ -108,8 +108,7 @@ def _sets(keyed: DataFrame, k: int) -> DataFrame:
             if held:
                 np.add(sketch, np.bincount(np.concatenate(held), minlength=SKETCH), out=sketch, casting="unsafe")
             yield out_batch(_SETS, [batch.column("doc_id"), batch.column("t"), g, n, pa.nulls(len(g), pa.int32()), pa.nulls(len(g), pa.binary())])
-        zstd = zstandard.ZstdCompressor(level=1)
-        parts = [zstd.compress(x.tobytes()) for x in sketch.astype(np.int64).reshape(SLICES, -1)] if sketch.any() else []
+        parts = counter_slices(sketch.astype(np.int64), SLICES)
         none = pa.nulls(len(parts), pa.int64())
         yield out_batch(_SETS, [none, none, none, [-1] * len(parts), list(range(len(parts))), parts])
 
@@ -117,30 +116,8 @@ def _sets(keyed: DataFrame, k: int) -> DataFrame:
 
 
 def _levels(sets: DataFrame) -> np.ndarray:
-    """A level for each counter of the summed sketch: 0 up to what chance explains, then two more for each doubling.
-
-    Slices are added in two steps, so a task reads few tasks' slices at any number of tasks. The driver gets the sums of a
-    fixed number of counters.
-    """
-
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        totals: dict[int, np.ndarray] = {}
-        unzip, zstd = zstandard.ZstdDecompressor(), zstandard.ZstdCompressor(level=1)
-        for batch in batches:
-            for i, x in rows(batch, "slice", "counts"):
-                c = np.frombuffer(unzip.decompress(x), np.int64)
-                totals[i] = totals[i] + c if i in totals else c
-        for i, c in totals.items():
-            yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([zstd.compress(c.tobytes())], pa.binary())], ["slice", "counts"])
-
-    parts = sets.filter("n = -1").select("slice", "counts")
-    blocks = spread(sets.sparkSession)
-    some = parts.withColumn("some", F.spark_partition_id() % 16).repartition(blocks, "slice", "some").select("slice", "counts")
-    summed = some.mapInArrow(tidied(add), "slice int, counts binary").repartition(blocks, "slice").mapInArrow(tidied(add), "slice int, counts binary")
-    total = np.zeros((SLICES, SKETCH // SLICES), np.int64)
-    for r in summed.toLocalIterator():
-        total[r["slice"]] += np.frombuffer(zstandard.ZstdDecompressor().decompress(bytes(r["counts"])), np.int64)
-    total = total.ravel()
+    """A level for each counter of the summed sketch: 0 up to what chance explains, then two more for each doubling."""
+    total = summed_counters(sets.filter("n = -1"), SKETCH, SLICES)
     # Counters hold some mean of n-grams that share them, with a spread of its root; what stands out by four times that is common.
     spread_ = 4 * np.sqrt(total.mean()) + 4
     over = (total - total.mean()) / spread_

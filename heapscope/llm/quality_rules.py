@@ -2,12 +2,16 @@
 
 One multinomial is of the trusted target (documents marked good), one of the whole raw corpus, both over hashed word
 unigrams and bigrams in a fixed number of bins, smoothed towards each other. A document's score is the mean over its n-grams of
-log p_target - log p_raw. It is kept if it passes the base rules and its score is at least `threshold`; the same
+log p_target - log p_raw. It is kept if it passes the base rules and its score is at least the threshold; the same
 document over the same corpus always gets the same answer. Counts are over all documents: each task adds its own
-into one row of bins, and rows are added up pairwise; their size doesn't follow the input.
+into one row of bins, whose slices are added up; their size doesn't follow the input.
+
+The threshold follows the corpus: all trusted documents are scored as if they weren't trusted (without their own counts
+in the target), and it lies MARGIN below the score that a share LOWEST of them falls short of, to a thousandth.
 
 Null or empty text: no words, base_failed, not kept. Repeated rows are judged one by one, and counted as often as they
-occur. Without any trusted document the ratio is 0 and the base rules alone decide. Extra columns are ignored.
+occur. Very long texts are counted whole. A score that equals the threshold is kept. Null doc_id: never trusted. Without any
+trusted document the ratio is 0 and the base rules alone decide. An empty table gives an empty result. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -20,12 +24,14 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from heapscope.llm.common import SPACES, STORES, out_batch, rows, small_batches, tidied
+from heapscope.llm.common import SPACES, STORES, counter_slices, out_batch, rows, small_batches, staged, summed_counters, tidied
 
-#: Mean log-likelihood ratio of a word or pair, in nats. Running prose is near 0; on small corpora it goes
-#: down to -0.17 where its words are rare. See the README for how it was set.
-THRESHOLD = -0.2
+#: The share of trusted documents that may fall short, and how far below their score, in nats a n-gram, the threshold lies.
+LOWEST, MARGIN = 0.01, 0.03
+#: Trusted documents of fewer words don't count for the threshold, as the base rules reject them.
+LEAST_WORDS = 50
 BINS = 1 << 16
+SLICES = 16
 #: Counts that the target has in each bin beforehand; the raw corpus has as many in proportion, so a bin that was seen a
 #: few times only says little for or against.
 PRIOR = 4.0
@@ -81,33 +87,34 @@ def bins_of(text: str) -> np.ndarray:
     return (np.concatenate([h, two]) >> np.uint64(48)).astype(np.int64) & (BINS - 1)
 
 
-def bin_counts(docs: DataFrame) -> np.ndarray:
-    """Two rows of BINS counts: of the documents whose column trusted is true, and of all."""
+def counted(docs: DataFrame) -> DataFrame:
+    """slice and counts: the two rows of BINS counts (of documents whose column trusted is true, and of all) of each task, in slices; and
+    of each trusted document its bins and their counts (slice -1), so that it needn't be cut into words again."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((2, BINS), np.int64)
         for batch in batches:
+            own = []
             for text, trusted in rows(batch, "text", "trusted"):
-                c = np.bincount(bins_of(text or ""), minlength=BINS)
+                bins = bins_of(text or "")
+                c = np.bincount(bins, minlength=BINS)
                 total[1] += c
                 if trusted:
                     total[0] += c
-        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["counts"])
-
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((2, BINS), np.int64)
-        for batch in batches:
-            for (c,) in rows(batch, "counts"):
-                total += np.frombuffer(c, np.int64).reshape(2, BINS)
-        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["counts"])
+                    if len(bins) >= 2 * LEAST_WORDS - 1:
+                        bins = np.flatnonzero(c)
+                        own.append(bins.astype("<u2").tobytes() + c[bins].astype("<u4").tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array([-1] * len(own), pa.int32()), pa.array(own, pa.binary())], ["slice", "counts"])
+        parts = counter_slices(total, SLICES)
+        yield pa.RecordBatch.from_arrays([pa.array(list(range(len(parts))), pa.int32()), pa.array(parts, pa.binary())], ["slice", "counts"])
 
     small_batches(docs.sparkSession)
-    part = docs.select(F.col("text").cast("string").alias("text"), "trusted").mapInArrow(tidied(count, "bins"), "counts binary")
-    # A row of 1 MB from each task; they are added in 8 tasks, so the driver gets 8 rows.
-    out = np.zeros((2, BINS), np.int64)
-    for r in part.repartition(8).mapInArrow(add, "counts binary").toLocalIterator():
-        out += np.frombuffer(bytes(r.counts), np.int64).reshape(2, BINS)
-    return out
+    return staged(docs.select(F.col("text").cast("string").alias("text"), "trusted").mapInArrow(tidied(count, "bins"), "slice int, counts binary"), "bins")
+
+
+def bin_counts(parts: DataFrame) -> np.ndarray:
+    """Two rows of BINS counts: of the trusted documents, and of all."""
+    return summed_counters(parts.filter("slice >= 0"), 2 * BINS, SLICES).reshape(2, BINS)
 
 
 def log_ratio(counts: np.ndarray) -> np.ndarray:
@@ -119,11 +126,49 @@ def log_ratio(counts: np.ndarray) -> np.ndarray:
     return np.log(p[0]) - np.log(p[1])
 
 
-def judge(docs: DataFrame, trusted_ids: DataFrame, threshold: float = THRESHOLD, keep_columns: bool = False) -> DataFrame:
-    """doc_id (or all columns), the base counts, base_failed, llr and kept. trusted_ids: the doc_ids of the target."""
+def score_without(bins: np.ndarray, own: np.ndarray, counts: np.ndarray) -> float:
+    """The score that a trusted document with these counts of bins would have if it weren't trusted."""
+    n, total = own.sum(), counts.sum(axis=1).astype(float)
+    prior = PRIOR * total[1] / total[0]
+    target = np.log((counts[0, bins] - own + PRIOR) / (total[0] - n + PRIOR * BINS))
+    raw = np.log((counts[1, bins] + prior) / (total[1] + prior * BINS))
+    return float(((target - raw) * own).sum() / n)
+
+
+def threshold_of(parts: DataFrame, counts: np.ndarray, lowest: float = LOWEST, margin: float = MARGIN) -> float:
+    """The threshold that all trusted documents give; -inf without any. Their scores are counted by thousandths."""
+    if not counts[0].any():
+        return -np.inf
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            scores = []
+            for (x,) in rows(batch, "counts"):
+                k = len(x) // 6
+                found = score_without(np.frombuffer(x, "<u2", k).astype(np.intp), np.frombuffer(x, "<u4", k, 2 * k).astype(np.int64), counts)
+                scores.append(int(np.floor(found * 1000)))
+            yield pa.RecordBatch.from_arrays([pa.array(scores, pa.int64())], ["score"])
+
+    found = parts.filter("slice = -1").select("counts").mapInArrow(tidied(score), "score long").groupBy("score").agg(F.count("*").alias("n")).collect()
+    need, seen = lowest * sum(r["n"] for r in found), 0
+    for value, n in sorted((r["score"], r["n"]) for r in found):
+        seen += n
+        if seen >= need:
+            return value / 1000 - margin
+    return -np.inf
+
+
+def judge(docs: DataFrame, trusted_ids: DataFrame, threshold: float | None = None, keep_columns: bool = False) -> DataFrame:
+    """doc_id (or all columns), the base counts, base_failed, llr and kept. trusted_ids: the doc_ids of the target. threshold: the one
+    that trusted documents give, if none is given."""
     trusted = trusted_ids.select(F.col("doc_id").cast("long").alias("doc_id")).distinct().withColumn("trusted", F.lit(True)).hint("merge")  # alike at every size: the ids are never sent around
-    marked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(trusted, "doc_id", "left").select("text", F.coalesce("trusted", F.lit(False)).alias("trusted"))
-    weights = log_ratio(bin_counts(marked)).astype(np.float32).tobytes()
+    given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    marked = given.join(trusted, "doc_id", "left").select("text", F.coalesce("trusted", F.lit(False)).alias("trusted"))
+    parts = counted(marked)
+    counts = bin_counts(parts)
+    if threshold is None:
+        threshold = threshold_of(parts, counts)
+    weights = log_ratio(counts).astype(np.float32).tobytes()
     first = docs.schema if keep_columns else docs.select(F.col("doc_id").cast("long").alias("doc_id")).schema
     given = docs if keep_columns else docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     fields = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, llr double, kept boolean"

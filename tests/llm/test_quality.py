@@ -4,6 +4,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from heapscope.llm import quality_crf as crf
 from heapscope.llm import quality_rules as rules
@@ -45,13 +46,35 @@ def test_ratio_by_hand(spark, odd, empty):
     w = rules.log_ratio(c).astype(np.float32)
     for r in d.collect():
         assert got[r.doc_id].llr == pytest.approx(float(w[rules.bins_of(r.text)].mean(dtype=np.float64)))
-    assert got[20].llr > rules.THRESHOLD > got[100].llr
+    # The threshold by hand: trusted documents scored with counts of the other ones.
+    b = rules.bins_of("good words only " * 20)
+    rest = c.copy()
+    np.add.at(rest[0], b, -1)
+    p = (rest + np.array([[rules.PRIOR], [rules.PRIOR * c[1].sum() / c[0].sum()]])) / np.array([[rest[0].sum() + rules.PRIOR * rules.BINS], [c[1].sum() + rules.PRIOR * c[1].sum() / c[0].sum() * rules.BINS]])
+    score = float((np.log(p[0]) - np.log(p[1]))[b].mean())
+    marked = d.join(trusted.withColumn("trusted", F.lit(True)), "doc_id", "left").select("text", F.coalesce("trusted", F.lit(False)).alias("trusted"))
+    parts = rules.counted(marked)
+    assert (rules.bin_counts(parts) == c).all()
+    limit = rules.threshold_of(parts, c.astype(np.int64))
+    assert score - rules.MARGIN - 0.001 <= limit <= score - rules.MARGIN
+    assert got[20].llr > limit > got[100].llr
+    # A score at the threshold is kept.
+    long = spark.createDataFrame([(1, " ".join(f"w{i}" for i in range(60)))], "doc_id long, text string")
+    at = rules.judge(long, long.select("doc_id")).first()
+    assert at.kept and rules.judge(long, long.select("doc_id"), at.llr).first().kept and not rules.judge(long, long.select("doc_id"), at.llr + 1e-9).first().kept
     out = rules.judge(odd, odd.select("doc_id").limit(20))
     assert out.count() == odd.count() and all(r.kept <= (not r.base_failed) for r in out.collect())
     assert rules.judge(empty, empty.select("doc_id")).count() == 0
     assert rules.log_ratio(np.zeros((2, rules.BINS))).any() == False  # noqa: E712
 
 
+def test_junk_is_told_from_prose(spark):
+    big = "/root/testdata/sf0.01"
+    out = rules.op7_llr_rules(spark, big).join(spark.read.parquet(f"{big}/labels.parquet"), "doc_id").filter("not base_failed").collect()
+    good, bad = ([r.kept for r in out if r.quality == q] for q in (1, 0))
+    assert np.mean(good) > 0.99 and np.mean(bad) < 0.1
+
+
 def test_marginals_by_enumeration():
     rng = np.random.default_rng(2)
     field = crf.Field(rng.normal(size=3 * crf.OWN), rng.normal(size=(2, 2)))
