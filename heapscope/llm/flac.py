@@ -6,8 +6,11 @@ Rice-coded residuals. Decoder reads any mono stream of up to 16 bits: constant,
 predictors, Rice partitions and escapes. It verifies the CRC-8 of headers, the CRC-16 of frames and the MD5, and
 raises BadStream else. Frames of the common form are decoded together, step by step over all frames of a batch.
 
-Null text: an empty payload, padded as all are. Repeated rows and equal texts: equal values. An empty table gives an
-empty result. Extra columns are ignored. Very long texts: encoded in batches of frames, so scratch memory stays fixed.
+The query writes the streams to the shared folder, reads them back, decodes them into PCM blocks, and seeks: it also
+decodes from the last seek point on, alone, and compares.
+
+Null text: an empty payload, padded as all are. Null doc_id: kept. Repeated rows and equal texts: equal values. An empty table
+gives an empty result. Extra columns are ignored. Very long texts: encoded in batches of frames, so scratch memory stays fixed.
 """
 
 from __future__ import annotations
@@ -21,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from heapscope.llm.common import out_batch, rows, text_only
+from heapscope.llm.common import out_batch, rows, staged, text_only
 
 BLOCK = 192
 RATE = 44_100
@@ -454,9 +457,21 @@ def pcm_blocks(media: DataFrame, block_samples: int = 1 << 16) -> DataFrame:
     return media.mapInArrow(decode, "doc_id long, first_sample long, pcm binary")
 
 
+def last_seek_point(stream: bytes) -> int:
+    """The first sample of the last seek point."""
+    _, total, _, seek, _ = _info(stream)
+    return max((p[0] for p in seek if p[0] < total), default=0)
+
+
+#: Samples in a PCM block.
+PCM = 1 << 16
+
+
 def media_digest(media: DataFrame) -> DataFrame:
-    """What the decoded stream of every row holds."""
-    schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string())])
+    """What the decoded stream of every row holds; blocks of PCM, and the first sample of the last seek point, from which a block
+    of samples is decoded again and must be the same."""
+    names = {"doc_id": "long", "n_bytes": "long", "payload_bytes": "long", "payload_sha256": "string", "tail_crc32": "long", "media_bytes": "long", "media_sha256": "string", "feature": "string", "pcm_blocks": "long", "seek_sample": "long"}
+    schema = pa.schema([(n, pa.int64() if t == "long" else pa.string()) for n, t in names.items()])
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -464,13 +479,21 @@ def media_digest(media: DataFrame) -> DataFrame:
             for a, b in _groups([len(s) for s in streams]):
                 out: list[list] = [[] for _ in schema]
                 for doc_id, n, s, x in zip(ids[a:b], lengths[a:b], streams[a:b], decode_many(streams[a:b]), strict=True):
-                    payload = (x.astype(np.int16) + 128).astype(np.uint8).tobytes()
-                    for c, v in zip(out, (doc_id, n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(s), hashlib.sha256(s).hexdigest(), features(x)), strict=True):
+                    whole = (x.astype(np.int16) + 128).astype(np.uint8)
+                    digest, blocks = hashlib.sha256(), 0
+                    for i in range(0, len(whole), PCM):
+                        digest.update(whole[i : i + PCM].tobytes())
+                        blocks += 1
+                    at = last_seek_point(s)
+                    if samples_from(s, at, BLOCK).tolist() != x[at : at + BLOCK].tolist():
+                        raise BadStream("a seek point leads elsewhere")
+                    for c, v in zip(out, (doc_id, n, len(whole), digest.hexdigest(), zlib.crc32(whole[-16:].tobytes()), len(s), hashlib.sha256(s).hexdigest(), features(x), blocks, at), strict=True):
                         c.append(v)
                 yield out_batch(schema, out)
 
-    return media.mapInArrow(decode, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    return media.mapInArrow(decode, ", ".join(f"{n} {t}" for n, t in names.items()))
 
 
 def op9_flac(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return media_digest(to_media(spark.read.parquet(f"{sf_dir}/documents.parquet")))
+    media = staged(to_media(spark.read.parquet(f"{sf_dir}/documents.parquet")), "media")
+    return media_digest(media)
