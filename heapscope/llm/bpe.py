@@ -36,8 +36,8 @@ class Encoder:
 
     A text is cut where WORDS would cut it: if it has no run of white space or signs and no space before a sign,
     that is before each space, line end, full stop and comma; else by WORDS itself. The ids of a form are kept and
-    used again; the store is emptied when it holds over max_forms. Texts with characters outside PLAIN go to the library
-    whole; forms of over max_form characters aren't kept.
+    used again; the store is emptied when it holds over max_forms. Texts with characters outside PLAIN, or with an added
+    token, which is one id, go to the library whole; forms of over max_form characters aren't kept.
     """
 
     def __init__(self, path: str, max_forms: int = 1_200_000, max_form: int = 64, short: bool = False):
@@ -45,12 +45,15 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.has_added = regex.compile("|".join(map(regex.escape, added))).search if added else lambda _: None
         self.forms = _Forms()
         self.max_forms, self.max_form = max_forms, max_form
         self.code = "H" if short else "I"
 
     def cut(self, text: str) -> list[str]:
+        if self.has_added(text):
+            return [text]
         if (text.isascii() and "\0" not in text and "\x7f" not in text) or LETTERS(text):
             kinds = text.encode().translate(_KINDS)
             if b"  " not in kinds and b".." not in kinds and b" ." not in kinds:
