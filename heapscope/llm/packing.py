@@ -25,7 +25,6 @@ from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -143,10 +142,12 @@ def digest(packed: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column("ids")
-            edges = np.cumsum([0, *pc.binary_length(ids).to_pylist()]) // 2
-            words = memoryview(np.frombuffer(b"".join(ids.to_pylist()), "<u2").astype("<u4"))
-            crc = [zlib.crc32(words[a:b]) for a, b in pairwise(edges.tolist())]
+            ids = batch.column("ids").cast(pa.large_binary())
+            _, at, data = ids.buffers()
+            edges = np.frombuffer(at, np.int64)[ids.offset : ids.offset + len(ids) + 1]
+            words = np.frombuffer(data or b"", np.uint8)[edges[0] : edges[-1]].view("<u2").astype("<u4")
+            raw = memoryview(words.view(np.uint8))
+            crc = [zlib.crc32(raw[a:b]) for a, b in pairwise(((edges - edges[0]) * 2).tolist())]
             yield pa.RecordBatch.from_arrays([pa.array(crc, pa.int64()) if n == "ids_crc32" else batch.column(n) for n in names], names=names)
 
     return packed.select("doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset").mapInArrow(tidied(run), ", ".join(f"{n} long" for n in names))

@@ -10,6 +10,7 @@ from collections import defaultdict
 import numpy as np
 import public_tokenizers
 import pytest
+import xxhash
 from tokenizers import Tokenizer
 
 from heapscope.llm import flac, packing, pieces, sharding, token_files
@@ -21,7 +22,7 @@ BPE, PIECES = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.pat
 @pytest.fixture(scope="module")
 def plain():
     t = Tokenizer.from_file(BPE)
-    t.encode_special_tokens = True
+    assert t.encode("<|endoftext|>", add_special_tokens=False).ids == [50256]
     return lambda text: t.encode(text or "", add_special_tokens=False).ids
 
 
@@ -155,13 +156,41 @@ def test_dropout_is_drawn_for_each_occurrence():
     coins._passing = lambda x, n: next(i for i in range(1000) if rng.random() < 0.1)
     thrown = [e._ids(coins.pieces("▁" + word, coins._passing(0, 0))[0]) for _ in range(8000)]
     assert all(abs(got.count(x) - thrown.count(x)) < 240 for x in {*got, *thrown})
-    few = pieces.DropoutEncoder(PIECES, 0.1, seed=3, max_forms=1)
+    # What else is in a batch changes nothing.
     text = "the information about segmentation is in a text with " + "x" * 90
-    assert [few.encode(text, i) for i in range(300)] == [e.encode(text, i) for i in range(300)]
+    assert e.encode_many([text, "", "other"] * 100, list(range(300))) == [e.encode(t, i) for i, t in enumerate([text, "", "other"] * 100)]
     # Places in one text have draws of their own too.
     assert len({e.encode(word + " " + " ".join([word] * k), 1)[-40:] for k in range(50)}) > 4
 
 
+def naive_agenda(e, word, first, x):
+    """One candidate at a time: the best merge of neighbours that isn't skipped, the leftmost of equals."""
+    symbols, skipped, came, due, times = [(i, c) for i, c in enumerate(word)], set(), 0, first, 0
+    while True:
+        found = [(e.cost[a + b], i, j, a + b) for j, ((i, a), (_, b)) in enumerate(zip(symbols, symbols[1:])) if a + b in e.cost and (i, a + b) not in skipped]
+        if not found:
+            return [s for _, s in symbols]
+        _, i, j, both = min(found)
+        came += 1
+        if came > due:
+            skipped.add((i, both))
+            times += 1
+            due = came + e._passing(x, times)
+        else:
+            symbols[j : j + 2] = [(i, both)]
+
+
+@pytest.mark.parametrize("dropout", [0.1, 0.5, 0.9])
+def test_dropout_against_a_naive_agenda(dropout):
+    e, rng = pieces.DropoutEncoder(PIECES, dropout, seed=8), random.Random(3)
+    letters = "abcdeiorst-_9é漢😀"
+    words = ["".join(rng.choice(letters) for _ in range(rng.choice([1, 3, 7, 12, 30, 90, 300]))) for _ in range(150)] + ["segmentation", "information"] * 20
+    text = " ".join(words)
+    keys = [(xxhash.xxh64_intdigest((5).to_bytes(8, "little"), 8) + at * 0x9E3779B97F4A7C15) % 2**64 for at in range(len(words))]
+    want = b"".join(e._ids(naive_agenda(e, "▁" + w, e._passing(x, 0), x)) for w, x in zip(words, keys, strict=True))
+    assert e.encode(text, 5) == want
+
+
 def test_flac_round_trip(odd, empty):
     rng = np.random.default_rng(1)
     payloads = [flac.padded(r.text or "") for r in odd.collect()] + [bytes(192), bytes(range(192)), rng.integers(0, 256, 1920, dtype=np.uint8).tobytes(), b"\0\xff" * 96]
@@ -176,6 +205,7 @@ def test_flac_round_trip(odd, empty):
     blocks = sorted((r.first_sample, bytes(r.pcm)) for r in flac.pcm_blocks(flac.to_media(odd).filter("doc_id = 11"), 1000).collect())
     assert b"".join(b for _, b in blocks) == flac.padded(odd.filter("doc_id = 11").first().text)
     assert flac.media_digest(flac.to_media(empty)).count() == 0
+    assert flac.last_seek_point(big) == 49_152
 
 
 def test_flac_damage():
@@ -232,5 +262,74 @@ def test_shards_are_even_and_a_hot_text_is_split(spark):
     assert "Python" not in plan and "Arrow" not in plan
 
 
+def test_a_hot_text_without_ids_is_split(spark):
+    d = spark.createDataFrame([(None if i % 2 else i, "the same text" if i % 3 else f"text {i}") for i in range(4000)], "doc_id long, text string")
+    rows = sharding.assign_shards(d, 8, ranges_per_shard=64).collect()
+    size = defaultdict(int)
+    for r in rows:
+        size[r.shard] += r.size
+    assert len(rows) == 4000 and max(size.values()) - min(size.values()) < 0.03 * sum(size.values()) / 8
+    assert sorted((r.shard, r.slot) for r in rows) == [(k, i) for k in range(8) for i in range(sum(r.shard == k for r in rows))]
+
+
+def test_ranges_are_those_of_the_splitters(spark):
+    rng = random.Random(4)
+    splitters = sorted({(rng.randrange(-(2**63), 2**63), rng.choice([-(2**63), 7]), 0) for _ in range(300)} | {(5, d, 0) for d in range(9)} | {(9, -(2**63), r) for r in range(9)})
+    keys = splitters[::3] + [(h, d + 1, r) for h, d, r in splitters[::5]] + [(rng.randrange(-(2**63), 2**63), 0, 0) for _ in range(300)] + [(-(2**63), 0, 0), (2**63 - 1, 0, 0)]
+    df = spark.createDataFrame([(k,) for k in keys], "key struct<h: long, d: long, r: long>")
+    got = [(tuple(r.key), r.x) for r in df.select("key", sharding._range_of(df["key"], splitters).alias("x")).collect()]
+    assert got == [(k, sum(s <= k for s in splitters)) for k in keys]
+
+
+def test_written_shards(spark, tmp_path):
+    d = spark.createDataFrame([(i, f"text {i}", i % 5) for i in range(500)], "doc_id long, text string, kind long")
+    sharding.write_shards(d, f"file://{tmp_path}/s", 4)
+    back = spark.read.parquet(f"file://{tmp_path}/s")
+    placed = {r.doc_id: (r.shard, r.slot) for r in sharding.assign_shards(d, 4).collect()}
+    assert {r.doc_id: (r.shard, r.slot) for r in back.collect()} == placed
+    assert sorted((r.doc_id, r.text, r.kind) for r in back.collect()) == sorted(map(tuple, d.collect()))
+    with pytest.raises(ValueError):
+        sharding.write_shards(d.withColumnRenamed("kind", "slot"), f"file://{tmp_path}/t")
+
+
+def test_queries_as_registered(spark, sf):
+    """Each on the whole table, against what the contract says."""
+    docs = {r.doc_id: (r.text or "") for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    t = Tokenizer.from_file(BPE)
+    ids = {i: t.encode(x, add_special_tokens=False).ids for i, x in docs.items()}
+    crc = lambda v: zlib.crc32(np.array(v, "<u4").tobytes())
+    start, want = 0, []
+    for i in sorted(docs):
+        own = [*ids[i], 2]
+        want.append((i, start, len(own), crc(own)))
+        start += len(own)
+    got = token_files.op2_token_files(spark, sf).select("doc_id", "start", "n_tokens", "ids_crc32").collect()
+    assert sorted(map(tuple, got)) == want
+    pieces_of, places = defaultdict(list), defaultdict(list)
+    for r in packing.op4_deficit_packing(spark, sf).collect():
+        own = [*ids[r.doc_id], 0]
+        assert r.ids_crc32 == crc(own[r.start : r.start + r.length]) and r.doc_tokens == len(own)
+        pieces_of[r.doc_id].append((r.start, r.start + r.length))
+        places[r.sequence_id].append((r.offset, r.offset + r.length))
+    assert set(pieces_of) == set(docs)
+    for spans, whole in [(v, len(ids[i]) + 1) for i, v in pieces_of.items()] + [(v, 1024 if k < max(places) else max(b for _, b in v)) for k, v in places.items()]:
+        spans.sort()
+        assert spans[0][0] == 0 and spans[-1][1] == whole <= max(1024, whole) and all(x[1] == y[0] for x, y in zip(spans, spans[1:], strict=False))
+    e = pieces.DropoutEncoder(PIECES)
+    got = {r.doc_id: r for r in pieces.op6_merge_dropout(spark, sf).collect()}
+    assert set(got) == set(docs)
+    for i, x in docs.items():
+        own, text = e.encode(x, i), e.normalised(x).encode()
+        assert (got[i].n_pieces, got[i].ids_crc32, got[i].n_bytes, got[i].text_sha256) == (len(own) // 4, zlib.crc32(own), len(text), hashlib.sha256(text).hexdigest())
+    for r in flac.op9_flac(spark, sf).collect():
+        raw = flac.padded(docs[r.doc_id])
+        stream = flac.encode_many([raw])[0]
+        assert (r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(raw), hashlib.sha256(raw).hexdigest(), zlib.crc32(raw[-16:]))
+        assert (r.media_bytes, r.media_sha256) == (len(stream), hashlib.sha256(stream).hexdigest()) and r.pcm_blocks == -(-len(raw) // 65536)
+    rows = sharding.op10_sampled_splitters(spark, sf).collect()
+    assert sorted((r.doc_id, r.size, r.text_crc32) for r in rows) == sorted((i, len(x.encode()) + 1, zlib.crc32(x.encode())) for i, x in docs.items())
+    assert {(r.law, r.grown_shard) for r in rows} == {("bytes", None)} and {r.shard for r in rows} == set(range(8))
+
+
 def test_struct_is_little_endian():
     assert struct.pack("<I", 2) == b"\2\0\0\0"
