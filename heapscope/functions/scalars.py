@@ -7,30 +7,85 @@ from pyspark.sql import functions as F
 
 #: Storage classes by id; 1 is the default class. Fixed values of the listing dialects.
 CLASS_A = {"STANDARD": 1, "NEARLINE": 2, "COLDLINE": 3, "ARCHIVE": 4}
-CLASS_B = {"STANDARD": 1, "REDUCED_REDUNDANCY": 1, "INTELLIGENT_TIERING": 1, "STANDARD_IA": 2, "ONEZONE_IA": 2, "GLACIER_IR": 3, "GLACIER": 3, "DEEP_ARCHIVE": 4, "OUTPOSTS": 1, "EXPRESS_ONEZONE": 1}
+CLASS_B = {
+    "STANDARD": 1,
+    "REDUCED_REDUNDANCY": 1,
+    "INTELLIGENT_TIERING": 1,
+    "OUTPOSTS": 1,
+    "STANDARD_IA": 2,
+    "ONEZONE_IA": 2,
+    "GLACIER_IR": 3,
+    "GLACIER_INSTANT_RETRIEVAL": 3,
+    "GLACIER": 4,
+    "DEEP_ARCHIVE": 4,
+}
+#: Operations by the actions that hour files name. Fixed values.
+ACTIONS = {
+    "GetObject": "GET",
+    "HeadObject": "HEAD",
+    "HeadBucket": "HEAD",
+    "ListObjects": "LIST",
+    "ListObjectsV2": "LIST",
+    "ListMultipartUploads": "LIST",
+    "ListParts": "LIST",
+    "PutObject": "PUT",
+    "CopyObject": "PUT",
+    "CreateMultipartUpload": "PUT",
+    "UploadPart": "PUT",
+    "UploadPartCopy": "PUT",
+    "CompleteMultipartUpload": "PUT",
+    "DeleteObject": "DELETE",
+    "DeleteObjects": "DELETE",
+}
 #: End of an open version.
 OPEN = 4291747200
 
 
 def mapped(value: Column, table: dict[str, int], default: int = 0) -> Column:
-    out = F.lit(default)
-    for k, v in table.items():
-        out = F.when(F.upper(value) == k, F.lit(v)).otherwise(out)
-    return out.cast("int")
+    """The table's number for the exact name."""
+    of = F.create_map(*[F.lit(x) for kv in table.items() for x in kv])
+    return F.coalesce(of[value], F.lit(default)).cast("int")
 
 
-def op_class(raw: Column) -> Column:
-    """GET, PUT, DELETE, HEAD, LIST or OTHER; LIST is tested first, as listing calls are GETs too."""
-    x = F.lower(raw)
-    return (
-        F.when(x.rlike("list|get_bucket"), "LIST").when(x.rlike("head|metadata|stat"), "HEAD").when(x.rlike("delete|remove"), "DELETE")
-        .when(x.rlike("put|post|insert|create|upload|compose|rewrite|copy"), "PUT").when(x.rlike("get|read|download|view"), "GET").otherwise("OTHER")
-    )
+def action_op(action: Column) -> Column:
+    """The operation of an hour file's action; OTHER for names that aren't in the table."""
+    of = F.create_map(*[F.lit(x) for kv in ACTIONS.items() for x in kv])
+    return F.coalesce(of[action], F.lit("OTHER"))
 
 
-def price_class(op: Column) -> Column:
-    """A: writes and listings; B: reads; free: deletes."""
-    return F.when(op.isin("PUT", "LIST"), "A").when(op.isin("GET", "HEAD"), "B").when(op == "DELETE", "free").otherwise("B")
+def usage_op(operation: Column, method: Column) -> Column:
+    """The operation of a usage row: by its spelling in either API, whatever its case, else by the HTTP method.
+
+    Listings come first, since a listing may be a GET of the bucket.
+    """
+    x = F.upper(F.coalesce(operation, F.lit("")))
+    is_listing = x.contains("LIST") | (x == "GET_BUCKET")
+    spelt = {
+        "GET": r"^GET|^STORAGE\..*\.GET$",
+        "PUT": r"^PUT|^POST_OBJECT$|^POST_UPLOADS$|^STORAGE\..*\.(INSERT|PATCH|UPDATE)$",
+        "HEAD": r"^HEAD",
+        "DELETE": r"^DELETE|^STORAGE\..*\.DELETE$",
+    }
+    out = F.when(is_listing, "LIST")
+    for op, pattern in spelt.items():
+        out = out.when(x.rlike(pattern) | F.coalesce(method == op, F.lit(False)), op)
+    return out.otherwise("OTHER")
+
+
+#: The bucket's own lifecycle engine, by its user agent; and raw operations that are priced as deletes and as listings. Fixed values.
+LIFECYCLE = "GCS Lifecycle Management"
+FREE_OPERATIONS = ("DELETE_Object", "storage.objects.delete", "POST_Nested_Delete_Multi_Objects")
+LISTING_OPERATIONS = ("GET_Bucket", "storage.objects.list")
+
+
+def price_class(op: Column, raw: Column | None = None, user_agent: Column | None = None, prefix: Column | None = None) -> Column:
+    """free: deletes and the lifecycle engine; A: listings, reads of the bucket itself and all that isn't known; B: reads."""
+    none = F.lit(None).cast("string")
+    raw, agent, prefix = (none if c is None else c for c in (raw, user_agent, prefix))
+    is_ = lambda c: F.coalesce(c, F.lit(False))
+    free = is_(agent == LIFECYCLE) | is_(op == "DELETE") | is_(raw.isin(*FREE_OPERATIONS))
+    listing = is_(op == "LIST") | is_(raw.isin(*LISTING_OPERATIONS)) | (is_(op == "GET") & is_(prefix == ""))
+    return F.when(free, "free").when(listing, "A").when(is_(op.isin("GET", "HEAD")), "B").otherwise("A")
 
 
 def log2_bin(size: Column) -> Column:
@@ -73,12 +128,17 @@ def suffixes(text: Column, least: int = 3) -> Column:
     return F.when(F.length(text) >= least, F.transform(at, lambda i: F.substring(text, i, F.length(text)))).otherwise(F.array().cast("array<string>"))
 
 
-def inside_hex_run(text: Column, at: Column, size: Column, least: int = 16) -> Column:
-    """Whether the occurrence of `size` characters at position `at` (from 1) is all hex digits within a run of `least` of them."""
-    digits = "0123456789abcdef"
-    before, own, after = F.substring(text, F.lit(1), at - 1), F.substring(text, at, size), F.substring(text, at + size, F.length(text))
-    run = F.length(before) - F.length(F.rtrim(before, F.lit(digits))) + size + F.length(after) - F.length(F.ltrim(after, F.lit(digits)))
-    return (F.ltrim(own, F.lit(digits)) == "") & (run >= least)
+HEX = "0123456789abcdef"
+
+
+def hex_dropped(text: Column, at: Column, size: Column, least: int = 16, tail: int = 8) -> Column:
+    """Whether an occurrence of `size` characters at position `at` (from 1) of a text in lower case is left out of an index
+    that skips the insides of runs of `least` hex digits: it begins after a run's first digit, and before its last `tail`
+    digits or without reaching past its end."""
+    ahead, own = F.substring(text, F.lit(1), at - 1), F.substring(text, at, F.length(text))
+    before = F.length(ahead) - F.length(F.rtrim(ahead, F.lit(HEX)))
+    after = F.length(own) - F.length(F.ltrim(own, F.lit(HEX)))
+    return (before >= 1) & (after >= 1) & (before + after >= least) & ((after > tail) | (size <= after))
 
 
 def scan_time(scan_id: Column) -> Column:
@@ -87,9 +147,13 @@ def scan_time(scan_id: Column) -> Column:
 
 
 def username(name: Column) -> Column:
-    """Lower case, without a mail domain, other signs than letters, digits and dashes as one dash."""
-    x = F.lower(F.trim(F.regexp_replace(name, "@.*$", "")))
-    return F.regexp_replace(F.regexp_replace(x, "[^a-z0-9]+", "-"), "^-|-$", "")
+    """Lower case, without a mail domain; what isn't a letter, digit, dash or underscore becomes one dash, none at the ends.
+
+    A name of which nothing is left is refused.
+    """
+    local = F.substring_index(F.regexp_replace(name, r"^\s+|\s+$", ""), "@", 1)
+    out = F.btrim(F.regexp_replace(F.lower(local), "[^a-z0-9_-]+", "-"), F.lit("-"))
+    return F.when(out == "", F.raise_error(F.concat(F.lit("no usable username in "), name))).otherwise(out)
 
 
 def epoch(ts: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from heapscope.functions.paths import ancestors
+from heapscope.functions.paths import ancestors, canonical
 from heapscope.functions.scalars import price_class, read_bin
 
 
@@ -43,19 +43,44 @@ def distinct_tree(requests: DataFrame, seconds: int = 3600) -> DataFrame:
 
 
 def read_sizes(requests: DataFrame, segments: int = 4, seconds: int = 3600) -> DataFrame:
-    """Reads by prefix of up to `segments` segments, time bin and size bin (50 to a doubling)."""
-    reads = requests.filter("op = 'GET'")
-    return reads.groupBy("bucket", F.substring_index("path", "/", segments).alias("prefix"), hour(F.col("ts_s"), seconds).alias("bin"), read_bin(F.col("bytes_out")).alias("lg2")).agg(F.count("*").alias("n_ops"), F.sum("bytes_out").alias("bytes_out"))
+    """Reads (GET and HEAD) by prefix of up to `segments` segments of the canonical path, time bin and size bin (50 to a doubling)."""
+    reads = requests.filter("op in ('GET', 'HEAD')")
+    return reads.groupBy("bucket", F.substring_index(canonical(F.col("path")), "/", segments).alias("prefix"), hour(F.col("ts_s"), seconds).alias("bin"), read_bin(F.col("bytes_out")).alias("lg2")).agg(F.count("*").alias("n_ops"), F.sum("bytes_out").alias("bytes_out"))
 
 
 def requesters(requests: DataFrame, seconds: int = 86400) -> DataFrame:
     return requests.groupBy("bucket", "requester", "op", hour(F.col("ts_s"), seconds).alias("day")).agg(F.count("*").alias("n_ops"), F.sum("bytes_out").alias("bytes_out"))
 
 
-def priced(requests: DataFrame, prices: dict[str, float]) -> DataFrame:
-    """Cost of each requester by price class; prices for 1,000 operations."""
-    of = F.create_map(*[F.lit(x) for kv in prices.items() for x in kv])
-    return requests.groupBy("requester", price_class(F.col("op")).alias("price")).agg(F.count("*").alias("n_ops")).withColumn("cost", F.round(F.col("n_ops") * F.coalesce(of[F.col("price")], F.lit(0.0)) / 1000, 6))
+#: List prices for a million requests of each class. Fixed values.
+PRICE_PER_M = {"A": 5.0, "B": 0.40}
+
+
+def client(user_agent: Column) -> Column:
+    """A user agent's first product token."""
+    return F.nullif(F.regexp_extract(F.coalesce(user_agent, F.lit("")), "^([^/ ,;()]+)", 1), F.lit(""))
+
+
+def readers(rollup: DataFrame, by: list[str], top: int = 15, prices: dict[str, float] | None = None) -> DataFrame:
+    """Requests a day of each group, by price class, and their cost; the dearest `top` groups, then all others as one row.
+
+    rollup: day, op, op_raw, user_agent, prefix, n and the columns in by. Groups are summed before they are ranked, and the
+    ranking takes the top rows of each partition first.
+    """
+    prices = prices or PRICE_PER_M
+    days = rollup.agg(F.count_distinct("day").cast("double").alias("days"))
+    kind = price_class(F.col("op"), F.col("op_raw"), F.col("user_agent"), F.col("prefix"))
+    names = [F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in by]
+    of = lambda k: F.sum(F.when(F.col("_kind") == k, F.col("n")).otherwise(0))
+    sums = rollup.select(*names, kind.alias("_kind"), "n").groupBy(*by).agg(of("A").alias("a"), of("B").alias("b"), F.sum("n").alias("n"))
+    usd = (F.col("a") * prices["A"] + F.col("b") * prices["B"]) / 1e6
+    rows = sums.crossJoin(F.broadcast(days)).select(*by, *[(x / F.col("days")).alias(c) for c, x in (("a_per_day", F.col("a")), ("b_per_day", F.col("b")), ("per_day", F.col("n")), ("usd_per_day", usd))])
+    values = ["a_per_day", "b_per_day", "per_day", "usd_per_day"]
+    head = rows.orderBy(F.desc("usd_per_day"), *by).limit(top)
+    # by's columns are never null here.
+    rest = rows.join(head.select(*by), by, "left_anti").agg(F.count("*").alias("_n"), *[F.sum(c).alias(c) for c in values]).filter("_n > 0")
+    other = [F.concat(F.lit("("), "_n", F.lit(" others)")).alias(by[0]), *[F.lit("").alias(c) for c in by[1:]]]
+    return head.unionByName(rest.select(*other, *values))
 
 
 def nearest_host(requests: DataFrame, hosts: DataFrame, slack: int) -> DataFrame:

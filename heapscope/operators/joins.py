@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from heapscope.functions.paths import ancestors
@@ -39,19 +39,32 @@ def transitions(closed: DataFrame, opened: DataFrame, key: list[str]) -> DataFra
     return a.join(b, key, "full_outer").select(*key, F.when(F.col("_a") & F.col("_b"), "continues").when(F.col("_a"), "closes").otherwise("opens").alias("state"))
 
 
+def run_stem(name: Column) -> Column:
+    """A run's name without the hash at its end, then without a resume suffix, dashes and underscores at its end."""
+    return F.rtrim(F.regexp_replace(without_hash(name), r"[_-]resume\d+.*$", ""), F.lit("_-"))
+
+
+def without_hash(name: Column) -> Column:
+    return F.regexp_replace(name, "-[0-9a-f]{6,8}$", "")
+
+
 def run_names(dirs: DataFrame, runs: DataFrame, block: int = 12, least: int = 16) -> DataFrame:
-    """name, usr: directories matched to runs by whole name, by name without a hash at the end, or by a common beginning of
-    `least` characters within blocks of the first `block`; the best kind, then the longest name wins; ties of users are dropped."""
-    stem = lambda c: F.regexp_replace(F.lower(c), "[-_][0-9a-f]{6,}$", "")
-    d = dirs.select(F.col("name"), F.lower("name").alias("_full"), stem(F.col("name")).alias("_stem")).distinct()
-    r = runs.select(F.col("run"), "usr", F.lower("run").alias("_rfull"), stem(F.col("run")).alias("_rstem"))
-    same = d.join(r, F.col("_full") == F.col("_rfull")).select("name", "usr", "run", F.lit(0).alias("kind"))
-    stems = d.join(r, F.col("_stem") == F.col("_rstem")).select("name", "usr", "run", F.lit(1).alias("kind"))
-    near = d.join(r, F.substring("_stem", 1, block) == F.substring("_rstem", 1, block)).filter(F.least(F.length("_stem"), F.length("_rstem")) >= least)
-    near = near.filter(F.col("_stem").startswith(F.col("_rstem")) | F.col("_rstem").startswith(F.col("_stem"))).select("name", "usr", "run", F.lit(2).alias("kind"))
-    every = same.unionByName(stems).unionByName(near).withColumn("_o", F.struct("kind", -F.length("run")))
-    best = every.groupBy("name").agg(F.min("_o").alias("_o"))
-    return every.join(best, ["name", "_o"]).groupBy("name").agg(F.min("usr").alias("usr"), F.max("usr").alias("_x")).filter("usr = _x").drop("_x")
+    """name, usr: directories matched to runs (run, usr).
+
+    A name matches the run of that name, else of its name without hash, else of its stem. Else, of the runs whose names begin
+    as its stem does (`block` characters), the one with the longest stem that is its stem's beginning or has it as its own,
+    `least` characters being common; the least name among equally long ones. Names whose run has several users get none.
+    """
+    users = runs.filter("run <> '' and usr <> ''").groupBy("run").agg(F.min("usr").alias("usr"), F.max("usr").alias("_x")).select("run", F.when(F.col("usr") == F.col("_x"), F.col("usr")).alias("usr"))
+    d = dirs.select("name").distinct().withColumn("_stem", run_stem(F.col("name")))
+    tries = F.array(*[F.struct(F.lit(k).alias("kind"), c.alias("run")) for k, c in enumerate((F.col("name"), without_hash(F.col("name")), F.col("_stem")))])
+    exact = d.select("name", F.explode(tries).alias("x")).select("name", "x.*").join(users, "run").groupBy("name").agg(F.min_by("usr", "kind").alias("usr"))
+    left = d.join(exact.select("name"), "name", "left_anti").withColumn("_block", F.substring("_stem", 1, block))
+    r = users.select("run", "usr", run_stem(F.col("run")).alias("_own"), F.substring("run", 1, block).alias("_block"))
+    near = left.join(r, "_block").filter(F.least(F.length("_stem"), F.length("_own")) >= least)
+    near = near.filter(F.col("_stem").startswith(F.col("_own")) | F.col("_own").startswith(F.col("_stem")))
+    fuzzy = near.groupBy("name").agg(F.min_by("usr", F.struct(-F.length("_own"), "run")).alias("usr"))
+    return exact.unionByName(fuzzy).filter("usr is not null")
 
 
 def dictionary(rows: DataFrame, names: DataFrame, name: str, id_: str = "id") -> DataFrame:

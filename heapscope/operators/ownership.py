@@ -61,13 +61,21 @@ def matrix(ledger: DataFrame) -> DataFrame:
 
 
 def action_status(ledger: DataFrame) -> DataFrame:
-    """action_id, status: superseded by a newer row of the prefix, overridden by a newer one above, retracted (a release), or live."""
+    """action_id, status of each row (prefix, kind: null or 'object', ts, action_id, tombstoned).
+
+    retracted: has a tombstone; superseded: a newer row without one is on the same prefix and of the same kind; overridden:
+    a newer one without, for a whole prefix, lies above; else live. An object's row covers nothing but its key.
+    """
     key = F.struct("ts", "action_id")
-    newest = ledger.groupBy("prefix").agg(F.max(key).alias("newest"))
-    up = ledger.select("action_id", "prefix", F.explode(ancestors(F.col("prefix"), own=False)).alias("up"))
-    above = up.join(newest.withColumnsRenamed({"prefix": "up", "newest": "n"}), "up").groupBy("action_id").agg(F.max("n").alias("above"))
-    j = ledger.join(newest, "prefix").join(above, "action_id", "left")
-    return j.select("action_id", F.when(key < F.col("newest"), "superseded").when(F.col("above") > key, "overridden").when(F.col("owner").isNull(), "retracted").otherwise("live").alias("status"))
+    standing = ledger.filter("tombstoned is null")
+    kind = F.coalesce("kind", F.lit("prefix")).alias("_kind")
+    newest = standing.groupBy("prefix", kind).agg(F.max(key).alias("newest"))
+    over = standing.filter("kind is null").groupBy("prefix").agg(F.max(key).alias("n")).withColumnRenamed("prefix", "up")
+    up = ledger.select("action_id", F.explode(ancestors(F.col("prefix"), own=False)).alias("up"))
+    above = up.join(over, "up").groupBy("action_id").agg(F.max("n").alias("above"))
+    j = ledger.withColumn("_kind", kind).join(newest, ["prefix", "_kind"], "left").join(above, "action_id", "left")
+    status = F.when(F.col("tombstoned").isNotNull(), "retracted").when(key < F.col("newest"), "superseded").when(key < F.col("above"), "overridden").otherwise("live")
+    return j.select("action_id", status.alias("status"))
 
 
 def pool(usr: Column, kind: str, names: list[str] | None = None) -> Column:

@@ -7,11 +7,12 @@ from pyspark.sql import functions as F
 
 
 def nearest_rank(rows: DataFrame, by: str, value: str, shares: list[float]) -> DataFrame:
-    """Values at rank ceil(share * n), from 1; no interpolation. Equal values are counted first, so a group's rows needn't meet."""
+    """Values at place floor(share * n), from 0, the last one at most; no interpolation. Equal values are counted first, so a
+    group's rows needn't meet."""
     n = rows.filter(F.col(value).isNotNull()).groupBy(by, value).agg(F.count("*").alias("_c"))
     w = Window.partitionBy(by).orderBy(value)
     up = n.withColumns({"_to": F.sum("_c").over(w), "_n": F.sum("_c").over(Window.partitionBy(by))})
-    rank = lambda q: F.greatest(F.lit(1), F.ceil(F.lit(q) * F.col("_n")))
+    rank = lambda q: F.least(F.col("_n"), F.floor(F.lit(float(q)) * F.col("_n")) + 1)
     return up.groupBy(by).agg(*[F.min(F.when(F.col("_to") >= rank(q), F.col(value))).alias(f"p{int(q * 100)}") for q in shares])
 
 
@@ -34,14 +35,22 @@ def deltas(daily: DataFrame) -> DataFrame:
     return daily.withColumn("delta", F.col("b") - F.lag("b").over(Window.orderBy("day")))
 
 
-def runway(daily: DataFrame, quota: int, windows: list[int]) -> DataFrame:
-    """days, growth over each look-back, and days until the quota at that pace. daily: day, b added that day."""
-    t = daily.withColumn("total", F.sum("b").over(Window.orderBy("day").rowsBetween(Window.unboundedPreceding, 0)))
-    now = F.broadcast(t.agg(F.max("day").alias("last"), F.max_by("total", "day").alias("now")))
-    spans = F.explode(F.array(*map(F.lit, windows))).alias("days")
-    before = t.crossJoin(now).select("*", spans).filter(F.col("day") <= F.col("last") - F.col("days")).groupBy("days").agg(F.max_by("total", "day").alias("then"), F.first("now").alias("now"))
-    growth = F.col("now") - F.col("then")
-    return before.select("days", growth.alias("growth"), F.round((F.lit(quota) - F.col("now")).cast("double") / (growth.cast("double") / F.col("days")), 6).alias("left_days"))
+def runway(history: DataFrame, quotas: DataFrame, by: str, windows: tuple[int, ...] = (1, 3, 7)) -> DataFrame:
+    """used, growth a day, window_d and days until the quota of each group at its newest reading.
+
+    history: by, t (epoch seconds), v; quotas: by, quota. Growth is the fastest of those over the windows (in days), each from
+    the latest reading that is as old or older, over the time really elapsed; of equal ones the longest window counts. Days
+    are 0 at or over the quota, and infinite where nothing grows or no reading is old enough.
+    """
+    last = history.groupBy(by).agg(F.max("t").alias("t1"), F.max_by("v", "t").alias("used"))
+    seen = history.join(last, by)
+    then = seen.groupBy(by, "t1", "used").agg(*[F.max(F.when(F.col("t") <= F.col("t1") - w * 86400, F.struct("t", "v"))).alias(f"w{w}") for w in windows])
+    rate = lambda w: (F.col("used") - F.col(f"w{w}.v")).cast("double") / ((F.col("t1") - F.col(f"w{w}.t")).cast("double") / 86400.0)
+    rates = [F.when(F.col(f"w{w}").isNotNull(), F.struct(rate(w).alias("growth"), F.lit(w).alias("window_d"))) for w in windows]
+    best = F.greatest(*rates) if len(rates) > 1 else rates[0]
+    j = then.withColumn("best", best).join(quotas, by).select(by, "used", "best.growth", "best.window_d", (F.col("quota") - F.col("used")).alias("free"))
+    days = F.when(F.col("free") <= 0, 0.0).when(F.col("growth") > 0, F.col("free").cast("double") / F.col("growth")).otherwise(float("inf"))
+    return j.select(by, "used", "growth", "window_d", days.alias("days"))
 
 
 def daily_spine(counts: DataFrame, by: str) -> DataFrame:

@@ -53,9 +53,17 @@ def top_with_other(rows: DataFrame, by: str, name: str, n: int, partition: list[
 
 
 def step_union(points: DataFrame) -> DataFrame:
-    """Series (series, t, v) as one step function: at each t of any series, the sum of every series' last value; null until all have begun."""
-    times, names = points.select("t").distinct(), points.select("series").distinct()
-    grid = times.crossJoin(F.broadcast(names))
-    w = Window.partitionBy("series").orderBy("t")
-    held = grid.join(points, ["series", "t"], "left").withColumn("v", F.last("v", ignorenulls=True).over(w))
-    return held.groupBy("t").agg(F.when(F.count("v") == F.count("*"), F.sum("v")).alias("v"))
+    """Series (series, t, v) at the instants of all of them: t, series and the series' latest value; null before its first.
+
+    A value holds until the series' next one, so instants are joined to it by the time it holds; nothing is crossed but a
+    series with the instants it has a row for in the result.
+    """
+    times = points.select("t").distinct()
+    first = points.groupBy("series").agg(F.min("t").alias("first"))
+    own = points.groupBy("series", "t").agg(F.max("v").alias("v"))
+    until = F.lead("t").over(Window.partitionBy("series").orderBy("t"))
+    holds = own.withColumn("until", until)
+    p, i = holds.alias("p"), times.alias("i")
+    known = p.join(i, F.expr("i.t >= p.t and (p.until is null or i.t < p.until)")).select("i.t", "p.series", "p.v")
+    before = first.alias("f").join(times.alias("i"), F.expr("i.t < f.first")).select("i.t", "f.series", F.lit(None).cast(points.schema["v"].dataType).alias("v"))
+    return known.unionByName(before)

@@ -37,9 +37,11 @@ def a08d(spark, sf):
     return A.distinct_tree(X.requests(spark, sf))
 
 
-@query("a09_read_sizes", with_(LISTING, REQUESTS, then=f"SELECT bucket, array_to_string(string_split(path, '/')[1:4], '/') AS prefix, {HOUR} AS bin, CAST(CASE WHEN bytes_out > 0 THEN round(log2(CAST(bytes_out AS DOUBLE)) * 50) ELSE -9999 END AS INTEGER) AS lg2, count(*) AS n_ops, CAST(sum(bytes_out) AS BIGINT) AS bytes_out FROM requests WHERE op = 'GET' GROUP BY ALL"))
+@query("a09_read_sizes", with_(LISTING, REQUESTS, then=f"SELECT bucket, array_to_string(string_split(path, '/')[1:4], '/') AS prefix, {HOUR} AS bin, CAST(CASE WHEN bytes_out > 0 THEN round(log2(CAST(bytes_out AS DOUBLE)) * 50) ELSE -9999 END AS INTEGER) AS lg2, count(*) AS n_ops, CAST(sum(bytes_out) AS BIGINT) AS bytes_out FROM requests WHERE op IN ('GET', 'HEAD') GROUP BY ALL"))
 def a09(spark, sf):
-    return A.read_sizes(X.requests(spark, sf))
+    """Of keys written with several slashes, and one at the end, as logs have them."""
+    odd = F.when(F.col("event_id") % 3 == 0, F.concat(F.regexp_replace("path", "/", "//"), F.lit("/"))).otherwise(F.col("path"))
+    return A.read_sizes(X.requests(spark, sf).withColumn("path", odd))
 
 
 @query("a10_requesters", with_(LISTING, REQUESTS, then="SELECT bucket, requester, op, CAST(ts_s - ts_s % 86400 AS BIGINT) AS day, count(*) AS n_ops, CAST(sum(bytes_out) AS BIGINT) AS bytes_out FROM requests GROUP BY ALL"))
@@ -47,9 +49,24 @@ def a10(spark, sf):
     return A.requesters(X.requests(spark, sf))
 
 
-@query("a10_prices", with_(LISTING, REQUESTS, then="SELECT requester, p AS price, n_ops, round(n_ops * CASE p WHEN 'A' THEN 0.005 WHEN 'B' THEN 0.0004 ELSE 0.0 END / 1000, 6) AS cost FROM (SELECT requester, CASE WHEN op IN ('PUT', 'LIST') THEN 'A' WHEN op = 'DELETE' THEN 'free' ELSE 'B' END AS p, count(*) AS n_ops FROM requests GROUP BY ALL)"))
+AGENTS = ["python-gcsfs/2024.1 (linux)", "Go-http-client/2.0", "GCS Lifecycle Management", "curl/8.5.0"]
+#: Reads of every fifth event are of the bucket itself; a quarter of requests is the lifecycle engine's.
+READERS = f"""r AS (SELECT CAST(ts_s // 86400 AS BIGINT) AS day, bucket, op, {AGENTS}[event_id % 4 + 1] AS agent, CASE WHEN event_id % 5 = 0 THEN '' ELSE 'p' END AS prefix FROM requests),
+c AS (SELECT *, CASE WHEN agent LIKE 'GCS%' OR op = 'DELETE' THEN 'free' WHEN op = 'LIST' OR op = 'GET' AND prefix = '' THEN 'A' WHEN op IN ('GET', 'HEAD') THEN 'B' ELSE 'A' END AS cls FROM r),
+d AS (SELECT count(DISTINCT day) AS days FROM r),
+g AS (SELECT ['python-gcsfs', 'Go-http-client', 'GCS', 'curl'][list_position({AGENTS}, agent)] AS client, bucket, count(*) FILTER (cls = 'A') / max(days) AS a, count(*) FILTER (cls = 'B') / max(days) AS b, count(*) / max(days) AS n FROM c, d GROUP BY ALL),
+k AS (SELECT *, (a * 5.0 + b * 0.4) / 1e6 AS usd, row_number() OVER (ORDER BY a * 5.0 + b * 0.4 DESC, client, bucket) AS rn FROM g),
+t AS (SELECT CASE WHEN rn <= 6 THEN client ELSE '(' || ((SELECT count(*) FROM g) - 6) || ' others)' END AS client, CASE WHEN rn <= 6 THEN bucket ELSE '' END AS bucket, a, b, n, usd FROM k)"""
+
+
+@query("a10_prices", with_(LISTING, REQUESTS, READERS, then="SELECT client, bucket, round(sum(a), 6) AS a_per_day, round(sum(b), 6) AS b_per_day, round(sum(n), 6) AS per_day, round(sum(usd), 9) AS usd_per_day FROM t GROUP BY ALL"))
 def a10p(spark, sf):
-    return A.priced(X.requests(spark, sf), {"A": 0.005, "B": 0.0004})
+    i = F.col("event_id")
+    agent = F.get(F.array(*map(F.lit, AGENTS)), (i % 4).cast("int"))
+    r = X.requests(spark, sf).select(F.expr("ts_s div 86400").alias("day"), "bucket", "op", F.lit(None).cast("string").alias("op_raw"), agent.alias("user_agent"), F.when(i % 5 == 0, "").otherwise("p").alias("prefix"))
+    r = r.groupBy(*r.columns).agg(F.count("*").alias("n")).withColumn("client", A.client(F.col("user_agent")))
+    out = A.readers(r, ["client", "bucket"], top=6)
+    return out.select("client", "bucket", *[F.round(c, 9 if c[0] == "u" else 6).alias(c) for c in out.columns[2:]])
 
 
 def _hosts(spark, sf):
@@ -122,7 +139,7 @@ def e03(spark, sf):
     return a.join(d, "path", "full_outer").filter(~F.col("b").eqNullSafe(F.col("size"))).agg(F.count("*").alias("wrong"))
 
 
-@query("a32_percentiles", "SELECT event_type, " + ", ".join(f"max(CASE WHEN rn = greatest(1, CAST(ceil({q} * n) AS BIGINT)) THEN value END) AS p{int(q * 100)}" for q in (0.5, 0.9, 1.0)) + " FROM (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value) AS rn, count(*) OVER (PARTITION BY event_type) AS n FROM events) GROUP BY event_type")
+@query("a32_percentiles", "SELECT event_type, " + ", ".join(f"max(CASE WHEN rn = least(n, CAST(floor(CAST({q} AS DOUBLE) * n) AS BIGINT) + 1) THEN value END) AS p{int(q * 100)}" for q in (0.5, 0.9, 1.0)) + " FROM (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value) AS rn, count(*) OVER (PARTITION BY event_type) AS n FROM events) GROUP BY event_type")
 def a32(spark, sf):
     return RP.nearest_rank(X.table(spark, sf, "events"), "event_type", "value", [0.5, 0.9, 1.0])
 
@@ -151,13 +168,30 @@ def a34(spark, sf):
 DAILY = "daily AS (SELECT CAST(floor(epoch(o_orderdate) / 86400) AS BIGINT) AS day, CAST(sum(round(o_totalprice * 100)) AS BIGINT) AS b FROM orders GROUP BY 1), totals AS (SELECT day, CAST(sum(b) OVER (ORDER BY day) AS BIGINT) AS total FROM daily)"
 
 
-@query("a35_runway", with_(DAILY, "growth AS (SELECT w, (SELECT arg_max(total, day) FROM totals) - (SELECT arg_max(total, day) FROM totals WHERE day <= (SELECT max(day) FROM totals) - w) AS g FROM (SELECT unnest([7, 30, 90]) AS w))", then="SELECT CAST(w AS INTEGER) AS days, CAST(g AS BIGINT) AS growth, round(CAST(1000000000000 - (SELECT arg_max(total, day) FROM totals) AS DOUBLE) / (CAST(g AS DOUBLE) / w), 6) AS left_days FROM growth"))
-def a35(spark, sf):
-    from heapscope.functions.scalars import epoch
+#: Bytes of each region by day, from the day before the last order back; a region that has stopped growing; and quotas with
+#: room for some, for none, and for a group without an older reading.
+RUNWAY = """h AS (SELECT bucket AS grp, created_s // 86400 * 86400 + 3600 * (key % 5) AS t, sum(size_bytes) AS b FROM listing GROUP BY ALL),
+ hist AS (SELECT grp, t, CAST(sum(b) OVER (PARTITION BY grp ORDER BY t) AS BIGINT) AS v FROM h UNION ALL SELECT 'flat', t, 1000 FROM h WHERE grp = 'asia' UNION ALL SELECT 'fresh', 1000000000, 5),
+ lastr AS (SELECT grp, max(t) AS t1, arg_max(v, t) AS used FROM hist GROUP BY grp),
+ quotas AS (SELECT grp, CASE WHEN grp = 'europe' THEN used ELSE used * 2 + 10 END AS quota FROM lastr),
+ then_ AS (SELECT l.grp, l.t1, l.used, w, max(h.t) AS t0, arg_max(h.v, h.t) AS v0 FROM lastr l JOIN hist h ON h.grp = l.grp, (SELECT unnest([1, 3, 7]) AS w) WHERE h.t <= l.t1 - w * 86400 GROUP BY ALL),
+ rates AS (SELECT grp, w, CAST(used - v0 AS DOUBLE) / (CAST(t1 - t0 AS DOUBLE) / 86400.0) AS r FROM then_),
+ best AS (SELECT grp, r, w FROM (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY r DESC, w DESC) AS rn FROM rates) WHERE rn = 1)"""
+
 
-    o = X.table(spark, sf, "orders").select(F.expr("0").alias("z"), epoch(F.col("o_orderdate")).alias("s"), F.round(F.col("o_totalprice") * 100).cast("long").alias("b"))
-    daily = o.groupBy(F.expr("s div 86400").alias("day")).agg(F.sum("b").alias("b"))
-    return RP.runway(daily, 1_000_000_000_000, [7, 30, 90])
+@query("a35_runway", with_(LISTING, RUNWAY, then="SELECT l.grp, l.used, round(r, 4) AS growth, CAST(w AS INTEGER) AS window_d, CASE WHEN quota <= used THEN 0.0 WHEN r > 0 THEN round((quota - used) / r, 6) ELSE CAST('infinity' AS DOUBLE) END AS days FROM lastr l JOIN quotas USING (grp) LEFT JOIN best USING (grp)"))
+def a35(spark, sf):
+    from pyspark.sql import Window
+
+    x = X.listing(spark, sf)
+    h = x.groupBy(F.col("bucket").alias("grp"), F.expr("created_s div 86400 * 86400 + 3600 * (key % 5)").alias("t")).agg(F.sum("size_bytes").alias("b"))
+    grown = h.select("grp", "t", F.sum("b").over(Window.partitionBy("grp").orderBy("t")).alias("v"))  # a row for each day and region
+    flat = h.filter("grp = 'asia'").select(F.lit("flat").alias("grp"), "t", F.lit(1000).cast("long").alias("v"))
+    hist = grown.unionByName(flat).unionByName(spark.createDataFrame([("fresh", 1_000_000_000, 5)], "grp string, t long, v long"))
+    last = hist.groupBy("grp").agg(F.max_by("v", "t").alias("u"))
+    quotas = last.select("grp", F.when(F.col("grp") == "europe", F.col("u")).otherwise(F.col("u") * 2 + 10).alias("quota"))
+    out = RP.runway(hist, quotas, "grp")
+    return out.withColumns({"growth": F.round("growth", 4), "days": F.when(F.col("days") < float("inf"), F.round("days", 6)).otherwise(F.col("days"))})
 
 
 @query("a36_daily_spine", "WITH d AS (SELECT user_id, CAST(floor(epoch(ts) / 86400) AS BIGINT) AS day, count(*) AS n FROM events GROUP BY ALL), f AS (SELECT user_id, min(day) AS first FROM d GROUP BY 1), spine AS (SELECT unnest(range((SELECT min(day) FROM d), (SELECT max(day) FROM d) + 1)) AS day) SELECT f.user_id, spine.day, CASE WHEN spine.day < first THEN NULL ELSE coalesce(n, 0) END AS n FROM f CROSS JOIN spine LEFT JOIN d ON d.user_id = f.user_id AND d.day = spine.day")

@@ -23,8 +23,11 @@ def _dialect_a(spark, sf):
 
 def _dialect_b(spark, sf):
     x = X.listing(spark, sf)
-    kind = F.when(F.col("storage_class_id") == 1, "STANDARD").when(F.col("storage_class_id") == 2, "STANDARD_IA").otherwise("GLACIER")
-    return x.select(F.col("bucket").alias("Bucket"), F.col("name").alias("Key"), F.col("size_bytes").alias("Size"), F.col("created").alias("LastModifiedDate"), kind.alias("StorageClass"), (F.col("key") % 5 == 0).alias("IsDeleteMarker"), (F.col("key") % 3 != 0).alias("IsLatest"))
+    names = [*KINDS_B, None]
+    kind = F.get(F.array(*[F.lit(k).cast("string") for k in names]), (F.col("key") % len(names)).cast("int"))
+    gone = F.when(F.col("key") % 7 != 1, F.col("key") % 5 == 0)
+    latest = F.when(F.col("key") % 7 != 2, F.col("key") % 3 != 0)
+    return x.select(F.col("bucket").alias("Bucket"), F.col("name").alias("Key"), F.col("size_bytes").alias("Size"), F.col("created").alias("LastModifiedDate"), kind.alias("StorageClass"), gone.alias("IsDeleteMarker"), latest.alias("IsLatest"))
 
 
 @query("s01_listing", with_(LISTING, then=f"SELECT {COLS} FROM listing"))
@@ -37,7 +40,11 @@ def s02(spark, sf):
     return L.normalised(_dialect_a(spark, sf))
 
 
-@query("s03_inventory_b", with_(LISTING, then=f"SELECT {COLS} FROM listing WHERE key % 5 <> 0 AND key % 3 <> 0"))
+#: Every class name, one that isn't known and one in small letters; in the SQL their ids by hand, and 0 for a missing one.
+KINDS_B = ["STANDARD", "REDUCED_REDUNDANCY", "INTELLIGENT_TIERING", "OUTPOSTS", "STANDARD_IA", "ONEZONE_IA", "GLACIER_IR", "GLACIER_INSTANT_RETRIEVAL", "GLACIER", "DEEP_ARCHIVE", "EXPRESS_ONEZONE", "glacier"]
+
+
+@query("s03_inventory_b", with_(LISTING, then="SELECT bucket, name, size_bytes, created, CAST([1, 1, 1, 1, 2, 2, 3, 3, 4, 4, 0, 0, 0][key % 13 + 1] AS INTEGER) AS storage_class_id FROM listing WHERE NOT (key % 5 = 0 AND key % 7 <> 1) AND NOT (key % 3 = 0 AND key % 7 <> 2)"))
 def s03(spark, sf):
     return L.normalised(_dialect_b(spark, sf))
 
@@ -131,14 +138,70 @@ def p05(spark, sf):
     return X.files(spark, sf).filter(P.in_subtree(F.col("path"), "europe/nation_3")).select("path")
 
 
-@query("p17_ops", with_(LISTING, REQUESTS, then="SELECT op_raw, CASE op_raw WHEN 'view' THEN 'GET' ELSE 'OTHER' END AS op, count(*) AS n FROM requests GROUP BY ALL"))
+#: Spellings of an operation in both APIs, the HTTP method, and what it is, by hand.
+SPELLINGS = [
+    ("GET_Object", "GET", "GET"),
+    ("GET_Bucket", "GET", "LIST"),
+    ("storage.objects.list", None, "LIST"),
+    ("storage.buckets.list", "GET", "LIST"),
+    ("LIST_Bucket", "GET", "LIST"),
+    ("storage.objects.get", None, "GET"),
+    ("get_object", None, "GET"),
+    ("GET_Object_Metadata", "GET", "GET"),
+    ("GET_Bucket_Metadata", "GET", "GET"),
+    ("storage.buckets.getIamPolicy", None, "OTHER"),
+    ("storage.objects.patch", None, "PUT"),
+    ("storage.objects.update", "PATCH", "PUT"),
+    ("storage.objects.insert", "POST", "PUT"),
+    ("PUT_Object", "PUT", "PUT"),
+    ("POST_Object", "POST", "PUT"),
+    ("POST_Uploads", "POST", "PUT"),
+    ("storage.objects.compose", "POST", "OTHER"),
+    ("POST_Nested_Delete_Multi_Objects", "POST", "OTHER"),
+    ("HEAD_Object", "HEAD", "HEAD"),
+    ("DELETE_Object", "DELETE", "DELETE"),
+    ("storage.objects.delete", None, "DELETE"),
+    (None, "HEAD", "HEAD"),
+    (None, None, "OTHER"),
+]
+
+
+def _nth(values: list, by):
+    return F.get(F.array(*[F.lit(v).cast("string") for v in values]), (by % len(values)).cast("int"))
+
+
+@query("p17_ops", f"SELECT CAST(event_id % {len(SPELLINGS)} AS INTEGER) AS spelling, {[x[2] for x in SPELLINGS]}[event_id % {len(SPELLINGS)} + 1] AS op, count(*) AS n FROM events GROUP BY ALL")
 def p17(spark, sf):
-    return X.requests(spark, sf).groupBy("op_raw", S.op_class(F.col("op_raw")).alias("op")).agg(F.count("*").alias("n"))
-
-
-@query("p18_price_class", with_(LISTING, REQUESTS, then="SELECT CASE WHEN op IN ('PUT', 'LIST') THEN 'A' WHEN op = 'DELETE' THEN 'free' ELSE 'B' END AS price, count(*) AS n FROM requests GROUP BY 1"))
+    e, i = X.table(spark, sf, "events"), F.col("event_id")
+    op = S.usage_op(_nth([x[0] for x in SPELLINGS], i), _nth([x[1] for x in SPELLINGS], i))
+    return e.groupBy((i % len(SPELLINGS)).cast("int").alias("spelling"), op.alias("op")).agg(F.count("*").alias("n"))
+
+
+#: op, raw operation, user agent, prefix, and the price class by hand.
+PRICED = [
+    ("GET", "GET_Object", "curl/8", "a", "B"),
+    ("GET", "GET_Object", "curl/8", "", "A"),
+    ("GET", None, None, None, "B"),
+    ("HEAD", "HEAD_Object", "curl/8", "", "B"),
+    ("LIST", "GET_Bucket", "curl/8", "", "A"),
+    ("GET", "GET_Bucket", "curl/8", "a", "A"),
+    ("GET", "storage.objects.list", None, "a", "A"),
+    ("PUT", "PUT_Object", "curl/8", "a", "A"),
+    ("OTHER", "storage.objects.compose", "curl/8", "a", "A"),
+    ("OTHER", "POST_Nested_Delete_Multi_Objects", "curl/8", "", "free"),
+    ("DELETE", "DELETE_Object", "curl/8", "a", "free"),
+    ("PUT", "PUT_Object", "GCS Lifecycle Management", "a", "free"),
+    ("LIST", "GET_Bucket", "GCS Lifecycle Management", "", "free"),
+    (None, "storage.objects.delete", None, None, "free"),
+    (None, None, None, None, "A"),
+]
+
+
+@query("p18_price_class", f"SELECT CAST(event_id % {len(PRICED)} AS INTEGER) AS kind, {[x[4] for x in PRICED]}[event_id % {len(PRICED)} + 1] AS price, count(*) AS n FROM events GROUP BY ALL")
 def p18(spark, sf):
-    return X.requests(spark, sf).groupBy(S.price_class(F.col("op")).alias("price")).agg(F.count("*").alias("n"))
+    e, i = X.table(spark, sf, "events"), F.col("event_id")
+    price = S.price_class(*[_nth([x[k] for x in PRICED], i) for k in range(4)])
+    return e.groupBy((i % len(PRICED)).cast("int").alias("kind"), price.alias("price")).agg(F.count("*").alias("n"))
 
 
 @query("p20_identity", with_(LISTING, then="SELECT key, CASE WHEN key % 2 = 0 THEN 'v' || key WHEN key % 3 = 0 THEN CAST(key * 10 AS VARCHAR) END AS identity FROM listing"))
@@ -147,10 +210,17 @@ def p20(spark, sf):
     return L.object_identity(x).select("key", "identity")
 
 
-@query("p21_hex_runs", "SELECT doc_id, md5(CAST(doc_id AS VARCHAR)) || '-x' AS name, true AS in_run, false AS out_run FROM documents")
+#: An occurrence of 3, 8 or 9 characters at each place of names with a long run, a short one, and none.
+@query("p21_hex_runs", """WITH names AS (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN h || '-x' WHEN 1 THEN 'run-' || h WHEN 2 THEN substr(h, 1, 12) || '.tar' ELSE 'model-' || doc_id END AS name FROM (SELECT doc_id, md5(CAST(doc_id AS VARCHAR)) AS h FROM documents)),
+ occ AS (SELECT doc_id, name, p, m FROM names, (SELECT unnest(range(0, 24, 3)) AS p), (SELECT unnest([3, 8, 9]) AS m)),
+ x AS (SELECT *, length(regexp_extract(substr(name, 1, p), '[0-9a-f]*$')) AS b, length(regexp_extract(substr(name, p + 1), '^[0-9a-f]*')) AS a FROM occ)
+ SELECT doc_id, CAST(p AS INTEGER) AS p, CAST(m AS INTEGER) AS m, b >= 1 AND a >= 1 AND b + a >= 16 AND (a > 8 OR m <= a) AS dropped FROM x""")
 def p21(spark, sf):
-    x = X.table(spark, sf, "documents").select("doc_id", F.concat(F.md5(F.col("doc_id").cast("string").cast("binary")), F.lit("-x")).alias("name"))
-    return x.select("doc_id", "name", S.inside_hex_run(F.col("name"), F.lit(5), F.lit(3)).alias("in_run"), S.inside_hex_run(F.col("name"), F.lit(34), F.lit(1)).alias("out_run"))
+    d = X.table(spark, sf, "documents").select("doc_id", F.md5(F.col("doc_id").cast("string").cast("binary")).alias("h"))
+    k = F.col("doc_id") % 4
+    name = F.when(k == 0, F.concat("h", F.lit("-x"))).when(k == 1, F.concat(F.lit("run-"), "h")).when(k == 2, F.concat(F.substring("h", 1, 12), F.lit(".tar"))).otherwise(F.concat(F.lit("model-"), "doc_id"))
+    occ = d.select("doc_id", name.alias("name"), F.explode(F.sequence(F.lit(0), F.lit(23), F.lit(3))).alias("p")).select("*", F.explode(F.array(F.lit(3), F.lit(8), F.lit(9))).alias("m"))
+    return occ.select("doc_id", "p", "m", S.hex_dropped(F.col("name"), F.col("p") + 1, F.col("m")).alias("dropped"))
 
 
 @query("a01_rollup", with_(LISTING, f"""up AS (SELECT path, size, mtime, unnest(({ANC})[1:-2]) AS dir FROM files),
@@ -298,9 +368,14 @@ def f15(spark, sf):
     return spark.createDataFrame([("2024-01-02",), ("2024-01-02T0345",)], "scan_id string").select("scan_id", S.scan_time(F.col("scan_id")).alias("t"))
 
 
-@query("f16_usernames", r"SELECT c_custkey, regexp_replace(regexp_replace(lower(c_name), '[^a-z0-9]+', '-', 'g'), '^-|-$', '', 'g') AS u FROM customer")
+#: The same customer's name as a login, an address, with signs at its ends, and with underscores.
+@query("f16_usernames", r"""SELECT c_custkey, trim(regexp_replace(lower(split_part(trim(raw), '@', 1)), '[^a-z0-9_-]+', '-', 'g'), '-') AS u FROM (SELECT c_custkey,
+ CASE c_custkey % 5 WHEN 0 THEN c_name || '@Example.org' WHEN 1 THEN '  First.' || c_name || ' ' WHEN 2 THEN '--' || c_name || '!!' WHEN 3 THEN 'a_b_' || c_custkey || '@x@y' ELSE 'Ä' || c_name || '--x' END AS raw FROM customer)""")
 def f16(spark, sf):
-    return X.table(spark, sf, "customer").select("c_custkey", S.username(F.concat("c_name", F.lit("@Example.org"))).alias("u"))
+    k, name = F.col("c_custkey") % 5, F.col("c_name")
+    raw = F.when(k == 0, F.concat(name, F.lit("@Example.org"))).when(k == 1, F.concat(F.lit("  First."), name, F.lit(" "))).when(k == 2, F.concat(F.lit("--"), name, F.lit("!!")))
+    raw = raw.when(k == 3, F.concat(F.lit("a_b_"), "c_custkey", F.lit("@x@y"))).otherwise(F.concat(F.lit("Ä"), name, F.lit("--x")))
+    return X.table(spark, sf, "customer").select("c_custkey", S.username(raw).alias("u"))
 
 
 @query("s20_digest", with_(LISTING, then="SELECT bucket, count(*) AS n, true AS same FROM listing GROUP BY bucket"))

@@ -56,10 +56,24 @@ def j26(spark, sf):
     return J.transitions(v.filter(F.col("vt") == T[3]), v.filter(F.col("vf") == T[3]), ["path"])
 
 
-@query("j18_run_names", "SELECT c_name || '-abcdef12' AS name, 'u' || (c_custkey % 5) AS usr FROM customer")
+#: Directories that match by whole name, without a hash, by stem, by a common beginning, and not at all; the users by hand.
+@query("j18_run_names", """WITH k AS (SELECT c_custkey AS k, lpad(CAST(c_custkey AS VARCHAR), 9, '0') || '-experiment-run' AS run FROM customer)
+ SELECT CASE k % 7 WHEN 0 THEN run WHEN 1 THEN run || '-abcdef12' WHEN 2 THEN run || '_resume3-b' WHEN 3 THEN run || '-final' WHEN 4 THEN run || '-abcdef12345' ELSE upper(run) END AS name,
+  CASE WHEN k % 7 = 3 AND k % 2 = 0 THEN 'longer' ELSE 'u' || (k % 5) END AS usr FROM k WHERE k % 7 < 5 AND (k % 10 <> 0 OR k % 7 = 3)
+ UNION ALL SELECT 'short-' || k, 'u' || (k % 5) FROM k WHERE k % 7 = 6 AND k < 100""")
 def j18(spark, sf):
-    c = X.table(spark, sf, "customer")
-    return J.run_names(c.select(F.concat("c_name", F.lit("-abcdef12")).alias("name")), c.select(F.concat("c_name", F.lit("-0123456789")).alias("run"), F.concat(F.lit("u"), F.col("c_custkey") % 5).alias("usr")), block=18, least=64)
+    c = X.table(spark, sf, "customer").select(F.col("c_custkey").alias("k"), F.concat(F.lpad(F.col("c_custkey").cast("string"), 9, "0"), F.lit("-experiment-run")).alias("run"))
+    k = F.col("k") % 7
+    ends = {0: "", 1: "-abcdef12", 2: "_resume3-b", 3: "-final", 4: "-abcdef12345"}
+    name = F.upper("run")
+    for i, end in ends.items():
+        name = F.when(k == i, F.concat("run", F.lit(end))).otherwise(name)
+    # A name of under 16 characters matches as a whole only.
+    short = c.filter((k >= 5) & (F.col("k") < 100)).select(F.concat(F.lit("short-"), F.when(k == 6, F.col("k").cast("string")).otherwise(F.concat("k", F.lit("-more")))).alias("name"))
+    usr = F.concat(F.lit("u"), F.col("k") % 5)
+    runs = c.select("run", usr.alias("usr")).unionByName(c.filter("k < 100").select(F.concat(F.lit("short-"), "k").alias("run"), usr.alias("usr")))
+    runs = runs.unionByName(c.filter("k % 10 = 0").select("run", F.lit("second").alias("usr"))).unionByName(c.filter("k % 2 = 0").select(F.concat("run", F.lit("-fin-0badc0de")).alias("run"), F.lit("longer").alias("usr")))
+    return J.run_names(c.select(name.alias("name")).unionByName(short), runs)
 
 
 @query("x12_attribution_as_of", with_(LISTING, LABELS, LAB, then="SELECT path, usr FROM deep WHERE usr IS NOT NULL"))

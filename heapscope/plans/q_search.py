@@ -230,9 +230,19 @@ def x10m(spark, sf):
     return O.matrix(_ledger(spark, sf))
 
 
-@query("e15_action_status", with_(LISTING, LEDGER, f"k AS (SELECT *, ts * 1000000 + action_id AS kk FROM ledger), ua AS (SELECT action_id, unnest(({ANC.replace('path', 'prefix')})[1:-2]) AS up FROM k), ab AS (SELECT ua.action_id, max(k2.kk) AS above FROM ua JOIN k k2 ON k2.prefix = ua.up GROUP BY ua.action_id)", then="SELECT k.action_id, CASE WHEN kk < max(kk) OVER (PARTITION BY prefix) THEN 'superseded' WHEN above > kk THEN 'overridden' WHEN owner IS NULL THEN 'retracted' ELSE 'live' END AS status FROM k LEFT JOIN ab ON ab.action_id = k.action_id"))
+#: The ledger with objects' rows, rows on the same prefix that are newer, of either kind, and tombstones on some of all.
+AUDIT = """audit AS (SELECT prefix, CASE WHEN owner = 'object-owner' THEN 'object' END AS kind, ts, action_id, CASE WHEN action_id % 7 = 3 THEN ts + 1 END AS tombstoned FROM ledger
+ UNION ALL SELECT prefix, CASE WHEN action_id % 8 = 1 THEN 'object' END, ts, action_id + 1000000, CASE WHEN action_id % 12 = 5 THEN ts + 1 END FROM ledger WHERE action_id % 4 = 1)"""
+
+
+@query("e15_action_status", with_(LISTING, LEDGER, AUDIT, then="""SELECT o.action_id, CASE WHEN o.tombstoned IS NOT NULL THEN 'retracted'
+ WHEN EXISTS (SELECT 1 FROM audit n WHERE n.prefix = o.prefix AND n.kind IS NOT DISTINCT FROM o.kind AND n.tombstoned IS NULL AND (n.ts, n.action_id) > (o.ts, o.action_id)) THEN 'superseded'
+ WHEN EXISTS (SELECT 1 FROM audit n WHERE n.kind IS NULL AND n.tombstoned IS NULL AND starts_with(o.prefix, n.prefix || '/') AND (n.ts, n.action_id) > (o.ts, o.action_id)) THEN 'overridden' ELSE 'live' END AS status FROM audit o"""))
 def e15(spark, sf):
-    return O.action_status(_ledger(spark, sf))
+    x, i = _ledger(spark, sf), F.col("action_id")
+    first = x.select("prefix", F.when(F.col("owner") == "object-owner", "object").alias("kind"), "ts", "action_id", F.when(i % 7 == 3, F.col("ts") + 1).alias("tombstoned"))
+    more = x.filter(i % 4 == 1).select("prefix", F.when(i % 8 == 1, "object").alias("kind"), "ts", (i + 1000000).alias("action_id"), F.when(i % 12 == 5, F.col("ts") + 1).alias("tombstoned"))
+    return O.action_status(first.unionByName(more))
 
 
 @query("p12_pools", with_(LISTING, LABELS, LAB, OWNED, then="SELECT CASE WHEN usr IS NULL OR usr = '' THEN 'unowned' ELSE 'owned' END AS pool, CAST(sum(size) AS BIGINT) AS size FROM owned GROUP BY 1 UNION ALL SELECT 'others', CAST(sum(size) AS BIGINT) FROM owned WHERE usr IS NULL OR usr NOT IN ('building', 'default')"))

@@ -34,14 +34,26 @@ def t04s(spark, sf):
     return A.dropped_share(_usage(spark, sf)).select("n", F.round("dropped", 9).alias("dropped"))
 
 
+def staged_texts(spark, texts):
+    """Files as they would lie in a store: their text doesn't change from one read to the next."""
+    path = scratch(spark, "hours")
+    texts.write.parquet(path)
+    return spark.read.parquet(path)
+
+
 @query("s08_hour_files", with_(LISTING, REQUESTS, then="SELECT bucket, CAST(ts_s - ts_s % 3600 AS BIGINT) AS hour, path, op, count(*) AS n, max(ts_s) AS last_ts, CAST(ts_s - ts_s % 3600 AS BIGINT) % 7200 = 0 AS sampled FROM requests GROUP BY ALL"))
 def s08(spark, sf):
     g = X.requests(spark, sf).groupBy("bucket", hour(F.col("ts_s")).alias("hour"), "path", "op").agg(F.count("*").alias("n"), F.min("ts_s").alias("a"), F.max("ts_s").alias("b"))
-    old = F.col("hour") % 10800 == 0
+    """Files of two versions, with the actions' own names; every third file is delivered twice."""
+    names = {"GET": "GetObject", "HEAD": "HeadObject", "PUT": "UploadPart", "LIST": "ListObjectsV2", "DELETE": "DeleteObjects"}
+    action = F.create_map(*[F.lit(x) for kv in names.items() for x in kv])[F.col("op")]
+    g, old = g.withColumn("op", action), F.col("hour") % 10800 == 0
     row = F.when(old, F.to_json(F.struct(F.col("path").alias("key"), F.col("op").alias("action"), "n", F.col("b").alias("last_ts")))).otherwise(F.concat(F.lit("["), F.concat_ws(",", F.to_json(F.struct(F.col("path").alias("k"))).substr(F.lit(6), F.length(F.to_json(F.struct(F.col("path").alias("k")))) - 6), F.concat(F.lit('"'), "op", F.lit('"')), "n", "a", "b"), F.lit("]")))
     f = g.select("bucket", "hour", row.alias("row")).groupBy("bucket", "hour").agg(F.array_join(F.collect_list("row"), ",").alias("rows"))
-    kind = F.when(F.col("hour") % 7200 == 0, '"sampled"').otherwise('"all"')
+    kind = F.when(F.col("hour") % 14400 == 0, '"sampled"').when(F.col("hour") % 7200 == 0, '"inconsistent"').otherwise('"unsampled"')
     texts = f.select(F.concat(F.lit('{"schema_version":'), F.when(old, "1").otherwise("4"), F.lit(',"bucket":"'), "bucket", F.lit('","hour":'), "hour", F.lit(',"capture":'), kind, F.lit(',"rows":['), "rows", F.lit("]}")).alias("value"))
+    again = F.explode(F.when(F.crc32(F.substring("value", 1, 60).cast("binary")) % 3 == 0, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1))))
+    texts = staged_texts(spark, texts).select("value", again.alias("_k")).select("value")
     return A.hours(texts).select("bucket", "hour", "path", "op", "n", "last_ts", "sampled")
 
 

@@ -22,11 +22,13 @@ def normalised(df: DataFrame) -> DataFrame:
     """A listing in the common columns; the dialect is told by the columns that are there."""
     if {"Bucket", "Key", "Size"} <= set(df.columns):
         live = (F.coalesce(_column(df, "IsDeleteMarker", F.lit(False)).cast("boolean"), F.lit(False)) == F.lit(False)) & F.coalesce(_column(df, "IsLatest", F.lit(True)).cast("boolean"), F.lit(True))
-        kind = mapped(_column(df, "StorageClass", F.lit("STANDARD")), CLASS_B, 0)
+        kind = mapped(_column(df, "StorageClass", F.lit(None).cast("string")), CLASS_B, 0)
         out = df.filter(live).select(F.col("Bucket").alias("bucket"), F.col("Key").alias("name"), F.col("Size").alias("size_bytes"), _column(df, "LastModifiedDate", F.lit(None).cast("timestamp_ntz")).alias("created"), kind.alias("storage_class_id"))
     elif {"size", "timeCreated", "storageClass"} <= set(df.columns):
         live = _column(df, "timeDeleted", F.lit(None)).isNull()
         out = df.filter(live).select("bucket", "name", F.col("size").alias("size_bytes"), F.col("timeCreated").alias("created"), mapped(F.col("storageClass"), CLASS_A, 0).alias("storage_class_id"))
+    elif "size_bytes" not in df.columns:
+        raise ValueError(f"not a listing: {sorted(df.columns)}")
     else:
         out = df.select("bucket", "name", "size_bytes", _column(df, "created", F.lit(None).cast("timestamp_ntz")).alias("created"), F.coalesce(_column(df, "storage_class_id", F.lit(0)), F.lit(0)).alias("storage_class_id"))
     return out.select("bucket", "name", F.col("size_bytes").cast("long").alias("size_bytes"), "created", F.col("storage_class_id").cast("int").alias("storage_class_id"))
