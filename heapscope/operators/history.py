@@ -138,12 +138,6 @@ def level_transitions(v: DataFrame) -> DataFrame:
     return x.select("path", F.explode(F.array_compact(F.array(begin, end))).alias("x")).select(parent(F.col("path")).alias("up"), "x.t", F.element_at(F.split("path", "/"), -1).alias("name"), "x.op", "x.size", "x.size_prev")
 
 
-def level_diff(transitions: DataFrame, up: str, t1: int, t2: int) -> DataFrame:
-    """name, before, after of the children of up that changed in (t1, t2]."""
-    x = transitions.filter((F.col("up") == up) & (F.col("t") > t1) & (F.col("t") <= t2))
-    return x.groupBy("name").agg(F.min_by("size_prev", "t").alias("before"), F.max_by("size", "t").alias("after"))
-
-
 def compare(old: DataFrame, new: DataFrame, key: list[str], columns: list[str]) -> DataFrame:
     """Counts of added, removed, equal and changed keys, and of changes by column."""
     a = old.select(*key, F.struct(*columns).alias("_a"))
@@ -199,25 +193,3 @@ def pair_changes(scans: DataFrame) -> DataFrame:
     last = scans.agg(F.max("scan")).first()[0]
     j = a.join(b, ["path", "scan"], "full_outer").filter(~F.col("sa").eqNullSafe(F.col("sb")) & (F.col("scan") >= 0) & (F.col("scan") < (last if last is not None else 0)))
     return j.groupBy("scan").agg(F.count("*").alias("n"))
-
-
-def thin_greedy(changes: dict[int, int], scans: list[int], keep: int) -> list[int]:
-    """Scans to keep: the first and last, and again and again the scan goes whose neighbours differ least from it."""
-    kept = sorted(scans)
-    cost = {a: changes.get(a, 0) for a in kept}
-    while len(kept) > max(2, keep):
-        i = min(range(1, len(kept) - 1), key=lambda k: (cost[kept[k - 1]] + cost[kept[k]], kept[k]))
-        cost[kept[i - 1]] += cost[kept[i]]
-        del kept[i]
-    return kept
-
-
-def thin_geometric(times: list[int], now: int, unit: int = 86400, factor: int = 2) -> list[int]:
-    """Of each age band [unit * factor^k, unit * factor^(k+1)) the newest time; all under a unit old."""
-    bands: dict[int, int] = {}
-    for t in sorted(times):
-        age, k = now - t, -1
-        while age >= unit * factor ** (k + 1):
-            k += 1
-        bands[k if k >= 0 else -1 - t] = t
-    return sorted(set(bands.values()) | ({min(times)} if times else set()))

@@ -119,11 +119,6 @@ def v12(spark, sf):
     return H.retained(versions(spark, sf), ["path"], ["size"], [T[k] for k in KEEP])
 
 
-@query("v13_thin_plan", with_(*BASE, "p AS (SELECT coalesce(a.scan, b.scan - 1) AS scan FROM scans a FULL JOIN scans b ON a.path = b.path AND b.scan = a.scan + 1 WHERE a.size IS DISTINCT FROM b.size)", then="SELECT CAST(scan AS INTEGER) AS scan, count(*) AS n FROM p WHERE scan BETWEEN 0 AND 4 GROUP BY scan"))
-def v13(spark, sf):
-    return H.pair_changes(X.scans(spark, sf))
-
-
 OT = f"""ob AS (SELECT scan, t, p AS path, CAST(sum(size) AS BIGINT) AS b, count(*) AS o FROM (SELECT scan, t, size, unnest(({ANC})[1:-2]) AS p FROM scans) GROUP BY ALL),
  os AS (SELECT *, CASE WHEN lag(b) OVER w = b AND lag(o) OVER w = o AND lag(scan) OVER w = scan - 1 THEN 0 ELSE 1 END AS n FROM ob WINDOW w AS (PARTITION BY path ORDER BY scan)), orr AS (SELECT *, sum(n) OVER (PARTITION BY path ORDER BY scan) AS run FROM os),
  ov AS (SELECT path, min(b) AS b, min(o) AS o, min(t) AS vf, max(scan) + 1 AS a FROM orr GROUP BY path, run), over_time AS (SELECT path, b, o, vf, CAST(coalesce(c.t, {OPEN}) AS BIGINT) AS vt FROM ov LEFT JOIN cuts c ON c.scan = a)"""
@@ -204,13 +199,6 @@ def w07(spark, sf):
     return H.level_transitions(versions(spark, sf))
 
 
-@query("x04_level_diff", with_(*BASE, LEVEL, f"x AS (SELECT * FROM level WHERE t > {T[1]} AND t <= {T[4]}), busy AS (SELECT up FROM level GROUP BY up ORDER BY count(*) DESC, up LIMIT 1)", then="SELECT name, (SELECT a.size_prev FROM x a WHERE a.up = x.up AND a.name = x.name ORDER BY a.t LIMIT 1) AS before, (SELECT a.size FROM x a WHERE a.up = x.up AND a.name = x.name ORDER BY a.t DESC LIMIT 1) AS after FROM x WHERE up = (SELECT up FROM busy) GROUP BY up, name"))
-def x04(spark, sf):
-    tr = H.level_transitions(versions(spark, sf))
-    up = tr.groupBy("up").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "up").first()
-    return H.level_diff(tr, up["up"] if up else "", T[1], T[4])
-
-
 @query("a26_churn", with_(*BASE, LEVEL, then="SELECT t, op, count(*) AS n FROM level GROUP BY ALL"))
 def a26(spark, sf):
     return H.level_transitions(versions(spark, sf)).groupBy("t", "op").agg(F.count("*").alias("n"))
@@ -228,19 +216,6 @@ def o10(spark, sf):
     return n.crossJoin(n.withColumnRenamed("a", "b")).filter("a <= b").select("a", "b", H.dyadic_segment(F.col("a"), F.col("b")).alias("seg"))
 
 
-@query("x02_diff", with_(*BASE, f"d2 AS (SELECT p, CAST(sum(size) AS BIGINT) AS size FROM (SELECT size, unnest({ANC}) AS p FROM scans WHERE scan = 2 AND starts_with(path, 'asia/')) GROUP BY p), d4 AS (SELECT p, CAST(sum(size) AS BIGINT) AS size FROM (SELECT size, unnest({ANC}) AS p FROM scans WHERE scan = 4 AND starts_with(path, 'asia/')) GROUP BY p)", then="SELECT coalesce(d2.p, d4.p) AS path, d2.size AS before, d4.size AS after, CASE WHEN d2.p IS NULL THEN 'added' WHEN d4.p IS NULL THEN 'removed' WHEN d2.size <> d4.size THEN 'changed' ELSE 'unchanged' END AS status FROM d2 FULL JOIN d4 ON d2.p = d4.p WHERE greatest(coalesce(d2.size, 0), coalesce(d4.size, 0)) >= 20000000 AND coalesce(d2.p, d4.p) <> ''"))
-def x02(spark, sf):
-    from heapscope.operators.views import diff
-
-    s = X.scans(spark, sf).filter(in_subtree(F.col("path"), "asia"))
-
-    def all_rows(k):
-        one = s.filter(F.col("scan") == k)
-        return directories(one, {"size": (F.col("size"), "sum")}, root=False).unionByName(one.select("path", "size"))
-
-    return diff(all_rows(2), all_rows(4), "asia", 20_000_000)
-
-
 @query("v05_attribution_versions", with_(LISTING, LABELS, LAB, OWNED, SCANS, "sx AS (SELECT o.path, o.usr, s.scan, s.t FROM scans s JOIN owned o ON o.path = s.path WHERE s.scan >= 2), st9 AS (SELECT *, CASE WHEN lag(scan) OVER (PARTITION BY path ORDER BY scan) = scan - 1 THEN 0 ELSE 1 END AS n FROM sx), ru9 AS (SELECT *, sum(n) OVER (PARTITION BY path ORDER BY scan) AS run FROM st9)", then=f"SELECT path, any_value(usr) AS usr, min(ru9.t) AS vf, CAST(coalesce(max(c.t), {OPEN}) AS BIGINT) AS vt FROM (SELECT path, usr, t, run, max(scan) OVER (PARTITION BY path, run) + 1 AS a FROM ru9) ru9 LEFT JOIN cuts c ON c.scan = a GROUP BY path, run"))
 def v05(spark, sf):
     o = owned(spark, sf).select("path", "usr")

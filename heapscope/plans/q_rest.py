@@ -147,22 +147,6 @@ def u02(spark, sf):
     return v.select("path", F.col("vf").alias("t")).union(v.select("path", F.col("vt"))).distinct()
 
 
-@query("a21_heavy_dirs", with_(*VERS, f"e AS (SELECT {PAR} AS dir, path, vf AS t, size AS b FROM versions UNION ALL SELECT {PAR}, path, vt, -size FROM versions WHERE vt <> {OPEN}), g AS (SELECT dir, path, t, sum(b) AS b FROM e GROUP BY ALL), r AS (SELECT dir, path, sum(b) OVER (PARTITION BY path ORDER BY t) AS run FROM g), p AS (SELECT dir, path, max(run) AS peak FROM r GROUP BY ALL), k AS (SELECT *, row_number() OVER (PARTITION BY dir ORDER BY peak DESC, path) AS rn FROM p)", then="SELECT dir, path, CAST(peak AS BIGINT) AS peak FROM k WHERE rn <= 2"))
-def a21(spark, sf):
-    v = versions(spark, sf).withColumn("dir", parent(F.col("path")))
-    peak = H.running_totals(v, ["dir", "path"]).groupBy("dir", "path").agg(F.max("bytes").alias("peak"))
-    rn = F.row_number().over(Window.partitionBy("dir").orderBy(F.desc("peak"), "path"))
-    return peak.withColumn("rn", rn).filter("rn <= 2").select("dir", "path", "peak")
-
-
-@query("q10_run_deltas", with_(LISTING, SCANS, "a AS (SELECT split_part(path, '/', 2) AS dir, sum(size) AS s FROM scans WHERE scan = 3 AND contains(path, 'urgent') GROUP BY 1), b AS (SELECT split_part(path, '/', 2) AS dir, sum(size) AS s FROM scans WHERE scan = 4 AND contains(path, 'urgent') GROUP BY 1)", then="SELECT coalesce(a.dir, b.dir) AS dir, CAST(coalesce(b.s, 0) - coalesce(a.s, 0) AS BIGINT) AS delta FROM a FULL JOIN b ON a.dir = b.dir WHERE coalesce(b.s, 0) <> coalesce(a.s, 0)"))
-def q10(spark, sf):
-    s = X.scans(spark, sf).filter(S.parse("urgent").column(F.col("path")))
-    opened = s.filter("scan = 3").select("path", "size", F.col("t").alias("vf"))
-    step = H.appended(opened, s.filter("scan = 4"), ["path"], ["size"], CUT[4]).filter("op != 0")
-    return step.groupBy(F.split_part("path", F.lit("/"), F.lit(2)).alias("dir")).agg(F.sum(F.col("size") * F.col("op")).alias("delta")).filter("delta != 0")
-
-
 @query("v09_level_of_a_parent", with_(LISTING, SCANS, LEVEL, then="SELECT up, count(*) AS n, CAST(sum(CASE op WHEN 1 THEN 1 ELSE 0 END) AS BIGINT) AS added FROM level GROUP BY up"))
 def v09(spark, sf):
     return H.level_transitions(versions(spark, sf)).groupBy("up").agg(F.count("*").alias("n"), F.sum((F.col("op") == 1).cast("long")).alias("added"))

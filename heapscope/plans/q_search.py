@@ -156,27 +156,6 @@ def u06(spark, sf):
     return S.cover(f, m)
 
 
-LEAST = 1_000_000_000
-VIEW = f"""v AS (SELECT path, size, n_files, CASE WHEN path = '' THEN 0 ELSE len(string_split(path, '/')) END AS d FROM dirs), k AS (SELECT path, size, n_files, CASE WHEN d > 0 THEN {PAR.format('path')} END AS par FROM v WHERE d = 0 OR size >= {LEAST} * pow(2, greatest(d - 1, 0))),
- kk AS (SELECT k.path, k.size, k.n_files, CASE WHEN k.par IS NULL THEN NULL WHEN k.par IN (SELECT path FROM k) THEN k.par ELSE '' END AS up FROM k), s AS (SELECT up, sum(size) AS s, sum(n_files) AS n FROM kk WHERE up IS NOT NULL GROUP BY up)"""
-
-
-@query("x01_view", with_(LISTING, DIRS, VIEW, then="SELECT path, size, n_files, up FROM kk UNION ALL SELECT CASE WHEN path = '' THEN '(other)' ELSE path || '/(other)' END, CAST(size - s AS BIGINT), CAST(greatest(n_files - n, 0) AS BIGINT), path FROM kk JOIN s ON s.up = path WHERE size > s"))
-def x01(spark, sf):
-    return V.view(_dirs(spark, sf), "", LEAST)
-
-
-@query("x13_full_scan", with_(LISTING, LABELS, LAB, OWNED, f"u AS (SELECT size, storage_class_id, usr, unnest(({ANC})[1:-2]) AS p FROM owned WHERE contains(path, 'urgent') AND storage_class_id IN (1, 2))", then="SELECT p AS path, CAST(sum(size) AS BIGINT) AS size, count(*) AS n_files FROM u GROUP BY p HAVING sum(size) >= 50000000"))
-def x13(spark, sf):
-    x = owned(spark, sf).filter(S.parse("urgent").column(F.col("path")))
-    return O.exact_scope(x, [1, 2], None).filter("size >= 50000000")
-
-
-@query("x14_dirs_view", with_(LISTING, DIRS, then="SELECT path, size, n_files FROM dirs WHERE size >= 50000000"))
-def x14(spark, sf):
-    return _dirs(spark, sf).filter("size >= 50000000")
-
-
 @query("o07_top_children", with_(LISTING, DIRS, f"k AS (SELECT {PAR.format('path')} AS up, path, size, row_number() OVER (PARTITION BY {PAR.format('path')} ORDER BY size DESC, path) AS rn FROM dirs WHERE path <> '')", then="SELECT up, CASE WHEN rn <= 4 THEN path ELSE '(other)' END AS path, CAST(sum(size) AS BIGINT) AS size FROM k GROUP BY ALL"))
 def o07(spark, sf):
     from heapscope.functions.paths import parent
