@@ -69,3 +69,26 @@ def pairs(copies: DataFrame) -> DataFrame:
 def equal_texts(rows: DataFrame, key: str, text: str) -> DataFrame:
     """Order-free digests of equal texts: text_md5, n, ids from the least."""
     return rows.groupBy(F.md5(F.col(text).cast("binary")).alias("text_md5")).agg(F.count("*").alias("n"), F.min(key).alias("first")).filter("n > 1")
+
+
+def matching_groups(groups: DataFrame, copies: DataFrame, tier: str | None = None, least: int | None = None, buckets: list[str] | None = None, q: str | None = None, suspect: bool = False, nested: bool = False) -> DataFrame:
+    """Groups (group, tier, reclaimable, suspect) of duplicates that a filter lets through. copies: group, bucket, path, nested.
+
+    Suspect groups, and groups of nested copies only, pass if asked for; buckets is a multiset that the copies' buckets must
+    hold; q must stand in some copy's path, in any case.
+    """
+    own = F.lit(True)
+    if tier is not None:
+        own &= F.col("tier") == tier
+    if least is not None:
+        own &= F.col("reclaimable") >= least
+    if not suspect:
+        own &= ~F.coalesce("suspect", F.lit(False))
+    wanted = {b: (buckets or []).count(b) for b in buckets or []}
+    tests = [F.bool_and("nested").alias("_inner"), F.bool_or(F.lower("path").contains((q or "").lower())).alias("_q")]
+    tests += [F.count_if(F.col("bucket") == b).alias(f"_b{i}") for i, b in enumerate(wanted)]
+    of = copies.groupBy("group").agg(*tests)
+    passes = F.col("_q") & (F.lit(nested) | ~F.col("_inner"))
+    for i, n in enumerate(wanted.values()):
+        passes &= F.col(f"_b{i}") >= n
+    return groups.filter(own).join(of.filter(passes).select("group"), "group", "left_semi")

@@ -180,10 +180,21 @@ def slice_totals(slices: DataFrame, totals: DataFrame) -> DataFrame:
     return j.select("path", "usr", "size", "tot", F.greatest("vf", "tf").alias("vf"), F.least("vt", "tt").alias("vt"))
 
 
-def dyadic_segment(lo: Column, hi: Column) -> Column:
-    """The smallest aligned block of a power of two scans that holds both ordinals, as 'level:block'."""
-    level = F.length(F.bin(F.greatest(lo.bitwiseXOR(hi), F.lit(0)))) * (lo != hi).cast("int")
-    return F.concat_ws(":", level.cast("string"), F.call_function("shiftright", lo, level).cast("string"))
+#: A segment's number: 0 for open versions, else 1 + level * SEGMENT + block.
+SEGMENT = 1 << 16
+
+
+def dyadic_segment(vf: Column, vt: Column, stamps: list[int]) -> Column:
+    """The segment of a version: the smallest aligned block of a power of two scans that holds its first and last scan; 0 while it is open.
+
+    A read at a scan then touches one block of each level. stamps: the times of all scans.
+    """
+    if stamps != sorted(set(stamps)):
+        raise ValueError("stamps must ascend and be distinct")
+    at = F.create_map(*[F.lit(x) for i, t in enumerate(stamps) for x in (t, i)])
+    i, j = at[vf], F.coalesce(at[vt], F.lit(len(stamps))) - 1
+    level = F.when(i == j, 0).otherwise(F.length(F.bin(i.bitwiseXOR(j))))
+    return F.when(vt == OPEN, 0).otherwise(1 + level * SEGMENT + F.call_function("shiftright", i, level)).cast("long")
 
 
 def pair_changes(scans: DataFrame) -> DataFrame:

@@ -22,10 +22,12 @@ def as_of_forward(left: DataFrame, stamps: list[int], at: str, out: str = "stamp
     return left.withColumn(out, F.try_element_at(F.filter(F.array(*[F.lit(s).cast("long") for s in sorted(stamps)]), lambda s: s >= F.col(at)), F.lit(1)))
 
 
-def in_ranges(left: DataFrame, bounds: list[str], at: str, out: str = "range") -> DataFrame:
-    """left with the number of the range it falls in, from the sorted lower bounds of a few ranges."""
-    lows = F.array(*map(F.lit, sorted(bounds)))
-    return left.withColumn(out, (F.size(F.filter(lows, lambda b: b <= F.col(at))) - 1).cast("int"))
+def in_ranges(left: DataFrame, starts: DataFrame, at: str, out: str = "range") -> DataFrame:
+    """left with the number (from 0) of the range it falls in, -1 before the first. starts: start, the lower bounds of ranges, as many as a
+    plan has shards; they are sorted and sent around as one list."""
+    lows = starts.agg(F.array_sort(F.collect_set("start")).alias("_lows"))
+    below = F.size(F.filter("_lows", lambda b: b <= F.col(at)))
+    return left.crossJoin(F.broadcast(lows)).withColumn(out, (below - 1).cast("int")).drop("_lows")
 
 
 def counts_below(rows: DataFrame, keys: list[str]) -> DataFrame:

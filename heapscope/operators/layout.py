@@ -38,11 +38,16 @@ def squarified(sizes: list[float], w: float, h: float) -> list[tuple[float, floa
 
 
 def rectangles(children: DataFrame, width: float = 1000.0, height: float = 600.0, most: int = 500) -> DataFrame:
-    """up, path, x, y, w, h of the `most` largest children of each directory; a view's tiles are bounded, so is a group."""
+    """up, path, x, y, w, h of the children of each directory: the `most` largest, and all others as one tile '(other)'.
+
+    A view's tiles are bounded, so is what is laid out at once.
+    """
     from pyspark.sql import Window
 
-    rn = F.row_number().over(Window.partitionBy("up").orderBy(F.desc("size"), "path"))
-    top = children.withColumn("_rn", rn).filter(F.col("_rn") <= most).groupBy("up").agg(F.array_sort(F.collect_list(F.struct("_rn", "path", "size"))).alias("k"))
+    rank = F.row_number().over(Window.partitionBy("up").orderBy(F.desc("size"), "path"))
+    tile = children.withColumn("_rn", F.least(rank, F.lit(most + 1)))
+    named = tile.withColumn("path", F.when(F.col("_rn") <= most, F.col("path")).otherwise("(other)")).groupBy("up", "_rn", "path").agg(F.sum("size").cast("double").alias("size"))
+    top = named.groupBy("up").agg(F.array_sort(F.collect_list(F.struct(-F.col("size"), "path", "size"))).alias("k"))
 
     def run(batches: Iterator) -> Iterator:
         import pandas as pd

@@ -213,12 +213,77 @@ def trigram_index(rows: DataFrame) -> DataFrame:
     return rows.select(F.explode(trigrams(F.element_at(F.split("path", "/"), -1))).alias("tri"), "path")
 
 
+def _trigrams(text: str) -> frozenset[int]:
+    return frozenset(ord(a) * 65536 + ord(b) * 256 + ord(c) for a, b, c in zip(text, text[1:], text[2:], strict=False) if max(map(ord, (a, b, c))) < 128)
+
+
+def name_branch(term: Term) -> tuple[tuple[str, ...], bool, bool] | None:
+    """What the last name must hold where a term becomes true: pieces in order, and whether it starts and ends with them; None for
+    a term that says nothing of one name (a regex, or one that ends with a slash)."""
+    if term.regex is not None:
+        return None
+    cut = max((i for i, p in enumerate(term.pieces) if "/" in p), default=None)
+    if cut is None:
+        return term.pieces, term.start, term.end
+    tail = (term.pieces[cut].rsplit("/", 1)[1], *term.pieces[cut + 1 :])
+    return None if tail == ("",) else (tail, True, term.end)
+
+
+def branch_column(branch: tuple[tuple[str, ...], bool, bool], name: Column) -> Column:
+    pieces, start, end = branch
+    pattern = ("^" if start else "") + "[^/]*".join(re.escape(p) for p in pieces) + ("$" if end else "")
+    return F.lower(name).rlike(pattern)
+
+
+def formula(query: Query) -> list[frozenset[int]] | None:
+    """Sets of trigrams, one of which every name where the positive part becomes true holds in full; None if any name may be one.
+
+    A set that holds all of another's adds nothing and goes; of equal ones one stays.
+    """
+    if any(not alt for alt in query.alts):
+        return None
+    branches = [name_branch(t) for alt in query.alts for t in alt]
+    if any(b is None for b in branches):
+        return None
+    sets = [frozenset().union(*map(_trigrams, b[0])) for b in branches]
+    if any(not s for s in sets):
+        return None
+    return [s for i, s in enumerate(sets) if not any(j != i and o <= s and (len(o) < len(s) or j < i) for j, o in enumerate(sets))]
+
+
+def trigram_candidates(index: DataFrame, sets: list[frozenset[int]]) -> DataFrame:
+    """Paths whose last name holds all trigrams of one of the sets."""
+    wanted = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(len(s)).alias("n"), F.lit(sorted(s)).cast("array<int>").alias("t")) for i, s in enumerate(sets)])
+    used = index.filter(F.col("tri").isin(sorted(frozenset().union(*sets))))
+    hits = used.select("path", "tri", F.explode(F.filter(wanted, lambda w: F.array_contains(w["t"], F.col("tri")))).alias("w"))
+    return hits.groupBy("path", "w.i").agg(F.count_distinct("tri").alias("n"), F.first("w.n").alias("need")).filter("n = need").select("path").distinct()
+
+
+def trigram_search(rows: DataFrame, index: DataFrame, query: Query) -> DataFrame:
+    """Rows where the positive part becomes true, by way of the names that the formula allows."""
+    sets = formula(query)
+    there = rows if sets is None else rows.join(trigram_candidates(index, sets), "path", "left_semi")
+    return first_true(there, query)
+
+
 def trigram_lookup(index: DataFrame, literal: str) -> DataFrame:
-    """Paths that have every trigram of the literal; candidates, to be tested by the literal itself."""
+    """Paths whose last name holds the literal, by its trigrams, then by itself."""
     q = literal.lower()
-    wanted = sorted({ord(a) * 65536 + ord(b) * 256 + ord(c) for a, b, c in zip(q, q[1:], q[2:], strict=False)})
-    found = index.filter(F.col("tri").isin(wanted)).groupBy("path").agg(F.count("*").alias("n"))
-    return found.filter(F.col("n") == len(wanted)).select("path").filter(F.lower(F.element_at(F.split("path", "/"), -1)).contains(q))
+    return trigram_candidates(index, [_trigrams(q)]).filter(F.lower(F.element_at(F.split("path", "/"), -1)).contains(q))
+
+
+def first_hits(versions: DataFrame, literal: str, times: list[int]) -> DataFrame:
+    """bucket, t, n, bytes: files live at each of a few times whose name holds the literal and no name above does, each counted once
+    however often the literal stands in it: by the first of its suffixes that begins with it."""
+    from heapscope.sources.listing import next_prefix
+
+    q = literal.lower()
+    name = F.lower(F.element_at(F.split("path", "/"), -1))
+    rows = versions.select("path", "size", "vf", "vt", name.alias("name")).select("*", F.posexplode(suffixes(F.col("name"))).alias("at", "s"))
+    hits = rows.filter((F.col("s") >= q) & (F.col("s") < next_prefix(q)))
+    first = hits.filter((F.col("at") == F.instr("name", q) - 1) & ~F.lower(parent(F.col("path"))).contains(q))
+    at = F.explode(F.filter(F.array(*[F.lit(t).cast("long") for t in times]), lambda t: (F.col("vf") <= t) & (F.col("vt") > t))).alias("t")
+    return first.select("path", "size", at).groupBy(F.substring_index("path", "/", 1).alias("bucket"), "t").agg(F.count("*").alias("n"), F.sum("size").alias("bytes"))
 
 
 def catalog(versions: DataFrame, literals: list[str]) -> DataFrame:
@@ -236,10 +301,27 @@ def name_summary(cells: DataFrame, times: DataFrame) -> DataFrame:
     return last.groupBy("q", "t").agg(F.sum("b").alias("bytes"), F.sum("o").alias("objects"))
 
 
-def prefix_census(names: DataFrame, least: int, longest: int = 8) -> DataFrame:
-    """Prefixes of 1 to `longest` characters of the suffixes (s) with at least `least` rows."""
-    cut = F.transform(F.sequence(F.lit(1), F.least(F.length("s"), F.lit(longest))), lambda k: F.substring(F.col("s"), F.lit(1), k))
-    return names.select(F.explode(cut).alias("prefix")).groupBy("prefix").agg(F.count("*").alias("n")).filter(F.col("n") >= least)
+def prefix_census(names: DataFrame, least: int, first: int = 3) -> DataFrame:
+    """prefix, n: prefixes of `first` characters or more of the suffixes (s) with at least `least` rows, however long.
+
+    Level by level: only suffixes whose prefix was heavy go on to the next, and each level is written, so plans don't grow.
+    """
+    from heapscope.sources.scratch import scratch
+
+    spark = names.sparkSession
+    left, levels, k = names.select("s"), [], first
+    while True:
+        prefix = F.substring("s", 1, k).alias("prefix")
+        own = left.filter(F.length("s") >= k).select("s", prefix)
+        heavy = own.groupBy("prefix").agg(F.count("*").alias("n")).filter(F.col("n") >= least)
+        path = scratch(spark, "census")
+        heavy.write.parquet(f"{path}/heavy")
+        heavy = spark.read.schema("prefix string, n long").parquet(f"{path}/heavy")
+        levels.append(heavy)
+        if heavy.isEmpty():
+            return reduce(DataFrame.unionByName, levels)
+        own.join(heavy.select("prefix"), "prefix", "left_semi").select("s").write.parquet(f"{path}/left")
+        left, k = spark.read.schema("s string").parquet(f"{path}/left"), k + 1
 
 
 def drill(roots: DataFrame, k: int) -> DataFrame:
@@ -262,16 +344,34 @@ def cover(objects: DataFrame, roots: DataFrame) -> DataFrame:
     return outermost(full)
 
 
-def truth(roots: DataFrame) -> DataFrame:
-    """n, md5 of the sorted paths, and totals: what two engines' answers are compared by. Paths are digested by bucket first."""
-    d = roots.groupBy(F.substring_index("path", "/", 1).alias("bucket")).agg(F.count("*").alias("n"), F.md5(F.array_join(F.array_sort(F.collect_list("path")), "\n").cast("binary")).alias("digest"), F.sum("size").alias("size"))
-    return d
-
-
-def verdict(answer: DataFrame, right: DataFrame) -> DataFrame:
-    """bucket and verdict: exact, or FAIL."""
-    a, b = answer.select("bucket", F.struct("n", "digest", "size").alias("a")), right.select("bucket", F.struct("n", "digest", "size").alias("b"))
-    return a.join(b, "bucket", "full_outer").select("bucket", F.when(F.col("a").eqNullSafe(F.col("b")), "exact").otherwise("FAIL").alias("verdict"))
+def truth(roots: DataFrame, segments: int = 2) -> DataFrame:
+    """bucket, n, digest, size, n_files: what two engines' answers are compared by.
+
+    Paths are digested in sorted order by their first segments, then those digests by bucket, so no row holds all paths of a bucket.
+    """
+    part = roots.groupBy(F.substring_index("path", "/", segments).alias("part")).agg(
+        F.count("*").alias("n"), F.md5(F.array_join(F.array_sort(F.collect_list("path")), "\n").cast("binary")).alias("d"), F.sum("size").alias("size"), F.sum("n_files").alias("n_files")
+    )
+    lines = F.transform(F.array_sort(F.collect_list(F.struct("part", "d"))), lambda x: F.concat(x["part"], F.lit(" "), x["d"]))
+    own = part.groupBy(F.substring_index("part", "/", 1).alias("bucket"))
+    return own.agg(F.sum("n").alias("n"), F.md5(F.array_join(lines, "\n").cast("binary")).alias("digest"), F.sum("size").alias("size"), F.sum("n_files").alias("n_files"))
+
+
+def verdict(answers: DataFrame, right: DataFrame) -> DataFrame:
+    """bucket and verdict. answers: bucket, status, n, digest, size, n_files, partial, approximate, capped.
+
+    error: no answer; refused: no answer, and said so (413); exact: paths and totals are right, exact* if flagged as partial or
+    approximate; totals: the count and totals are right, but a capped list of paths can't be verified; flagged: wrong and says so;
+    FAIL: wrong and doesn't.
+    """
+    truths = right.select("bucket", *[F.col(c).alias(f"_{c}") for c in ("n", "digest", "size", "n_files")])
+    j = answers.join(truths, "bucket", "left")
+    same = lambda *cs: reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in cs])
+    flagged = F.coalesce("partial", F.lit(False)) | F.coalesce("approximate", F.lit(False))
+    totals, capped = same("n", "size", "n_files"), F.coalesce("capped", F.lit(False))
+    right_ = F.when(totals & same("digest") & ~flagged, "exact").when(totals & same("digest"), "exact*")
+    found = right_.when(totals & capped & ~flagged, "totals").when(flagged, "flagged").otherwise("FAIL")
+    return j.select("bucket", F.when(F.col("status") == 413, "refused").when(F.col("status") != 200, "error").otherwise(found).alias("verdict"))
 
 
 def depth_band(rows: DataFrame, top: str, levels: int) -> DataFrame:

@@ -210,12 +210,6 @@ def a27(spark, sf):
     return x.groupBy(F.substring_index("up", "/", 1).alias("bucket"), "t").agg(F.count("*").alias("n"), F.sum(F.coalesce("size", F.lit(0)) - F.coalesce("size_prev", F.lit(0))).alias("delta"))
 
 
-@query("o10_dyadic", "SELECT CAST(a AS INTEGER) AS a, CAST(b AS INTEGER) AS b, CASE WHEN a = b THEN '0:' || a ELSE length(bin(xor(a, b))) || ':' || (a >> length(bin(xor(a, b)))) END AS seg FROM (SELECT unnest(range(0, 16)) AS a), (SELECT unnest(range(0, 16)) AS b) WHERE a <= b")
-def o10(spark, sf):
-    n = spark.range(16).select(F.col("id").cast("int").alias("a"))
-    return n.crossJoin(n.withColumnRenamed("a", "b")).filter("a <= b").select("a", "b", H.dyadic_segment(F.col("a"), F.col("b")).alias("seg"))
-
-
 @query("v05_attribution_versions", with_(LISTING, LABELS, LAB, OWNED, SCANS, "sx AS (SELECT o.path, o.usr, s.scan, s.t FROM scans s JOIN owned o ON o.path = s.path WHERE s.scan >= 2), st9 AS (SELECT *, CASE WHEN lag(scan) OVER (PARTITION BY path ORDER BY scan) = scan - 1 THEN 0 ELSE 1 END AS n FROM sx), ru9 AS (SELECT *, sum(n) OVER (PARTITION BY path ORDER BY scan) AS run FROM st9)", then=f"SELECT path, any_value(usr) AS usr, min(ru9.t) AS vf, CAST(coalesce(max(c.t), {OPEN}) AS BIGINT) AS vt FROM (SELECT path, usr, t, run, max(scan) OVER (PARTITION BY path, run) + 1 AS a FROM ru9) ru9 LEFT JOIN cuts c ON c.scan = a GROUP BY path, run"))
 def v05(spark, sf):
     o = owned(spark, sf).select("path", "usr")

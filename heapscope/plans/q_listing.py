@@ -60,11 +60,6 @@ def s05(spark, sf):
     return X.listing(spark, sf).groupBy("bucket").agg(F.count("*").alias("n"))
 
 
-@query("s12_prefix_weights", with_(LISTING, then="SELECT bucket, split_part(name, '/', 1) AS prefix, count(*) AS objects, CAST(sum(size_bytes) AS BIGINT) AS bytes FROM listing GROUP BY ALL"))
-def s12(spark, sf):
-    return L.prefix_weights(X.listing(spark, sf))
-
-
 @query("s13_duplicate_keys", "SELECT CAST(l_orderkey AS VARCHAR) AS bucket, CAST(l_linenumber AS VARCHAR) AS name, count(*) AS n FROM lineitem GROUP BY ALL HAVING count(*) > 1")
 def s13(spark, sf):
     return L.duplicate_keys(X.table(spark, sf, "lineitem").select(F.col("l_orderkey").cast("string").alias("bucket"), F.col("l_linenumber").cast("string").alias("name")))

@@ -32,11 +32,6 @@ def j11(spark, sf):
     return J.as_of_forward(versions(spark, sf).select("path", "vf"), [T[1], T[3]], "vf")
 
 
-@query("j23_ranges", with_(LISTING, then="SELECT path, CAST(CASE WHEN path >= 'europe' THEN 2 WHEN path >= 'asia' THEN 1 WHEN path >= 'africa' THEN 0 ELSE -1 END AS INTEGER) AS range FROM files"))
-def j23(spark, sf):
-    return J.in_ranges(X.files(spark, sf).select("path"), ["asia", "europe", "africa"], "path")
-
-
 @query("j24_counts_below", with_(LISTING, then=f"SELECT storage_class_id, p AS dir, count(*) AS n FROM (SELECT storage_class_id, unnest({ANC}) AS p FROM files) GROUP BY ALL"))
 def j24(spark, sf):
     return J.counts_below(X.files(spark, sf).select("path", "storage_class_id"), ["storage_class_id"])
@@ -128,13 +123,6 @@ def u05(spark, sf):
     return J.federated([f.filter(F.substring_index("path", "/", 1) == r) for r in roots], roots)
 
 
-@query("e02_size_sort_check", with_(LISTING, then="SELECT CAST(0 AS BIGINT) AS missing"))
-def e02(spark, sf):
-    d = _dirs(spark, sf)
-    by_size = d.orderBy(F.desc("size"), "path")
-    return d.filter("size >= 100000000").exceptAll(by_size.filter("size >= 100000000")).agg(F.count("*").alias("missing"))
-
-
 @query("e04_index_check", with_(LISTING, then="SELECT bucket, CAST(sum(size_bytes) AS BIGINT) AS bytes, count(*) AS objects, true AS ok FROM listing GROUP BY bucket"))
 def e04(spark, sf):
     a = X.listing(spark, sf).groupBy("bucket").agg(F.sum("size_bytes").alias("bytes"), F.count("*").alias("objects"))
@@ -157,12 +145,6 @@ def x11(spark, sf):
     return _dirs(spark, sf).select("path", C.scaled(F.col("size"), F.lit(3), F.lit(7)).alias("size"))
 
 
-@query("p22_dup_filter", with_(LISTING, then="SELECT bucket, storage_class_id, count(*) AS n FROM listing WHERE bucket <> 'asia' GROUP BY ALL HAVING count(*) >= 900"))
-def p22(spark, sf):
-    g = X.listing(spark, sf).groupBy("bucket", "storage_class_id").agg(F.count("*").alias("n"), F.collect_set("bucket").alias("b"))
-    return g.filter((F.col("n") >= 900) & F.forall("b", lambda b: b != "asia")).select("bucket", "storage_class_id", "n")
-
-
 @query("f17_rectangles")
 def f17(spark, sf):
     d = _dirs(spark, sf).filter("path != ''").select(parent(F.col("path")).alias("up"), "path", "size").filter("up = '' or up = 'asia'")

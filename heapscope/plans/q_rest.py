@@ -61,11 +61,6 @@ def s23(spark, sf):
     return L.from_rollup(v).select("bucket", "name", "size_bytes")
 
 
-@query("p10_name_terms", with_(LISTING, then="SELECT DISTINCT string_split(path, '/')[-1] AS name FROM files WHERE contains(string_split(path, '/')[-1], '99')"))
-def p10(spark, sf):
-    return S.by_names(X.files(spark, sf), "99").select(basename(F.col("path")).alias("name")).distinct()
-
-
 @query("j05_null_safe", with_(LISTING, LABELS, LAB, OWNED, then="SELECT a.path, a.usr, n FROM (SELECT DISTINCT split_part(path, '/', 1) AS path, usr FROM owned) a JOIN (SELECT usr, count(*) AS n FROM owned GROUP BY usr) b ON a.usr IS NOT DISTINCT FROM b.usr"))
 def j05(spark, sf):
     o = owned(spark, sf)
@@ -162,28 +157,29 @@ def t08(spark, sf):
     return X.requests(spark, sf).groupBy("bucket", A.hour(F.col("ts_s")).alias("hour")).agg(F.bool_or(F.col("event_id") % 97 == 0).alias("sampled"))
 
 
-@query("t05_session_stream", "WITH e AS (SELECT user_id, ts, CASE WHEN lag(ts) OVER (PARTITION BY user_id ORDER BY ts) IS NULL OR ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) >= INTERVAL 12 HOUR THEN 1 ELSE 0 END AS n FROM events), r AS (SELECT *, sum(n) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS run FROM e) SELECT user_id, count(*) AS n, min(ts) AS start FROM r GROUP BY user_id, run")
+#: Sessions that have ended by the watermark, six hours before the newest event.
+@query("t05_session_stream", "WITH e AS (SELECT user_id, ts, CASE WHEN lag(ts) OVER (PARTITION BY user_id ORDER BY ts) IS NULL OR ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) >= INTERVAL 12 HOUR THEN 1 ELSE 0 END AS n FROM events), r AS (SELECT *, sum(n) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS run FROM e) SELECT user_id, count(*) AS n, min(ts) AS start FROM r GROUP BY user_id, run HAVING max(ts) + INTERVAL 12 HOUR <= (SELECT date_trunc('milliseconds', max(ts)) FROM events) - INTERVAL 6 HOUR")
 def t05(spark, sf):
     like = X.table(spark, sf, "events")
     s = T.source(spark, sf, like, "events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
     out = scratch(spark, "sessions")
-    T.run_once(T.sessions(s, "ts", "user_id", "12 hours", lag=None), scratch(spark, "ck"), "complete", T.to_table(out, "complete"))
+    T.run_once(T.sessions(s, "ts", "user_id", "12 hours"), scratch(spark, "ck"), "append", T.to_table(out))
     return spark.read.parquet(out).select("user_id", "n", F.col("start").cast("timestamp_ntz").alias("start"))
 
 
+#: A minute-grained row counts at a cut if its whole minute lies before it, and summaries can't be asked for earlier cuts than they hold.
+@query("t05_late_rows", with_(LISTING, REQUESTS, then="SELECT cut, count(*) AS n FROM (SELECT unnest([1705276800, 1705276830, 1705276860]) AS cut), (SELECT ts_s - ts_s % 60 AS m FROM requests) WHERE m + 60 <= cut GROUP BY cut"))
+def t05l(spark, sf):
+    r = X.requests(spark, sf).select((F.col("ts_s") - F.col("ts_s") % 60).alias("ts_s"))
+    parts = [A.as_of(r, cut, 60).agg(F.lit(cut).cast("int").alias("cut"), F.count("*").alias("n")) for cut in (1705276800, 1705276830, 1705276860)]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
 @query("f03_globs", with_(LISTING, DIRS, then="SELECT path FROM dirs WHERE regexp_matches(path, '^asia/nation_[^/]*/c1[^/]*$')"))
 def f03(spark, sf):
     return _dirs(spark, sf).filter(F.col("path").rlike("^asia/nation_[^/]*/c1[^/]*$")).select("path")
 
 
-@query("e10_partial_answers", with_(LISTING, DIRS, then="SELECT path, size FROM dirs WHERE size >= 100000000"))
-def e10(spark, sf):
-    f = X.files(spark, sf)
-    parts = [directories(f.filter(F.col("key") % 3 == k), {"size": (F.col("size"), "sum")}) for k in range(3)]
-    merged = parts[0].unionByName(parts[1]).unionByName(parts[2]).groupBy("path").agg(F.sum("size").alias("size"))
-    return merged.filter("size >= 100000000")
-
-
 @query("x03_descent", with_(LISTING, SCANS, f"d2 AS (SELECT p, CAST(sum(size) AS BIGINT) AS size FROM (SELECT size, unnest(({ANC})[1:-2]) AS p FROM scans WHERE scan = 2) GROUP BY p), d4 AS (SELECT p, CAST(sum(size) AS BIGINT) AS size FROM (SELECT size, unnest(({ANC})[1:-2]) AS p FROM scans WHERE scan = 4) GROUP BY p)", then="SELECT coalesce(d2.p, d4.p) AS path, CAST(coalesce(d4.size, 0) - coalesce(d2.size, 0) AS BIGINT) AS delta FROM d2 FULL JOIN d4 ON d2.p = d4.p WHERE abs(coalesce(d4.size, 0) - coalesce(d2.size, 0)) >= 20000000"))
 def x03(spark, sf):
     s = X.scans(spark, sf).filter("scan in (2, 4)")

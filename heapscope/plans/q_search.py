@@ -79,16 +79,6 @@ def q04(spark, sf):
     return S.by_names(_rows(spark, sf), "low").select("path")
 
 
-@query("q05_trigrams", with_(*BASE, then="SELECT path FROM rows_ WHERE contains(lower(string_split(path, '/')[-1]), 'urgent')"))
-def q05(spark, sf):
-    return S.trigram_lookup(S.trigram_index(_rows(spark, sf)), "urgent")
-
-
-@query("q06_literal", with_(*BASE, then="SELECT path FROM rows_ WHERE contains(lower(string_split(path, '/')[-1]), '77.')"))
-def q06(spark, sf):
-    return S.suffix_lookup(S.suffix_table(_rows(spark, sf).select("path")), "77.")
-
-
 CAT = f"m AS (SELECT q, split_part(path, '/', 1) AS bucket, size, vf, vt FROM versions, (SELECT unnest(['urgent', 'c7', '.csv']) AS q) WHERE contains(path, q)), e AS (SELECT q, bucket, vf AS t, size AS b, 1 AS o FROM m UNION ALL SELECT q, bucket, vt, -size, -1 FROM m WHERE vt <> 4291747200), g AS (SELECT q, bucket, t, sum(b) AS b, sum(o) AS o FROM e GROUP BY ALL), cells AS (SELECT q, bucket, t, CAST(sum(b) OVER w AS BIGINT) AS bytes, CAST(sum(o) OVER w AS BIGINT) AS objects FROM g WINDOW w AS (PARTITION BY q, bucket ORDER BY t))"
 
 
@@ -103,11 +93,6 @@ def q13(spark, sf):
     return S.name_summary(S.catalog(versions(spark, sf), ["urgent", "c7", ".csv"]), times)
 
 
-@query("a19_prefix_census", with_(LISTING, "s AS (SELECT substr(nm, i) AS s FROM (SELECT nm, unnest(range(1, length(nm) - 1)) AS i FROM (SELECT lower(string_split(path, '/')[-1]) AS nm FROM files))), p AS (SELECT s[1:k] AS prefix FROM (SELECT s, unnest(range(1, least(length(s), 8) + 1)) AS k FROM s))", then="SELECT prefix, count(*) AS n FROM p GROUP BY prefix HAVING count(*) >= 500"))
-def a19(spark, sf):
-    return S.prefix_census(S.suffix_table(X.files(spark, sf).select("path")).select("s"), 500)
-
-
 @query("q08_drill", with_(*BASE, ROOTS.format(p="contains(lower(path), 'c7')"), f"u AS (SELECT path, size, unnest(({ANC})[1:-2]) AS dir FROM roots), k AS (SELECT dir, array_to_string(string_split(path, '/')[1:(CASE WHEN dir = '' THEN 1 ELSE len(string_split(dir, '/')) + 1 END)], '/') AS child, sum(size) AS size FROM u GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY dir ORDER BY size DESC, child) AS rn FROM k)", then="SELECT dir, CASE WHEN rn <= 3 THEN child ELSE '(other)' END AS child, CAST(sum(size) AS BIGINT) AS size FROM r GROUP BY ALL"))
 def q08(spark, sf):
     return S.drill(S.match_roots(_rows(spark, sf), S.parse("c7")), 3)
@@ -136,19 +121,6 @@ def q12(spark, sf):
     return S.filtered(S.match_roots(_rows(spark, sf), S.parse("urgent")))
 
 
-@query("a39_truth", with_(*BASE, ROOTS.format(p="contains(lower(path), 'urgent')"), then="SELECT split_part(path, '/', 1) AS bucket, count(*) AS n, md5(string_agg(path, chr(10) ORDER BY path)) AS digest, CAST(sum(size) AS BIGINT) AS size FROM roots GROUP BY 1"))
-def a39(spark, sf):
-    return S.truth(S.match_roots(_rows(spark, sf), S.parse("urgent")))
-
-
-@query("q14_verdicts", with_(LISTING, then="SELECT DISTINCT bucket, 'exact' AS verdict FROM listing"))
-def q14(spark, sf):
-    rows = _rows(spark, sf)
-    a = S.truth(S.match_roots(rows, S.parse("urgent")))
-    b = S.truth(S.outermost(rows.join(S.trigram_lookup(S.trigram_index(rows), "urgent"), "path", "left_semi")))
-    return S.verdict(a, b)
-
-
 @query("u06_cover", with_(*BASE, "m AS (SELECT * FROM files WHERE contains(path, 'urgent') OR contains(path, '/c7')), tot AS (SELECT path, size, n_files FROM rows_), up AS (SELECT p, CAST(sum(size) AS BIGINT) AS ms, count(*) AS mn FROM (SELECT size, unnest(" + ANC + ") AS p FROM m) GROUP BY p), hit AS (SELECT tot.* FROM tot JOIN up ON p = path WHERE size = ms AND n_files = mn), roots AS (SELECT * FROM hit WHERE path NOT IN (SELECT u.path FROM (SELECT path, unnest((" + ANC + ")[2:-2]) AS up FROM hit) u JOIN hit a ON a.path = u.up))", then="SELECT path, size, n_files FROM roots"))
 def u06(spark, sf):
     f = X.files(spark, sf)

@@ -57,12 +57,13 @@ def s08(spark, sf):
     return A.hours(texts).select("bucket", "hour", "path", "op", "n", "last_ts", "sampled")
 
 
-@query("t02_hourly_stream", "SELECT date_trunc('hour', ts) AS hour, event_type, count(*) AS n, CAST(sum(CAST(round(value * 100) AS BIGINT)) AS BIGINT) AS bytes_out FROM events GROUP BY ALL")
+#: Windows that end by the watermark, an hour before the newest event, are given out; later ones stay open.
+@query("t02_hourly_stream", "SELECT date_trunc('hour', ts) AS hour, event_type, count(*) AS n, CAST(sum(CAST(round(value * 100) AS BIGINT)) AS BIGINT) AS bytes_out FROM events WHERE date_trunc('hour', ts) + INTERVAL 1 HOUR <= (SELECT date_trunc('milliseconds', max(ts)) FROM events) - INTERVAL 1 HOUR GROUP BY ALL")
 def t02(spark, sf):
     like = X.table(spark, sf, "events")
     s = T.source(spark, sf, like, "events.parquet").select(F.col("ts").cast("timestamp").alias("ts"), "event_type", F.round(F.col("value") * 100).cast("long").alias("bytes_out"))
     out = scratch(spark, "hourly")
-    T.run_once(T.rolled(s, "ts", ["event_type"], lag=None), scratch(spark, "ck"), "complete", T.to_table(out, "complete"))
+    T.run_once(T.rolled(s, "ts", ["event_type"], lag="1 hour"), scratch(spark, "ck"), "append", T.to_table(out))
     return spark.read.parquet(out).select(F.col("hour").cast("timestamp_ntz").alias("hour"), "event_type", "n", "bytes_out")
 
 
@@ -80,9 +81,11 @@ def t04(spark, sf):
 def t07(spark, sf):
     scans, folder, state = X.scans(spark, sf).select("t", "path", "size"), scratch(spark, "scans"), scratch(spark, "state")
     for t in X.cut_seconds():  # a delivery of one file for each scan
-        scans.filter(F.col("t") == t).coalesce(1).write.mode("append").parquet(folder)
-    T.run_once(T.source(spark, folder, scans, files=1), scratch(spark, "ck"), "append", T.version_keeper(state, ["path"], ["size"]))
-    return spark.read.parquet(f"{state}/state={len(X.CUTS) - 1}").select("path", "size", "vf", "vt")
+        scans.filter(F.col("t") == t).write.parquet(f"{folder}/{t}")
+    keep = T.version_keeper(state, ["path"], ["size"])
+    for k, t in enumerate(X.cut_seconds()):  # a delivery's files come together, in one batch
+        keep(spark.read.parquet(f"{folder}/{t}"), k)
+    return T.kept_versions(spark, state, len(X.CUTS), ["path", "size", "vf", "vt"])
 
 
 @query("e12_capture_kind", "SELECT CAST(floor(epoch(ts)) AS BIGINT) - CAST(floor(epoch(ts)) AS BIGINT) % 3600 AS hour, count(*) AS n, CAST(sum(1 + event_id % 2 * (CAST(floor(epoch(ts)) AS BIGINT) // 3600 % 2)) AS BIGINT) AS w, CASE WHEN count(*) = sum(1 + event_id % 2 * (CAST(floor(epoch(ts)) AS BIGINT) // 3600 % 2)) THEN 'unsampled' ELSE 'sampled' END AS kind FROM events GROUP BY 1")

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import heapq
 import os
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from heapscope.functions.paths import canonical
+from heapscope.functions.paths import ancestors, canonical
 from heapscope.functions.scalars import CLASS_A, CLASS_B, mapped
 
 COLUMNS = ["bucket", "name", "size_bytes", "created", "storage_class_id"]
@@ -61,8 +62,54 @@ def object_identity(df: DataFrame) -> DataFrame:
     return df.withColumn("identity", F.when(both, F.raise_error(F.lit("a row has a version and a generation"))).otherwise(F.coalesce(version, generation)))
 
 
-def prefix_weights(df: DataFrame, segments: int = 1) -> DataFrame:
-    return df.groupBy("bucket", F.substring_index("name", "/", segments).alias("prefix")).agg(F.count("*").alias("objects"), F.sum("size_bytes").alias("bytes"))
+def prefix_weights(df: DataFrame) -> DataFrame:
+    """prefix (with a slash at its end), n: objects below each first segment, and each first two, of names with a slash."""
+    name, two = F.col("name"), F.concat(F.substring_index("name", "/", 1), F.lit("/"))
+    both = F.array(two, F.concat(two, F.split_part("name", F.lit("/"), F.lit(2)), F.lit("/")))
+    return df.filter(name.contains("/")).select(F.explode(both).alias("prefix")).groupBy("prefix").agg(F.count("*").alias("n"))
+
+
+def split_hot_prefixes(df: DataFrame, weights: DataFrame, streams: int, sample_rows: int = 500_000) -> DataFrame:
+    """prefix, start, end, n: the prefixes (prefix, n) as one range each, or cut at quantiles of their names where they weigh more
+    than their share of a stream; null ends are open. A prefix whose quantiles repeat stays whole.
+
+    Quantiles are of at most about sample_rows names of a prefix, drawn by hash; prefixes don't overlap.
+    """
+    ideal = weights.agg(F.greatest(F.expr(f"sum(n) div {max(streams, 1)}"), F.lit(1)).alias("ideal"))
+    w = weights.crossJoin(F.broadcast(ideal)).withColumn("k", F.least(F.ceil(F.col("n") / F.col("ideal")), F.lit(streams)).cast("int"))
+    hot = w.filter("k >= 2")
+    own = df.select("name", F.explode(F.array(*[F.concat(F.substring_index("name", "/", i), F.lit("/")) for i in (1, 2)])).alias("prefix"))
+    drawn = own.join(hot, "prefix").filter(F.col("name").startswith(F.col("prefix")))
+    drawn = drawn.filter(F.pmod(F.xxhash64("name"), F.lit(1 << 31)) * F.col("n") < F.lit(float(sample_rows) * (1 << 31)))
+    by = Window.partitionBy("prefix")
+    ranked = drawn.withColumns({"rn": F.row_number().over(by.orderBy("name")), "m": F.count("*").over(by)})
+    at = F.transform(F.sequence(F.lit(1), F.col("k") - 1), lambda i: F.greatest(F.lit(1), F.ceil(i / F.col("k") * F.col("m"))).cast("int"))
+    bounds = ranked.filter(F.array_contains(at, F.col("rn"))).groupBy("prefix").agg(F.array_sort(F.collect_list("name")).alias("b"))
+    cut = hot.join(bounds, "prefix").filter(F.size("b") == F.col("k") - 1).filter(F.size(F.array_distinct("b")) == F.col("k") - 1)
+    edges = F.concat(F.array(F.lit(None).cast("string")), F.col("b"), F.array(F.lit(None).cast("string")))
+    ranges = cut.select("prefix", F.posexplode(F.slice(edges, 1, F.col("k"))).alias("i", "start"), edges.alias("e"), F.expr("n div k").alias("n"))
+    ranges = ranges.select("prefix", "start", F.get("e", F.col("i") + 1).alias("end"), "n")
+    none = F.lit(None).cast("string")
+    return ranges.unionByName(weights.join(cut.select("prefix"), "prefix", "left_anti").select("prefix", none.alias("start"), none.alias("end"), "n"))
+
+
+def pack_chunks(items: list[tuple[str, int]], chunks: int) -> list[list[str]]:
+    """Items (name, weight) in chunks of about equal weight: the heaviest first, each to the lightest chunk. A plan of a few prefixes."""
+    heap: list[tuple[int, int]] = [(0, i) for i in range(chunks)]
+    out: list[list[str]] = [[] for _ in range(chunks)]
+    for name, weight in sorted(items, key=lambda x: (-x[1], x[0])):
+        total, i = heapq.heappop(heap)
+        out[i].append(name)
+        heapq.heappush(heap, (total + weight, i))
+    return out
+
+
+def dedupe_prefixes(prefixes: DataFrame) -> DataFrame:
+    """prefix, kept: distinct prefixes (with slashes at their ends); one that lies below another isn't kept."""
+    p = prefixes.select("prefix").distinct()
+    up = p.select("prefix", F.explode(ancestors(F.rtrim("prefix", F.lit("/")), own=False, root=False)).alias("up"))
+    inner = up.join(p.select(F.rtrim("prefix", F.lit("/")).alias("up")), "up", "left_semi").select("prefix", F.lit(False).alias("kept")).distinct()
+    return p.join(inner, "prefix", "left").select("prefix", F.coalesce("kept", F.lit(True)).alias("kept"))
 
 
 def ranged(df: DataFrame, partitions: int) -> DataFrame:

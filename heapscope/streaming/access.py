@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -54,28 +55,40 @@ def to_table(path: str, mode: str = "append") -> Callable[[DataFrame, int], None
 
 
 def version_keeper(path: str, key: list[str], change: list[str]) -> Callable[[DataFrame, int], None]:
-    """Keeps versions of scans that come in order of t, a batch holding whole scans. State k+1 is written from state k and the
-    batch, then is current; a batch that runs again writes the same."""
+    """Keeps versions of scans that come in order of t, a batch holding whole scans.
+
+    Versions that a batch closes go to files of their own (closed/batch=k) and aren't touched again; only the open ones are
+    written anew (open/batch=k, from those of batch k - 1). A batch that runs again replaces its own files.
+    """
 
     def put(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         rows = batch.select("t", *key, *change).persist()
         times = [r.t for r in rows.select("t").distinct().orderBy("t").collect()]  # one row for each scan of the batch
-        old = spark.read.parquet(f"{path}/state={number - 1}") if number else None
+        open_ = spark.read.parquet(f"{path}/open/batch={number - 1}") if number else None
+        closed = []
         for t in times:
             scan = rows.filter(F.col("t") == t)
-            if old is None:
-                old = scan.select(*key, *change, F.col("t").alias("vf"), F.lit(OPEN).cast("long").alias("vt"))
+            if open_ is None:
+                open_ = scan.select(*key, *change, F.col("t").alias("vf"), F.lit(OPEN).cast("long").alias("vt"))
                 continue
-            step = appended(old.filter(F.col("vt") == OPEN), scan, key, change, t).drop("op")
-            old = old.filter(F.col("vt") != OPEN).unionByName(step)
-        if old is not None:
-            old.write.mode("overwrite").parquet(f"{path}/state={number}")
+            step = appended(open_, scan, key, change, t).drop("op")
+            closed.append(step.filter(F.col("vt") != OPEN))
+            open_ = step.filter(F.col("vt") == OPEN)
+        if open_ is not None:
+            open_.write.mode("overwrite").parquet(f"{path}/open/batch={number}")
+        if closed:
+            reduce(DataFrame.unionByName, closed).write.mode("overwrite").parquet(f"{path}/closed/batch={number}")
         rows.unpersist()
 
     return put
 
 
+def kept_versions(spark: SparkSession, path: str, batches: int, columns: list[str]) -> DataFrame:
+    """All versions after so many batches."""
+    return spark.read.parquet(f"{path}/closed").select(columns).unionByName(spark.read.parquet(f"{path}/open/batch={batches - 1}").select(columns))
+
+
 def capture_kind(records: DataFrame) -> DataFrame:
     """hour, kind by count against weighted count: unsampled if equal, sampled if weights count more, inconsistent else."""
     c = records.groupBy("hour").agg(F.count("*").alias("n"), F.sum("weight").alias("w"))
