@@ -20,6 +20,11 @@ LETTERS = regex.compile(r"[\x01-\x7eÀ-ÖØ-öø-ɏΑ-ΡΣ-ώА-яぁ-ゖァ-ヺ
 _KINDS = bytes(32 if chr(b).isspace() and b < 128 else 97 if b >= 128 or chr(b).isalnum() else 46 for b in range(256))
 
 
+#: Byte-level BPE writes a byte as the character of its number if that is a sign to be seen, else as the next one from 256 on.
+_SEEN = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+_SIGNS = dict(zip(_SEEN, _SEEN, strict=True)) | {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _SEEN)}
+
+
 class _Forms(dict):
     """Ids of forms; a form that is missing is noted and stands for itself."""
 
@@ -37,7 +42,7 @@ class Encoder:
     A text is cut where WORDS would cut it: if it has no run of white space or signs and no space before a sign,
     that is before each space, line end, full stop and comma; else by WORDS itself. The ids of a form are kept and
     used again; the store is emptied when it holds over max_forms. Texts with characters outside PLAIN, or with an added
-    token, which is one id, go to the library whole; forms of over max_form characters aren't kept.
+    token, which is one id, go to the library whole; forms of letters go to its model, as they are one word; forms of over max_form characters aren't kept.
     """
 
     def __init__(self, path: str, max_forms: int = 1_200_000, max_form: int = 64, short: bool = False):
@@ -47,6 +52,9 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.has_added = regex.compile("|".join(map(regex.escape, added))).search if added else lambda _: None
+        self.model = self.tokenizer.model
+        #: Whether a form of letters is one word to the tokenizer, so that its model can be asked at once.
+        self.at_once = all(self._word(w) == self.tokenizer.encode(w, add_special_tokens=False).ids for w in (" the", "The", " größer", "naïve", " 漢字", " Информация"))
         self.forms = _Forms()
         self.max_forms, self.max_form = max_forms, max_form
         self.code = "H" if short else "I"
@@ -60,6 +68,10 @@ class Encoder:
                 return text.replace(" ", "\0 ").replace("\n", "\0\n").replace(".", "\0.").replace(",", "\0,").split("\0")
         return WORDS.findall(text) if PLAIN(text) else [text]
 
+    def _word(self, form: str) -> list[int]:
+        """Ids of a form of letters, maybe after a space."""
+        return [t.id for t in self.model.tokenize(form.encode().decode("latin-1").translate(_SIGNS))]
+
     def many(self, texts: list[str]) -> list[bytes]:
         forms = self.forms
         if len(forms) > self.max_forms:
@@ -71,7 +83,15 @@ class Encoder:
             found.append((ids, len(forms.new) > before))
         fresh, code = list(set(forms.new)), self.code
         forms.new.clear()
-        for w, e in zip(fresh, self.tokenizer.encode_batch_fast(fresh, add_special_tokens=False), strict=True):
+        others = fresh
+        if self.at_once:
+            others = []
+            for w in fresh:
+                if w.removeprefix(" ").isalpha() and len(w) <= self.max_form:
+                    forms[w] = array(code, self._word(w)).tobytes()
+                else:
+                    others.append(w)
+        for w, e in zip(others, self.tokenizer.encode_batch_fast(others, add_special_tokens=False), strict=True):
             forms[w] = array(code, e.ids).tobytes()
         out = [b"".join([x if x.__class__ is bytes else forms[x] for x in ids] if some_new else ids) for ids, some_new in found]
         for w in fresh:
