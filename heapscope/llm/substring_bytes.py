@@ -8,8 +8,9 @@ else, in the same document or another. Windows are judged on the input.
    of the anchor and of the run's whole slice; anchors that occur once are done with.
 2. An anchor in several documents whose slices are all equal (by 128 bits of hashes) repeats in all its windows. For the others, each distinct slice is fetched
    once and sent to the shard of its anchor.
-3. A shard writes its slices to a file, sorts all their suffixes by recursive induction with a disk-backed queue
-   (suffix_sort), and marks windows whose common prefix with a neighbour is `length` or more.
+3. A shard takes whole anchors, as many as make up a few megabytes or one that is larger, writes their slices to a file,
+   sorts all their suffixes by recursive induction with a disk-backed queue (suffix_sort), and marks windows whose common
+   prefix with a neighbour is `length` or more. Slices of other anchors have no window in common with these.
 4. Marks go back to all places of their slice, and each document's marked windows are merged into spans.
 
 An anchor with very many places is split by the skew handling of the join; counts are added before they are
@@ -138,7 +139,28 @@ def _packed(keyed: DataFrame) -> DataFrame:
     return keyed.mapInArrow(tidied(run), "k1 long, k2 long, doc_id long, z binary")
 
 
-def marked_windows(found: list[tuple[int, bytes]], length: int, memory: int = 64 << 20) -> list[bytes]:
+#: Bytes of slices that are sorted together, and the memory that a sort's queues, or its ranks, may take.
+TOGETHER, MEMORY = 4 << 20, 256 << 20
+
+
+def by_anchors(found: Iterator[tuple], most: int) -> Iterator[Iterator[tuple]]:
+    """Rows (h first, text last, in the order of h) in parts of `most` bytes or a little more, no h in two of them. Each is to be read to its
+    end before the next."""
+    row = next(found, None)
+
+    def one() -> Iterator[tuple]:
+        nonlocal row
+        size, last = 0, None
+        while row is not None and (size < most or row[0] == last):
+            size, last = size + len(row[-1]), row[0]
+            yield row
+            row = next(found, None)
+
+    while row is not None:
+        yield one()
+
+
+def marked_windows(found: list[tuple[int, bytes]], length: int, memory: int = MEMORY) -> list[bytes]:
     """For slices of n windows each: the runs of windows that also start elsewhere among them, as pairs of 32-bit numbers (from, to)."""
     with tempfile.TemporaryDirectory() as folder:
         return _sorted_marks(iter(found), length, folder, memory)[1]
@@ -179,7 +201,7 @@ def _sorted_marks(found: Iterator[tuple], length: int, folder: str, memory: int)
     return others, out
 
 
-def repeated_windows(keyed: DataFrame, length: int = LENGTH, kmer: int = KMER, memory: int = 64 << 20) -> DataFrame:
+def repeated_windows(keyed: DataFrame, length: int = LENGTH, kmer: int = KMER, memory: int = MEMORY) -> DataFrame:
     """k1, k2 and runs: for every document with repeated windows, (first window, windows, marks or null for all) of its runs."""
     spark = keyed.sparkSession
     counts = _places(keyed, length, kmer).groupBy("h").agg(F.count("*").alias("c"), F.min("s").alias("lo"), F.max("s").alias("hi"), F.bool_or("again").alias("again"))
@@ -200,16 +222,16 @@ def repeated_windows(keyed: DataFrame, length: int = LENGTH, kmer: int = KMER, m
     marks_schema = pa.schema([("h", pa.int64()), ("s", pa.int64()), ("marks", pa.binary())])
 
     def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        with tempfile.TemporaryDirectory() as folder:
-            found = (row for batch in batches for row in rows(batch, "h", "s", "all", "n", "text"))
-            others, marks = _sorted_marks(found, length, folder, memory)
-        for a in range(0, len(marks), 10_000):
-            own = others[a : a + 10_000]
-            yield out_batch(marks_schema, [[x[0] for x in own], [x[1] for x in own], [None if x[2] else m for x, m in zip(own, marks[a : a + 10_000], strict=True)]])
+        for part in by_anchors((row for batch in batches for row in rows(batch, "h", "s", "all", "n", "text")), TOGETHER):
+            with tempfile.TemporaryDirectory() as folder:
+                others, marks = _sorted_marks(part, length, folder, memory)
+            for a in range(0, len(marks), 10_000):
+                own = others[a : a + 10_000]
+                yield out_batch(marks_schema, [[x[0] for x in own], [x[1] for x in own], [None if x[2] else m for x, m in zip(own, marks[a : a + 10_000], strict=True)]])
 
     texts = _packed(keyed).select("k1", "k2", "z")
     pieces = texts.join(wanted, ["k1", "k2"]).select("z", "wanted").mapInArrow(tidied(cut), "h long, s long, all boolean, n int, text binary")
-    marks = staged(pieces.repartition(spread(spark), "h").mapInArrow(tidied(sort), "h long, s long, marks binary"), "window-marks").dropDuplicates(["h", "s"])
+    marks = staged(pieces.repartition(spread(spark), "h").sortWithinPartitions("h").mapInArrow(tidied(sort), "h long, s long, marks binary"), "window-marks").dropDuplicates(["h", "s"])
     run = F.struct("first", "n", "marks")
     mixed = places.filter("mixed").join(marks, ["h", "s"]).filter("marks is null or octet_length(marks) > 0").select("k1", "k2", run.alias("run"))
     pure = places.filter("not mixed").select("k1", "k2", F.struct("first", "n", F.lit(None).cast("binary").alias("marks")).alias("run"))

@@ -8,8 +8,9 @@ predecessor, so the queue's tuples (first symbol, turn, position) carry the text
 common prefix with the entry before it in the same bucket: one more than the least common prefix between the two
 suffixes that induced them. The queue keeps a bucket for each symbol, first in first out; beyond its memory limit it
 writes its buckets to a file in order and reads them back block by block. Sweeps run on whole blocks of a bucket at a
-time with numpy. Recursion ends at names that are all different, or at alphabets of over `wide` names, where ranks of
-doubled length finish the order.
+time with numpy. Names of an alphabet of over `wide` are written in two digits, whose order is theirs, and recursion goes
+on. It ends at names that are all different, or as soon as ranks of the names, of doubled length again and again, fit in
+the memory limit; then these finish the order.
 
 Lengths are capped at `cap`, so texts that are equal over cap symbols may come in any order.
 """
@@ -24,6 +25,8 @@ import numpy as np
 
 Emit = Callable[[np.ndarray, np.ndarray], None]
 BIG = np.int16(32000)
+#: Bytes that a name takes while ranks of doubled length are made: about 8 levels and some arrays of 8 bytes.
+RANKS = 104
 
 
 class DiskQueue:
@@ -71,17 +74,44 @@ class DiskQueue:
             yield taken[0] if len(taken) == 1 else (np.concatenate([p for p, _ in taken]), np.concatenate([c for _, c in taken]))
         self.blocks[symbol] = []
 
+    def pop_back(self, symbol: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """The bucket's blocks from the last to the first, one in memory at a time."""
+        bucket = self.blocks[symbol]
+        while bucket:
+            block = bucket.pop()
+            if isinstance(block[0], np.ndarray):
+                self.held -= block[0].nbytes + block[1].nbytes
+                yield block
+            else:
+                self.file.seek(block[0])
+                yield np.frombuffer(self.file.read(4 * block[1]), np.int32), np.frombuffer(self.file.read(2 * block[1]), np.int16)
+
     def close(self) -> None:
         if self.file is not None:
             self.file.close()
 
 
+#: Symbols whose types are found at once.
+BLOCK = 1 << 20
+
+
 def _is_s(t: np.ndarray) -> np.ndarray:
+    """Which suffixes are less than the next one, block by block from the end."""
     n = len(t)
-    step = np.ones(n, np.int8)
-    np.subtract(t[1:] > t[:-1], t[1:] < t[:-1], out=step[:-1], dtype=np.int8, casting="unsafe")
-    at = np.where(step != 0, np.arange(n, dtype=np.int32), np.int32(n - 1))
-    return step[np.minimum.accumulate(at[::-1])[::-1]] > 0
+    out = np.empty(n, bool)
+    after, kind = None, True  # the symbol behind the block, and its suffix's type
+    for a in range((n - 1) // BLOCK * BLOCK, -1, -BLOCK):
+        x = np.asarray(t[a : a + BLOCK])
+        following = np.append(x[1:], x[-1] if after is None else after)
+        step = np.where(following > x, 1, np.where(following < x, -1, 0)).astype(np.int8)
+        if after is None:
+            step[-1] = 1  # the end mark
+        m = len(x)
+        at = np.where(step != 0, np.arange(m, dtype=np.int32), np.int32(m))
+        at = np.minimum.accumulate(at[::-1])[::-1]
+        out[a : a + m] = np.where(at < m, step[np.minimum(at, m - 1)] > 0, kind)
+        after, kind = x[0], bool(out[a])
+    return out
 
 
 def _names(t: np.ndarray, s: np.ndarray, lms: np.ndarray, symbols: int) -> np.ndarray:
@@ -154,8 +184,10 @@ def _lms_order(t: np.ndarray, s: np.ndarray, lms: np.ndarray, symbols: int, cap:
         back = np.concatenate([p for p, _ in parts])[::-1]
         right = np.concatenate([c for _, c in parts])[::-1].astype(np.int64)
         order, shared = back[1:], np.concatenate([[0], right[1:-1]])  # without the end mark, which comes first
-    else:
+    elif len(lms) * RANKS <= memory or folder is None:
         order, shared = _double(name, cap // 2 + 1)
+    else:
+        order, shared = _by_digits(name, top, cap, wide, folder, memory)
     # Common names give common symbols; then symbols are compared one by one.
     ends = np.concatenate([lms, [len(t)]])
     lcp = np.zeros(len(lms), np.int64)
@@ -171,6 +203,33 @@ def _lms_order(t: np.ndarray, s: np.ndarray, lms: np.ndarray, symbols: int, cap:
     return lms[order], lcp.astype(np.int16)
 
 
+def _by_digits(name: np.ndarray, top: int, cap: int, wide: int, folder: str, memory: int) -> tuple[np.ndarray, np.ndarray]:
+    """Order and common prefixes of the suffixes of names: those at even places of the string of their two digits."""
+    base = int(np.ceil(np.sqrt(top)))
+    digits = np.empty(2 * len(name) + 1, np.int32)
+    digits[0:-1:2], digits[1::2], digits[-1] = name // base + 1, name % base + 1, 0
+    parts: list[tuple[np.ndarray, np.ndarray]] = []
+    least = [BIG]  # least common prefix since the last even place
+
+    def even(p: np.ndarray, c: np.ndarray) -> None:
+        at = np.flatnonzero((p & 1) == 0)
+        if not len(at):
+            least[0] = min(least[0], c.min())
+            return
+        cuts = np.concatenate([[0], at + 1])
+        rest = cuts[-1] < len(c)
+        low = np.minimum.reduceat(c, cuts if rest else cuts[:-1])
+        own = low[: len(at)].copy()
+        own[0] = min(own[0], least[0])
+        least[0] = low[-1] if rest else BIG
+        parts.append((p[at] >> 1, own >> 1))
+
+    sort_suffixes(digits, base + 2, even, cap, wide, folder, memory)
+    back = np.concatenate([p for p, _ in parts])[::-1]
+    right = np.concatenate([c for _, c in parts])[::-1].astype(np.int64)
+    return back[1:], np.concatenate([[0], right[1:-1]])  # without the end mark, which comes first
+
+
 class _Sweep:
     """Scans suffixes in order and pushes their predecessors, with common prefixes, into the queue."""
 
@@ -263,9 +322,10 @@ def sort_suffixes(t: np.ndarray, symbols: int, emit: Emit, cap: int, wide: int =
             emit(pos, lcp)
             sweep.scan(c, pos, lcp, same=True)
             last = int(pos[-1])
-        blocks = list(kept.pop(c))
-        seam = min(cap, _run(t, last), _run(t, int(blocks[-1][0][-1]))) if last >= 0 and blocks else 0
-        for pos, lcp in reversed(blocks):
+        seam = None
+        for pos, lcp in kept.pop_back(c):
+            if seam is None:
+                seam = min(cap, _run(t, last), _run(t, int(pos[-1]))) if last >= 0 else 0
             pos, turned = pos[::-1], np.empty(len(lcp), np.int16)
             turned[0], turned[1:] = seam, lcp[:0:-1]
             seam = lcp[0]

@@ -12,7 +12,7 @@ from heapscope.llm.graph import components
 from heapscope.llm.suffix_sort import sort_suffixes
 
 
-@pytest.mark.parametrize(("memory", "wide"), [(1 << 20, 4096), (16, 4096), (16, 0)])
+@pytest.mark.parametrize(("memory", "wide"), [(1 << 20, 4096), (16, 4096), (16, 2), (1 << 20, 0)])
 def test_suffix_sort(memory, wide):
     rng = random.Random(5)
     for _ in range(300):
@@ -29,6 +29,41 @@ def test_suffix_sort(memory, wide):
             assert c[i] == next((n for n, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b)))
 
 
+@pytest.mark.parametrize("memory", [1 << 26, 1 << 16])
+def test_suffix_sort_of_prose(spark, memory):
+    """Ranks in memory, and recursion down to different names, at an alphabet of thousands of them; types over several blocks."""
+    raw = "\n".join(r.text or "" for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()).encode()[:40_000]
+    t = np.concatenate([np.frombuffer(raw, np.uint8).astype(np.int16) + 2, [0]]).astype(np.int16)
+    out = []
+    sort_suffixes(t, 258, lambda p, c: out.append((p.copy(), c.copy())), 100, 64, None, memory)
+    p, c = (np.concatenate(x).tolist() for x in zip(*out, strict=True))
+    text = t.astype(">u2").tobytes()
+    assert sorted(p) == list(range(len(t)))
+    cut = [text[2 * i : 2 * i + 200] for i in p]
+    assert all(x >= y for x, y in zip(cut, cut[1:], strict=False))
+    same = lambda a, b: next((k for k in range(0, min(len(a), len(b)), 2) if a[k : k + 2] != b[k : k + 2]), min(len(a), len(b))) // 2
+    assert c[1:] == [same(x, y) for x, y in zip(cut, cut[1:], strict=False)]
+
+
+def test_types_over_blocks(monkeypatch):
+    from heapscope.llm import suffix_sort
+
+    rng = np.random.default_rng(2)
+    t = np.concatenate([rng.integers(1, 3, 500), [0]])
+    want = [True] * 501
+    for i in range(499, -1, -1):
+        want[i] = bool(t[i] < t[i + 1] or t[i] == t[i + 1] and want[i + 1])
+    for block in (1, 7, 1000):
+        monkeypatch.setattr(suffix_sort, "BLOCK", block)
+        assert suffix_sort._is_s(t).tolist() == want
+
+
+def test_parts_hold_whole_anchors():
+    rows = [(h, bytes(10)) for h in (1, 1, 2, 3, 3, 3, 3, 4)]
+    parts = [[r[0] for r in part] for part in substring_bytes.by_anchors(iter(rows), 25)]
+    assert parts == [[1, 1, 2], [3, 3, 3, 3], [4]] and list(substring_bytes.by_anchors(iter([]), 5)) == []
+
+
 def cut_bytes(texts, length):
     seen = Counter(t[i : i + length] for t in texts for i in range(len(t) - length + 1))
     for t in texts:
