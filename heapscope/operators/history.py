@@ -6,6 +6,7 @@ after the run, OPEN if there is none.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -19,17 +20,30 @@ def _same(columns: list[str], w) -> Column:
     return reduce(lambda a, b: a & b, [F.lag(c).over(w).eqNullSafe(F.col(c)) for c in columns], F.lit(True))
 
 
-def versions(scans: DataFrame, key: list[str], change: list[str], carried: list[str] | None = None) -> DataFrame:
-    """key, change and carried columns (those of the first scan), vf, vt. scans has scan (ordinal) and t (epoch seconds)."""
+def versions(scans: DataFrame, key: list[str], change: list[str], carried: list[str] | None = None, times: Sequence[int] | None = None) -> DataFrame:
+    """key, change and carried columns (those of the first scan), vf, vt. scans has scan (ordinal, from 0) and t (epoch seconds).
+
+    A run's first and last rows are told by their neighbours; of these alone, a first row's next one is its run's last. So all
+    is done in one order of the rows, with one shuffle. times: t of all scans in order; without it they are read from scans.
+    """
     carried = carried or []
     w = Window.partitionBy(*key).orderBy("scan")
-    fresh = F.when(_same(change, w) & (F.lag("scan").over(w) == F.col("scan") - 1), 0).otherwise(1)
-    runs = scans.withColumn("_new", fresh).withColumn("_run", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    first = F.min_by(F.struct(*change, *carried), "scan").alias("_x")
-    out = runs.groupBy(*key, "_run").agg(first, F.min("t").alias("vf"), F.max("scan").alias("_last"))
+    follows = lambda near, step: near("scan") == F.col("scan") + step
+    same = lambda near: reduce(lambda a, b: a & b, [near(c).eqNullSafe(F.col(c)) for c in change], F.lit(True))
+    before, after = (lambda c: F.lag(c).over(w)), (lambda c: F.lead(c).over(w))
+    edges = {
+        "_first": ~F.coalesce(same(before) & follows(before, -1), F.lit(False)),
+        "_last": ~F.coalesce(same(after) & follows(after, 1), F.lit(False)),
+    }
+    ends = scans.select(*key, *change, *carried, "scan", "t").withColumns(edges).filter("_first or _last")
+    runs = ends.withColumn("_end", F.when(F.col("_last"), F.col("scan")).otherwise(F.lead("scan").over(w))).filter("_first")
+    own = [*key, *change, *carried]
+    if times is not None:
+        until = F.get(F.array(*[F.lit(t).cast("long") for t in times]), (F.col("_end") + 1).cast("int"))
+        return runs.select(*own, F.col("t").alias("vf"), F.coalesce(until, F.lit(OPEN)).cast("long").alias("vt"))
     # One row for each scan.
-    times = scans.select((F.col("scan") - 1).alias("_last"), F.col("t").alias("_t")).distinct()
-    return out.join(times, "_last", "left").select(*key, "_x.*", "vf", F.coalesce("_t", F.lit(OPEN)).cast("long").alias("vt"))
+    known = scans.select((F.col("scan") - 1).alias("_end"), F.col("t").alias("_t")).distinct()
+    return runs.join(known, "_end", "left").select(*own, F.col("t").alias("vf"), F.coalesce("_t", F.lit(OPEN)).cast("long").alias("vt"))
 
 
 def coalesced(v: DataFrame, key: list[str], change: list[str]) -> DataFrame:

@@ -28,22 +28,25 @@ def directories(file_rows: DataFrame, measures: dict[str, tuple[Column, str]], k
     return up.groupBy("path", *keys).agg(*[fold[how](n).alias(n) for n, (_, how) in measures.items()])
 
 
-def structure(file_rows: DataFrame) -> DataFrame:
-    """path, n_children, n_dirs_below of every directory, the root included: children are direct, directories count once."""
-    dirs = file_rows.select(parent(F.col("path")).alias("dir")).distinct().select(F.explode(ancestors(F.col("dir"), root=False)).alias("path")).distinct()
-    below = dirs.select(F.explode(ancestors(F.col("path"), own=False)).alias("path")).groupBy("path").agg(F.count("*").alias("n_dirs_below"))
-    kids = dirs.select(parent(F.col("path")).alias("path")).unionByName(file_rows.select(parent(F.col("path")).alias("path"))).groupBy("path").agg(F.count("*").alias("n_children"))
-    return kids.join(below, "path", "left").withColumn("n_dirs_below", F.coalesce("n_dirs_below", F.lit(0)))
-
-
 def rollup(file_rows: DataFrame) -> DataFrame:
     """A row for each file and directory: path, size, mtime, n_desc, n_files, n_children, kind, parent, depth.
 
-    n_desc counts the row itself and all below. Root: path '.', parent ''; top-level rows have parent '.'.
+    n_desc counts the row itself and all below. Root: path '.', parent ''; top-level rows have parent '.'. The directories'
+    rows come from one pass over the files: sums by a file's own directory, those exploded to ancestors, and the directories
+    that come of it exploded once more to count what lies below each.
     """
-    d = directories(file_rows, {"size": (F.col("size"), "sum"), "mtime": (F.col("mtime"), "max"), "n_files": (F.lit(1).cast("long"), "sum")})
-    s = structure(file_rows)
-    dirs = d.join(s, "path").select("path", "size", "mtime", (F.col("n_files") + F.col("n_dirs_below") + 1).alias("n_desc"), "n_files", "n_children", F.lit("dir").alias("kind"))
+    here = file_rows.groupBy(parent(F.col("path")).alias("dir")).agg(F.sum("size").alias("size"), F.max("mtime").alias("mtime"), F.count("*").alias("n"))
+    up = here.select("*", F.explode(ancestors(F.col("dir"))).alias("path"))
+    own = F.sum(F.when(F.col("path") == F.col("dir"), F.col("n")).otherwise(0)).alias("own")
+    dirs = up.groupBy("path").agg(F.sum("size").alias("size"), F.max("mtime").alias("mtime"), F.sum("n").alias("n_files"), own)
+    linked = dirs.select("*", F.explode(ancestors(F.col("path"))).alias("up"))
+    itself = F.col("path") == F.col("up")
+    counts = linked.groupBy("up").agg(
+        F.max(F.when(itself, F.struct("size", "mtime", "n_files", "own"))).alias("v"),
+        F.count_if(~itself).alias("below"),
+        F.count_if(~itself & (parent(F.col("path")) == F.col("up"))).alias("kids"),
+    )
+    dirs = counts.select(F.col("up").alias("path"), "v.size", "v.mtime", (F.col("v.n_files") + F.col("below") + 1).alias("n_desc"), "v.n_files", (F.col("v.own") + F.col("kids")).alias("n_children"), F.lit("dir").alias("kind"))
     one = F.lit(1).cast("long")
     leaf = file_rows.select("path", "size", "mtime", one.alias("n_desc"), one.alias("n_files"), F.lit(0).cast("long").alias("n_children"), F.lit("file").alias("kind"))
     both = dirs.unionByName(leaf).withColumns({"parent": F.when(F.col("path") == "", "").when(~F.col("path").contains("/"), ".").otherwise(parent(F.col("path"))), "depth": depth(F.col("path"))})

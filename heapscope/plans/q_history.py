@@ -19,7 +19,7 @@ VERS = (LISTING, SCANS, VERSIONS)
 
 
 def versions(spark, sf):
-    return H.versions(X.scans(spark, sf), ["path"], ["size"])
+    return H.versions(X.scans(spark, sf), ["path"], ["size"], times=T)
 
 
 @query("w01_versions", with_(*VERS, then="SELECT path, size, vf, vt FROM versions"))
