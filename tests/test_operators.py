@@ -9,9 +9,12 @@ from heapscope.functions import paths as P
 from heapscope.functions import scalars as S
 from heapscope.operators import history as H
 from heapscope.operators import search as Q
+from heapscope.operators import thinning as TH
+from heapscope.operators import views as V
 from heapscope.operators.layout import squarified
 from heapscope.operators.rollup import labelled, rollup
 from heapscope.sources import access_logs as A
+from heapscope.sources import deliveries as DL
 from heapscope.sources import listing as L
 from heapscope.sources import stores
 
@@ -71,10 +74,37 @@ def test_versions_rebuild_every_scan(spark):
     assert H.coalesced(v, ["path"], ["size"]).count() == v.count()
 
 
-def test_thinning():
-    assert H.thin_greedy({0: 5, 1: 0, 2: 9, 3: 1}, [0, 1, 2, 3, 4], 3) == [0, 2, 4] or len(H.thin_greedy({0: 5, 1: 0, 2: 9, 3: 1}, [0, 1, 2, 3, 4], 3)) == 3
-    kept = H.thin_geometric([0, 86400, 2 * 86400, 3 * 86400, 10 * 86400], 10 * 86400)
-    assert 0 in kept and 10 * 86400 in kept
+STATES = [{"a": 1}, {"a": 2}, {"a": 1}, {"a": 1, "b": 1}, {"a": 9, "b": 1}]
+
+
+def _changes(states):
+    return lambda x, y: sum(states[x].get(k) != states[y].get(k) for k in {**states[x], **states[y]})
+
+
+def test_thinning_by_least_change():
+    steps = TH.low_change(range(5), _changes(STATES), 3)
+    # Scores are 1 all over; a change that is taken back counts nothing once its scan is gone, and then its neighbour goes.
+    assert steps[0] == (1, 0, 2, 1, 1, 0, 1)
+    assert [s[0] for s in steps] == [1, 2, 3] and steps[1][-1] == 1 and steps[2] == (3, 0, 4, 1, 1, 2, 1)
+    assert TH.low_change(range(5), _changes(STATES), 2, pinned=[1])[0][0] == 2
+    with pytest.raises(TH.BadPlan):
+        TH.low_change(range(5), _changes(STATES), 4)
+    assert TH.manual(range(5), _changes(STATES), [3, 2]) == [(2, 1, 3, 1, 1, 2, 1), (3, 1, 4, 2, 1, 2, 2)]
+    for bad in ([0], [7], [2, 2]):
+        with pytest.raises(TH.BadPlan):
+            TH.manual(range(5), _changes(STATES), bad)
+    rows = TH.candidates(range(3), _changes(STATES), pinned=[1])
+    assert rows == [(0, None, 1, None, 1, None, True), (1, 0, 2, 1, 1, 1, True), (2, 1, None, 1, None, None, True)]
+
+
+def test_thinning_by_bands():
+    day = 86_400
+    days = [0, 1, 5, 9, 12, 14, 15, 16]
+    # Ages 16 15 11 7 4 2 1 0: under 2 all; of 2-4 the newest, of 4-8, 8-16 and 16-32 likewise; and the ends.
+    assert TH.geometric([d * day for d in days], 2 * day) == [d * day for d in (0, 5, 12, 14, 15, 16)]
+    assert TH.geometric([d * day for d in days], 2 * day, samples=2) == [d * day for d in (0, 1, 5, 9, 12, 14, 15, 16)]
+    assert TH.geometric([d * day for d in days], 2 * day, pinned=[9 * day]) == [d * day for d in (0, 5, 9, 12, 14, 15, 16)]
+    assert TH.geometric([], day) == []
 
 
 @pytest.mark.parametrize(("text", "path", "hit"), [
@@ -112,6 +142,76 @@ def test_hour_files_refuse_odd_versions(spark):
             A.hours(good.unionByName(spark.createDataFrame([(bad,)], "value string")))
 
 
+def test_hour_files_delivered_twice(spark):
+    text = '{"schema_version":%d,"bucket":"b","hour":"2026-10-12T11:00:00Z","capture":"%s","rows":[["k","GetObject",%d,1,5],["k","Odd",1,1,2]]}'
+    files = lambda *x: spark.createDataFrame([(text % v,) for v in x], "value string")
+    once = files((4, "inconsistent", 2))
+    got = [(r.hour, r.op, r.n, r.sampled) for r in A.hours(once.unionByName(once)).orderBy("op").collect()]
+    assert got == [(1791802800, "GET", 2, True), (1791802800, "OTHER", 1, True)]
+    for other in ((4, "inconsistent", 3), (4, "unsampled", 2), (3, "inconsistent", 2)):
+        with pytest.raises(A.BadHours):
+            A.hours(once.unionByName(files(other)))
+
+
+def test_inventory_of_least_columns(spark):
+    x = spark.createDataFrame([("b1", "a.txt", 100)], "Bucket string, Key string, Size long")
+    assert [(r.bucket, r.name, r.size_bytes, r.created, r.storage_class_id) for r in L.normalised(x).collect()] == [("b1", "a.txt", 100, None, 0)]
+    y = spark.createDataFrame([("m", "cold/b.tar", 2048, "GLACIER", False, True), ("m", "gone", 1, "STANDARD", True, True), ("m", "old", 9, "STANDARD_IA", False, False), ("m", "a", 1, "STANDARD", None, None)], "Bucket string, Key string, Size long, StorageClass string, IsDeleteMarker boolean, IsLatest boolean")
+    assert sorted((r.name, r.storage_class_id) for r in L.normalised(y).collect()) == [("a", 1), ("cold/b.tar", 4)]
+    with pytest.raises(ValueError):
+        L.normalised(spark.createDataFrame([(1,)], "x int"))
+
+
+def test_usernames(spark):
+    names = ["russell.power@host", "a_b@x", "  A  B ", "--x!!", "é"]
+    got = [one(spark, S.username(F.lit(n))) for n in names[:4]]
+    assert got == ["russell-power", "a_b", "a-b", "x"]
+    with pytest.raises(Exception, match="usable"):
+        one(spark, S.username(F.lit("!!!@x")))
+
+
+def test_plans_of_chunks():
+    assert L.pack_chunks([("a", 5), ("b", 3), ("c", 3), ("d", 1)], 2) == [["a", "d"], ["b", "c"]]
+    assert DL.planned_chunks([("a", 3), ("b", 3), ("c", 9), ("d", 1)], 6) == [["a", "b"], ["c"], ["d"]]
+
+
+def test_state_files_refuse(spark):
+    for bad in ('{"schema_version":1,"buckets":{}}', '{"schema_version":2,"buckets":{"b":{"legacy_days":{"x":1},"hours":{}}}}'):
+        with pytest.raises(DL.BadState):
+            DL.state_keys(spark.createDataFrame([(bad,)], "value string"))
+
+
+def test_formula_absorbs_and_widens():
+    sets = Q.formula(Q.parse("ckpt | ckpts | abc*xyz"))
+    assert len(sets) == 2 and Q._trigrams("ckpt") in sets and Q._trigrams("abc") | Q._trigrams("xyz") in sets
+    assert Q.formula(Q.parse("/x.*y/")) is None and Q.formula(Q.parse("dir/")) is None and Q.formula(Q.parse("-abc")) is None
+    assert Q.name_branch(Q.parse("dir/^abc").alts[0][0])[0] == ("^abc",)
+    assert Q.name_branch(Q.parse("foo/bar*.x").alts[0][0]) == (("bar", ".x"), True, False)
+
+
+def test_view_folds_and_hangs_off_the_root(spark):
+    rows = [("", "dir", 1000, 9, 3), ("a", "dir", 700, 4, 4), ("b", "file", 200, 1, 0), ("c", "file", 100, 1, 0), ("a/x", "file", 400, 1, 0), ("a/y", "file", 290, 1, 0), ("a/z", "file", 9, 1, 0), ("a/w", "file", 1, 1, 0)]
+    df = spark.createDataFrame(rows, "path string, kind string, size long, n_files long, n_children long")
+    # 1000 * 12 / 120 = 100 at depth 1, 200 at depth 2.
+    got = {r.path: (r.size, r.up, r.folded) for r in V.view(df, "", 12, 10).collect()}
+    assert got == {"": (1000, None, None), "a": (700, "", None), "b": (200, "", None), "c": (100, "", None), "a/x": (400, "a", None), "a/y": (290, "a", None)}
+    got = {r.path: (r.size, r.up, r.folded) for r in V.view(df, "", 10, 4).collect()}
+    # 300 at depth 1, 600 at depth 2; the rest of the root is not over 300.
+    assert got == {"": (1000, None, None), "a": (700, "", None)}
+    # 240 at depth 1: what 'a' leaves of the root is over that.
+    got = {r.path: (r.size, r.up, r.folded) for r in V.view(df, "", 10, 5).collect()}
+    assert got == {"": (1000, None, None), "a": (700, "", None), "(other)": (300, "", 2)}
+
+
+def test_diff_looks_up_the_small_side(spark):
+    s = "path string, kind string, size long, n_files long"
+    old = spark.createDataFrame([("d", "dir", 1000, 3), ("d/a", "file", 900, 1), ("d/b", "file", 60, 1), ("d/c", "file", 40, 1)], s)
+    new = spark.createDataFrame([("d", "dir", 1100, 3), ("d/a", "file", 900, 1), ("d/b", "file", 180, 1), ("d/e", "file", 20, 1)], s)
+    # The threshold is 1100 * 12 / 132 = 100.
+    got = {r.path: (r.status, r.before, r.after, r.expanded) for r in V.diff(old, new, "d", 12, 11).collect()}
+    assert got == {"d": ("changed", 1000, 1100, True), "d/a": ("unchanged", 900, 900, False), "d/b": ("changed", 60, 180, False)}
+
+
 def test_key_ranges():
     assert L.next_prefix("ab") == "ac" and L.next_prefix("") == ""
     assert "a" < L.key_midpoint("a", "c") < "c"
@@ -141,6 +241,14 @@ def test_local_listing(spark, tmp_path):
     assert [(r.name, r.size_bytes) for r in L.local_listing(spark, str(tmp_path)).collect()] == [("x/f.txt", 5)]
 
 
+def test_rectangles_fold_what_is_over_the_limit(spark):
+    from heapscope.operators.layout import rectangles
+
+    kids = spark.createDataFrame([("d", f"d/{i}", 10 - i) for i in range(10)], "up string, path string, size long")
+    got = {r.path: r.w * r.h for r in rectangles(kids, 55.0, 1.0, most=3).collect()}
+    assert {k: round(v, 6) for k, v in got.items()} == {"d/0": 10, "d/1": 9, "d/2": 8, "(other)": 28}
+
+
 def test_rectangles_fill_the_area():
     r = squarified([6, 6, 4, 3, 2, 2, 1], 6, 4)
     assert sum(w * h for *_, w, h in r) == pytest.approx(24)
