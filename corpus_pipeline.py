@@ -1,4 +1,9 @@
-"""From raw documents to packed training sequences: stages that each read what the one before has kept."""
+"""From raw documents to packed training sequences: stages that each read what the one before has kept.
+
+Null or empty texts have no words, so the rules reject them. Null doc_ids pass all stages; they are never trusted. Rows that
+repeat are judged alike, and one of them stays after the join. Scores that equal a threshold are kept. Very long texts are
+read whole. Columns beyond those of documents go along, whatever their names. An empty table gives an empty result.
+"""
 
 from __future__ import annotations
 
