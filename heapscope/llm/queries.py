@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import importlib
 
+from heapscope.llm import sql
+
 _WHERE = {
     "op1_suffix_dedup": "substring_bytes",
     "op2_token_files": "token_files",
@@ -17,3 +19,4 @@ _WHERE = {
     "op10_sampled_splitters": "sharding",
 }
 QUERIES = {name: getattr(importlib.import_module(f"heapscope.llm.{module}"), name) for name, module in _WHERE.items()}
+ORACLE = {"op1_suffix_dedup": sql.OP1, "op3_ngram_jaccard": sql.OP3, "op8_relative_lz": sql.OP8}
