@@ -6,8 +6,8 @@ Rice-coded residuals. Decoder reads any mono stream of up to 16 bits: constant,
 predictors, Rice partitions and escapes. It verifies the CRC-8 of headers, the CRC-16 of frames and the MD5, and
 raises BadStream else. Frames of the common form are decoded together, step by step over all frames of a batch.
 
-The query writes the streams to the shared folder, reads them back, decodes them into PCM blocks, and seeks: it also
-decodes from the last seek point on, alone, and compares.
+The query writes the streams to the shared folder, reads them back, decodes them into PCM blocks, and seeks: of
+streams with several seek points it also decodes from the last one on, alone, and compares.
 
 Null text: an empty payload, padded as all are. Null doc_id: kept. Repeated rows and equal texts: equal values. An empty table
 gives an empty result. Extra columns are ignored. Very long texts: encoded in batches of frames, so scratch memory stays fixed.
@@ -468,8 +468,8 @@ PCM = 1 << 16
 
 
 def media_digest(media: DataFrame) -> DataFrame:
-    """What the decoded stream of every row holds; blocks of PCM, and the first sample of the last seek point, from which a block
-    of samples is decoded again and must be the same."""
+    """What the decoded stream of every row holds; blocks of PCM, and the first sample of the last seek point. Where that isn't the
+    stream's start, a block of samples is decoded again from it and must be the same."""
     names = {"doc_id": "long", "n_bytes": "long", "payload_bytes": "long", "payload_sha256": "string", "tail_crc32": "long", "media_bytes": "long", "media_sha256": "string", "feature": "string", "pcm_blocks": "long", "seek_sample": "long"}
     schema = pa.schema([(n, pa.int64() if t == "long" else pa.string()) for n, t in names.items()])
 
@@ -485,7 +485,8 @@ def media_digest(media: DataFrame) -> DataFrame:
                         digest.update(whole[i : i + PCM].tobytes())
                         blocks += 1
                     at = last_seek_point(s)
-                    if samples_from(s, at, BLOCK).tolist() != x[at : at + BLOCK].tolist():
+                    # The first seek point is the stream's start, where decoding has just begun.
+                    if at and samples_from(s, at, BLOCK).tolist() != x[at : at + BLOCK].tolist():
                         raise BadStream("a seek point leads elsewhere")
                     for c, v in zip(out, (doc_id, n, len(whole), digest.hexdigest(), zlib.crc32(whole[-16:].tobytes()), len(s), hashlib.sha256(s).hexdigest(), features(x), blocks, at), strict=True):
                         c.append(v)
