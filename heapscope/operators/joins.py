@@ -69,6 +69,22 @@ def run_names(dirs: DataFrame, runs: DataFrame, block: int = 12, least: int = 16
     return exact.unionByName(fuzzy).filter("usr is not null")
 
 
+def numbered(names: DataFrame, name: str, out: str = "id") -> DataFrame:
+    """The distinct names with their numbers from 1 in order: cut into ranges, which are written, counted, and numbered one by one."""
+    from heapscope.sources.scratch import scratch
+
+    spark = names.sparkSession
+    path = scratch(spark, "names")
+    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    ranges = names.select(name).distinct().repartitionByRange(parts, name).withColumn("_part", F.spark_partition_id())
+    ranges.write.parquet(path)
+    kept = spark.read.schema(ranges.schema).parquet(path)
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
+    counts = kept.groupBy("_part").agg(F.count("*").alias("_n")).withColumn("_from", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+    place = F.row_number().over(Window.partitionBy("_part").orderBy(name))
+    return kept.withColumn("_at", place).join(counts, "_part").select(name, (F.col("_from") + F.col("_at")).cast("long").alias(out))
+
+
 def dictionary(rows: DataFrame, names: DataFrame, name: str, id_: str = "id") -> DataFrame:
     return rows.join(names.select(name, id_), name)
 

@@ -189,8 +189,14 @@ def top_with_other(rows: DataFrame, by: str, name: str, n: int, partition: list[
     Sums come first, so the ranking is over names, not rows.
     """
     partition, value = partition or [], value or by
-    w = Window.partitionBy(*partition, "_all").orderBy(F.desc(F.abs(F.col(by))), name)
-    ranked = rows.withColumn("_all", F.lit(0)).withColumn("_rn", F.row_number().over(w))
+    if not partition:  # the top of each task's rows, then of those; the others are summed where they are
+        head = rows.orderBy(F.desc(F.abs(F.col(by))), name).limit(n)
+        named = head.select(F.col(name).alias("_name"))
+        rest = rows.join(named, rows[name].eqNullSafe(named["_name"]), "left_anti")
+        other = rest.agg(F.lit("(other)").alias(name), F.sum(value).alias(value), F.count("*").alias("_n")).filter("_n > 0")
+        return head.select(name, value).unionByName(other.select(name, value))
+    w = Window.partitionBy(*partition).orderBy(F.desc(F.abs(F.col(by))), name)
+    ranked = rows.withColumn("_rn", F.row_number().over(w))
     return ranked.withColumn(name, F.when(F.col("_rn") <= n, F.col(name)).otherwise("(other)")).groupBy(*partition, name).agg(F.sum(value).alias(value))
 
 

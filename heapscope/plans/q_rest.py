@@ -90,8 +90,7 @@ def j16(spark, sf):
 @query("j22_dictionary", with_(LISTING, "nm AS (SELECT name, row_number() OVER (ORDER BY name) AS id FROM (SELECT DISTINCT string_split(path, '/')[3] AS name FROM files))", then="SELECT path, id FROM files JOIN nm ON name = string_split(path, '/')[3]"))
 def j22(spark, sf):
     f = X.files(spark, sf).select("path", F.split_part("path", F.lit("/"), F.lit(3)).alias("name"))
-    ids = f.select("name").distinct().withColumn("id", F.row_number().over(Window.orderBy("name")).cast("long"))
-    return J.dictionary(f, ids, "name").select("path", "id")
+    return J.dictionary(f, J.numbered(f, "name"), "name").select("path", "id")
 
 
 @query("w04_best_version", with_(*VERS, then=f"SELECT path, vf, min(vt) AS vt FROM (SELECT path, vf, vt FROM versions UNION ALL SELECT path, vf, {OPEN} FROM versions) GROUP BY ALL"))
