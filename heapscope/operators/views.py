@@ -83,6 +83,29 @@ def diff(old: DataFrame, new: DataFrame, top: str, width: int, height: int, leas
     return tiles.select("path", "kind", "status", *SIDES, "expanded").unionByName(other)
 
 
+def descent(old: DataFrame, new: DataFrame, top: str, levels: int, width: int, height: int, least_area: float = 12.0, attenuation: float = 2.0) -> DataFrame:
+    """The tiles of diff() without '(other)', from files (path, size) by going down level by level: a level's sums are made only below the
+    directories that the level before has drawn. path, kind, status, before, after, n_before, n_after."""
+    own = lambda x, c, n: x.filter(in_subtree(F.col("path"), top)).select("path", *[(F.col("size") if k == c else F.lit(1) if k == n else F.lit(0)).cast("long").alias(k) for k in SIDES])
+    both = own(old, "before", "n_before").unionByName(own(new, "after", "n_after"))
+    sums = [F.sum(c).alias(c) for c in SIDES]
+    whole = both.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in SIDES])
+    least = F.broadcast(whole.select((F.greatest("before", "after") * F.lit(least_area) / F.lit(float(width * height))).alias("least")))
+    base = top.count("/") + 1 if top else 0
+    tiles = [whole.select(F.lit(top).alias("path"), F.lit("dir").alias("kind"), *SIDES)]
+    frontier = whole.select(F.lit(top).alias("up"))
+    for d in range(1, levels + 1):
+        at = both.withColumn("up", F.substring_index("path", "/", base + d - 1) if base + d > 1 else F.lit("")).filter(depth(F.col("path")) >= base + d)
+        below = at.join(frontier, "up", "left_semi").groupBy(F.substring_index("path", "/", base + d).alias("tile"))
+        kids = below.agg(*sums, F.when(F.max(depth(F.col("path"))) > base + d, "dir").otherwise("file").alias("kind")).withColumnRenamed("tile", "path")
+        drawn = kids.crossJoin(least).filter(F.greatest("before", "after") >= F.col("least") * float(attenuation ** (d - 1)))
+        tiles.append(drawn.select("path", "kind", *SIDES))
+        frontier = drawn.filter("kind = 'dir'").select(F.col("path").alias("up"))
+    same = (F.col("before") == F.col("after")) & (F.col("n_before") == F.col("n_after"))
+    status = F.when(F.col("n_before") == 0, "added").when(F.col("n_after") == 0, "removed").when(same, "unchanged").otherwise("changed")
+    return reduce(DataFrame.unionByName, tiles).select("path", "kind", status.alias("status"), *SIDES)
+
+
 def level(versions: DataFrame, top: str, t1: int, t2: int, k: int, first_t: int, by: str = "churn") -> DataFrame:
     """What a directory's children did over (t1, t2]: role, name, kind, status, count, before, after, n_before, n_after, churn.
 

@@ -177,9 +177,3 @@ def t05l(spark, sf):
 @query("f03_globs", with_(LISTING, DIRS, then="SELECT path FROM dirs WHERE regexp_matches(path, '^asia/nation_[^/]*/c1[^/]*$')"))
 def f03(spark, sf):
     return _dirs(spark, sf).filter(F.col("path").rlike("^asia/nation_[^/]*/c1[^/]*$")).select("path")
-
-
-@query("x03_descent", with_(LISTING, SCANS, f"d2 AS (SELECT p, CAST(sum(size) AS BIGINT) AS size FROM (SELECT size, unnest(({ANC})[1:-2]) AS p FROM scans WHERE scan = 2) GROUP BY p), d4 AS (SELECT p, CAST(sum(size) AS BIGINT) AS size FROM (SELECT size, unnest(({ANC})[1:-2]) AS p FROM scans WHERE scan = 4) GROUP BY p)", then="SELECT coalesce(d2.p, d4.p) AS path, CAST(coalesce(d4.size, 0) - coalesce(d2.size, 0) AS BIGINT) AS delta FROM d2 FULL JOIN d4 ON d2.p = d4.p WHERE abs(coalesce(d4.size, 0) - coalesce(d2.size, 0)) >= 20000000"))
-def x03(spark, sf):
-    s = X.scans(spark, sf).filter("scan in (2, 4)")
-    return directories(s, {"delta": (F.when(F.col("scan") == 4, F.col("size")).otherwise(-F.col("size")), "sum")}).filter("abs(delta) >= 20000000")

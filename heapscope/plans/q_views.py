@@ -74,6 +74,12 @@ def x02(spark, sf):
     return V.diff(side(2), side(4), "asia", 400, 300)
 
 
+@query("x03_descent", with_(*VERS, SIDE, NODES.format("s2"), NODES.format("s4"), DIFF, then="SELECT path, kind, CASE WHEN fresh THEN 'added' WHEN gone THEN 'removed' WHEN before = after AND n_before = n_after THEN 'unchanged' ELSE 'changed' END AS status, before, after, n_before, n_after FROM k WHERE d <= 3"))
+def x03(spark, sf):
+    s = X.scans(spark, sf).filter("path like 'asia/%'")
+    return V.descent(s.filter("scan = 2"), s.filter("scan = 4"), "asia", 3, 400, 300)
+
+
 #: Of asia's countries over the scans 1 to 4: bytes and files before and after, and bytes moved, by brute force from the scans.
 LEVEL = f"""g AS (SELECT DISTINCT path, string_split(path, '/')[2] AS child FROM scans WHERE starts_with(path, 'asia/')),
  sz AS (SELECT g.path, g.child, c.scan, c.t, s.size, lag(s.size) OVER (PARTITION BY g.path ORDER BY c.scan) AS prev FROM g CROSS JOIN cuts c LEFT JOIN scans s ON s.path = g.path AND s.scan = c.scan),
