@@ -5,11 +5,12 @@ the similarity overlap in at least z n-grams, z given by x and y; so in any comm
 that is among the first x - z + 1 of one and the first y - z + 1 of the other. Only such entries choose what is
 multiplied. The order puts n-grams first that a count sketch of fixed size, added up over all documents, shows to be rare.
 
-1. Each document gives its set's hash and size; equal sets become one row.
+1. Each document gives its set's hash, size and parity signature; equal sets become one row.
 2. Entries go to blocks of columns. In each column, rows that have no partner at a place that their sizes allow are
    dropped. The others join the group of the column's smallest row, its centre. Two rows that link share a column that
    counts, so they share a group; a row is in few groups, as most of its columns have the same centre.
-3. Rows whose sizes and places allow a link with the centre are verified against it; these links make components.
+3. Rows whose sizes, places and signatures allow a link with the centre are verified against it; these links make components.
+   Signatures of sets that link differ in no more bits than their sizes allow the sets to differ in.
 4. A group with rows of several components is a block of the product: rows by n-grams, multiplied with its own transpose.
    Overlap counts are accumulated for all pairs of rows at once, in memory; pairs below the bound that their sizes give
    are discarded there, and only links that join components leave the block. A large group is cut into tiles of rows, by
@@ -44,6 +45,9 @@ from heapscope.llm.word_hash import hashed_words, mixed, ngrams
 WORDS, PERCENT = 5, 80
 #: Counters of the sketch, and the slices in which they are added up.
 SKETCH, SLICES = 1 << 22, 64
+#: Words of 64 bits in a signature: a bit is the parity of how many n-grams fall to it, so two sets differ in at least as
+#: many n-grams as their signatures in bits.
+SIGNATURE = 16
 #: The most rows and n-grams in a tile; larger groups have several.
 TILE, TILE_GRAMS = 1024, 2_000_000
 #: Columns of at most so many rows are looked through pair by pair for rows without a partner.
@@ -69,6 +73,11 @@ def set_hash(s: np.ndarray) -> int:
     return int(mixed(np.array([mixed(s).sum() + np.uint64(len(s))], np.uint64)).view(np.int64)[0])
 
 
+def signature(s: np.ndarray) -> list[int]:
+    bits = np.bincount((s & np.uint64(64 * SIGNATURE - 1)).astype(np.intp), minlength=64 * SIGNATURE) & 1
+    return np.packbits(bits.astype(np.uint8)).view(np.int64).tolist()
+
+
 def needed(na: np.ndarray, nb: np.ndarray, percent: int = PERCENT) -> np.ndarray:
     """The least overlap with 100 * overlap >= percent * union."""
     return -((-percent * (na + nb)) // (100 + percent))
@@ -91,28 +100,29 @@ def _batch_sets(batch: pa.RecordBatch, k: int) -> Iterator[np.ndarray]:
         yield from shingle_sets([t.encode("utf-8", "replace") for t in texts[a:b]], k)
 
 
-_SETS = pa.schema([("doc_id", pa.int64()), ("t", pa.int64()), ("g", pa.int64()), ("n", pa.int64()), ("slice", pa.int32()), ("counts", pa.binary())])
+_SETS = pa.schema([("doc_id", pa.int64()), ("t", pa.int64()), ("g", pa.int64()), ("n", pa.int64()), ("sig", pa.list_(pa.int64())), ("slice", pa.int32()), ("counts", pa.binary())])
 
 
 def _sets(keyed: DataFrame, k: int) -> DataFrame:
-    """doc_id, t (the text's hash), g (the set's hash) and n of each row; and from each task its sketch of n-gram counts, in slices."""
+    """doc_id, t (the text's hash), g (the set's hash), n and sig of each row; and from each task its sketch of n-gram counts, in slices."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketch = np.zeros(SKETCH, np.int32)
         for batch in batches:
-            g, n, held = [], [], []
+            g, n, sig, held = [], [], [], []
             for s in _batch_sets(batch, k):
                 held.append((s >> np.uint64(42)).astype(np.int32))
                 g.append(set_hash(s))
                 n.append(len(s))
+                sig.append(signature(s))
             if held:
                 np.add(sketch, np.bincount(np.concatenate(held), minlength=SKETCH), out=sketch, casting="unsafe")
-            yield out_batch(_SETS, [batch.column("doc_id"), batch.column("t"), g, n, pa.nulls(len(g), pa.int32()), pa.nulls(len(g), pa.binary())])
+            yield out_batch(_SETS, [batch.column("doc_id"), batch.column("t"), g, n, sig, pa.nulls(len(g), pa.int32()), pa.nulls(len(g), pa.binary())])
         parts = counter_slices(sketch.astype(np.int64), SLICES)
         none = pa.nulls(len(parts), pa.int64())
-        yield out_batch(_SETS, [none, none, none, [-1] * len(parts), list(range(len(parts))), parts])
+        yield out_batch(_SETS, [none, none, none, [-1] * len(parts), pa.nulls(len(parts), pa.list_(pa.int64())), list(range(len(parts))), parts])
 
-    return keyed.mapInArrow(tidied(run), "doc_id long, t long, g long, n long, slice int, counts binary")
+    return keyed.mapInArrow(tidied(run), "doc_id long, t long, g long, n long, sig array<long>, slice int, counts binary")
 
 
 def _levels(sets: DataFrame) -> np.ndarray:
@@ -256,6 +266,16 @@ def _groups(entries: DataFrame, blocks: int, percent: int) -> DataFrame:
     return found.groupBy("z", "g", "nz", "n").agg(F.bool_or("fits").alias("fits"))
 
 
+def _near(pairs: DataFrame, signatures: DataFrame, percent: int) -> DataFrame:
+    """Of the pairs (a, b, na, nb) those whose signatures allow a link."""
+    of = lambda end: signatures.select(F.col("g").alias(end), F.col("sig").alias(f"s{end}"))
+    signed = pairs.join(of("a"), "a").join(of("b"), "b")
+    bits = sum((F.bit_count(F.col("sa")[i].bitwiseXOR(F.col("sb")[i])) for i in range(SIGNATURE)), F.lit(0))
+    # Sizes x and y that link overlap in `need`; they differ in at most x + y - 2 * need.
+    need = F.expr(f"({percent} * (na + nb) + {100 + percent - 1}) div {100 + percent}")
+    return signed.filter(bits <= F.col("na") + F.col("nb") - 2 * need).select("a", "b")
+
+
 def word_ngrams(text: bytes, k: int = WORDS) -> set[tuple[bytes, ...]]:
     """The n-grams themselves; A-Z count as a-z."""
     w = text.lower().split()
@@ -490,7 +510,9 @@ def linked_sets(docs: DataFrame, k: int = WORDS, percent: int = PERCENT, tile: i
     if every:
         links = staged(_multiplied(_tiles(members.withColumn("c", F.col("g")), tile, TILE_GRAMS, every), texts, k, percent, every).distinct(), "links")
         return sets, links, staged(components(links), "labels")
-    links = staged(_verified(groups.filter("fits").select(F.col("g").alias("a"), F.col("z").alias("b")), texts, k, percent), "links")
+    signatures = first.filter("n > 0").select("g", "sig").dropDuplicates(["g"])
+    near = _near(groups.filter("fits").select(F.col("g").alias("a"), F.col("z").alias("b"), F.col("n").alias("na"), F.col("nz").alias("nb")), signatures, percent)
+    links = staged(_verified(near, texts, k, percent), "links")
     label = staged(components(links), "labels").select(F.col("v").alias("g"), "c")
     # Groups with rows of several components; of two rows, the one pair has been looked at.
     labelled = staged(members.join(label, "g", "left").select("z", "g", "n", F.coalesce("c", "g").alias("c")), "members")
