@@ -17,6 +17,7 @@ from heapscope.plans.fixtures import ANC, DIRS, LABELS, LISTING, SCANS, VERSIONS
 from heapscope.plans.q_history import versions
 from heapscope.plans.q_listing import LAB, OWNED, owned
 from heapscope.plans.registry import query
+from heapscope.sources.scratch import scratch
 
 T = X.cut_seconds()
 VERS = (LISTING, SCANS, VERSIONS)
@@ -25,9 +26,12 @@ DEPTH = "CASE WHEN {0} = '' THEN 0 ELSE len(string_split({0}, '/')) END"
 
 
 def nodes(file_rows):
-    """path, kind, size, n_files, n_children of every file and directory, the root as ''."""
+    """path, kind, size, n_files, n_children of every file and directory, the root as '': a rollup at rest, as views are read from."""
     r = rollup(file_rows)
-    return r.select(F.when(F.col("path") == ".", "").otherwise(F.col("path")).alias("path"), "kind", "size", "n_files", "n_children")
+    rows = r.select(F.when(F.col("path") == ".", "").otherwise(F.col("path")).alias("path"), "kind", "size", "n_files", "n_children")
+    path = scratch(file_rows.sparkSession, "nodes")
+    rows.write.parquet(path)
+    return file_rows.sparkSession.read.schema(rows.schema).parquet(path)
 
 
 #: Files f (path, size) to nodes, as the rows of a view.
