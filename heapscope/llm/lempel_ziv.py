@@ -10,7 +10,8 @@ document with a smaller doc_id. Windows are judged on the input.
    slices, they are sent to the shard of the anchor, in the order of that doc_id.
 3. A shard parses each slice greedily into factors, each the longest match with any indexed block of the reference,
    which is all slices of smaller doc_ids with the same anchor: others have no window in common with it. Words are
-   compared, not hashes. A window is indexed where it first stands. A factor of `length` words or more is a duplicate
+   compared, not hashes. One index of windows, each with its block and the place where it first
+   stands, serves all blocks. A factor of `length` words or more is a duplicate
    span; windows that cross a factor's end are looked up one by one, so a cut between factors hides none. A slice then
    joins the reference. Blocks are of a fixed number of words; with the next anchor a new reference begins.
 4. Marks go back to all places of their slice and are merged into each document's spans.
@@ -82,36 +83,34 @@ def windows_of(words: np.ndarray, length: int) -> list[bytes]:
 
 
 class Reference:
-    """Blocks of words, as numbers, with an index of the windows that start in them."""
+    """Blocks of words, as numbers, with an index of the windows that start in them, each where it first stands."""
 
     def __init__(self, length: int, block_words: int = 1 << 16):
         self.length, self.block_words = length, block_words
-        self.blocks: list[tuple[np.ndarray, dict[bytes, int]]] = []
+        self.blocks: list[np.ndarray] = []
+        self.index: dict[bytes, tuple[int, int]] = {}
         self.size = 0
 
     def add(self, words: np.ndarray, windows: list[bytes], new: np.ndarray) -> None:
         """Indexes the windows marked new; a block that is full is followed by another."""
         if not new.any():
             return
-        if not self.blocks or self.size + len(words) + 1 > self.block_words:
-            self.blocks.append((np.full(max(self.block_words, len(words) + 1), -1, np.int32), {}))
+        if not self.blocks or self.size + len(words) + 1 > len(self.blocks[-1]):
+            self.blocks.append(np.full(max(self.block_words, len(words) + 1), -1, np.int32))
             self.size = 0
-        block, index = self.blocks[-1]
-        block[self.size : self.size + len(words)] = words
+        self.blocks[-1][self.size : self.size + len(words)] = words
         for i in np.flatnonzero(new).tolist():
-            index.setdefault(windows[i], self.size + i)
+            self.index.setdefault(windows[i], (len(self.blocks) - 1, self.size + i))
         self.size += len(words) + 1
 
     def longest(self, words: np.ndarray, window: bytes, at: int) -> int:
-        """Words from `at` on that stand in some block in a row; 0 if fewer than a window."""
-        best = 0
-        for block, index in self.blocks:
-            p = index.get(window)
-            if p is not None:
-                n = min(len(words) - at, len(block) - p)
-                differs = words[at : at + n] != block[p : p + n]
-                best = max(best, int(differs.argmax()) if differs.any() else n)
-        return best
+        """Words from `at` on that stand in a row where this window does, in whichever block; 0 if none has it."""
+        if (place := self.index.get(window)) is None:
+            return 0
+        block, p = self.blocks[place[0]], place[1]
+        n = min(len(words) - at, len(block) - p)
+        differs = words[at : at + n] != block[p : p + n]
+        return int(differs.argmax()) if differs.any() else n
 
     def parse(self, words: np.ndarray, windows: list[bytes]) -> np.ndarray:
         """Greedy factors; which windows lie in the reference."""
