@@ -42,6 +42,18 @@ def s12h(spark, sf):
     return L.split_hot_prefixes(x, w, 40)
 
 
+@query("s11_split_ranges", with_(LISTING, then="SELECT count(*) AS names, true AS small, true AS gapless FROM (SELECT DISTINCT name FROM listing WHERE bucket = 'asia')"))
+def s11s(spark, sf):
+    """Ranges of at most 50 names: that they hold all names, that none holds more, and that each begins where the one before ends."""
+    names = X.listing(spark, sf).filter("bucket = 'asia'").select("name").distinct()
+    path = scratch(spark, "names")
+    names.write.parquet(path)
+    ranges = L.split_ranges(spark.read.parquet(path), 50)
+    r = spark.createDataFrame(ranges, "lo string, hi string, n long")
+    joined = [a[1] == b[0] for a, b in zip(ranges, ranges[1:])]
+    return r.agg(F.sum("n").alias("names"), (F.max("n") <= 50).alias("small")).withColumn("gapless", F.lit(all(joined) and ranges[0][0] == "" and ranges[-1][1] == ""))
+
+
 @query("s12_deduped", with_(LISTING, WEIGHTS, "p AS (SELECT prefix FROM weights WHERE length(prefix) % 3 <> 0)", then="SELECT prefix, NOT EXISTS (SELECT 1 FROM p a WHERE a.prefix <> p.prefix AND starts_with(p.prefix, a.prefix)) AS kept FROM p"))
 def s12d(spark, sf):
     return L.dedupe_prefixes(L.prefix_weights(X.listing(spark, sf)).filter(F.length("prefix") % 3 != 0))

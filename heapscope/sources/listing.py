@@ -135,6 +135,39 @@ def key_midpoint(lo: str, hi: str, digits: int = 8) -> str:
     return "".join(out).rstrip("\0")
 
 
+def between(lo: str, hi: str) -> str | None:
+    """A key over lo and under hi ('' is open) about halfway, after what both begin with; None if they are too near."""
+    same = len(os.path.commonprefix([lo, hi])) if hi else 0
+    mid = lo[:same] + key_midpoint(lo[same:], hi[same:])
+    return mid if lo < mid and (not hi or mid < hi) else None
+
+
+def split_ranges(df: DataFrame, most: int, rounds: int = 64) -> list[tuple[str, str, int]]:
+    """Ranges (lo, hi, n) of names, without gaps, of `most` names at most: a range with more is cut in the middle of its names' keyspace, from the
+    least to the greatest that it has, until none is left or keys are too near. One aggregation a round, over the ranges still to be cut."""
+    done: list[tuple[str, str, int]] = []
+    todo = [("", "")]
+    for _ in range(rounds):
+        if not todo:
+            break
+        lows = F.array(*[F.lit(lo) for lo, _ in todo])
+        highs = F.array(*[F.lit(hi) for _, hi in todo])
+        # todo is in order, so a name's range is the last that begins at or before it, if it ends after it.
+        at = F.size(F.filter(lows, lambda x: x <= F.col("name"))) - 1
+        placed = df.select("name", at.alias("r")).filter((F.get(highs, F.col("r")) == "") | (F.col("name") < F.get(highs, F.col("r"))))
+        stats = {r["r"]: r for r in placed.groupBy("r").agg(F.count("*").alias("n"), F.min("name").alias("lo"), F.max("name").alias("hi")).collect()}
+        following: list[tuple[str, str]] = []
+        for i, (lo, hi) in enumerate(todo):
+            s = stats.get(i)
+            mid = between(s["lo"], s["hi"]) if s and s["n"] > most else None
+            if mid is None:
+                done.append((lo, hi, s["n"] if s else 0))
+            else:
+                following += [(lo, mid), (mid, hi)]
+        todo = following
+    return sorted(done + [(lo, hi, -1) for lo, hi in todo])
+
+
 def local_listing(spark: SparkSession, root: str) -> DataFrame:
     """Files under a folder that Spark can read, as a listing; only metadata is read."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
