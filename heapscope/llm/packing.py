@@ -80,8 +80,11 @@ def _rounds(lengths: DataFrame, window: int, packet_tokens: int, targets: Mappin
     round_tokens = min(window, packet_tokens)
     quantum = F.when(F.col("weight") > 0, F.col("weight") / F.lit(total["w"] or 1.0) * F.lit(float(round_tokens))).otherwise(1.0)
     sources = per_source.select("source", quantum.alias("quantum"), "source_tokens")
-    queues = per_slice.join(sources, "source").select("source", "slice", "slice_from", "quantum")
-    queued = docs.join(queues, ["source", "slice"]).select("row", "source", "quantum", (F.col("slice_from") + _before("n", "source", "slice", order=["row"])).alias("c"))
+    # Up to FEW sources are numbered in their order, so that packets compare numbers.
+    few = sorted((s.source, s.source_tokens, s.quantum) for s in sources.collect()) if total["sources"] <= FEW else []
+    rank = F.create_map(*[F.lit(x) for i, (s, *_) in enumerate(few) for x in (s, i)])[F.col("source")] if few else F.lit(0)
+    queues = per_slice.join(sources, "source").select("source", "slice", "slice_from", "quantum", rank.alias("rank"))
+    queued = docs.join(queues, ["source", "slice"]).select("row", "source", "rank", "quantum", (F.col("slice_from") + _before("n", "source", "slice", order=["row"])).alias("c"))
 
     def sent(r: Column, quantum: Column) -> Column:
         return F.ceil(r * quantum)
@@ -98,9 +101,9 @@ def _rounds(lengths: DataFrame, window: int, packet_tokens: int, targets: Mappin
         if total["sources"] <= FEW:
             # Sources before this one have sent their packets of the round, the others those of the rounds before.
             before = F.lit(0).cast("long")
-            for s in sources.collect():
-                turn = r + F.when(F.lit(s["source"]) < F.col("source"), 1).otherwise(0)
-                before += F.least(F.lit(s["source_tokens"]), sent(turn, F.lit(s["quantum"])))
+            for i, (_, tokens, quantum) in enumerate(few):
+                turn = r + F.when(F.col("rank") > i, 1).otherwise(0)
+                before += F.least(F.lit(tokens), sent(turn, F.lit(quantum)))
             placed = packets.withColumn("at", before + F.col("lo") - sent(r, q))
         else:
             # Over blocks of rounds (a bounded number of them), then within a block.
