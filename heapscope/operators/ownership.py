@@ -85,10 +85,12 @@ def pool(usr: Column, kind: str, names: list[str] | None = None) -> Column:
 
 
 def class_scope(rows: DataFrame, classes: list[int]) -> DataFrame:
-    """Rows scaled to some storage classes (columns c1 to c4); n_files by byte share, rounded half up."""
+    """Rows scaled to some storage classes (columns c1 to c4); n_files by byte share, rounded half up, in whole numbers throughout."""
     kept = sum((F.col(f"c{k}") for k in classes), F.lit(0)).cast("long")
-    share = F.when(F.col("size") > 0, F.floor(F.col("n_files").cast("decimal(20,0)") * kept.cast("decimal(18,0)") / F.col("size").cast("decimal(18,0)") + F.lit(0.5).cast("decimal(2,1)"))).otherwise(0)
-    return rows.select("path", kept.alias("size"), share.cast("long").alias("n_files"))
+    whole = rows.select("path", kept.alias("kept"), *(F.col(c).cast("decimal(19,0)").alias(a) for c, a in (("size", "s"), ("n_files", "n"))), kept.cast("decimal(19,0)").alias("k"))
+    # A quotient of decimals keeps six digits, and what is less than a half by less would be rounded up.
+    share = F.when(F.col("s") > 0, F.expr("(2 * (n * k) + s) div (2 * s)")).otherwise(0)
+    return whole.select("path", F.col("kept").alias("size"), share.cast("long").alias("n_files"))
 
 
 def exact_scope(file_rows: DataFrame, classes: list[int] | None, owners: list[str] | None) -> DataFrame:

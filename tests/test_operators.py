@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from heapscope.functions import paths as P
 from heapscope.functions import scalars as S
 from heapscope.operators import history as H
+from heapscope.operators import ownership as O
 from heapscope.operators import search as Q
 from heapscope.operators import thinning as TH
 from heapscope.operators import views as V
@@ -253,3 +254,10 @@ def test_rectangles_fill_the_area():
     r = squarified([6, 6, 4, 3, 2, 2, 1], 6, 4)
     assert sum(w * h for *_, w, h in r) == pytest.approx(24)
     assert all(x >= -1e-9 and y >= -1e-9 and x + w <= 6 + 1e-9 and y + h <= 4 + 1e-9 for x, y, w, h in r)
+
+
+def test_class_scope_rounds_whole_numbers(spark):
+    cases = [(3, 10_000_000, 1_666_666), (3, 10_000_000, 1_666_667), (1, 2, 1), (0, 0, 0), (9_000_001, 3 * 10**18, 10**18 - 1), (7, 4 * 10**18, 4 * 10**18)]
+    rows = spark.createDataFrame([(str(i), s, n, k, 0, s - k) for i, (n, s, k) in enumerate(cases)], "path string, size long, n_files long, c1 long, c2 long, c3 long")
+    want = {(str(i), k, (2 * n * k + s) // (2 * s) if s else 0) for i, (n, s, k) in enumerate(cases)}
+    assert {tuple(r) for r in O.class_scope(rows, [1]).collect()} == want
