@@ -48,10 +48,13 @@ def s11s(spark, sf):
     names = X.listing(spark, sf).filter("bucket = 'asia'").select("name").distinct()
     path = scratch(spark, "names")
     names.write.parquet(path)
-    ranges = L.split_ranges(spark.read.parquet(path), 50)
-    r = spark.createDataFrame(ranges, "lo string, hi string, n long")
-    joined = [a[1] == b[0] for a, b in zip(ranges, ranges[1:])]
-    return r.agg(F.sum("n").alias("names"), (F.max("n") <= 50).alias("small")).withColumn("gapless", F.lit(all(joined) and ranges[0][0] == "" and ranges[-1][1] == ""))
+    to = scratch(spark, "ranges")
+    L.cut_ranges(spark.read.parquet(path), 50).write.parquet(to)
+    r = spark.read.parquet(to)
+    # Where each range ends after it begins, and each end, '' too, is the begin of one range and the end of one, nothing is left out or there twice.
+    ends = r.select(F.explode(F.array(F.struct(F.col("lo").alias("at"), F.lit(1).alias("b")), F.struct(F.col("hi").alias("at"), F.lit(0).alias("b")))).alias("x")).groupBy("x.at").agg(F.count("*").alias("n"), F.sum("x.b").alias("b"))
+    all_ = r.agg(F.sum("n").alias("names"), (F.max("n") <= 50).alias("small"), F.expr("bool_and(hi = '' or lo < hi)").alias("forward"))
+    return all_.crossJoin(ends.agg(F.expr("bool_and(n = 2 and b = 1)").alias("met"))).select("names", "small", (F.col("forward") & F.col("met")).alias("gapless"))
 
 
 @query("s12_deduped", with_(LISTING, WEIGHTS, "p AS (SELECT prefix FROM weights WHERE length(prefix) % 3 <> 0)", then="SELECT prefix, NOT EXISTS (SELECT 1 FROM p a WHERE a.prefix <> p.prefix AND starts_with(p.prefix, a.prefix)) AS kept FROM p"))

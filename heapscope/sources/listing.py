@@ -4,8 +4,12 @@ from __future__ import annotations
 
 import heapq
 import os
+from bisect import bisect_left
+from collections.abc import Iterator
 from functools import reduce
+from itertools import groupby
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -142,30 +146,76 @@ def between(lo: str, hi: str) -> str | None:
     return mid if lo < mid and (not hi or mid < hi) else None
 
 
-def split_ranges(df: DataFrame, most: int, rounds: int = 64) -> list[tuple[str, str, int]]:
-    """Ranges (lo, hi, n) of names, without gaps, of `most` names at most: a range with more is cut in the middle of its names' keyspace, from the
-    least to the greatest that it has, until none is left or keys are too near. One aggregation a round, over the ranges still to be cut."""
+#: A range of at most so many names is cut to its end by one task, which holds them.
+WITHIN_TASK = 500_000
+
+
+def _cut(names: list[str], lo: str, hi: str, most: int) -> Iterator[tuple[str, str, int]]:
+    """The ranges in order that lo to hi comes to; names are all that it has, sorted."""
+    todo = [(lo, hi, 0, len(names))]
+    while todo:
+        lo, hi, a, b = todo.pop()
+        mid = between(names[a], names[b - 1]) if b - a > most and names[a] < names[b - 1] else None
+        if mid is None:
+            yield lo, hi, b - a
+        else:
+            m = bisect_left(names, mid, a, b)
+            todo += [(mid, hi, m, b), (lo, mid, a, m)]
+
+
+def cut_ranges(df: DataFrame, most: int, within: int = WITHIN_TASK) -> DataFrame:
+    """lo, hi, n: ranges of names, without gaps, of `most` names at most. A range with more is cut in the middle of its names' keyspace, from the
+    least to the greatest that it has, until none is left or keys are too near; so only more than `most` equal names, or names that differ late,
+    make a larger one.
+
+    The driver cuts what has over `within` names, one aggregation a round, over these ranges only; the others are cut on by a task each.
+    df is read once a round.
+    """
+    spark, names = df.sparkSession, df.select("name").filter("name is not null")
     done: list[tuple[str, str, int]] = []
+    small: list[tuple[str, str]] = []
     todo = [("", "")]
-    for _ in range(rounds):
-        if not todo:
-            break
-        lows = F.array(*[F.lit(lo) for lo, _ in todo])
-        highs = F.array(*[F.lit(hi) for _, hi in todo])
-        # todo is in order, so a name's range is the last that begins at or before it, if it ends after it.
-        at = F.size(F.filter(lows, lambda x: x <= F.col("name"))) - 1
-        placed = df.select("name", at.alias("r")).filter((F.get(highs, F.col("r")) == "") | (F.col("name") < F.get(highs, F.col("r"))))
-        stats = {r["r"]: r for r in placed.groupBy("r").agg(F.count("*").alias("n"), F.min("name").alias("lo"), F.max("name").alias("hi")).collect()}
+
+    def placed(ranges: list[tuple[str, str]]) -> DataFrame:
+        lows, highs = (F.array(*[F.lit(x[i]) for x in ranges]) for i in (0, 1))
+        # Ranges are in order, so a name's is the last that begins at or before it, if it ends after it.
+        at = names.select("name", (F.size(F.filter(lows, lambda x: x <= F.col("name"))) - 1).alias("r")).filter("r >= 0")
+        return at.filter((F.get(highs, F.col("r")) == "") | (F.col("name") < F.get(highs, F.col("r"))))
+
+    while todo:
+        stats = {r["r"]: r for r in placed(todo).groupBy("r").agg(F.count("*").alias("n"), F.min("name").alias("lo"), F.max("name").alias("hi")).collect()}
         following: list[tuple[str, str]] = []
         for i, (lo, hi) in enumerate(todo):
             s = stats.get(i)
-            mid = between(s["lo"], s["hi"]) if s and s["n"] > most else None
-            if mid is None:
-                done.append((lo, hi, s["n"] if s else 0))
-            else:
+            n = s["n"] if s else 0
+            mid = between(s["lo"], s["hi"]) if n > max(most, within) and s["lo"] < s["hi"] else None
+            if mid is not None:
                 following += [(lo, mid), (mid, hi)]
+            elif most < n <= within:
+                small.append((lo, hi))
+            else:
+                done.append((lo, hi, n))
         todo = following
-    return sorted(done + [(lo, hi, -1) for lo, hi in todo])
+    kind = "lo string, hi string, n long"
+    out = spark.createDataFrame(done, kind)
+    if not small:
+        return out
+    small.sort()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        given = (x for b in batches for x in zip(b.column("r").to_pylist(), b.column("name").to_pylist(), strict=True))
+        for r, own in groupby(given, key=lambda x: x[0]):
+            found = list(zip(*_cut([name for _, name in own], *small[r], most), strict=True))
+            yield pa.RecordBatch.from_arrays([pa.array(found[0], pa.string()), pa.array(found[1], pa.string()), pa.array(found[2], pa.int64())], ["lo", "hi", "n"])
+
+    # Spark and Python order strings alike, by code points.
+    own = placed(small).repartition(len(small), "r").sortWithinPartitions("r", "name").select("r", "name")
+    return out.unionByName(own.mapInArrow(run, kind))
+
+
+def split_ranges(df: DataFrame, most: int) -> list[tuple[str, str, int]]:
+    """The ranges of cut_ranges as a list in order; it grows with the names."""
+    return sorted(tuple(r) for r in cut_ranges(df, most).collect())
 
 
 def local_listing(spark: SparkSession, root: str) -> DataFrame:

@@ -261,3 +261,31 @@ def test_class_scope_rounds_whole_numbers(spark):
     rows = spark.createDataFrame([(str(i), s, n, k, 0, s - k) for i, (n, s, k) in enumerate(cases)], "path string, size long, n_files long, c1 long, c2 long, c3 long")
     want = {(str(i), k, (2 * n * k + s) // (2 * s) if s else 0) for i, (n, s, k) in enumerate(cases)}
     assert {tuple(r) for r in O.class_scope(rows, [1]).collect()} == want
+
+
+def halved(names, lo, hi, most):
+    own = sorted(n for n in names if lo <= n and (not hi or n < hi))
+    mid = L.between(own[0], own[-1]) if len(own) > most and own[0] < own[-1] else None
+    return [(lo, hi, len(own))] if mid is None else halved(names, lo, mid, most) + halved(names, mid, hi, most)
+
+
+@pytest.mark.parametrize("within", [1, 40, 10_000])
+def test_ranges_are_the_same_wherever_they_are_cut(spark, within):
+    rng = random.Random(3)
+    names = ["".join(rng.choice("ab/\u00e9\U0001f600") for _ in range(rng.randrange(1, 12))) for _ in range(400)] + ["same"] * 9 + [""] * 7
+    df = spark.createDataFrame([(n,) for n in [*names, None]], "name string").repartition(3)
+    assert sorted(tuple(r) for r in L.cut_ranges(df, 5, within).collect()) == halved(names, "", "", 5)
+    assert L.split_ranges(df.filter("name = ''"), 5) == [("", "", 7)]
+    assert L.split_ranges(df.limit(0), 5) == [("", "", 0)]
+
+
+def test_many_ranges_take_few_rounds(spark):
+    n = spark.range(60_000).select(F.concat(F.lit("c"), F.col("id").cast("string"), F.lit("/o"), F.col("id").cast("string")).alias("name"))
+    jobs = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("ranges", "ranges")
+    got = L.split_ranges(n, 10)
+    ids = jobs.getJobIdsForGroup("ranges")
+    spark.sparkContext._jsc.clearJobGroup()
+    assert sum(x for *_, x in got) == 60_000 and max(x for *_, x in got) <= 10
+    assert got[0][0] == "" == got[-1][1] and all(a[1] == b[0] for a, b in zip(got, got[1:], strict=False))
+    assert len(ids) <= 6
