@@ -14,7 +14,8 @@ multiplied. The order puts n-grams first that a count sketch of fixed size, adde
 4. A group with rows of several components is a block of the product: rows by n-grams, multiplied with its own transpose.
    Overlap counts are accumulated for all pairs of rows at once, in memory; pairs below the bound that their sizes give
    are discarded there, and only links that join components leave the block. A large group is cut into tiles of rows, by
-   component, size and hash; pairs of tiles of one component, or of sizes that can't link, are left out.
+   component, size and hash; pairs of tiles of one component, or of sizes that can't link, are left out. Rows that no signature
+   of another component in their block allows a link with leave it before texts are fetched.
 
 So no pair is made into a row but those of step 3 (rows of the matrix with their few centres) and links that join. A
 group of thousands of near copies costs its size in step 3, and is of one component in step 4. link_counts() asks for
@@ -50,6 +51,8 @@ SKETCH, SLICES = 1 << 22, 64
 SIGNATURE = 16
 #: The most rows and n-grams in a tile; larger groups have several.
 TILE, TILE_GRAMS = 1024, 2_000_000
+#: Bits of the filter that chooses texts before they are dealt out, and its slices.
+FILTER, FILTER_SLICES = 1 << 27, 64
 #: Columns of at most so many rows are looked through pair by pair for rows without a partner.
 SHORT = 16
 
@@ -469,16 +472,88 @@ def _tiles(members: DataFrame, tile: int, grams: int, every: bool) -> DataFrame:
     return small.unionByName(named.join(ends.select("z", "x", "y", "e.*"), ["z", "t"]).select("z", "x", "y", "side", "g", "c"))
 
 
-def _texts_of(keyed: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
-    """g and z, the compressed text of one document, for the sets in wanted (g)."""
+_ROWS = pa.schema([("z", pa.int64()), ("x", pa.int64()), ("y", pa.int64()), ("side", pa.int32()), ("g", pa.int64()), ("c", pa.int64())])
+
+
+def promising(side: np.ndarray, c: np.ndarray, n: np.ndarray, sig: np.ndarray, percent: int) -> np.ndarray:
+    """Which rows of a block may link with a row of another component there, by sizes and signatures."""
+    a, b = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
+    hit = np.zeros(len(side), bool)
+    for i in range(0, len(a), 256):
+        own = a[i : i + 256]
+        apart = np.zeros((len(own), len(b)), np.int64)
+        for w in range(sig.shape[1]):
+            apart += np.bitwise_count(sig[own, w][:, None] ^ sig[b, w][None, :])
+        na, nb = n[own][:, None], n[b][None, :]
+        need = needed(na, nb, percent)
+        ok = (c[own][:, None] != c[b][None, :]) & (np.minimum(na, nb) >= need) & (apart <= na + nb - 2 * need)
+        hit[own] |= ok.any(axis=1)
+        hit[b] |= ok.any(axis=0)
+    return hit
+
+
+def _promising(blocks_: DataFrame, signatures: DataFrame, percent: int) -> DataFrame:
+    """The rows of _tiles() less those that link with no row of another component in their block; only the others need their texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        given = (r for batch in batches for r in rows(batch, "z", "x", "y", "side", "g", "c", "n", "sig"))
+        out: list[tuple] = []
+        for _, block in groupby(given, key=lambda r: r[:3]):
+            own = list(block)
+            side, c, n = (np.array([r[i] for r in own], np.int64) for i in (3, 5, 6))
+            sig = np.array([r[7] for r in own], np.int64).view(np.uint64)
+            out += [own[i][:6] for i in np.flatnonzero(promising(side, c, n, sig, percent)).tolist()]
+            if len(out) > 10_000:
+                yield out_batch(_ROWS, list(zip(*out, strict=True)))
+                out = []
+        if out:
+            yield out_batch(_ROWS, list(zip(*out, strict=True)))
+
+    dealt = blocks_.join(signatures.select("g", "n", "sig"), "g").repartition(spread(blocks_.sparkSession), "z", "x", "y").sortWithinPartitions("z", "x", "y")
+    found = dealt.select("z", "x", "y", "side", "g", "c", "n", "sig").mapInArrow(tidied(run), "z long, x long, y long, side int, g long, c long")
+    return staged(found, "blocks")
+
+
+def _filter(hashes: DataFrame) -> bytes:
+    """A bit for each of the hashes t, by its last digits. Slices are made by a task each; the driver gets them compressed."""
+    each = FILTER // FILTER_SLICES
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, np.ndarray] = {}
+        for batch in batches:
+            at = batch.column("t").to_numpy().astype(np.int64) & (FILTER - 1)
+            for i in np.unique(at // each).tolist():
+                bits = held.setdefault(i, np.zeros(each, bool))
+                bits[at[at // each == i] % each] = True
+        zstd = zstandard.ZstdCompressor(level=1)
+        for i, bits in held.items():
+            yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([zstd.compress(np.packbits(bits).tobytes())], pa.binary())], ["slice", "bits"])
+
+    dealt = hashes.select("t").repartition(min(FILTER_SLICES, spread(hashes.sparkSession)), F.shiftright(F.col("t").bitwiseAND(FILTER - 1), each.bit_length() - 1))
+    total, unzip = np.zeros((FILTER_SLICES, each // 8), np.uint8), zstandard.ZstdDecompressor()
+    for r in dealt.mapInArrow(tidied(run), "slice int, bits binary").collect():
+        total[r["slice"]] = np.frombuffer(unzip.decompress(bytes(r["bits"])), np.uint8)
+    return zstandard.ZstdCompressor(level=1).compress(total.tobytes())
+
+
+def _texts_of(keyed: DataFrame, sets: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
+    """g and z, the compressed text of one document, for the sets in wanted (g).
+
+    Of each set the text of the least hash is taken; a filter of fixed size leaves few others to be dealt out, and the join drops those.
+    """
     schema = pa.schema([("g", pa.int64()), ("z", pa.binary())])
+    least = sets.select("g", "t").join(wanted, "g", "left_semi").groupBy("g").agg(F.min("t").alias("t"))
+    given = keyed.sparkSession.sparkContext.broadcast(_filter(least))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.frombuffer(zstandard.ZstdDecompressor().decompress(given.value), np.uint8)
         zstd = zstandard.ZstdCompressor(level=3)
         seen: set[int] = set()
         for batch in batches:
+            at = batch.column("t").to_numpy().astype(np.int64) & (FILTER - 1)
+            some = batch.filter(pa.array((bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).astype(bool)))
             out: list[list] = [[], []]
-            for (text,), s in zip(rows(batch, "text"), _batch_sets(batch, k), strict=True):
+            for (text,), s in zip(rows(some, "text"), _batch_sets(some, k), strict=True):
                 g = set_hash(s)
                 if g not in seen:
                     seen.add(g)
@@ -488,7 +563,7 @@ def _texts_of(keyed: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
                 seen.clear()
             yield out_batch(schema, out)
 
-    packed = keyed.select("text").mapInArrow(tidied(run), "g long, z binary")
+    packed = keyed.select("text", "t").mapInArrow(tidied(run), "g long, z binary")
     return staged(packed.join(wanted, "g", "left_semi").dropDuplicates(["g"]), "pair-texts")
 
 
@@ -506,19 +581,25 @@ def linked_sets(docs: DataFrame, k: int = WORDS, percent: int = PERCENT, tile: i
     groups = staged(_groups(_entries(keyed, levels, k, percent, blocks), blocks, percent), "groups")
     centres = groups.select("z", F.col("z").alias("g"), F.col("nz").alias("n")).distinct()
     members = groups.select("z", "g", "n").unionByName(centres)
-    texts = _texts_of(keyed, members.select("g").distinct(), k)
+    own = members.select("g").distinct()
+    signatures = staged(first.filter("n > 0").select("g", "n", "sig").join(own, "g", "left_semi").dropDuplicates(["g"]), "signatures")
     if every:
-        links = staged(_multiplied(_tiles(members.withColumn("c", F.col("g")), tile, TILE_GRAMS, every), texts, k, percent, every).distinct(), "links")
+        blocks_ = _promising(_tiles(members.withColumn("c", F.col("g")), tile, TILE_GRAMS, every), signatures, percent)
+        texts = _texts_of(keyed, sets, blocks_.select("g").distinct(), k)
+        links = staged(_multiplied(blocks_, texts, k, percent, every).distinct(), "links")
         return sets, links, staged(components(links), "labels")
-    signatures = first.filter("n > 0").select("g", "sig").dropDuplicates(["g"])
-    near = _near(groups.filter("fits").select(F.col("g").alias("a"), F.col("z").alias("b"), F.col("n").alias("na"), F.col("nz").alias("nb")), signatures, percent)
+    near = staged(_near(groups.filter("fits").select(F.col("g").alias("a"), F.col("z").alias("b"), F.col("n").alias("na"), F.col("nz").alias("nb")), signatures, percent), "near")
+    texts = _texts_of(keyed, sets, near.select(F.explode(F.array("a", "b")).alias("g")).distinct(), k)
     links = staged(_verified(near, texts, k, percent), "links")
     label = staged(components(links), "labels").select(F.col("v").alias("g"), "c")
     # Groups with rows of several components; of two rows, the one pair has been looked at.
     labelled = staged(members.join(label, "g", "left").select("z", "g", "n", F.coalesce("c", "g").alias("c")), "members")
     several = labelled.groupBy("z").agg(F.count("*").alias("m"), F.min("c").alias("lo"), F.max("c").alias("hi")).filter("m > 2 and lo < hi").select("z")
     still = staged(labelled.join(several, "z"), "open-members")
-    more = staged(_multiplied(_tiles(still, tile, TILE_GRAMS, every), texts, k, percent, every), "links")
+    blocks_ = _promising(_tiles(still, tile, TILE_GRAMS, every), signatures, percent)
+    if blocks_.isEmpty():
+        return sets, links, label.withColumnRenamed("g", "v")
+    more = staged(_multiplied(blocks_, _texts_of(keyed, sets, blocks_.select("g").distinct(), k), k, percent, every), "links")
     if more.isEmpty():
         return sets, links, label.withColumnRenamed("g", "v")
     # Links between components join components; only these are gone through again.

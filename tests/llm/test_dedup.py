@@ -233,3 +233,29 @@ def test_connected_components(spark):
             if a != b:
                 up[a] = up[b] = min(up[a], up[b])
     assert got == up
+
+
+def test_unlike_texts_of_a_group_are_not_fetched(spark, monkeypatch):
+    counts, real = {}, ngram_join.staged
+    monkeypatch.setattr(ngram_join, "staged", lambda df, name: (counts.setdefault(name, []).append((x := real(df, name)).count()), x)[1])
+    # Three documents each share some n-grams, and are unlike otherwise.
+    texts = [" ".join([*(f"s{i}x{j}" for j in range(12)), *(f"w{i}y{d}z{j}" for j in range(32))]) for i in range(60) for d in range(3)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = ngram_join.near_duplicates(docs).collect()
+    assert all(r.component_id == r.doc_id for r in got) and len(got) == 180
+    assert sum(counts["groups"]) > 0 and sum(counts["pair-texts"]) == 0
+
+
+def test_promising_rows_are_all_that_link():
+    rng = np.random.default_rng(5)
+    base = rng.integers(0, 1 << 63, 400, dtype=np.uint64)
+    sets = [np.unique(np.concatenate([rng.choice(base, rng.integers(20, 390), replace=False), rng.integers(0, 1 << 63, rng.integers(0, 30), dtype=np.uint64)])) for _ in range(60)]
+    sig = np.array([ngram_join.signature(x) for x in sets], np.int64).view(np.uint64)
+    n, c = np.array([len(x) for x in sets]), rng.integers(0, 9, 60)
+    for side in (np.full(60, 2), rng.integers(0, 2, 60)):
+        hit = ngram_join.promising(side, c, n, sig, 80)
+        for i, x in enumerate(sets):
+            for j, y in enumerate(sets):
+                if side[i] != 1 and side[j] != 0 and c[i] != c[j]:
+                    same = len(np.intersect1d(x, y))
+                    assert 100 * same < 80 * (len(x) + len(y) - same) or (hit[i] and hit[j])
