@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from heapscope.llm.common import out_batch, rows, small_batches, text_only, tidied
+from heapscope.llm.common import batches_of, out_batch, rows, small_batches, text_only, tidied
 
 #: Features of a line by itself; with those of both neighbours, three times as many.
 OWN = 16
@@ -154,23 +154,27 @@ def held_out(doc_id: Column) -> Column:
 
 def fit(docs: DataFrame, labels: DataFrame, most_docs: int = 3000, most_lines: int = 400) -> Field:
     """Trains on at most most_docs labelled documents outside the held-out fifth, drawn by hash; documents of over
-    most_lines lines are no training rows. Both are bounds of the driver's memory, and of nothing else."""
+    most_lines lines are no training rows. Both are bounds of the driver's memory, and of nothing else. They hold where
+    doc_ids repeat, too: equal labels count once, as do rows of a doc_id with equal lines."""
     sample = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).filter("doc_id is not null and quality is not null").filter(~held_out(F.col("doc_id")))
-    sample = sample.orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(most_docs)
-    schema = pa.schema([("quality", pa.int32()), ("lines", pa.binary())])
+    sample = sample.distinct().orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(most_docs)
+    schema = pa.schema([("doc_id", pa.int64()), ("quality", pa.int32()), ("lines", pa.binary())])
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[list] = [[], []]
-            for quality, text in rows(batch, "quality", "text"):
+            out: list[list] = [[], [], []]
+            for doc_id, quality, text in rows(batch, "doc_id", "quality", "text"):
                 if text.count("\n") < most_lines:
-                    out[0].append(quality)
-                    out[1].append(line_features(text)[0].tobytes())
+                    out[0].append(doc_id)
+                    out[1].append(quality)
+                    out[2].append(line_features(text)[0].tobytes())
             yield out_batch(schema, out)
 
     # The sample has at most most_docs rows of two numbers.
     chosen = text_only(docs).join(F.broadcast(sample), "doc_id").select("doc_id", "quality", "text")
-    got = sorted((bytes(r.lines), r.quality) for r in chosen.mapInArrow(tidied(extract), "quality int, lines binary").toLocalIterator())
+    found = chosen.mapInArrow(tidied(extract), "doc_id long, quality int, lines binary").distinct()
+    found = found.orderBy(F.xxhash64("doc_id"), "doc_id", "quality", "lines").limit(most_docs)
+    got = sorted((bytes(r.lines), r.quality) for r in found.select("quality", "lines").toLocalIterator())
     return train([np.frombuffer(x, np.float32).reshape(-1, OWN) for x, _ in got], np.array([q for _, q in got]))
 
 
@@ -183,7 +187,9 @@ def _score_with(field: Field, text: str = "text"):
             for a in range(0, batch.num_rows, 512):
                 part = batch.slice(a, 512)
                 texts = part.column(text).to_pylist()
-                done = np.concatenate([own.quality([line_features(t or "") for t in texts[i : i + 64]]) for i in range(0, len(texts), 64)])
+                # At most 64 texts at once, and of about a million characters in all if they are long.
+                parts = [(i + x, i + y) for i in range(0, len(texts), 64) for x, y in batches_of([len(t or "") for t in texts[i : i + 64]])]
+                done = np.concatenate([own.quality([line_features(t or "") for t in texts[x:y]]) for x, y in parts])
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(done, pa.float64())], names=[*part.schema.names, "_score"])
 
     return score

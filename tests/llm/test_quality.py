@@ -135,3 +135,28 @@ def test_pipeline(spark, sf):
     assert len(long_good & kept) >= 0.95 * len(long_good)
     ids = [(r.sequence_id, r.offset) for r in docs.collect()]
     assert len(ids) == len(set(ids)) > 0
+
+
+def test_training_rows_are_bounded_where_ids_repeat(spark, monkeypatch):
+    sizes, real = [], crf.train
+    monkeypatch.setattr(crf, "train", lambda docs, labels: (sizes.append(len(docs)), real(docs, labels, steps=2))[1])
+    docs = spark.createDataFrame([(i, f"line {i}\n" * (1 + i % 5) + "junk%%% ###" * (i % 2)) for i in range(60)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, quality int")
+    once = crf.fit(docs, labels, most_docs=20)
+    again = crf.fit(docs.union(docs).union(docs), labels.union(labels), most_docs=20)
+    unlike = docs.select("doc_id", F.concat("text", F.lit("\nmore 123 words")).alias("text"))
+    crf.fit(docs.union(unlike), labels, most_docs=20)
+    assert sizes == [20, 20, 20]
+    assert np.array_equal(once.emission, again.emission)
+
+
+def test_long_texts_are_scored_by_few(spark, monkeypatch):
+    sizes, real = [], crf.Field.quality
+    monkeypatch.setattr(crf.Field, "quality", lambda self, docs: (sizes.append(len(docs)), real(self, docs))[1])
+    import pyarrow as pa
+
+    score = crf._score_with(crf.Field(np.ones(3 * crf.OWN), np.zeros((2, 2))))
+    texts = ["x" * 600_000 + "\ny"] * 5 + ["short", None]
+    out = list(score(iter([pa.RecordBatch.from_arrays([pa.array(texts)], names=["text"])])))
+    assert sum(b.num_rows for b in out) == sum(sizes) == 7 and max(sizes[:4]) == 1
+    assert len({x for b in out for x in b.column("_score").to_pylist()[:5]}) == 1
