@@ -37,7 +37,7 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sequences of 1024 tokens in the corpus mixture; one row for each piece."""
     import public_tokenizers
 
-    return packing.digest(packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), end_id=0))
+    return packing.packed_digest(docs, public_tokenizers.path("byte_bpe_50k.json"), end_id=0)
 
 
 STAGES = [

@@ -9,6 +9,7 @@ from collections import defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import xxhash
 from tokenizers import Tokenizer
@@ -124,6 +125,36 @@ def test_single_windows_hold_the_mixture(spark, few, monkeypatch):
         assert sum(abs(by[k][s] / 1024 - t / total) for s, t in own.items()) / 2 < 0.03
 
 
+def test_documents_are_cut_where_they_lie(spark, odd, monkeypatch):
+    """In arrays, not in a copy of the document for each piece; and as running sums over all packets place them."""
+    n = spark.createDataFrame([(i, None if i % 7 == 0 else f"s{i % 7}", i % 90 * (50 if i % 13 == 0 else 1)) for i in range(1500)] + [(1500, "tiny", 7), (1501, "é", 1), (1502, "s1", 30000)], "row long, source string, n int")
+    forms = [{}, {"window": 64, "packet_tokens": 10}, {"targets": {"s1": 5.0, "s2": 0.0, "tiny": 1e-3}}]
+    got = [packing.schedule(n, **kw) for kw in forms]
+    assert all("Generate" not in x._jdf.queryExecution().toString() for x in (*got, packing.pack(odd, BPE), packing.packed_digest(odd, BPE)))
+    monkeypatch.setattr(packing, "FEW", 0)
+    want = [sorted(map(tuple, packing.schedule(n, **kw).collect())) for kw in forms]
+    assert [sorted(map(tuple, x.collect())) for x in got] == want
+    monkeypatch.undo()
+    rows = lambda d: sorted(map(str, d.collect()))
+    assert rows(packing.packed_digest(odd, BPE)) == rows(packing.digest(packing.pack(odd, BPE)))
+
+
+@pytest.mark.parametrize("packets", [1, 7, 1 << 16])
+def test_a_long_document_is_cut_in_parts(packets, monkeypatch):
+    monkeypatch.setattr(packing, "_PACKETS", packets)
+    c, n, rank = [0, 0, 300, 3], [300, 3, 500, 0], [0, 1, 0, 1]
+    quanta = [800 / 803 * 16, 3 / 803 * 16]
+    batch = pa.RecordBatch.from_arrays([pa.array(x) for x in (c, n, [quanta[i] for i in rank], rank)], names=["c", "n", "quantum", "rank"])
+    got = [x for cut in packing._pieces(batch, [(800, quanta[0]), (3, quanta[1])], 16) for x in zip(*(v.tolist() for v in cut), strict=True)]
+    at, order = defaultdict(int), []
+    for doc, start, length, sequence, offset in got:
+        assert start == at[doc] and 0 < length <= 16 - offset
+        at[doc] += length
+        order += [(sequence, offset + i) for i in range(length)]
+    assert at == {0: 300, 1: 3, 2: 500} and [x[0] for x in got] == sorted(x[0] for x in got)
+    assert sorted(order) == [divmod(i, 16) for i in range(803)]
+
+
 def test_pieces_without_dropout_are_the_librarys():
     e = pieces.DropoutEncoder(PIECES, 0.0)
     for t in ("", "Hello  wörld\n\nx   ", "<s> </s>", "日本語 text ▁x", "a" * 80):
