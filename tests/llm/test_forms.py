@@ -37,6 +37,21 @@ def test_words_are_cut_as_the_library_does(plain, short, forms):
     assert [np.frombuffer(x, "<u2" if short else "<u4").tolist() for x in got] == [plain(t) for t in texts]
 
 
+def test_forms_of_many_texts_are_looked_up_once(plain):
+    class Counted(dict):
+        asked = 0
+
+        def get(self, form):
+            self.asked += 1
+            return super().get(form)
+
+    e, texts = Encoder(BPE), ["one two, one two.", "", "two  spaces  one", "漢字 one", "\0", "<|endoftext|> one"] * 50
+    e.forms = Counted()
+    assert [np.frombuffer(x, "<u4").tolist() for x in e.many(texts)] == [plain(t) for t in texts]
+    assert e.forms.asked == len({"one", " two", ",", " one", ".", "two", " ", " spaces", "漢字", "\0", "<|endoftext|> one"})
+    assert e.many([]) == [] and e.many(["", ""]) == [b"", b""] and e.many(["\0"]) == e.many(["", "\0"])[1:]
+
+
 def test_token_files(spark, odd, empty, plain, tmp_path):
     manifest = token_files.write_token_files(odd, BPE, 2, f"file://{tmp_path}/t", frame_bytes=500)
     rows = sorted(odd.select("doc_id", "text").collect(), key=lambda r: (r.doc_id is not None, r.doc_id or 0, r.text or ""))
